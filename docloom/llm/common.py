@@ -53,8 +53,15 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
+
+    Spark's cleaner drops the shuffle files of the lineage once the driver has
+    collected its plan as garbage, so pass ``df`` without keeping it.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    context._jvm.System.gc()
+    return out

@@ -361,8 +361,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, ma
     sorted_out = cut(sort_out(shard_runs(docs, width, shard), many))
     wanted = sorted_out.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("runs"))
     found = docs.join(wanted, "doc").select("doc", F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
-    pieces = found.select("r.h", "doc", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes"))
-    pieces = cut(pieces)
+    pieces = cut(found.select("r.h", "doc", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes")))
     merged = merge_shards(pieces.filter("kind = 1"), width).unionByName(merge_windows(pieces.filter("kind = 2"), width))
     return sorted_out.filter("kind = 0").select("doc", "start", "n").unionByName(merged)
 
