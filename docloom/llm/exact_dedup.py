@@ -2,7 +2,9 @@
 
 Normalised texts are dealt out by range, with splitters that Spark samples;
 each task sorts its range outside memory if need be, equal texts come to stand
-next to each other, and the window compares neighbours in full.
+next to each other, and the window compares neighbours in full.  Splitters are
+the beginnings of texts, and hashes for texts that begin alike, so that what the
+driver gets is small.
 
 A text with very many copies would fill one range.  A count of 64-bit hashes
 finds the texts with more rows than a quarter of an even range; there are at
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: The characters that don't count, SPACE and TAB to CARRIAGE RETURN.
 BLANK = " \t\n\v\f\r"
+#: Characters of a text that a splitter has.
+BEGINNING = 32
 
 
 def without_blanks(text: Column) -> Column:
@@ -50,11 +54,14 @@ def content_sort(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     salted = rows.withColumn("h", F.xxhash64("norm")).join(F.broadcast(hot), "h", "left")
     salted = salted.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("doc_id", "n"), F.col("salts"))).otherwise(F.lit(-1)))
-    dealt = salted.select("norm", "salt", "doc_id", "n").repartitionByRange("norm", "salt")
-    run = Window.partitionBy("norm", "salt")
+    head = F.substring("norm", 1, BEGINNING).alias("head")
+    dealt = salted.select(head, "norm", "h", "salt", "doc_id", "n").repartitionByRange("head", "h", "salt")
+    run = Window.partitionBy("head", "norm", "salt", "h")
     best = run.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
     placed = dealt.select(
         "doc_id",
+        "head",
+        "h",
         "salt",
         F.row_number().over(best).alias("place"),
         F.first("doc_id").over(best).alias("keep_id"),
@@ -64,11 +71,11 @@ def content_sort(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.when((F.col("salt") >= 0) & (F.row_number().over(best) == 1), F.col("norm")).alias("norm"),
     )
 
-    runs = placed.filter("norm is not null").select("norm", "text_sha256", "salt", "keep_id", "keep_n", "group_size").repartitionByRange("norm")
-    same = Window.partitionBy("norm")
+    runs = placed.filter("norm is not null").select("head", "norm", "h", "text_sha256", "salt", "keep_id", "keep_n", "group_size").repartitionByRange("head", "h")
+    same = Window.partitionBy("head", "norm", "h")
     first = same.orderBy(F.desc("keep_n"), F.asc_nulls_last("keep_id"), "salt")
     whole = runs.select("text_sha256", F.first("keep_id").over(first).alias("w_id"), F.first("salt").over(first).alias("w_salt"), F.sum("group_size").over(same).alias("w_size")).distinct()
-    joined = placed.drop("norm").join(F.broadcast(whole), "text_sha256", "left")  # as many rows as hot texts
+    joined = placed.drop("head", "norm", "h").join(F.broadcast(whole), "text_sha256", "left")  # as many rows as hot texts
     mine = F.col("w_salt").isNull() | (F.col("w_salt") == F.col("salt"))
     return joined.select(
         "doc_id",
