@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Share of the threshold on either side within which the exact count decides: over ten times the sketch's error.
 BAND = 0.25
 LG_K = 12
+#: Parts into which the rows of a line are dealt when they are looked up, so that a very common line isn't one task's.
+SALTS = 16
 
 
 def _hash(line: Column) -> list[Column]:
@@ -32,15 +34,26 @@ def line_hashes(docs: DataFrame, text: str, site: str, min_chars: int, *keep: st
     return lines.select(*keep, "site", "line_no", *_hash(F.col("line")))
 
 
-def spread_lines(docs: DataFrame, min_sites: int, text: str = "text", site: str = "source", min_chars: int = 20) -> DataFrame:
+def _among(lines: DataFrame, found: DataFrame, *row: str) -> DataFrame:
+    """The rows of ``lines`` whose line is in ``found``; dealt out by the line and a salt from the columns ``row``."""
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)))
+    every = found.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    return salted.join(every, ["h1", "h2", "_salt"], "left_semi").drop("_salt")
+
+
+def spread_lines(docs: DataFrame, min_sites: int, key: str = "doc_id", text: str = "text", site: str = "source", min_chars: int = 20) -> DataFrame:
     """h1, h2 of the lines that occur at ``min_sites`` distinct sites or more."""
-    lines = line_hashes(docs, text, site, min_chars)
+    lines = line_hashes(docs.withColumn("_key", docs[key]), text, site, min_chars, "_key")
+    return _spread(lines, min_sites, "_key")
+
+
+def _spread(lines: DataFrame, min_sites: int, *row: str) -> DataFrame:
     key = ["h1", "h2"]
     sketched = lines.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     sketched = sketched.filter(F.col("sites") > min_sites * (1 - BAND))
     sure = sketched.filter(F.col("sites") >= min_sites * (1 + BAND)).select(*key)
     near = sketched.filter(F.col("sites") < min_sites * (1 + BAND)).select(*key)
-    counted = lines.join(near, key, "left_semi").select(*key, "site").distinct().groupBy(*key).agg(F.count("*").alias("n"))
+    counted = _among(lines, near, *row).select(*key, "site").distinct().groupBy(*key).agg(F.count("*").alias("n"))
     return sure.unionByName(counted.filter(F.col("n") >= min_sites).select(*key))
 
 
@@ -51,8 +64,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int, key: str = "doc_id", te
     row = ["_row1", "_row2"]
     rows = docs.select(*given).withColumns({"_row1": F.xxhash64(key, text, site), "_row2": F.xxhash64(F.lit(11), site, text, key)})
     lines = line_hashes(rows, text, site, min_chars, *row)
-    spread = spread_lines(docs, min_sites, text, site, min_chars)
-    hits = lines.join(spread, ["h1", "h2"], "left_semi").groupBy(*row).agg(F.collect_set("line_no").alias("_gone"))
+    hits = _among(lines, _spread(lines, min_sites, *row), *row).groupBy(*row).agg(F.collect_set("line_no").alias("_gone"))
     cut = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
     out = rows.join(hits, row, "left")
