@@ -29,9 +29,9 @@ from docloom.llm.common import small_batches, texts
 #: Endings that the split pattern of byte-level vocabularies takes together with an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Known pieces of one worker; beyond that it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 300_000
 #: Slots of the table that finds known pieces.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Longer fragments are merged with a heap, one at a time.
 LONG = 200
 LETTER, NUMBER, SPACE, EDGE, NEVER = 1, 2, 3, 4, np.int32(2**31 - 1)
@@ -278,7 +278,7 @@ def codec(path: str) -> Codec:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, column: str = "text", specials: bool = True) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Small batches with the ids of their rows; for use inside mapInArrow."""
     c = codec(path)
-    for batch in small_batches(batches, column, 2 << 20):
+    for batch in small_batches(batches, column, 1 << 20):
         yield batch, c.encode_many(texts(batch.column(column)), specials)
 
 
