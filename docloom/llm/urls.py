@@ -23,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import cut as checkpointed
+
 #: The longest word that a segmentation looks for.
 LONGEST = 16
+#: Parts into which the rows of a token are dealt, so that a very common token isn't one task's.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,17 +94,33 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """part, token: each distinct host with the words of its labels."""
-    labels = hosts.select("host", F.explode(F.filter(F.split("host", "[^a-z]+"), lambda x: x != "")).alias("label"))
+    """part, token: each ``hosts.part`` with the words of its labels."""
+    labels = hosts.select("part", F.explode(F.filter(F.split("part", "[^a-z]+"), lambda x: x != "")).alias("label"))
     words = segmented(labels.select("label").distinct(), counts)
-    return labels.join(words, "label").select(F.col("host").alias("part"), F.explode("words").alias("word")).select("part", F.concat(F.lit("h:"), "word").alias("token"))
+    return labels.join(words, "label").select("part", F.explode("words").alias("word")).select("part", F.concat(F.lit("h:"), "word").alias("token"))
 
 
 def path_tokens(paths: DataFrame) -> DataFrame:
-    """part, token: each distinct path with its runs of letters and digits; numbers are one token."""
-    split = F.filter(F.split(F.lower("path"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """part, token: each ``paths.part`` with its runs of letters and digits; numbers are one token."""
+    split = F.filter(F.split(F.lower("part"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     tokens = F.transform(split, lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("#")).otherwise(x))
-    return paths.select(F.col("path").alias("part"), F.explode(tokens).alias("word")).select("part", F.concat(F.lit("p:"), "word").alias("token"))
+    return paths.select("part", F.explode(tokens).alias("word")).select("part", F.concat(F.lit("p:"), "word").alias("token"))
+
+
+def naive_bayes(tokens: DataFrame) -> DataFrame:
+    """kind, part, odds: the sum over a part's tokens of their log odds of block against allow.
+
+    ``tokens``: kind, part, token, and block and allow, how many decided urls have the part.
+    """
+    model = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).filter("block + allow > 0")
+    sizes = model.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("all_block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("all_allow"), F.count("*").alias("kinds"))
+    odds = lambda b, a: F.log((b + 1) / (F.col("all_block") + F.col("kinds") + 1)) - F.log((a + 1) / (F.col("all_allow") + F.col("kinds") + 1))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    weights = model.crossJoin(F.broadcast(sizes)).select("token", odds(F.col("block"), F.col("allow")).alias("weight"), every)  # sizes: one row
+    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("kind", "part"), F.lit(SALTS)))
+    unseen = sizes.select(odds(F.lit(0), F.lit(0)).alias("unseen"))
+    both = salted.join(weights, ["token", "salt"], "left").crossJoin(F.broadcast(unseen))  # one row
+    return both.groupBy("kind", "part").agg(F.sum(F.coalesce("weight", "unseen")).alias("odds"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], texts: DataFrame, text: str, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -112,23 +132,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], texts: DataFrame,
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, decided = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "decided": decided})
-    # rows of equal host and path are counted once, with their number
-    distinct = {c: rows.groupBy(F.col(c)).agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow")) for c in ("host", "path")}
-    tokens = {"host": host_tokens(distinct["host"], word_counts(texts, text)), "path": path_tokens(distinct["path"])}
-    seen = None
-    for c, own in tokens.items():
-        weighted = own.join(distinct[c].withColumnRenamed(c, "part"), "part").groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"))
-        seen = weighted if seen is None else seen.unionByName(weighted)
-    model = seen.filter("block + allow > 0")
-    sizes = model.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("all_block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("all_allow"), F.count("*").alias("kinds"))
-    odds = lambda b, a: F.log((b + 1) / (F.col("all_block") + F.col("kinds") + 1)) - F.log((a + 1) / (F.col("all_allow") + F.col("kinds") + 1))
-    weights = model.crossJoin(F.broadcast(sizes)).select("token", odds(F.col("block"), F.col("allow")).alias("weight"))  # one row
-    unseen = sizes.select(odds(F.lit(0), F.lit(0)).alias("unseen"))
+    # rows of equal host or path are one part, with the numbers of its decided rows
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("part")) for c in ("host", "path")))).alias("p")
+    every = rows.select(named, "decided").groupBy("p.kind", "p.part").agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow"))
+    hosts, paths = every.filter("kind = 'host'"), every.filter("kind = 'path'")
+    found = host_tokens(hosts, word_counts(texts, text)).withColumn("kind", F.lit("host")).unionByName(path_tokens(paths).withColumn("kind", F.lit("path")))
+    scores = naive_bayes(checkpointed(found.join(every, ["kind", "part"])))
     prior = rows.agg(F.log((F.count_if(F.col("decided") == "block") + 1) / (F.count_if(F.col("decided") == "allow") + 1)).alias("prior"))
     scored = rows
-    for c, own in tokens.items():
-        sums = own.join(weights, "token", "left").crossJoin(F.broadcast(unseen)).groupBy(F.col("part").alias(c)).agg(F.sum(F.coalesce("weight", "unseen")).alias(f"{c}_odds"))
-        scored = scored.join(sums, c, "left")
+    for c in ("host", "path"):
+        scored = scored.join(scores.filter(F.col("kind") == c).select(F.col("part").alias(c), F.col("odds").alias(f"{c}_odds")), c, "left")
     zero = F.lit(0.0)
     score = F.round(F.col("prior") + F.coalesce("host_odds", zero) + F.coalesce("path_odds", zero), 9)
     out = scored.crossJoin(F.broadcast(prior)).withColumn("score", F.when(F.col("rule").isNull(), score))
