@@ -10,7 +10,6 @@ from docloom.operators import boundaries as B
 from docloom.plans.registry import query
 from docloom.tables import Tables
 
-TEXT = F.col
 CHUNKS = "array<string>"
 
 
@@ -46,12 +45,47 @@ def _pieces(expr: str, key: str = "doc_id", table: str = "documents") -> str:
     return f"SELECT {key}, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT {key}, {expr} AS ls FROM {table})"
 
 
-@query()
+def _packed_sql(name: str, pieces: str, keys: str, size: int, per_piece: int) -> str:
+    """CTE ``name``: keys, g, big, xs, the groups that greedy packing of pieces (keys, i, x) makes; an over-long piece is a group of its own.
+
+    A piece that opens a chunk after a full one counts its length, any other ``per_piece`` more.
+    """
+    same = " AND ".join(f"p.{k} = k.{k}" for k in keys.split(", "))
+    own = ", ".join(f"p.{k}" for k in keys.split(", "))
+    n = "length(p.x)"
+    return f"""{name}_p AS ({pieces}), {name}_k AS (SELECT {keys}, i, x, CAST(CASE WHEN length(x) > {size} THEN 0 ELSE length(x) + {per_piece} END AS BIGINT) AS size, CAST(0 AS BIGINT) AS g, length(x) > {size} AS big FROM {name}_p WHERE i = 1
+        UNION ALL SELECT {own}, p.i, p.x, CASE WHEN {n} > {size} THEN 0 WHEN k.size + {n} > {size} THEN {n} ELSE k.size + {n} + {per_piece} END,
+            k.g + CASE WHEN {n} > {size} OR k.big OR k.size + {n} > {size} THEN 1 ELSE 0 END, {n} > {size} FROM {name}_k k JOIN {name}_p p ON {same} AND p.i = k.i + 1),
+        {name} AS (SELECT {keys}, g, bool_or(big) AS big, min(i) AS first, list(x ORDER BY i) AS xs FROM {name}_k GROUP BY {keys}, g)"""
+
+
+def _text_sql(joiner: str) -> str:
+    """A group's text: its pieces joined, without empty ones at the beginning; null where all are empty."""
+    return f"array_to_string(list_slice(xs, list_position(list_transform(xs, lambda x: x <> ''), true), len(xs)), {joiner})"
+
+
+def _numbered(rows: str, key: str, order: str) -> str:
+    return f"SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS BIGINT) AS chunk_index, text FROM ({rows}) WHERE text <> ''"
+
+
+def _sentences_sql(name: str, source: str, keys: str) -> str:
+    """CTEs whose last, ``name``_all, has keys, g, j, text: the sentence chunks of ``source`` (keys, x)."""
+    pieces = f"SELECT {keys}, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT {keys}, string_split(replace(x, '. ', '.' || chr(10)), chr(10)) AS ls FROM {source})"
+    return f"""{_packed_sql(name, pieces, keys, 1000, 1)}, {name}_all AS (SELECT {keys}, g, 0 AS j, {_text_sql("' '")} AS text FROM {name} WHERE NOT big
+        UNION ALL SELECT {keys}, g, j, substr(xs[1], j + 1, 1000) FROM (SELECT {keys}, g, xs, unnest(range(0, length(xs[1]), 1000)) AS j FROM {name} WHERE big))"""
+
+
+_SENTENCES = f"WITH RECURSIVE docs AS (SELECT doc_id, text AS x FROM documents), {_sentences_sql('s', 'docs', 'doc_id')} {_numbered('SELECT * FROM s_all', 'doc_id', 'g, j')}"
+_PARAGRAPHS = f"""WITH RECURSIVE {_packed_sql('q', _pieces('string_split(text, chr(10))'), 'doc_id', 1000, 0)}, long AS (SELECT doc_id, g AS top, xs[1] AS x FROM q WHERE big), {_sentences_sql('s', 'long', 'doc_id, top')}
+    {_numbered(f"SELECT doc_id, g AS top, 0 AS g, 0 AS j, {_text_sql('chr(10)')} AS text FROM q WHERE NOT big UNION ALL SELECT doc_id, top, g, j, text FROM s_all", 'doc_id', 'top, g, j')}"""
+
+
+@query(_PARAGRAPHS)
 def chunk_paragraphs(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.paragraph_chunks(F.col("text"), separator="\n"))
 
 
-@query()
+@query(_SENTENCES)
 def chunk_sentences(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.sentence_chunks(F.col("text")))
 
@@ -61,7 +95,9 @@ def chunk_fixed_overlap(t: Tables) -> DataFrame:
     return C.exploded(t.documents.filter("text <> ''"), "doc_id", C.windows(F.col("text"), 200, 20))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAGES_MD}, p AS ({_pieces('string_split(md, chr(10))', 'page_id', 'pages_md')}), k AS (SELECT page_id, i, x, CAST(length(x) + 1 AS BIGINT) AS size, CAST(0 AS BIGINT) AS chunk_index FROM p WHERE i = 1
+    UNION ALL SELECT p.page_id, p.i, p.x, CASE WHEN starts_with(p.x, '#') OR k.size > 1000 THEN 0 ELSE k.size END + length(p.x) + 1, k.chunk_index + CASE WHEN starts_with(p.x, '#') OR k.size > 1000 THEN 1 ELSE 0 END FROM k JOIN p ON p.page_id = k.page_id AND p.i = k.i + 1)
+    SELECT page_id, chunk_index, array_to_string(list(x ORDER BY i), chr(10)) || chr(10) AS text FROM k GROUP BY page_id, chunk_index""")
 def chunk_by_headings(t: Tables) -> DataFrame:
     return C.exploded(pages_md(t), "page_id", C.heading_chunks(F.col("md"), "#"))
 
@@ -79,7 +115,7 @@ def chunk_sentence_overlap(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.overlapping_sentences(F.col("text")))
 
 
-@query()
+@query(f"SELECT doc_id, chunk_index, coalesce(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 100) || chr(10) || chr(10), '') || text AS text FROM ({_PARAGRAPHS})")
 def chunk_recursive_overlap(t: Tables) -> DataFrame:
     # paragraphs packed as the first kind of chunker does, each chunk with the end of the one before it
     chunks = C.exploded(t.documents, "doc_id", C.paragraph_chunks(F.col("text"), separator="\n"))

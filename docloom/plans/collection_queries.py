@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import chunking as C
 from docloom.operators import boundaries as B, collection as K, incremental as I, vector
 from docloom.plans.registry import query
 from docloom.tables import Tables
