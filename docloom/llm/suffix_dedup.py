@@ -34,7 +34,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.bpe import ragged
 from docloom.llm.common import cut, small_batches, utf8
 
 WIDTH, HOT, SHARD, INDEX_BITS = 100, 2000, 1 << 20, 21
