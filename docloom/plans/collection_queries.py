@@ -13,13 +13,13 @@ from docloom.tables import Tables
 
 
 def edited(t: Tables) -> DataFrame:
-    """A second version of every document: a third have lost their first line, a fifth have got one more."""
-    cut = F.when(F.col("doc_id") % 3 == 0, F.array_join(F.slice(F.split("text", "\n"), F.lit(2), F.greatest(F.size(F.split("text", "\n")) - 1, F.lit(0))), "\n")).otherwise(F.col("text"))
-    return t.documents.withColumn("text", F.concat(cut, F.when(F.col("doc_id") % 5 == 0, F.lit("\nOne more line.")).otherwise(F.lit(""))))
+    """A second version of every document: the French ones have lost their first line, those of one source have got one more."""
+    cut = F.when(F.col("lang") == "fr", F.array_join(F.slice(F.split("text", "\n"), F.lit(2), F.greatest(F.size(F.split("text", "\n")) - 1, F.lit(0))), "\n")).otherwise(F.col("text"))
+    return t.documents.withColumn("text", F.concat(cut, F.when(F.col("source") == "src0", F.lit("\nOne more line.")).otherwise(F.lit(""))))
 
 
-V2 = """v2 AS (SELECT * EXCLUDE (text), (CASE WHEN doc_id % 3 = 0 THEN array_to_string(list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))), chr(10)) ELSE text END)
-    || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'One more line.' ELSE '' END AS text FROM documents)"""
+V2 = """v2 AS (SELECT * EXCLUDE (text), (CASE WHEN lang = 'fr' THEN array_to_string(list_slice(string_split(text, chr(10)), 2, len(string_split(text, chr(10)))), chr(10)) ELSE text END)
+    || CASE WHEN source = 'src0' THEN chr(10) || 'One more line.' ELSE '' END AS text FROM documents)"""
 HASHES = """a AS (SELECT doc_id, md5(x) AS hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)), b AS (SELECT doc_id, md5(x) AS hash FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM v2)),
     diff AS (SELECT doc_id, hash, CASE WHEN x.p IS NULL THEN 'added' WHEN y.q IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT *, 1 AS p FROM a) x FULL JOIN (SELECT DISTINCT *, 1 AS q FROM b) y USING (doc_id, hash))"""
 
@@ -73,7 +73,7 @@ def incremental_chunks(t: Tables) -> DataFrame:
 
 
 def _negated(t: Tables) -> DataFrame:
-    return t.embeddings.filter("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return t.embeddings.filter("label = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
 
 
 _SUM = "round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5)"
@@ -83,20 +83,20 @@ def _summed(df: DataFrame) -> DataFrame:
     return df.select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query(f"SELECT vec_id, CAST(label AS INTEGER) AS label, {_SUM} AS total FROM (SELECT * FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding, label FROM embeddings WHERE vec_id % 10 = 0)")
+@query(f"SELECT vec_id, CAST(label AS INTEGER) AS label, {_SUM} AS total FROM (SELECT * FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding, label FROM embeddings)")
 def insert_vectors(t: Tables) -> DataFrame:
-    more = t.embeddings.filter("vec_id % 10 = 0").withColumn("vec_id", F.col("vec_id") + 1000000)
+    more = t.embeddings.withColumn("vec_id", F.col("vec_id") + 1000000)
     return _summed(K.insert(t.embeddings, more, "vec_id"))
 
 
-@query(f"SELECT vec_id, CAST(label AS INTEGER) AS label, CASE WHEN vec_id % 10 = 0 THEN -{_SUM} ELSE {_SUM} END + 0.0 AS total FROM embeddings")
+@query(f"SELECT vec_id, CAST(label AS INTEGER) AS label, CASE WHEN label = 1 THEN -{_SUM} ELSE {_SUM} END + 0.0 AS total FROM embeddings")
 def upsert_vectors(t: Tables) -> DataFrame:
     return _summed(K.upsert(t.embeddings, _negated(t), "vec_id"))
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 10 <> 0")
+@query("SELECT vec_id, label FROM embeddings WHERE label IS DISTINCT FROM 1")
 def delete_vectors(t: Tables) -> DataFrame:
-    return K.delete(t.embeddings, t.embeddings.filter("vec_id % 10 = 0").select("vec_id")).select("vec_id", "label")
+    return K.delete(t.embeddings, t.embeddings.filter("label = 1").select("vec_id")).select("vec_id", "label")
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (1, 7, 42)")
@@ -161,7 +161,7 @@ def ensure_roles(t: Tables) -> DataFrame:
 
 @query(f"WITH {V2} SELECT doc_id, md5(text) AS hash FROM v2")
 def upsert_documents(t: Tables) -> DataFrame:
-    fresh = edited(t).filter("doc_id % 3 = 0 or doc_id % 5 = 0")
+    fresh = edited(t).filter("lang = 'fr' or source = 'src0'")
     return K.upsert(t.documents, fresh, "doc_id").select("doc_id", F.md5("text").alias("hash"))
 
 
