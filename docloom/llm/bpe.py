@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from docloom.llm.common import small_batches, texts
+from docloom.llm.common import bounded, small_batches, texts
 
 #: Endings that the split pattern of byte-level vocabularies takes together with an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -290,7 +290,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             yield pa.record_batch([batch.column("key"), pa.array([x.tobytes() for x in ids], pa.binary())], ["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return bounded(docs).select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -319,4 +319,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             of_text = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

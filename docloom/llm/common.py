@@ -44,6 +44,18 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8
             yield batch.slice(start)
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, so fewer than Spark's own number.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Arrow batches of ``BATCH_ROWS`` rows at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place that the cluster names in ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)

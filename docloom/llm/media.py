@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import webp
-from docloom.llm.common import small_batches, utf8
+from docloom.llm.common import bounded, small_batches, utf8
 
 ROW, TILE = 64, 64 * 256
 
@@ -183,7 +183,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             raw = utf8(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(encode_payloads([padded(x) for x in raw]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = bounded(docs).select(docs[key].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 

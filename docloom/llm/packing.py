@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from docloom.llm.bpe import encoded
+from docloom.llm.common import bounded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[object, int, np.ndarray, int]  # doc_id, start, ids, tokens of the document
@@ -119,7 +120,7 @@ def pack(docs: DataFrame, path: str, end: int, size: int = 2048) -> DataFrame:
             yield rows(closed)
         yield rows(packer.finish())
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

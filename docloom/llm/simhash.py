@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches, utf8
+from docloom.llm.common import bounded, cut, small_batches, utf8
 
 LEAF = 8
 QUERIES = 8192
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fp = fingerprint_batch(utf8(batch.column("text")), words, seed)
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches, utf8
+from docloom.llm.common import bounded, cut, small_batches, utf8
 
 WIDTH, HOT, SHARD, INDEX_BITS = 100, 2000, 1 << 20, 21
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many
 
     With ``keep``, also these columns, the text itself, and kept_text: the whole characters among the remaining bytes.
     """
-    keyed = docs.withColumn("doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE)))
+    keyed = bounded(docs).withColumn("doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE)))
     texts = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
     found = repeated_windows(texts, width, shard, many).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("w"))
     given = ["doc_id", "text", *keep]

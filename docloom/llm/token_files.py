@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import encoded
-from docloom.llm.common import work_dir
+from docloom.llm.common import bounded, work_dir
 
 #: Tokens of one block of the scan.
 BLOCK = 1 << 16
@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, separator: int, d
             yield pa.record_batch([pa.array(["tokens"] * n + ["names"] * n), pa.array([*range(at, at + n)] * 2, pa.int64()), pa.array(rows, pa.binary())], ["kind", "at", "value"])
             at += n
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind string, at long, value binary").sortWithinPartitions("kind", "at")
+    rows = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "kind string, at long, value binary").sortWithinPartitions("kind", "at")
     rows = rows.select("kind", F.col("value").cast("string"))
     rows.write.partitionBy("kind").option("lineSep", int(separator).to_bytes(width, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
 

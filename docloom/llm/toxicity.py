@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small_batches, texts
+from docloom.llm.common import bounded, small_batches, texts
 
 WORD = re.compile(r"\w+").findall
 #: Lengths of the beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: Words in which a feature is counted, and the largest value.
 PER, MOST = 50, 2.0
+#: Standard deviations by which a feature must set toxic rows apart.
+SIGMAS = 4.0
 #: Remembered words of one worker.
 MEMORY = 300_000
 
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", rows: int = 10
     never = Model({}, [30.0])
     sample = labels.filter(F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
     # at most ``rows`` rows, and the texts of these
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").persist()
+    known = bounded(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", rows: int = 10
         share = (F.col("bad") + F.col("good")) / (totals.bad + totals.good)
         apart = (F.col("bad") / totals.bad - F.col("good") / totals.good) / F.sqrt(share * (1 - share) + 1e-12)
         # of a word's beginnings that occur in the same rows, the shortest is enough: several times as many candidates are fetched
-        ranked = each.filter(F.col("bad") + F.col("good") >= min_rows).filter(apart > 0).orderBy(F.desc(apart), "feature").limit(8 * n_features).collect()
+        rows_of_both = (totals.bad * totals.good / (totals.bad + totals.good)) ** 0.5
+        ranked = each.filter(F.col("bad") + F.col("good") >= min_rows).filter(apart * rows_of_both > SIGMAS).orderBy(F.desc(apart), "feature").limit(8 * n_features).collect()
         counts = {r.feature: (r.bad, r.good) for r in ranked}
         shorter = lambda f: (f[:n] for n in BEGINNINGS if n < len(f))
         vocabulary = [f for f in counts if not any(counts.get(g) == counts[f] for g in shorter(f))][:n_features]
@@ -167,4 +170,4 @@ def score(docs: DataFrame, model: Model, reject: float = 0.5, keep: tuple[str, .
 
     given = list(dict.fromkeys(["doc_id", "text", *keep]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in given) + ", severity double, p_toxic double, toxic boolean"
-    return docs.select(*given).mapInArrow(run, schema)
+    return bounded(docs).select(*given).mapInArrow(run, schema)
