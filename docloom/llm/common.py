@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -67,13 +69,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    Spark's cleaner drops the shuffle files of the lineage once the driver has
-    collected its plan as garbage, so pass ``df`` without keeping it.
+    Spark's cleaner drops the shuffle files of earlier lineage once the driver's
+    Python and JVM have collected its plan as garbage, so pass ``df`` without
+    keeping it; its own files go with the next call.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
     out = df.checkpoint(eager=True)
     del df
-    context._jvm.System.gc()
+    for _ in range(2):  # plans are held by Python objects in cycles, these by JVM objects
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(0.3)
     return out
