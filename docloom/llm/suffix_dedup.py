@@ -3,7 +3,7 @@
 A byte goes when it lies in a string of ``width`` bytes (a window) that also
 starts earlier: in a document of smaller doc_id, or earlier in the same one.
 
-1. Every task cuts its documents into shards of about 2 MB, builds the suffix
+1. Every task cuts its documents into shards of about 1 MB, builds the suffix
    array of each by Larsson-Sadakane refinement, and takes Kasai common
    prefixes; that gives all repeats inside a shard.
 2. Across shards, windows are gathered by content.  The least hash of the
