@@ -6,13 +6,14 @@ columns of documents, except the last, which returns packed pieces:
 1. toxicity: rows whose predicted P(grade >= 1) is 0.5 or more go; the model is
    fitted on the labelled rows among the stage's input.
 2. line dedup: lines spread over ``MIN_SITES`` sources or more go from the texts.
-3. SimHash near-dedup: of each component the row with its smallest doc_id stays.
+3. SimHash near-dedup: of each component one row stays, that with the smallest
+   doc_id, and among rows of one doc_id that of the smallest hash.
 4. suffix-array dedup: repeated strings go from the texts; a character that is
    cut in two goes as a whole.
 5. packing: sequences of 2048 tokens.
 
-Null texts stay null up to the last stage, where they are empty.  Of rows that
-repeat a doc_id, the near-dedup stage keeps one.
+Null texts stay null up to the last stage, where they are empty.  Rows that share
+a doc_id, or have none, are told apart by all that they hold.
 """
 
 from __future__ import annotations
@@ -40,9 +41,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = found.withColumnRenamed("doc_id", "stays")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # a row is known by its doc_id and 128 bits of all it holds, so rows that share a doc_id, or have none, are points of their own
+    held = [*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)]
+    rows = docs.select(*COLUMNS).withColumns({"_row1": F.xxhash64(*held), "_row2": F.xxhash64(F.lit(11), *reversed(held))})
+    point = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row1", "_row2")
+    found = simhash.near_duplicates(rows.select(point.alias("doc_id"), "text")).filter("doc_id <=> component_id")
+    stay = found.select("doc_id._row1", "doc_id._row2").distinct()
+    return rows.join(stay, ["_row1", "_row2"], "left_semi").dropDuplicates(["_row1", "_row2"]).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

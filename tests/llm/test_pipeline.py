@@ -34,3 +34,13 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
             stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == (source is odd_docs)
+
+
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    own = [" ".join(words[i : i + 40]) for i in range(0, 400, 40)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (7, own[4]), (9, own[0]), (8, own[5]), (None, None), (10, ""), (None, own[2])]
+    docs = spark.createDataFrame([(d, t, "en", None, None if t is None else len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, "").collect()
+    want = [(9, own[0]), (None, own[1]), (None, own[2]), (7, own[3]), (7, own[4]), (8, own[5]), (10, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
