@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, packing, simhash, suffix_dedup, toxicity
+from docloom.llm import line_dedup, near_copies, packing, suffix_dedup, toxicity
 from docloom.llm.common import cut, table
 from docloom.llm.queries import END_OF_DOCUMENT, MIN_SITES, severity_labels, vocabulary
 
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     held = [*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)]
     rows = docs.select(*COLUMNS).withColumns({"_row1": F.xxhash64(*held), "_row2": F.xxhash64(F.lit(11), *reversed(held))})
     point = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row1", "_row2")
-    found = simhash.near_duplicates(rows.select(point.alias("doc_id"), "text")).filter("doc_id <=> component_id")
+    found = near_copies.near_copies(rows.select(point.alias("doc_id"), "text")).filter("doc_id <=> component_id")
     stay = found.select("doc_id._row1", "doc_id._row2").distinct()
     return rows.join(stay, ["_row1", "_row2"], "left_semi").dropDuplicates(["_row1", "_row2"]).select(*COLUMNS)
 
