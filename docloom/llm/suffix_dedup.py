@@ -18,9 +18,10 @@ starts earlier: in a document of smaller doc_id, or earlier in the same one.
    128-bit hashes, and counted with partial aggregation.
 
 Matches never cross documents.  Null text is empty; texts shorter than a window
-stay whole.  doc_id identifies a document: rows that repeat doc_id and text are
-one document, null doc_ids come first and are one as well.  An empty table
-gives no rows; further columns are ignored.
+stay whole.  doc_id and text identify a document, inside as ``doc`` and ``sub``, a
+64-bit hash of the text: rows that repeat both are one document, rows of one
+doc_id with different texts are several, in the order of ``sub``; null doc_ids come
+first.  An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from docloom.llm.common import bounded, cut, small_batches, utf8
 
 WIDTH, HOT, SHARD, INDEX_BITS = 100, 2000, 1 << 20, 21
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-RUN = "h long, c long, doc long, start int, n int"
+RUN = "h long, c long, doc long, sub long, start int, n int"
 NONE = -(2**63)
 
 
@@ -235,9 +236,9 @@ def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", shard):
-            rows = sorted({*zip(batch.column("doc").to_pylist(), utf8(batch.column("text")))})
-            ids = np.array([r[0] for r in rows], np.int64)
-            text, owner, ends, begin = joined([r[1] for r in rows])
+            rows = sorted({*zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), utf8(batch.column("text")))})
+            ids, subs = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+            text, owner, ends, begin = joined([r[2] for r in rows])
             if not len(text):
                 continue
             again = repeats(text, ends, width)
@@ -245,31 +246,31 @@ def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD) -> DataF
             seen = np.concatenate([[0], np.cumsum(again)])
             new = seen[at + count] - seen[at] < count
             at, count, h, c = at[new], count[new], h[new], c[new]
-            yield _batch([h, c, ids[owner[at]], at - begin[owner[at]], count], RUN)
+            yield _batch([h, c, ids[owner[at]], subs[owner[at]], at - begin[owner[at]], count], RUN)
             low, high = spans(again)  # a window ends inside its document, so no stretch goes on in the next one
             if len(low):
                 spread = _mixed(low.astype(np.uint64) + ids[owner[low]].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
                 rest = [pa.array(x, pa.int32()) for x in (low - begin[owner[low]], high - low)]
-                yield pa.record_batch([pa.array(spread), pa.nulls(len(low), pa.int64()), pa.array(ids[owner[low]]), *rest], ["h", "c", "doc", "start", "n"])
+                yield pa.record_batch([pa.array(spread), pa.nulls(len(low), pa.int64()), pa.array(ids[owner[low]]), pa.array(subs[owner[low]]), *rest], ["h", "c", "doc", "sub", "start", "n"])
 
     return docs.mapInArrow(run, RUN)
 
 
 def sort_out(rows: DataFrame, many: int = HOT) -> DataFrame:
-    """doc, start, n, h, kind of the runs: 0 repeats; 1 and 2 first of several different ones with one anchor, 2 of over ``many``."""
-    schema = "doc long, start int, n int, h long, kind int"
+    """doc, sub, start, n, h, kind of the runs: 0 repeats; 1 and 2 first of several different ones with one anchor, 2 of over ``many``."""
+    schema = "doc long, sub long, start int, n int, h long, kind int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted; of the anchor at the end of a batch the first rows of each different run are kept for the next batch
-        held: np.ndarray = np.zeros((5, 0), np.int64)
+        held: np.ndarray = np.zeros((6, 0), np.int64)
         hot = None
 
         def out(x: np.ndarray, kind: int) -> pa.RecordBatch:
-            return _batch([x[2], x[3].astype(np.int32), x[4].astype(np.int32), x[0], np.full(x.shape[1], kind, np.int32)], schema)
+            return _batch([x[2], x[3], x[4].astype(np.int32), x[5].astype(np.int32), x[0], np.full(x.shape[1], kind, np.int32)], schema)
 
         for batch in batches:
             known = pc.is_valid(batch.column("c")).to_numpy(zero_copy_only=False)
-            x = np.stack([(batch.column(k).fill_null(0)).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
+            x = np.stack([(batch.column(k).fill_null(0)).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)])
             yield out(x[:, ~known], 0)
             fresh = np.concatenate([np.zeros(held.shape[1], bool), np.ones(int(known.sum()), bool)])
             x = np.concatenate([held, x[:, known]], axis=1)
@@ -278,7 +279,7 @@ def sort_out(rows: DataFrame, many: int = HOT) -> DataFrame:
             differs = np.ones(x.shape[1], bool)
             differs[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
             lead = np.flatnonzero(differs)[np.cumsum(differs) - 1]
-            same = ~differs & ((x[2] != x[2, lead]) | (x[3] != x[3, lead]))
+            same = ~differs & (x[2:5] != x[2:5, lead]).any(axis=0)
             yield out(x[:, same], 0)
             x, fresh = x[:, differs], fresh[differs]
             group = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]]))
@@ -300,45 +301,46 @@ def sort_out(rows: DataFrame, many: int = HOT) -> DataFrame:
         if held.shape[1] > 1 and hot is None:
             yield out(held, 1)
 
-    return rows.repartition("h").sortWithinPartitions("h", "c", "doc", "start").mapInArrow(run, schema)
+    return rows.repartition("h").sortWithinPartitions("h", "c", "doc", "sub", "start").mapInArrow(run, schema)
 
 
 def merge_shards(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc, start, n: windows of the runs' bytes (h, doc, start, bytes) that also start earlier, for runs that share h."""
+    """doc, sub, start, n: windows of the runs' bytes (h, doc, sub, start, bytes) that also start earlier, for runs that share h."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(rows, key=lambda r: (r[1], r[2]))  # places then are in the order of documents and starts
-        doc, start = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        text, owner, ends, begin = joined([r[3] for r in rows])
+        # places then are in the order of documents and starts; rows that repeat a document bring each piece again, once is enough
+        rows = sorted({r[:4]: r for r in rows}.values(), key=lambda r: r[1:4])
+        doc, sub, start = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        text, owner, ends, begin = joined([r[4] for r in rows])
         again = first_places(text, ends, np.arange(len(text)), width)
         low, high = spans(again)
         if len(low):
             own = owner[low]
-            yield _batch([doc[own], (start[own] + low - begin[own]).astype(np.int32), (high - low).astype(np.int32)], "doc long, start int, n int")
+            yield _batch([doc[own], sub[own], (start[own] + low - begin[own]).astype(np.int32), (high - low).astype(np.int32)], "doc long, sub long, start int, n int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if size > SHARD and row[0] != rows[-1][0]:
                     yield from solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield from solve(rows)
 
-    return pieces.select("h", "doc", "start", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, start int, n int")
+    return pieces.select("h", "doc", "sub", "start", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, sub long, start int, n int")
 
 
 def merge_windows(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
     """The same for runs of very common anchors: window by window, first places by partial aggregation."""
-    schema = "h1 long, h2 long, doc long, start int"
+    schema = "h1 long, h2 long, doc long, sub long, start int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "bytes", 1 << 18):
-            doc, start = batch.column("doc").to_numpy(), batch.column("start").to_numpy()
+            doc, sub, start = (batch.column(c).to_numpy() for c in ("doc", "sub", "start"))
             text, owner, ends, begin = joined(utf8(batch.column("bytes")))
             at = np.flatnonzero(np.arange(len(text)) + width <= ends)
             hashes = []
@@ -346,23 +348,23 @@ def merge_windows(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
                 total, inverse = _prefix_hash(bytes_)
                 low = at if bytes_ is text else len(text) - width - at
                 hashes.append(_mixed((total[low + width] - total[low]) * inverse[low]))
-            yield _batch([*hashes, doc[owner[at]], (start[owner[at]] + at - begin[owner[at]]).astype(np.int32)], schema)
+            yield _batch([*hashes, doc[owner[at]], sub[owner[at]], (start[owner[at]] + at - begin[owner[at]]).astype(np.int32)], schema)
 
-    windows = pieces.select("doc", "start", "bytes").mapInArrow(run, schema)
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("f")).select("f.doc", "f.start", F.lit(1).alias("first"))
+    windows = pieces.select("doc", "sub", "start", "bytes").mapInArrow(run, schema)
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "sub", "start")).alias("f")).select("f.doc", "f.sub", "f.start", F.lit(1).alias("first"))
     # all places less the first ones
-    places = windows.select("doc", "start", F.lit(0).alias("first")).unionByName(first).groupBy("doc", "start").agg(F.max("first").alias("first"))
-    return places.filter("first = 0").select("doc", "start", F.lit(1).alias("n"))
+    places = windows.select("doc", "sub", "start", F.lit(0).alias("first")).unionByName(first).groupBy("doc", "sub", "start").agg(F.max("first").alias("first"))
+    return places.filter("first = 0").select("doc", "sub", "start", F.lit(1).alias("n"))
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many: int = HOT) -> DataFrame:
-    """doc, start, n: stretches of n windows from byte ``start`` on that also start earlier; ``docs`` has doc, text."""
+    """doc, sub, start, n: stretches of n windows from byte ``start`` on that also start earlier; ``docs`` has doc, sub, text."""
     sorted_out = cut(sort_out(shard_runs(docs, width, shard), many))
-    wanted = sorted_out.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("runs"))
-    found = docs.join(wanted, "doc").select("doc", F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
-    pieces = cut(found.select("r.h", "doc", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes")))
+    wanted = sorted_out.filter("kind > 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("runs"))
+    found = docs.join(wanted, ["doc", "sub"]).select("doc", "sub", F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
+    pieces = cut(found.select("r.h", "doc", "sub", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes")))
     merged = merge_shards(pieces.filter("kind = 1"), width).unionByName(merge_windows(pieces.filter("kind = 2"), width))
-    return sorted_out.filter("kind = 0").select("doc", "start", "n").unionByName(merged)
+    return sorted_out.filter("kind = 0").select("doc", "sub", "start", "n").unionByName(merged)
 
 
 def _gone(size: int, start: list[int], n: list[int], width: int) -> np.ndarray:
@@ -378,11 +380,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many
 
     With ``keep``, also these columns, the text itself, and kept_text: the whole characters among the remaining bytes.
     """
-    keyed = bounded(docs).withColumn("doc", F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE)))
-    texts = keyed.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    found = repeated_windows(texts, width, shard, many).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("w"))
+    keyed = bounded(docs).withColumns({"doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(NONE)), "sub": F.xxhash64(F.coalesce("text", F.lit("")))})
+    texts = keyed.select("doc", "sub", F.coalesce("text", F.lit("")).alias("text"))
+    found = repeated_windows(texts, width, shard, many).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "n")).alias("w"))
     given = ["doc_id", "text", *keep]
-    both = keyed.select("doc", *given).join(found, "doc", "left").select(*given, F.col("w.start").alias("_start"), F.col("w.n").alias("_n"))
+    both = keyed.select("doc", "sub", *given).join(found, ["doc", "sub"], "left").select(*given, F.col("w.start").alias("_start"), F.col("w.n").alias("_n"))
     new = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string()}
     if keep:
         new["kept_text"] = pa.string()

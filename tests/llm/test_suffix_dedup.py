@@ -77,3 +77,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[101].n_removed in (0, by[101].n_bytes)
     assert by[203].n_bytes == 9000 and by[203].n_removed == 8999
     assert S.remove_repeats(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("seed,shard,hot", [(1, 1 << 20, 2000), (3, 1500, 2000), (4, 1500, 2)])
+def test_repeated_and_shared_ids(spark, seed, shard, hot):
+    docs = corpus(seed)
+    docs = [(None if d % 5 == 0 else d - d % 3 if d % 7 == 0 else d, t) for d, t in docs]
+    rows = spark.createDataFrame(docs + docs[::2] + docs[::3], "doc_id long, text string").repartition(7)
+    order = {(r.doc_id, r.text): (S.NONE if r.doc_id is None else r.doc_id, r.sub) for r in rows.selectExpr("*", "xxhash64(text) AS sub").collect()}
+    gone = brute([(k, t.encode()) for (_, t), k in order.items()], 100)
+    left = lambda d, t: bytes(np.frombuffer(t.encode(), np.uint8)[~gone[order[d, t]]])
+    want = sorted(((d, t, left(d, t)) for d, t in docs + docs[::2] + docs[::3]), key=repr)
+    got = S.remove_repeats(rows, shard=shard, many=hot).select("doc_id", "n_bytes", "kept").collect()
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == sorted(((d, len(t.encode()), k) for d, t, k in want), key=repr)
