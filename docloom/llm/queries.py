@@ -74,8 +74,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    titles = pages.select(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"))
-    return urls.judge(pages, URL_RULES, titles, "title").select("page_id", "host", "path", "rule", "verdict")
+    words = pages.select(urls.visible("html").alias("words"))
+    return urls.judge(pages, URL_RULES, words, "words").select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -50,6 +50,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return rule, verdict
 
 
+def visible(html: str) -> Column:
+    """The text of a whole page, title included: without scripts, styles, comments, tags and entities."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+
+
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """word, n over all rows: runs of a-z in the lower-cased text."""
     words = texts.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))

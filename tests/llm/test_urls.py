@@ -85,3 +85,14 @@ def test_judge(spark):
             verdict = "block" if round(score, 9) > 0 else "allow"
         assert r.verdict == verdict, url
     assert U.judge(pages.limit(0), RULES, texts, "title").count() == 0
+
+
+def test_words_of_whole_pages(spark, tmp_path):
+    page = "<html><title>home</title><style>b{}</style><script>var casinowin = 1 < 2</script><!-- casinowin --><p class='casinowin'>Win at the <b>casino</b>&nbsp;casino</p></html>"
+    allowed = [f"http://river{x}.org/" for x in "abc"]
+    rows = [(i, u, page) for i, u in enumerate(["http://casino.com/de/", "http://win.com/de/", *allowed, "http://casinowin.net"])] + [(9, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.word: r.n for r in U.word_counts(pages.select(U.visible("html").alias("t")), "t").collect()} == {"home": 6, "win": 6, "at": 6, "the": 6, "casino": 12}
+    verdicts = {r.page_id: r.verdict for r in Q.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert verdicts == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 9: "allow"}
