@@ -147,14 +147,20 @@ def topk_per_group(t: Tables) -> DataFrame:
 
 @query(f"WITH {QUERIES_SQL}, {HASHED}, held AS (SELECT n.query_id, n.doc_id, n.score FROM near n JOIN documents d USING (doc_id) JOIN queries q USING (query_id) WHERE contains(d.text, q.text)) SELECT query_id, doc_id, score, rank FROM {ranked('SELECT * FROM held', 5)}")
 def hybrid_contains_topk(t: Tables) -> DataFrame:
-    # a text that holds the query has the word in the query's middle, white space around it; those candidates are checked in full
-    queries = text_queries(t)
-    own = F.expr("filter(split(trim(regexp_replace(text, r'[\\x20\\x09-\\x0D]+', ' ')), ' '), x -> x rlike r'^[\\p{L}\\p{N}_]+$')")
-    tokens = queries.select("query_id", F.element_at(own, F.floor(F.size(own) / 2).cast("int") + 1).alias("term"))
-    postings = bm25.build(t.documents).postings.select("doc_id", "term")
-    pairs = tokens.join(postings, "term").select("query_id", "doc_id").distinct()
-    held = pairs.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(t.documents.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id")
-    q, d = embedded(queries, "query_id").withColumnRenamed("embedding", "a"), embedded(t.documents, "doc_id").withColumnRenamed("embedding", "b")
+    # a text that holds the query has all tokens between the query's first and last one; candidates come by the rarest of these and are checked in full
+    queries = text_queries(t).filter(F.size(T.tokens(F.col("text"))) > 0).withColumnRenamed("text", "q")  # others have no embedding
+    every = T.tokens(F.col("q"), ())
+    inner = F.filter(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda x: ~x.isin(*T.SEARCH_STOPWORDS))
+    queries = queries.withColumn("inner", F.array_distinct(inner))
+    docs, postings = t.documents.select("doc_id", "text"), bm25.build(t.documents).postings.select("doc_id", "term")
+    tokens = queries.select("query_id", "q", F.explode("inner").alias("term"))
+    df = tokens.select("term").distinct().join(postings, "term").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = bm25.top(tokens.join(df, "term", "left"), 1, ["query_id", "q"], F.coalesce("df", F.lit(0)), "term")
+    pairs = rarest.join(postings, "term").select("query_id", "q", "doc_id").distinct()
+    # queries without such a token are looked for in all texts
+    short = queries.filter(F.size("inner") == 0).select("query_id", "q").join(docs, F.contains("text", F.col("q")))
+    held = pairs.join(docs, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
+    q, d = embedded(text_queries(t), "query_id").withColumnRenamed("embedding", "a"), embedded(t.documents, "doc_id").withColumnRenamed("embedding", "b")
     scored = held.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.round(vector.cosine_of(F.col("a"), F.col("b")), 6).alias("score"))
     return bm25.top(scored, 5, "query_id", F.desc("score"), "doc_id")
 

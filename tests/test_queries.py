@@ -25,3 +25,14 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and max(r["rank"] for r in rows) == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_contains_finds_all(spark, tmp_path):
+    name = "hybrid_contains_topk"
+    texts = ["foo bar", "我们研究医疗数据的方法", "x foo bar y", "red green blue", "redder green bluest", "a the of b", "医疗", "!! ??", "", None, "foo.bar, baz"]
+    asked = ["foo ba", "医疗数据", "医", "foo", "red green blu", "oo.bar, b", "!!", "", None, "the", "green", "研究 医疗"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert compare(spark, str(tmp_path), QUERIES[name], ORACLE_SQL[name]) == ""
+    found = {(r.query_id, r.doc_id) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {(0, 0), (0, 2), (1, 1), (2, 1), (2, 6), (4, 3), (5, 10)} <= found
