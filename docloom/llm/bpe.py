@@ -4,8 +4,9 @@ A pair of bytes that occurs inside no vocabulary token can never be merged
 over, so the place between them is a certain cut.  Together with the cuts of
 the vocabulary's split pattern this leaves short fragments, which are encoded
 independently and concatenated.  A batch of documents is handled at once in
-numpy: character classes give the pieces, a hash finds pieces that are known,
-and the fragments of all new pieces are merged side by side.
+numpy: character classes give the pieces, a hash finds pieces that may be known
+and their characters are compared, and the fragments of all new pieces are
+merged side by side.
 
 Null texts are empty: no ids.  Repeated rows give repeated rows; an empty table
 gives an empty result; further columns are ignored.
@@ -28,8 +29,8 @@ from docloom.llm.common import bounded, small_batches, texts
 
 #: Endings that the split pattern of byte-level vocabularies takes together with an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Known pieces of one worker; beyond that it starts afresh.
-MEMORY = 300_000
+#: Known pieces of one worker, and their characters; beyond that it starts afresh.
+MEMORY, CHARACTERS = 300_000, 1 << 24
 #: Slots of the table that finds known pieces.
 SLOTS = 1 << 20
 #: Longer fragments are merged with a heap, one at a time.
@@ -92,6 +93,11 @@ def piece_starts(cp: np.ndarray) -> np.ndarray:
     return start
 
 
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for ``n`` values or more."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -119,9 +125,12 @@ class Codec:
 
     def _forget(self) -> None:
         self._slot_hash, self._slot_piece = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self._known: dict[int, int] = {}
+        self._known: dict[int, int] = {}  # by hash
+        self._other: dict[bytes, int] = {}  # pieces whose hash is that of another known piece, by their characters
+        # ids and characters of known pieces, one after the other, and where each piece's begin
         self._pool, self._offset, self._length = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._used = 0
+        self._chars, self._char_at, self._char_count = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self._pieces = self._used = self._used_chars = 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of merging a with b, NEVER where they don't merge."""
@@ -198,21 +207,26 @@ class Codec:
         order = np.argsort(fragment, kind="stable")
         return symbol[order].astype("<u4"), np.bincount(owner[fragment], minlength=len(sizes))
 
-    def _learn(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> None:
+    def _learn(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Encodes new pieces and keeps them with their characters; returns their numbers."""
         flat = cp[ragged(start, length)]
         width = 1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000).astype(np.int64)
         sizes = np.add.reduceat(width, np.cumsum(length) - length)
         ids, counts = self.merge(np.frombuffer(flat.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"), np.uint8), sizes)
-        new = len(self._known)
-        while self._used + len(ids) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        while new + len(counts) > len(self._offset):
-            self._offset, self._length = (np.concatenate([x, np.zeros_like(x)]) for x in (self._offset, self._length))
+        new = np.arange(self._pieces, self._pieces + len(counts))
+        self._pool, self._chars = _roomy(self._pool, self._used + len(ids)), _roomy(self._chars, self._used_chars + len(flat))
+        self._offset, self._length, self._char_at, self._char_count = (_roomy(x, self._pieces + len(new)) for x in (self._offset, self._length, self._char_at, self._char_count))
         self._pool[self._used : self._used + len(ids)] = ids
-        self._offset[new : new + len(counts)] = self._used + np.cumsum(counts) - counts
-        self._length[new : new + len(counts)] = counts
-        self._used += len(ids)
-        self._known.update(zip(hashes.tolist(), range(new, new + len(counts))))
+        self._chars[self._used_chars : self._used_chars + len(flat)] = flat
+        self._offset[new], self._length[new] = self._used + np.cumsum(counts) - counts, counts
+        self._char_at[new], self._char_count[new] = self._used_chars + np.cumsum(length) - length, length
+        self._pieces, self._used, self._used_chars = self._pieces + len(new), self._used + len(ids), self._used_chars + len(flat)
+        return new
+
+    def _differs(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which of the pieces, that lie side by side in ``cp``, are other characters than the known ``piece``."""
+        at = np.minimum(ragged(self._char_at[piece], length), len(self._chars) - 1)
+        return (np.add.reduceat(self._chars[at] != cp, start, dtype=np.int64) > 0) | (self._char_count[piece] != length)
 
     def encode_many(self, batch: list[str], specials: bool = True) -> list[np.ndarray]:
         """Ids (uint32) of each text; a special token's text is that token, or ordinary text without ``specials``."""
@@ -236,7 +250,7 @@ class Codec:
         hashes = (total[start + length] - total[start]) * inverse[start] + length.astype(np.uint64) * np.uint64(_MIX)
         hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(_MIX)
         hashes ^= hashes >> np.uint64(32)
-        if len(self._known) > MEMORY:
+        if self._pieces > MEMORY or self._used_chars > CHARACTERS:
             self._forget()
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         piece = self._slot_piece[slot].astype(np.int64)
@@ -246,11 +260,16 @@ class Codec:
             unknown = np.array([h not in self._known for h in fresh.tolist()])
             new = miss[at[unknown]]
             if len(new):
-                self._learn(cp, start[new], length[new], fresh[unknown])
+                self._known.update(zip(fresh[unknown].tolist(), self._learn(cp, start[new], length[new]).tolist()))
             index = np.array([self._known[h] for h in fresh.tolist()])
             where = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
             self._slot_hash[where], self._slot_piece[where] = fresh, index
             piece[miss] = index[which]
+        for i in np.flatnonzero(self._differs(cp, start, length, piece) & ~edge).tolist():
+            key = cp[start[i] : start[i] + length[i]].tobytes()
+            if key not in self._other:
+                self._other[key] = int(self._learn(cp, start[i : i + 1], length[i : i + 1])[0])
+            piece[i] = self._other[key]
         counts = np.where(edge, (cp[start] > END).astype(np.int64), self._length[piece])
         source = np.where(edge, 0, self._offset[piece])
         flat = self._pool[ragged(source, counts)]

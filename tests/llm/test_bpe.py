@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -60,3 +61,28 @@ def test_odd_rows(spark, odd_docs, no_docs, vocabulary, reference):
     assert sorted(r.text for r in back.collect()) == texts_of
     assert sorted(len(r.ids) // 4 for r in encoded.collect()) == sorted(len(reference.encode(t, add_special_tokens=False).ids) for t in texts_of)
     assert bpe.round_trip(no_docs, vocabulary).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+
+
+def test_pieces_of_equal_hash(codec, reference):
+    rng = random.Random(9)
+    batch = [t for n in (512, 1024, 2048, 4096) for t in (thue_morse(n), thue_morse(n, "b", "a"), "x " + thue_morse(n, "b", "a") + " " + thue_morse(n))]
+    batch += ["".join(rng.choices("abcdeé", k=rng.randint(1, 90))) for _ in range(500)]
+    for _ in range(2):  # new, then known pieces
+        for text, ids in zip(batch, codec.encode_many(batch), strict=True):
+            assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids
+            assert codec.decode(ids) == text
+
+
+def test_digests(spark, odd_docs, vocabulary, reference):
+    odd = [(1000 + i, t) for i, t in enumerate([thue_morse(1024), thue_morse(1024, "b", "a"), *texts()[:200]])]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    want = []
+    for r in docs.collect():
+        ids = reference.encode(r.text or "", add_special_tokens=False).ids
+        back = reference.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.round_trip(docs, vocabulary).collect()), key=repr) == sorted(want, key=repr)
