@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,13 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\x20\x09-\x0D]", " "), rf"{WS}+", " "))
 
 
+#: A token: one Chinese character, or a run of other word characters.
+TOKEN = rf"{CJK}|[\p{{L}}\p{{N}}_&&[^\x{{4e00}}-\x{{9fff}}]]+"
+
+
 def tokens(text: Column, stopwords: tuple[str, ...] = SEARCH_STOPWORDS) -> Column:
     """Words of the normalised text, each Chinese character its own, without stop words; case is kept."""
-    spaced = F.regexp_replace(normalize(text), f"({CJK})", " $1 ")
-    return F.filter(F.split(spaced, " "), lambda x: (x != "") & ~x.isin(*stopwords))
+    return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), 0), lambda x: ~x.isin(*stopwords))
 
 
 def words(text: Column) -> Column:
@@ -90,31 +95,47 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, rf"([.!?。！？]){WS}+", "$1" + _MARK), _MARK)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def query_terms(query: Column) -> Column:
+    """The query's terms of three letters or more, lower-cased."""
+    return F.filter(F.split(F.trim(F.regexp_replace(F.lower(query), rf"{WS}+", " ")), " "), lambda x: F.length(x) > 2)
+
+
+def _relevance(text: Column, terms: Column) -> Column:
+    held = let(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))))
+    return F.when(F.size(terms) == 0, F.lit(0.5)).otherwise(held / F.size(terms))
+
+
 def keyword_relevance(text: Column, query: Column) -> Column:
     """Share of the query's terms of three letters or more that the text holds; 0.5 where it has none."""
-    terms = F.filter(F.split(F.trim(F.regexp_replace(F.lower(query), rf"{WS}+", " ")), " "), lambda x: F.length(x) > 2)
-    held = F.filter(terms, lambda t: F.contains(F.lower(text), t))
-    return F.when(F.size(terms) == 0, F.lit(0.5)).otherwise(F.size(held) / F.size(terms))
+    return let(query_terms(query), lambda terms: _relevance(text, terms))
 
 
 def core_sentences(text: Column, query: Column, ratio: float = 0.7) -> Column:
     """The sentences most relevant to the query, in their order; texts of up to three sentences stay whole."""
-    pieces = sentences(text)
-    keep = F.greatest(F.lit(1), F.floor(F.size(pieces) * F.lit(ratio)).cast("int"))
-    ranked = F.array_sort(F.transform(pieces, lambda s, i: F.struct((-keyword_relevance(s, query)).alias("r"), i.alias("i"), s.alias("s"))))
-    chosen = F.transform(F.slice(ranked, 1, keep), lambda x: x["s"])
-    return F.when(F.size(pieces) <= 3, text).otherwise(F.array_join(F.filter(pieces, lambda s: F.array_contains(chosen, s)), " "))
+
+    def core(x: Column) -> Column:
+        keep = F.greatest(F.lit(1), F.floor(F.size(x["pieces"]) * F.lit(ratio)).cast("int"))
+        ranked = F.array_sort(F.transform(x["pieces"], lambda s, i: F.struct((-_relevance(s, x["terms"])).alias("r"), i.alias("i"), s.alias("s"))))
+        return let(F.transform(F.slice(ranked, 1, keep), lambda y: y["s"]), lambda chosen: F.array_join(F.filter(x["pieces"], lambda s: F.array_contains(chosen, s)), " "))
+
+    pieces = F.struct(sentences(text).alias("pieces"), query_terms(query).alias("terms"))
+    return let(pieces, lambda x: F.when(F.size(x["pieces"]) <= 3, text).otherwise(core(x)))
 
 
 def summary(text: Column, longest: int = 200) -> Column:
-    first = F.array_join(F.slice(sentences(text), 1, 3), " ")
-    return F.when(F.length(first) > longest, F.concat(F.substring(first, 1, longest - 3), F.lit("..."))).otherwise(first)
+    cut = lambda first: F.when(F.length(first) > longest, F.concat(F.substring(first, 1, longest - 3), F.lit("..."))).otherwise(first)
+    return let(F.array_join(F.slice(sentences(text), 1, 3), " "), cut)
 
 
 def compressed(text: Column, query: Column, ratio: float = 0.7) -> Column:
     """Very relevant texts whole, relevant ones as their core sentences, others as a summary, or null where short."""
-    score = keyword_relevance(text, query)
-    return F.when(score > 0.8, text).when(score > 0.5, core_sentences(text, query, ratio)).when(F.length(text) > 50, summary(text))
+    by = lambda score: F.when(score > 0.8, text).when(score > 0.5, core_sentences(text, query, ratio)).when(F.length(text) > 50, summary(text))
+    return let(keyword_relevance(text, query), by)
 
 
 def slug(title: Column) -> Column:
@@ -129,6 +150,6 @@ def embedded_metadata(chunk: Column, **fields: Column) -> Column:
 
 
 def hash_bucket(term: Column) -> Column:
-    """Bucket 0 to 63 of a term, from the first two hex digits of its MD5."""
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(term), i, 1)) - 1
-    return digit(1) * 4 + digit(2) % 4
+    """Bucket 0 to 63 of a term, from the first two hex digits of its MD5: four times the first one, and the second one modulo 4."""
+    digits = F.conv(F.substring(F.md5(term), 1, 2), 16, 10).cast("int")
+    return (F.shiftright(digits, 4) * 4 + digits.bitwiseAND(3)).cast("int")

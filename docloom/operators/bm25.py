@@ -1,15 +1,17 @@
 """Keyword search: term statistics, BM25 top-k for a table of queries, keywords of documents.
 
-An index is three DataFrames: postings (doc, term, tf), doc_len (doc, dl) and
-terms (term, df, idf).  A query is joined with the postings of its own terms
-only, so the work follows the matching postings.
+An index has postings (doc_id, term, tf, dl), where dl is the document's length,
+and terms (term, df, cf, idf).  Texts are tokenised once, when the index is built;
+postings stay dealt out by document, so scores are summed where the postings are.
+A query is joined with the postings of its own terms only, so the work follows
+the matching postings.  ``Index.save`` and ``load`` keep an index between runs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -20,29 +22,45 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass
 class Index:
-    postings: DataFrame  # doc_id, term, tf
-    doc_len: DataFrame  # doc_id, dl
-    terms: DataFrame  # term, df, idf
+    postings: DataFrame  # doc_id, term, tf, dl
+    terms: DataFrame  # term, df, cf, idf
     sizes: DataFrame  # one row: n_docs, avg_dl
 
+    def save(self, path: str) -> None:
+        """Writes the index to the folder ``path``, in place of an earlier one."""
+        for name in ("postings", "terms", "sizes"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
+
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-    terms = docs.select(F.col(key).alias("doc_id"), F.explode(T.tokens(F.col(text))).alias("term"))
-    postings = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    tokens = docs.select(F.col(key).alias("doc_id"), F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
-    sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(sizes)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
+    """The index of ``docs``; ``key`` tells documents apart.
+
+    Postings and terms are kept by Spark (memory, then disk) until
+    ``unpersist``, and shared by all indexes of the same documents in a session.
+    """
+    split = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("terms"))
+    each = split.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    postings = each.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).persist()
+    # documents without tokens count, null texts have no length
+    known = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("n_texts"))
+    sizes = known.crossJoin(postings.agg(F.sum("tf").alias("n_tokens"))).select("n_docs", (F.coalesce("n_tokens", F.lit(0)) / F.when(F.col("n_texts") > 0, F.col("n_texts"))).alias("avg_dl"))  # one row each
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    raw = df.crossJoin(F.broadcast(sizes)).select("term", "df", "cf", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")).persist()  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Index(postings, tokens, idf, sizes)
+    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", "cf", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))  # one row
+    return Index(postings, idf, sizes)
 
 
 def scores(index: Index, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score (positive ones) for all documents that share a term with a query; terms that repeat in a query count again."""
     wanted = queries.select(F.col(key).alias("query_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = wanted.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").join(index.doc_len, "doc_id").crossJoin(F.broadcast(index.sizes))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    weighted = wanted.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.sizes)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_dl")  # one row
+    hits = index.postings.join(weighted, "term")
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 
 
@@ -66,8 +84,8 @@ def keywords_by_frequency(docs: DataFrame, key: str, text: str, k: int) -> DataF
 
 def keywords_tfidf(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key, word, score, rank: the words of each document with the largest tf-idf."""
-    own = T.words(F.col(text))
-    tf = docs.select(key, F.size(own).alias("dl"), F.explode(own).alias("word")).groupBy(key, "word", "dl").agg(F.count("*").alias("tf"))
+    own = docs.select(key, T.words(F.col(text)).alias("own"))
+    tf = own.select(key, F.size("own").alias("dl"), F.explode("own").alias("word")).groupBy(key, "word", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     scored = tf.join(df, "word").crossJoin(F.broadcast(n))  # one row

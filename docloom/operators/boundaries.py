@@ -188,14 +188,31 @@ def diff_sections(old: str, new: str, least: int = 5) -> list[str]:
 
 def apply(rows: DataFrame, key: str, columns: list[str], f: Callable, kind: str) -> DataFrame:
     """key, value: ``f`` of the columns of each row (null: empty), of the Spark type ``kind``."""
+    return _applied(rows, key, columns, f, None, kind).drop("error")
+
+
+def apply_or(rows: DataFrame, key: str, columns: list[str], f: Callable, instead: Callable, kind: str) -> DataFrame:
+    """key, value, error: like ``apply``; a row for which ``f`` fails gets ``instead`` and the failure as error, and the job goes on."""
+    return _applied(rows, key, columns, f, instead, kind)
+
+
+def _applied(rows: DataFrame, key: str, columns: list[str], f: Callable, instead: Callable | None, kind: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     value = to_arrow_type(_parse_datatype_string(kind))
 
+    def one(own: list) -> tuple:
+        if instead is None:
+            return f(*own), None
+        try:
+            return f(*own), None
+        except Exception as e:  # whatever the caller's function raises is this row's failure
+            return instead(*own), f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [f(*(x or "" for x in own)) for own in zip(*(batch.column(c).to_pylist() for c in columns))]
-            yield pa.record_batch([batch.column(key), pa.array(made, value)], [key, "value"])
+            made = [one([x or "" for x in own]) for own in zip(*(batch.column(c).to_pylist() for c in columns))]
+            yield pa.record_batch([batch.column(key), pa.array([m[0] for m in made], value), pa.array([m[1] for m in made], pa.string())], [key, "value", "error"])
 
-    return rows.select(key, *columns).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, value {kind}")
+    return rows.select(key, *columns).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, value {kind}, error string")

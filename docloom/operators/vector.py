@@ -11,14 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.bm25 import top
 
-#: Queries and rows of one cell.
-BLOCK = 8192
+#: Queries and rows of one cell, and queries that are multiplied at a time.
+BLOCK, AT_ONCE = 8192, 512
 
 
 def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -39,37 +39,72 @@ def l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"dot": dot, "cosine": cosine, "l2": l2}
 
 
-def blocks(rows: DataFrame, size: int = BLOCK) -> int:
-    return max(1, -(-rows.count() // size))
+def blocks(rows: DataFrame, key: str, size: int = BLOCK) -> int:
+    """Blocks for all rows; counts keys, so that vectors needn't be computed."""
+    return max(1, -(-rows.select(key).count() // size))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", not_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """query_id, vec_id, score (rounded to 6 places; for l2 the distance), rank; null vectors are left out, ties go to the smaller id."""
-    queries, rows = queries.filter(F.col(vector).isNotNull()), rows.filter(F.col(vector).isNotNull())
-    n_q, n_x = blocks(queries, block), blocks(rows, block)
-    deal = lambda df, col, own, n_own, other, n_other: df.select(
-        F.col(col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(col), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` largest values of each row (-inf: none); of equal ones those of the smaller ids."""
+    allowed = score > -np.inf
+    if score.shape[1] > k:
+        allowed &= score >= np.partition(score, -k, axis=1)[:, [-k]]  # with ties
+    row, column = np.nonzero(allowed)
+    order = np.lexsort((ids[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    place = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    return row[place < k], column[place < k]
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", not_self: bool = False, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """query_id, vec_id, score (rounded to 6 places; for l2 the distance), rank; null vectors are left out, ties go to the smaller id.
+
+    With ``by``, the ``k`` best of each value of this column of ``rows``, which the result has too.
+    """
+    n_q, n_x = blocks(queries, query_key, block), blocks(rows, key, block)
+    deal = lambda df, col, own, n_own, other, n_other, *more: df.filter(F.col(vector).isNotNull()).select(
+        F.col(col).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(col), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), *more
     )
-    q, x = deal(queries, query_key, "qb", n_q, "xb", n_x), deal(rows, key, "xb", n_x, "qb", n_q)
+    q, x = deal(queries, query_key, "qb", n_q, "xb", n_x), deal(rows, key, "xb", n_x, "qb", n_q, *([F.col(by).cast("string").alias("by")] if by else []))
     score, sign = METRICS[metric], -1.0 if metric == "l2" else 1.0
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        found, ids = np.round(score(np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float)), 6) + 0.0, b["id"].to_numpy()
-        out = []
-        for i, own in enumerate(a["id"].to_numpy()):
-            s = found[i]
-            keep = np.flatnonzero(ids != own) if not_self else np.arange(len(ids))
-            if len(keep) > k:
-                least = np.partition(s[keep], -k)[-k]
-                keep = keep[s[keep] >= least]  # with ties
-                keep = keep[np.lexsort((ids[keep], -s[keep]))[:k]]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[keep], "score": sign * s[keep] + 0.0}))
-        return pd.concat(out)
-
-    found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(cell, f"query_id {q.schema['id'].dataType.simpleString()}, vec_id {x.schema['id'].dataType.simpleString()}, score double")
-    return top(found, k, "query_id", F.asc("score") if metric == "l2" else F.desc("score"), "vec_id")
+    kinds = [q.schema["id"].dataType.simpleString(), x.schema["id"].dataType.simpleString()]
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[list[pa.Array]] = [[], [], [], []]
+        if a.num_rows and b.num_rows:
+            lists = [b]
+            if by:
+                names = b["by"].to_pylist()
+                members: dict = {}
+                for i, name in enumerate(names):
+                    members.setdefault(name, []).append(i)
+                lists = [b.take(pa.array(places)) for places in members.values()]
+            left, own = matrix(a["v"]), a["id"].to_numpy()
+            for part in lists:
+                right, ids = matrix(part["v"]), part["id"].to_numpy()
+                for low in range(0, len(own), AT_ONCE):
+                    s = np.round(score(left[low : low + AT_ONCE], right), 6) + 0.0
+                    if not_self:
+                        s[own[low : low + AT_ONCE, None] == ids[None, :]] = -np.inf
+                    i, j = best(s, ids, k)
+                    for into, values in zip(found, (own[low + i], ids[j], sign * s[i, j] + 0.0)):
+                        into.append(pa.array(values))
+                    if by:
+                        found[3].append(pa.array([part["by"][0].as_py()] * len(i), pa.string()))
+        types = [a.schema.field("id").type, b.schema.field("id").type, pa.float64(), pa.string()][: 3 + bool(by)]
+        names = ["query_id", "vec_id", "score", "by"]
+        return pa.table([pa.chunked_array([c.cast(t) for c in own], t) for own, t in zip(found, types)], names[: len(types)])
+
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, score double" + (", by string" if by else "")
+    found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(cell, schema)
+    return top(found, k, ["query_id", "by"] if by else "query_id", F.asc("score") if metric == "l2" else F.desc("score"), "vec_id")
 
 
 def cosine_of(a: Column, b: Column) -> Column:

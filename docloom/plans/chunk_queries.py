@@ -110,7 +110,17 @@ def split_sentences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.sentences_keeping_ends(F.col("text")).alias("sentences"))
 
 
-@query()
+_OVERLAPPING = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(list_filter({_ENDS}, lambda x: {STRIP % 'x'} <> ''), lambda x: {STRIP % 'x'}) AS ls FROM documents),
+    p AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d), sums AS (SELECT doc_id, i, length(x) AS n, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM p),
+    ends AS (SELECT doc_id, list_prepend(0, list(upto ORDER BY i)) AS upto, max(i) AS total FROM sums GROUP BY doc_id),
+    k AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS before, false AS over FROM ends
+        UNION ALL SELECT s.doc_id, s.i, CASE WHEN e.upto[s.i] - e.upto[k.low + 1] + s.n > 1000 AND s.i - 1 > k.low THEN greatest(s.i - 3, k.low + 1) ELSE k.low END, k.low, e.upto[s.i] - e.upto[k.low + 1] + s.n > 1000 AND s.i - 1 > k.low
+        FROM k JOIN sums s ON s.doc_id = k.doc_id AND s.i = k.i + 1 JOIN ends e ON e.doc_id = k.doc_id),
+    made AS (SELECT doc_id, before AS low, i - 1 AS high FROM k WHERE over UNION ALL SELECT k.doc_id, low, total FROM k JOIN ends e ON e.doc_id = k.doc_id AND k.i = e.total)
+    SELECT m.doc_id, CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.low) - 1 AS BIGINT) AS chunk_index, array_to_string(list_slice(d.ls, m.low + 1, m.high), ' ') AS text FROM made m JOIN d ON d.doc_id = m.doc_id"""
+
+
+@query(_OVERLAPPING)
 def chunk_sentence_overlap(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.overlapping_sentences(F.col("text")))
 
@@ -133,7 +143,10 @@ def node_count(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(C.windows(F.col("text"), 1024)).cast("long").alias("node_count"), F.lit(True).alias("vectorized"))
 
 
-@query(f"WITH {LINES}, {SECTIONS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY heading_no) - 1 AS BIGINT) AS chunk_index, breadcrumb || chr(10) || chr(10) || content AS text FROM sections WHERE content <> ''")
+SECTION_CHUNKS = f"WITH {LINES}, {SECTIONS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY heading_no) - 1 AS BIGINT) AS chunk_index, breadcrumb || chr(10) || chr(10) || content AS text FROM sections WHERE content <> ''"
+
+
+@query(SECTION_CHUNKS)
 def chunk_markdown_sections(t: Tables) -> DataFrame:
     return M.section_chunks(pages_md(t), "page_id", "md")
 
@@ -141,18 +154,18 @@ def chunk_markdown_sections(t: Tables) -> DataFrame:
 @query()
 def chunk_code(t: Tables) -> DataFrame:
     fenced = t.documents.select("doc_id", F.concat(F.lit("```python\n"), "text", F.lit("\n```")).alias("block"))
-    return B.apply(fenced, "doc_id", ["block"], B.code_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text"))
+    return B.apply(fenced, "doc_id", ["block"], B.code_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+@query(_fold_sql("SELECT doc_id, '- ' || x || CASE WHEN i < n THEN chr(10) ELSE '' END AS x, i FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))", 1000, "", 0, 0))
 def chunk_list(t: Tables) -> DataFrame:
     items = t.documents.select("doc_id", F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- "))).alias("items"))
-    return B.apply(items, "doc_id", ["items"], B.list_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text"))
+    return B.apply(items, "doc_id", ["items"], B.list_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query()
 def chunk_semantic_md(t: Tables) -> DataFrame:
-    return B.apply(pages_md(t), "page_id", ["md"], B.semantic_sections, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text"))
+    return B.apply(pages_md(t), "page_id", ["md"], B.semantic_sections, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query(_fold_sql(_pieces(r"list_filter(list_transform(string_split(text, chr(10)), lambda x: " + STRIP % "x" + "), lambda x: x <> '')"), 1024, "' || chr(10) || chr(10) || '", 2, 2))
@@ -202,8 +215,8 @@ def chunk_forward_overlap(t: Tables) -> DataFrame:
 
 
 def _of_spans(rows: DataFrame, key: str, f) -> DataFrame:
-    made = B.apply(rows, key, [rows.columns[1]], lambda x: [{"start": a, "end": b} for a, b in f(x)], "array<struct<start:int,end:int>>")
-    return made.select(key, F.posexplode("value").alias("chunk_index", "s")).select(key, "chunk_index", "s.start", "s.end")
+    made = B.apply(rows, key, [rows.columns[1]], lambda x: [{"start": a, "end": b} for a, b in f(x)], "array<struct<start:long,end:long>>")
+    return made.select(key, F.posexplode("value").alias("chunk_index", "s")).select(key, F.col("chunk_index").cast("long").alias("chunk_index"), "s.start", "s.end")
 
 
 @query()
@@ -216,12 +229,21 @@ def split_fixed(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(C.spans(F.col("text"), 1000)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
-@query()
+def _spans_sql(pattern: str) -> str:
+    """Spans of greedily packed pieces that end at matches of ``pattern``."""
+    folded = _fold_sql(_pieces(f"string_split(regexp_replace(text, '({pattern})', '\\1' || chr(1), 'g'), chr(1))"), 1000, "", 0, 0)
+    return f"SELECT doc_id, CAST(row_number() OVER own - 1 AS BIGINT) AS chunk_index, CAST(sum(length(text)) OVER own AS BIGINT) - length(text) AS start, CAST(sum(length(text)) OVER own AS BIGINT) AS end FROM ({folded}) WHERE text <> '' WINDOW own AS (PARTITION BY doc_id ORDER BY chunk_index)"
+
+
+_UNICODE_WS = r"\x09-\x0D\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+@query(_spans_sql(f"[.!?。！？][{_UNICODE_WS}]+"))
 def split_sentence_spans(t: Tables) -> DataFrame:
     return _of_spans(t.documents.select("doc_id", "text"), "doc_id", lambda x: B.spans_by(B.SENTENCE, x, 1000))
 
 
-@query()
+@query(f"SELECT * EXCLUDE (chunk_index) FROM ({_spans_sql(r'\n[\x20\x09-\x0D]*\n|\n')})")
 def split_paragraph_spans(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(C.spans_at(F.col("text"), r"\n[\x20\x09-\x0D]*\n|\n", 1000)).alias("s")).select("doc_id", "s.start", "s.end")
 
@@ -233,7 +255,7 @@ def split_semantic_spans(t: Tables) -> DataFrame:
 
 @query()
 def chunk_recursive_md(t: Tables) -> DataFrame:
-    return B.apply(pages_md(t), "page_id", ["md"], B.recursive_pieces, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text"))
+    return B.apply(pages_md(t), "page_id", ["md"], B.recursive_pieces, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query("""SELECT doc_id, doc_id || '_segment_' || (i // 300) AS segment_id, CAST(i // 300 AS BIGINT) AS segment_index, CAST(ceil(length(text) / 300) AS BIGINT) AS total_segments, substr(text, i + 1, 300) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS i FROM documents)""")

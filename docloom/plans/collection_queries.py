@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import boundaries as B, collection as K, incremental as I, vector
 from docloom.plans.registry import query
+from docloom.storage import fresh_folder, remove, settled
 from docloom.tables import Tables
 
 
@@ -115,9 +114,11 @@ def bulk_delete_result(t: Tables) -> DataFrame:
     return K.delete_result(t.embeddings, t.spark.createDataFrame([(1,), (7,), (-5,)], "vec_id long"))
 
 
-@query("SELECT vec_id, len(embedding) AS dim FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
+@query("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 32 ELSE len(embedding) END AS dim FROM embeddings WHERE vec_id % 7 = 0 OR embedding IS NULL OR len(embedding) <> 64")
 def dimension_check(t: Tables) -> DataFrame:
-    return K.wrong_dimension(t.embeddings, "embedding", 64).select("vec_id", F.size("embedding").cast("long").alias("dim"))
+    # all vectors of the table are whole, so every seventh is cut
+    rows = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    return K.wrong_dimension(rows, "embedding", 64).select("vec_id", F.size("embedding").cast("long").alias("dim"))
 
 
 @query("SELECT count(*) AS n FROM embeddings WHERE label = 1")
@@ -130,10 +131,13 @@ def collection_stats(t: Tables) -> DataFrame:
     return K.stats(t.embeddings, "embedding")
 
 
-@query()
+#: The tables of a folder.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS collection, count(*) AS n_rows FROM {n}" for n in TABLES))
 def list_collections(t: Tables) -> DataFrame:
-    names = ("documents", "pages", "embeddings", "benchmark", "conversations")
-    each = [getattr(t, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("collection"), "n_rows") for n in names]
+    each = [getattr(t, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("collection"), "n_rows") for n in t.names()]
     out = each[0]
     for df in each[1:]:
         out = out.unionByName(df)
@@ -176,10 +180,21 @@ def ann_lsh_recall(t: Tables) -> DataFrame:
     return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY event_type")
 def stream_ingest(t: Tables) -> DataFrame:
-    from docloom.sources.files import scratch
     from docloom.streaming.ingest import ingest
 
-    target = f"{scratch(t.spark)}/events-{uuid.uuid4().hex}"
-    return ingest(t.spark, f"{t.folder}/events.parquet", target, "event_id").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    target = fresh_folder(t.spark, "events")
+    rows = ingest(t.spark, f"{t.folder}/events.parquet", target, "event_id")
+    found = settled(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+    remove(t.spark, target)
+    return found
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(t: Tables) -> DataFrame:
+    """Event-time windows of an hour, with rows up to ten minutes late, by the same code for batches and streams."""
+    from docloom.streaming.ingest import windowed
+
+    found = windowed(t.events.select("ts", "event_type"), "ts", "1 hour", "10 minutes", "event_type")
+    return found.select(F.col("window.start").alias("hour"), "event_type", "n")

@@ -61,9 +61,9 @@ def list_documents(t: Tables) -> DataFrame:
     return page(where(t.documents, lang="en", no_such_field=1), [F.desc("n_chars"), F.asc("doc_id")], 1, 20).select("doc_id", "source", "lang", "n_chars")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring%'")
 def search_like(t: Tables) -> DataFrame:
-    return t.part.filter(F.contains("p_name", F.lit("1"))).select("p_partkey", "p_name")
+    return t.part.filter(F.contains("p_name", F.lit("ring"))).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")

@@ -29,19 +29,28 @@ def vector_queries(t: Tables) -> DataFrame:
     return t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def embedded(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, embedding: counts of the 64 hash buckets of the text's tokens; rows without tokens are left out."""
-    buckets = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, T.hash_bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
+def hashed(postings: DataFrame, key: str) -> DataFrame:
+    """key, embedding: counts of the 64 hash buckets of the tokens in ``postings`` (key, term, tf); rows without tokens are left out."""
+    buckets = postings.groupBy(key, T.hash_bucket(F.col("term")).alias("bucket")).agg(F.sum("tf").alias("n"))
     counts = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))  # at most 64 entries
     return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("embedding"))
 
 
+def embedded_queries(t: Tables) -> DataFrame:
+    terms = text_queries(t).select("query_id", F.explode(T.tokens(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("tf"))
+    return hashed(terms, "query_id")
+
+
+def embedded_documents(t: Tables) -> DataFrame:
+    return hashed(bm25.build(t.documents).postings, "doc_id")
+
+
 def keyword_hits(t: Tables, k: int) -> DataFrame:
     return bm25.search(bm25.build(t.documents), text_queries(t), k)
 
 
 def vector_hits(t: Tables, k: int) -> DataFrame:
-    found = vector.top_k(embedded(text_queries(t), "query_id"), embedded(t.documents, "doc_id"), k, "cosine", "query_id", "doc_id")
+    found = vector.top_k(embedded_queries(t), embedded_documents(t), k, "cosine", "query_id", "doc_id")
     return found.withColumnRenamed("vec_id", "doc_id")
 
 
@@ -80,11 +89,10 @@ def vector_sql(k: int) -> str:
 WITH = f"WITH {BM25}, {QUERIES_SQL}, {HASHED}"
 
 
-@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT round(avg_dl, 6) FROM sizes) AS avg_dl, (SELECT CAST(sum(tf) AS BIGINT) FROM postings p WHERE p.term = terms.term) AS cf FROM terms")
+@query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf, (SELECT round(avg_dl, 6) FROM sizes) AS avg_dl, cf FROM terms JOIN (SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term) USING (term)")
 def bm25_term_stats(t: Tables) -> DataFrame:
     index = bm25.build(t.documents)
-    cf = index.postings.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return index.terms.join(cf, "term").crossJoin(F.broadcast(index.sizes)).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_dl", 6).alias("avg_dl"), "cf")  # sizes: one row
+    return index.terms.crossJoin(F.broadcast(index.sizes)).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_dl", 6).alias("avg_dl"), "cf")  # sizes: one row
 
 
 @query(f"WITH {BM25}, {QUERIES_SQL} SELECT query_id, doc_id, score, rank FROM {keyword_sql(TOP_K)}")
@@ -131,11 +139,7 @@ def similar_documents(t: Tables) -> DataFrame:
     each AS (SELECT * EXCLUDE (rank) FROM {ranked('SELECT * FROM pairs', 5, _FAR, 'query_id, source')}) SELECT query_id, vec_id, score, rank FROM {ranked('SELECT * FROM each', 5, _FAR)}""")
 def multi_source_topk(t: Tables) -> DataFrame:
     # each label is a source: its own top list, then the best of all lists
-    labels = sorted(r.label for r in t.embeddings.select("label").distinct().collect())  # one entry a source
-    lists = None
-    for label in labels:
-        own = vector.top_k(vector_queries(t), t.embeddings.filter(F.col("label").eqNullSafe(label)), 5, "cosine").drop("rank")
-        lists = own if lists is None else lists.unionByName(own)
+    lists = vector.top_k(vector_queries(t), t.embeddings, 5, "cosine", by="label").select("query_id", "vec_id", "score")
     return bm25.top(lists, 5, "query_id", F.desc("score"), "vec_id")
 
 
@@ -160,7 +164,7 @@ def hybrid_contains_topk(t: Tables) -> DataFrame:
     # queries without such a token are looked for in all texts
     short = queries.filter(F.size("inner") == 0).select("query_id", "q").join(docs, F.contains("text", F.col("q")))
     held = pairs.join(docs, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").unionByName(short.select("query_id", "doc_id"))
-    q, d = embedded(text_queries(t), "query_id").withColumnRenamed("embedding", "a"), embedded(t.documents, "doc_id").withColumnRenamed("embedding", "b")
+    q, d = embedded_queries(t).withColumnRenamed("embedding", "a"), embedded_documents(t).withColumnRenamed("embedding", "b")
     scored = held.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.round(vector.cosine_of(F.col("a"), F.col("b")), 6).alias("score"))
     return bm25.top(scored, 5, "query_id", F.desc("score"), "doc_id")
 

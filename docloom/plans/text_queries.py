@@ -61,7 +61,7 @@ def paragraph_count(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("paragraph_count"))
 
 
-@query()
+@query("SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars, 'hash': md5(text)}) AS VARCHAR) AS metadata FROM documents")
 def doc_metadata_json(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "n_chars", F.md5("text").alias("hash"))).alias("metadata"))
 
@@ -163,7 +163,14 @@ def keywords_tfidf(t: Tables) -> DataFrame:
     return bm25.keywords_tfidf(t.documents, "doc_id", "text", 10)
 
 
-@query()
+# RE2 has no look-ahead: other signs are doubled, so that one can end an entity and the other begin the next
+_SIGNS = r"regexp_replace(text, '([^\p{L}\p{N}_\x20\x09-\x0D])', '\1\1', 'g')"
+_RUNS = rf"regexp_extract_all({_SIGNS}, '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-zA-Z]*(?:{WS}+[A-Z][a-zA-Z]*)*)(?:$|[^\p{{L}}\p{{N}}_])', 1)"
+_ENTITIES = rf"""list_filter({_RUNS}, lambda x: x NOT IN ({', '.join(f"'{w}'" for w in T.COMMON_WORDS)}) AND (length(x) > 3 OR regexp_matches(x, '{WS}')))
+    || regexp_extract_all(text, '([\x{{4e00}}-\x{{9fff}}]{{2,3}})(?:{'|'.join(T.NAME_TITLES)})', 1)"""
+
+
+@query(f"SELECT doc_id, list_filter(found, lambda x, i: list_position(found, x) = i) AS entities FROM (SELECT doc_id, {_ENTITIES} AS found FROM documents)")
 def extract_entities(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.entities(F.col("text")).alias("entities"))
 
@@ -181,10 +188,15 @@ def time_references(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.time_references(F.col("text")).alias("times"))
 
 
-@query(r"""SELECT doc_id, unnest.type AS type, unnest.value AS value FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, 'https?://[^\x20\x09-\x0D]+'), lambda x: {'type': 'url', 'value': x})
-    || list_transform(regexp_extract_all(text, '\[([0-9]+)\]', 1), lambda x: {'type': 'citation', 'value': x})) AS unnest FROM documents)""")
+_CITING = "(SELECT doc_id, text || ' see https://example.org/' || doc_id || '?q=[1] and [' || length(text) || '], [x], [2]' AS text FROM documents)"
+
+
+@query(rf"""SELECT doc_id, unnest.type AS type, unnest.value AS value FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, 'https?://[^\x20\x09-\x0D]+'), lambda x: {{'type': 'url', 'value': x}})
+    || list_transform(regexp_extract_all(text, '\[([0-9]+)\]', 1), lambda x: {{'type': 'citation', 'value': x}})) AS unnest FROM {_CITING})""")
 def extract_references(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(T.references(F.col("text"))).alias("r")).select("doc_id", "r.type", "r.value")
+    # the documents hold none, so each gets some
+    made = F.concat("text", F.lit(" see https://example.org/"), F.col("doc_id").cast("string"), F.lit("?q=[1] and ["), F.length("text").cast("string"), F.lit("], [x], [2]"))
+    return t.documents.select("doc_id", F.explode(T.references(made)).alias("r")).select("doc_id", "r.type", "r.value")
 
 
 @query(f"""SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][\\s>]')) AS n_headings,

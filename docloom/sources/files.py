@@ -11,11 +11,6 @@ Reader = Callable[..., DataFrame]
 _SOURCES: dict[str, Reader] = {}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
-
 def source(name: str) -> Callable[[Reader], Reader]:
     def add(f: Reader) -> Reader:
         _SOURCES[name] = f

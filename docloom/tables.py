@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.storage import file_system
+
+#: Tables of long texts, whose rows are worth dealing out before they are worked on.
+LONG = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where it is so few files that most cores would have nothing to do.
+
+    A file of one row group is one task.  Large tables have more files than half
+    the cores and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 2 * len(df.inputFiles()) <= cores else df
+
 
 class Tables:
     """``tables.documents`` reads documents.parquet, and so on."""
@@ -11,7 +26,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def names(self) -> list[str]:
+        """The tables that the folder holds."""
+        fs, where = file_system(self.spark, self.folder)
+        return sorted(s.getPath().getName().removesuffix(".parquet") for s in fs.listStatus(where) if s.getPath().getName().endswith(".parquet"))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in LONG else df
