@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.storage import fresh_folder
+from docloom.tables import Tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return getattr(Tables(spark, sf_dir), name)
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -59,11 +61,8 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place that the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared place that the cluster names in ``spark.checkpoint.dir``; an error where a cluster names none."""
+    return fresh_folder(spark, name)
 
 
 def cut(df: DataFrame) -> DataFrame:
