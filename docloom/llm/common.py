@@ -48,6 +48,26 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8
             yield batch.slice(start)
 
 
+def hot_keys(counts: DataFrame, *keys: str, n: str = "n") -> DataFrame:
+    """keys, salts: those keys of ``counts`` (keys, n) with more rows than a quarter of an even partition, and into how many parts to deal them.
+
+    There are at most four times as many of them as shuffle partitions, so the list may be broadcast.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))
+    hot = counts.filter(F.col(n) > 256).crossJoin(F.broadcast(total)).filter(F.col(n) * 4 * parts > F.col("_total"))  # one row
+    return hot.select(*keys, F.ceil(F.col(n) * 4 * parts / F.col("_total")).cast("int").alias("_salts"))
+
+
+def salted_join(rows: DataFrame, found: DataFrame, hot: DataFrame, keys: list[str], row: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` (one row for each of ``keys``); rows of ``hot`` keys are dealt out by a salt from the columns ``row``."""
+    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*row), F.col("_salts"))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1)).cast("long") - 1))
+    copies = found.join(F.broadcast(hot), keys, "left").withColumn("_salt", every).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 #: Rows of an Arrow batch between Spark and Python: texts are long, so fewer than Spark's own number.
 BATCH_ROWS = 1000
 

@@ -2,8 +2,9 @@
 
 For each line hash an HyperLogLog sketch of its sites is aggregated (each task
 sends one sketch a line).  An estimate clearly under or over the threshold
-decides; lines near it get an exact count of distinct sites.  Spread lines are
-then taken out of every document.
+decides; lines near it get an exact count of distinct sites, from the occurrences
+of candidates that are looked up once.  Spread lines are then taken out of every
+document.  The occurrences of very common lines are dealt out by a salt.
 
 Lines are compared without white space at their ends; blank lines and lines
 under ``min_chars`` characters are never removed.  Null text has no lines and
@@ -16,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import cut, hot_keys, salted_join
+
 #: Share of the threshold on either side within which the exact count decides: over ten times the sketch's error.
 BAND = 0.25
 LG_K = 12
-#: Parts into which the rows of a line are dealt when they are looked up, so that a very common line isn't one task's.
-SALTS = 16
 
 
 def _hash(line: Column) -> list[Column]:
@@ -34,27 +35,26 @@ def line_hashes(docs: DataFrame, text: str, site: str, min_chars: int, *keep: st
     return lines.select(*keep, "site", "line_no", *_hash(F.col("line")))
 
 
-def _among(lines: DataFrame, found: DataFrame, *row: str) -> DataFrame:
-    """The rows of ``lines`` whose line is in ``found``; dealt out by the line and a salt from the columns ``row``."""
-    salted = lines.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(SALTS)))
-    every = found.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    return salted.join(every, ["h1", "h2", "_salt"], "left_semi").drop("_salt")
+def _candidates(lines: DataFrame, min_sites: int) -> DataFrame:
+    """h1, h2, sure, n (occurrences) of the lines whose estimate isn't clearly under the threshold; ``sure``: it is clearly over it."""
+    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count("*").alias("n"))
+    return sketched.filter(F.col("sites") > min_sites * (1 - BAND)).select("h1", "h2", (F.col("sites") >= min_sites * (1 + BAND)).alias("sure"), "n")
+
+
+def _hits(lines: DataFrame, min_sites: int, *row: str) -> DataFrame:
+    """Occurrences (the columns ``row``, line_no, h1, h2) of the lines spread over ``min_sites`` sites or more."""
+    found = cut(_candidates(lines, min_sites))
+    near = cut(salted_join(lines, found.select("h1", "h2", "sure"), hot_keys(found, "h1", "h2"), ["h1", "h2"], [*row, "line_no"]))
+    counted = near.filter("not sure").select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
+    unsure = found.filter("not sure").select("h1", "h2", "n")
+    exact = salted_join(near.filter("not sure"), counted.select("h1", "h2"), hot_keys(unsure, "h1", "h2"), ["h1", "h2"], [*row, "line_no"], "left_semi")
+    return near.filter("sure").unionByName(exact).select(*row, "line_no", "h1", "h2")
 
 
 def spread_lines(docs: DataFrame, min_sites: int, key: str = "doc_id", text: str = "text", site: str = "source", min_chars: int = 20) -> DataFrame:
     """h1, h2 of the lines that occur at ``min_sites`` distinct sites or more."""
     lines = line_hashes(docs.withColumn("_key", docs[key]), text, site, min_chars, "_key")
-    return _spread(lines, min_sites, "_key")
-
-
-def _spread(lines: DataFrame, min_sites: int, *row: str) -> DataFrame:
-    key = ["h1", "h2"]
-    sketched = lines.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    sketched = sketched.filter(F.col("sites") > min_sites * (1 - BAND))
-    sure = sketched.filter(F.col("sites") >= min_sites * (1 + BAND)).select(*key)
-    near = sketched.filter(F.col("sites") < min_sites * (1 + BAND)).select(*key)
-    counted = _among(lines, near, *row).select(*key, "site").distinct().groupBy(*key).agg(F.count("*").alias("n"))
-    return sure.unionByName(counted.filter(F.col("n") >= min_sites).select(*key))
+    return _hits(lines, min_sites, "_key").select("h1", "h2").distinct()
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int, key: str = "doc_id", text: str = "text", site: str = "source", min_chars: int = 20) -> DataFrame:
@@ -64,9 +64,9 @@ def remove_spread_lines(docs: DataFrame, min_sites: int, key: str = "doc_id", te
     row = ["_row1", "_row2"]
     rows = docs.select(*given).withColumns({"_row1": F.xxhash64(key, text, site), "_row2": F.xxhash64(F.lit(11), site, text, key)})
     lines = line_hashes(rows, text, site, min_chars, *row)
-    hits = _among(lines, _spread(lines, min_sites, *row), *row).groupBy(*row).agg(F.collect_set("line_no").alias("_gone"))
-    cut = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    hits = _hits(lines, min_sites, *row).groupBy(*row).agg(F.collect_set("line_no").alias("_gone"))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
     out = rows.join(hits, row, "left")
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n")))
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut).alias(text) if c == text else c for c in given], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else c for c in given], n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import cut as checkpointed
+from docloom.llm.common import hot_keys, salted_join
 
-#: The longest word that a segmentation looks for.
-LONGEST = 16
-#: Parts into which the rows of a token are dealt, so that a very common token isn't one task's.
-SALTS = 16
+#: Letters of a label, and of a whole name, under the rules for host names.  No word is longer than a label;
+#: labels longer than a name are no names, and are segmented in pieces of that length.
+LONGEST, NAME = 63, 255
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,7 +84,9 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     ends = F.sequence(F.lit(1), F.length("label"))
     pieces = F.flatten(F.transform(ends, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - i + 1)), lambda k: F.substring(F.col("label"), i, k))))
     cut = labels.filter("label <> ''").select("label", F.explode(F.array_distinct(pieces)).alias("word"))
-    known = cut.join(counts, "word", "left").groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    # some words are in very many labels
+    hot = hot_keys(cut.groupBy("word").agg(F.count("*").alias("n")), "word")
+    known = salted_join(cut, counts, hot, ["word"], ["label"], "left").groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
     known = known.crossJoin(F.broadcast(total))  # one row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +103,11 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """part, token: each ``hosts.part`` with the words of its labels."""
     labels = hosts.select("part", F.explode(F.filter(F.split("part", "[^a-z]+"), lambda x: x != "")).alias("label"))
+    pieces = F.transform(F.sequence(F.lit(0), F.length("label") - 1, F.lit(NAME)), lambda i: F.substring(F.col("label"), i + 1, F.lit(NAME)))
+    labels = labels.select("part", F.explode(pieces).alias("label"))
     words = segmented(labels.select("label").distinct(), counts)
-    return labels.join(words, "label").select("part", F.explode("words").alias("word")).select("part", F.concat(F.lit("h:"), "word").alias("token"))
+    hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
+    return salted_join(labels, words, hot, ["label"], ["part"]).select("part", F.explode("words").alias("word")).select("part", F.concat(F.lit("h:"), "word").alias("token"))
 
 
 def path_tokens(paths: DataFrame) -> DataFrame:
@@ -117,14 +122,13 @@ def naive_bayes(tokens: DataFrame) -> DataFrame:
 
     ``tokens``: kind, part, token, and block and allow, how many decided urls have the part.
     """
-    model = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).filter("block + allow > 0")
+    every = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n"))
+    model = every.filter("block + allow > 0")
     sizes = model.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("all_block"), F.coalesce(F.sum("allow"), F.lit(0)).alias("all_allow"), F.count("*").alias("kinds"))
     odds = lambda b, a: F.log((b + 1) / (F.col("all_block") + F.col("kinds") + 1)) - F.log((a + 1) / (F.col("all_allow") + F.col("kinds") + 1))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    weights = model.crossJoin(F.broadcast(sizes)).select("token", odds(F.col("block"), F.col("allow")).alias("weight"), every)  # sizes: one row
-    salted = tokens.withColumn("salt", F.pmod(F.xxhash64("kind", "part"), F.lit(SALTS)))
+    weights = model.crossJoin(F.broadcast(sizes)).select("token", odds(F.col("block"), F.col("allow")).alias("weight"))  # sizes: one row
     unseen = sizes.select(odds(F.lit(0), F.lit(0)).alias("unseen"))
-    both = salted.join(weights, ["token", "salt"], "left").crossJoin(F.broadcast(unseen))  # one row
+    both = salted_join(tokens, weights, hot_keys(every, "token"), ["token"], ["kind", "part"], "left").crossJoin(F.broadcast(unseen))  # one row
     return both.groupBy("kind", "part").agg(F.sum(F.coalesce("weight", "unseen")).alias("odds"))
 
 
@@ -139,14 +143,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], texts: DataFrame,
     rows = rows.withColumns({"rule": rule, "decided": decided})
     # rows of equal host or path are one part, with the numbers of its decided rows
     named = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("part")) for c in ("host", "path")))).alias("p")
-    every = rows.select(named, "decided").groupBy("p.kind", "p.part").agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow"))
+    every = rows.select(named, "decided").groupBy("p.kind", "p.part").agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow"), F.count("*").alias("n"))
     hosts, paths = every.filter("kind = 'host'"), every.filter("kind = 'path'")
     found = host_tokens(hosts, word_counts(texts, text)).withColumn("kind", F.lit("host")).unionByName(path_tokens(paths).withColumn("kind", F.lit("path")))
-    scores = naive_bayes(checkpointed(found.join(every, ["kind", "part"])))
+    scores = naive_bayes(checkpointed(found.join(every.drop("n"), ["kind", "part"])))
     prior = rows.agg(F.log((F.count_if(F.col("decided") == "block") + 1) / (F.count_if(F.col("decided") == "allow") + 1)).alias("prior"))
     scored = rows
     for c in ("host", "path"):
-        scored = scored.join(scores.filter(F.col("kind") == c).select(F.col("part").alias(c), F.col("odds").alias(f"{c}_odds")), c, "left")
+        hot = hot_keys(every.filter(F.col("kind") == c).select(F.col("part").alias(c), "n"), c)  # a host or path of very many pages
+        scored = salted_join(scored, scores.filter(F.col("kind") == c).select(F.col("part").alias(c), F.col("odds").alias(f"{c}_odds")), hot, [c], ["page_id", "host", "path"], "left")
     zero = F.lit(0.0)
     score = F.round(F.col("prior") + F.coalesce("host_odds", zero) + F.coalesce("path_odds", zero), 9)
     out = scored.crossJoin(F.broadcast(prior)).withColumn("score", F.when(F.col("rule").isNull(), score))
