@@ -85,19 +85,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return fresh_folder(spark, name)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
     Spark's cleaner drops the shuffle files of earlier lineage once the driver's
-    Python and JVM have collected its plan as garbage, so pass ``df`` without
-    keeping it; its own files go with the next call.
+    Python and JVM have collected its plan as garbage.  ``free`` asks for that at
+    once, after large shuffles: pass ``df`` without keeping it; its own files go
+    with the next such call.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
     out = df.checkpoint(eager=True)
     del df
-    for _ in range(2):  # plans are held by Python objects in cycles, these by JVM objects
+    for _ in range(2 if free else 0):  # plans are held by Python objects in cycles, these by JVM objects
         gc.collect()
         context._jvm.System.gc()
         time.sleep(0.3)

@@ -3,10 +3,11 @@
 A fingerprint has 64 bits; documents link at ``radius`` or fewer differing bits.
 Equal fingerprints are merged first, so a group of copies is one point.
 
-Shards: the 64 bits are cut into radius + 1 blocks.  Of two linked fingerprints
-at least one block is at Hamming distance zero, so a point belongs to the shard
-of each of its blocks, and shards overlap at just those points that may have a
-link across.  Every shard holds a vantage-point tree: points are split by
+Shards: the 64 bits are cut into radius + m blocks.  Of two linked fingerprints
+at least m blocks are at Hamming distance zero, so a point belongs to the shard
+of each choice of m of its blocks, and shards overlap at just those points that
+may have a link across.  m is 1, or more where that would leave over
+``SHARD_POINTS`` points in an even shard; every m finds the same links.  Every shard holds a vantage-point tree: points are split by
 Hamming distance from a vantage, a branch is skipped when the triangle bound
 puts all of it out of reach, and also when it is known to be in the query's own
 component already, so a dense group costs no pairs.  A shard returns a spanning
@@ -21,6 +22,8 @@ rows are points of equal fingerprint.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded, cut, small_batches, utf8
+from docloom.llm.common import bounded, cut, hot_keys, salted_join, small_batches, utf8
 
 LEAF = 8
 QUERIES = 8192
+#: Points of an even shard beyond which its key takes one more block.
+SHARD_POINTS = 4096
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
@@ -88,9 +93,12 @@ def components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
 
 
 class Forest:
-    """Vantage-point trees over ``points`` (uint64), one for each run of equal ``shard``; both sorted by shard."""
+    """Vantage-point trees over ``points`` (uint64), one for each run of equal ``shard``; both sorted by shard.
 
-    def __init__(self, points: np.ndarray, shard: np.ndarray, radius: int):
+    With ``label``, points of one label aren't searched for pairs among themselves.
+    """
+
+    def __init__(self, points: np.ndarray, shard: np.ndarray, radius: int, label: np.ndarray | None = None):
         self.radius, n = radius, len(points)
         order = np.arange(n)
         low = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if n else np.zeros(0, np.int64)
@@ -132,7 +140,7 @@ class Forest:
         self.kids = np.concatenate(children) if children else np.zeros((0, 2), np.int64)
         self.reach = np.concatenate(reach) if reach else np.zeros((0, 2, 2), np.int64)
         a, b = (np.concatenate([x[k] for x in links]) if links else np.zeros(0, np.int64) for k in (0, 1))
-        self.label = components(n, a, b)
+        self.label = components(n, a, b) if label is None else label
 
     def _search(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Links of the queries to points of other components."""
@@ -161,6 +169,11 @@ class Forest:
             query, node = np.concatenate([query[m] for m in into]), np.concatenate([self.kids[node[m], k] for k, m in enumerate(into)])
         return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of points of one shard, of different labels, within the radius; both ways round."""
+        for at in range(0, len(self.points), QUERIES):
+            yield self._search(np.arange(at, min(at + QUERIES, len(self.points))))
+
     def link(self) -> np.ndarray:
         """Component of every point."""
         for at in range(0, len(self.points), QUERIES):
@@ -170,51 +183,97 @@ class Forest:
         return self.label
 
 
-def shard_links(prints: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+def blocks_of_shards(points: int, radius: int, bits: int = 64) -> int:
+    """How many blocks make a shard's key: the least number that leaves ``SHARD_POINTS`` points in an even shard."""
+    m = 1
+    while m < 4 and points > SHARD_POINTS << (bits * m // (radius + m)):
+        m += 1
+    return m
+
+
+def shard_links(prints: DataFrame, radius: int, bits: int = 64, m: int | None = None) -> DataFrame:
     """a, b: a spanning forest of the links among the distinct values of ``prints.fp``, by vantage-point trees."""
-    edges = np.linspace(0, bits, radius + 2).round().astype(int).tolist()
-    blocks = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+    m = m or blocks_of_shards(prints.count(), radius, bits)
+    edges = np.linspace(0, bits, radius + m + 1).round().astype(int).tolist()
+    block = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:])]
+    shards = []
+    for k, chosen in enumerate(combinations(range(radius + m), m)):
+        value = F.lit(0).cast("long")
+        for i in chosen:
+            value = F.shiftleft(value, edges[i + 1] - edges[i]).bitwiseOR(block[i])
+        shards.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
+    assert len(shards) == comb(radius + m, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if rows is None:
             return
-        shard = rows["block"].to_numpy().astype(np.int64) << 40 | rows["value"].to_numpy()
-        points = rows["fp"].to_numpy().view(np.uint64)
-        by = np.lexsort((points, shard))
-        shard, points = shard[by], points[by]
+        block, value, points = rows["block"].to_numpy(), rows["value"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        by = np.lexsort((points, value, block))
+        block, value, points = block[by], value[by], points[by]
+        shard = np.cumsum(np.concatenate([[False], (block[1:] != block[:-1]) | (value[1:] != value[:-1])]))
         label = Forest(points, shard, radius).link()
         at = np.flatnonzero(label != np.arange(len(label)))
         yield pa.record_batch([pa.array(points[at].view(np.int64)), pa.array(points[label[at]].view(np.int64))], ["a", "b"])
 
-    dealt = prints.select("fp", F.explode(F.array(*blocks)).alias("s")).select("s.block", "s.value", "fp").repartition("block", "value")
+    dealt = prints.select("fp", F.explode(F.array(*shards)).alias("s")).select("s.block", "s.value", "fp").repartition("block", "value")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def connected(links: DataFrame) -> DataFrame:
+#: Links of one node beyond which they are dealt out by a salt.
+HUB = 10_000
+
+
+def connected(links: DataFrame, hub: int = HUB) -> DataFrame:
     """node, root: the smallest node of each component, for all nodes of ``links`` (a, b); by alternating stars."""
+
+    def with_least(rows: DataFrame, least: DataFrame, row: str) -> DataFrame:
+        if most <= hub:
+            return rows.join(least.select("a", "m"), "a")
+        return salted_join(rows, least.select("a", "m"), hot_keys(least, "a"), ["a"], [row])
+
     links = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state, most = None, None
     while True:
+        ends = links.select(F.explode(F.array("a", "b")).alias("end"), F.xxhash64("a", "b").cast("decimal(38,0)").alias("h"))
+        now = ends.groupBy("end").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("n").alias("most")).first()
+        if (now.n, now.h) == state:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        state, most = (now.n, now.h), now.most or 0
         # large star: larger neighbours go to the least of the neighbourhood
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least, "b").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, "b").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp, component_id (the smallest doc_id that links reach)."""
-    prints = cut(fingerprints(docs, words, seed))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected(shard_links(groups, radius))
-    points = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def component_ids(rows: DataFrame, groups: DataFrame, links: DataFrame, point: str) -> DataFrame:
+    """``rows`` with component_id: the least ``first`` of all points that the links reach.
+
+    ``groups``: ``point``, first (smallest doc_id), n (rows of the point); each row has a point.
+    Points of very many rows, and components of very many points, are dealt out by salts.
+    """
+    roots = connected(links)
+    known = hot_keys(roots.groupBy("root").agg(F.count("*").alias("n")), "root")
+    points = cut(groups.join(roots, groups[point] == roots["node"], "left").select(point, "first", "n", F.coalesce("root", point).alias("root")))
     ids = points.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(points.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    of_point = salted_join(points, ids, known, ["root"], [point]).select(point, "component_id")
+    return salted_join(rows, of_point, hot_keys(groups.select(point, "n"), point), [point], ["doc_id"])
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, similar: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fp, component_id (the smallest doc_id that links reach).
+
+    With ``similar``, texts link whose sets of shingles have a Jaccard similarity of
+    0.8 or more: see ``near_copies``; fingerprints within ``radius`` then are candidates only.
+    """
+    if similar:
+        from docloom.llm.near_copies import near_copies
+
+        return near_copies(docs, words, seed, radius)
+    prints = cut(fingerprints(docs, words, seed))
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    return component_ids(prints, groups, shard_links(groups, radius), "fp").select("doc_id", "fp", "component_id")

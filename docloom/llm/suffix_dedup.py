@@ -359,10 +359,10 @@ def merge_windows(pieces: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many: int = HOT) -> DataFrame:
     """doc, sub, start, n: stretches of n windows from byte ``start`` on that also start earlier; ``docs`` has doc, sub, text."""
-    sorted_out = cut(sort_out(shard_runs(docs, width, shard), many))
+    sorted_out = cut(sort_out(shard_runs(docs, width, shard), many), free=True)
     wanted = sorted_out.filter("kind > 0").groupBy("doc", "sub").agg(F.collect_list(F.struct("h", "start", "n", "kind")).alias("runs"))
     found = docs.join(wanted, ["doc", "sub"]).select("doc", "sub", F.col("text").cast("binary").alias("raw"), F.explode("runs").alias("r"))
-    pieces = cut(found.select("r.h", "doc", "sub", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes")))
+    pieces = cut(found.select("r.h", "doc", "sub", "r.start", "r.kind", F.expr(f"substring(raw, r.start + 1, r.n + {width - 1})").alias("bytes")), free=True)
     merged = merge_shards(pieces.filter("kind = 1"), width).unionByName(merge_windows(pieces.filter("kind = 2"), width))
     return sorted_out.filter("kind = 0").select("doc", "sub", "start", "n").unionByName(merged)
 

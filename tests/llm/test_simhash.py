@@ -53,18 +53,20 @@ def test_forest(seed):
     assert len(S.Forest(np.zeros(0, np.uint64), np.zeros(0, int), 4).link()) == 0
 
 
-def test_components_in_spark(spark):
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_components_in_spark(spark, m):
     prints = [p if p < 2**63 else p - 2**64 for p in clustered(200, 9)]
     want = brute_components([p & (2**64 - 1) for p in prints], 4)
-    links = S.connected(S.shard_links(spark.createDataFrame([(p,) for p in prints], "fp long").distinct(), 4))
+    links = S.connected(S.shard_links(spark.createDataFrame([(p,) for p in prints], "fp long").distinct(), 4, m=m))
     root = {r.node: r.root for r in links.collect()}
     got = [root.get(p, p) for p in prints]
     assert [[a == b for b in got] for a in got] == [[a == b for b in want] for a in want]
 
 
-def test_chain_of_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)], "a long, b long")
-    assert {(r.node, r.root) for r in S.connected(links).collect()} == {(i, 0) for i in range(1, 61)} | {(200, 100), (300, 100)}
+@pytest.mark.parametrize("hub", [1, 10_000])
+def test_chain_of_components(spark, hub):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, i) for i in range(21, 400)] + [(1000, 2000), (3000, 2000), (7, 7)], "a long, b long")
+    assert {(r.node, r.root) for r in S.connected(links, hub).collect()} == {(i, 0) for i in range(1, 400)} | {(2000, 1000), (3000, 1000)}
 
 
 def test_documents(spark, odd_docs, no_docs):
