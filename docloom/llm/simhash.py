@@ -51,11 +51,9 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
     return [digest(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])]
 
 
-def fingerprint_batch(batch: list[bytes], words: int, seed: int) -> np.ndarray:
-    hashes = [shingle_hashes(t, words, seed) for t in batch]
-    sizes = np.array(list(map(len, hashes)), np.int64)
-    flat = np.array([h for own in hashes for h in own], np.uint64)
-    out = np.zeros(len(batch), np.uint64)
+def majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of ``sizes`` hashes in ``flat``: the bits set in over half of them; zero where there are none."""
+    out = np.zeros(len(sizes), np.uint64)
     if not len(flat):
         return out
     bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -65,6 +63,11 @@ def fingerprint_batch(batch: list[bytes], words: int, seed: int) -> np.ndarray:
     return out
 
 
+def fingerprint_batch(batch: list[bytes], words: int, seed: int) -> np.ndarray:
+    hashes = [shingle_hashes(t, words, seed) for t in batch]
+    return majority(np.array([h for own in hashes for h in own], np.uint64), np.array(list(map(len, hashes)), np.int64))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 

@@ -47,6 +47,46 @@ def test_near_copies(spark):
     assert N.near_copies(docs.limit(0)).count() == 0
 
 
+def test_edited_copies_of_one_text(spark):
+    """Copies with up to six edits, of which those with four or more link to nothing, and a chain away from the original."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    all_texts = [" ".join(base)]
+    for k in range(300):
+        own = list(base)
+        for i in rng.sample(range(150), k % 7):
+            own[i] = f"e{rng.randrange(40)}"
+        all_texts.append(" ".join(own))
+    chain = list(base)
+    for k in range(12):
+        chain = [*chain[:k], f"c{k}", *chain[k:]]
+        all_texts.append(" ".join(chain))
+    _, label = brute(all_texts)
+    docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in N.near_copies(docs).collect()} == dict(enumerate(label.tolist()))
+    assert len(set(label.tolist())) > 20
+
+
+def test_all_pairs_within_the_radius(spark):
+    """The trees find every pair of 0.8 or more that has different labels, at the radius of the stage."""
+    rng = random.Random(6)
+    sets = []
+    for _ in range(150):
+        base = [rng.getrandbits(64) for _ in range(rng.randint(40, 300))]
+        for _ in range(3):
+            drop = int(len(base) * rng.choice([0, 0.02, 0.05, 0.1]))
+            sets.append(sorted(set(base[drop:]) | {rng.getrandbits(64) for _ in range(drop)}))
+    prints = S.majority(np.array([h for s in sets for h in s], np.uint64), np.array(list(map(len, sets))))
+    near = {(i, j) for i, s in enumerate(sets) for j in range(i) if 5 * len(set(s) & set(sets[j])) >= 4 * len(set(s) | set(sets[j]))}
+    order = np.argsort(prints, kind="stable")
+    forest = S.Forest(prints[order], np.zeros(len(sets), int), N.RADIUS, np.arange(len(sets)))
+    found = {tuple(sorted((int(order[a]), int(order[b])), reverse=True)) for i, j in forest.pairs() for a, b in zip(i, j)}
+    assert len(near) > 100 and near <= found
+    # the trees leave nothing out that is within the radius
+    away = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    assert found == {(i, j) for i, j in np.argwhere(away <= N.RADIUS).tolist() if i > j}
+
+
 def test_stage_finds_copies_of_08(spark):
     all_texts = texts(8)
     _, label = brute(all_texts)
