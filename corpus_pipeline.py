@@ -6,8 +6,9 @@ columns of documents, except the last, which returns packed pieces:
 1. toxicity: rows whose predicted P(grade >= 1) is 0.5 or more go; the model is
    fitted on the labelled rows among the stage's input.
 2. line dedup: lines spread over ``MIN_SITES`` sources or more go from the texts.
-3. SimHash near-dedup: of each component one row stays, that with the smallest
-   doc_id, and among rows of one doc_id that of the smallest hash.
+3. SimHash near-dedup: texts link whose 5-word shingles have a Jaccard similarity
+   of 0.8 or more; of each component one row stays, that with the smallest doc_id,
+   and among rows of one doc_id that of the smallest hash.
 4. suffix-array dedup: repeated strings go from the texts; a character that is
    cut in two goes as a whole.
 5. packing: sequences of 2048 tokens.
@@ -23,10 +24,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, near_copies, packing, suffix_dedup, toxicity
+from docloom.llm import line_dedup, packing, simhash, suffix_dedup, toxicity
 from docloom.llm.common import cut, table
 from docloom.llm.queries import END_OF_DOCUMENT, MIN_SITES, severity_labels, vocabulary
 
+#: Words of a shingle, and differing bits of fingerprints of candidates, in the near-dedup stage.
+WORDS, RADIUS = 5, 24
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -45,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     held = [*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)]
     rows = docs.select(*COLUMNS).withColumns({"_row1": F.xxhash64(*held), "_row2": F.xxhash64(F.lit(11), *reversed(held))})
     point = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row1", "_row2")
-    found = near_copies.near_copies(rows.select(point.alias("doc_id"), "text")).filter("doc_id <=> component_id")
+    found = simhash.near_duplicates(rows.select(point.alias("doc_id"), "text"), words=WORDS, radius=RADIUS, similar=True).filter("doc_id <=> component_id")
     stay = found.select("doc_id._row1", "doc_id._row2").distinct()
     return rows.join(stay, ["_row1", "_row2"], "left_semi").dropDuplicates(["_row1", "_row2"]).select(*COLUMNS)
 
