@@ -3,14 +3,16 @@
 A byte goes when it lies in a string of ``width`` bytes (a window) that also
 starts earlier: in a document of smaller doc_id, or earlier in the same one.
 
-1. Every task cuts its documents into shards of about 1 MB, builds the suffix
+1. Every task cuts its documents into shards of about 1 MB (documents over 2 MB in
+   parts that overlap by a window less a byte), builds the suffix
    array of each by Larsson-Sadakane refinement, and takes Kasai common
    prefixes; that gives all repeats inside a shard.
 2. Across shards, windows are gathered by content.  The least hash of the
    37-byte strings in a window is its anchor; equal windows have equal anchors.
    Neighbouring windows with one anchor are a run, sent as two hashes: of the
    anchor and of the run's whole bytes.  Of equal runs, all but the earliest
-   are repeats; runs that share an anchor but differ are merged further.
+   are repeats, first among the runs of a task, so that a passage of every shard
+   is few rows of its anchor; runs that share an anchor but differ are merged further.
 3. For these the bytes are fetched, and the runs of an anchor meet in one merge
    shard.  Its sorted suffixes are looked up by binary search for the first
    place at which each window occurs.  Anchors with more than ``many`` different
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded, cut, small_batches, utf8
 
 WIDTH, HOT, SHARD, INDEX_BITS = 100, 2000, 1 << 20, 21
+#: Runs of a task among which equal ones are looked for before they are dealt out.
+COMBINE = 1 << 19
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 RUN = "h long, c long, doc long, sub long, start int, n int"
 NONE = -(2**63)
@@ -231,27 +235,65 @@ def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.asarray(c).view(np.int64) if getattr(c, "dtype", None) == np.uint64 else c, kinds[t]) for c, (_, t) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD) -> DataFrame:
-    """Rows of ``RUN`` from each shard: runs with windows that no earlier place of the shard has; with c null, stretches of windows that have."""
+def _shards(batch: pa.RecordBatch, width: int, shard: int) -> Iterator[list[tuple[int, int, bytes, int]]]:
+    """The batch's documents as doc, sub, bytes, first byte; a long one in parts whose windows are all its windows, each once."""
+    rows = sorted({*zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), utf8(batch.column("text")))})
+    if len(rows) > 1 or len(rows[0][2]) <= 2 * shard:
+        yield [(*r, 0) for r in rows]
+        return
+    doc, sub, text = rows[0]
+    for at in range(0, len(text) - width + 1, shard):
+        yield [(doc, sub, text[at : at + shard + width - 1], at)]
+
+
+def _repeated(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``RUN`` for windows that repeat; h only deals them out."""
+    spread = _mixed(start.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+    return pa.record_batch([pa.array(spread), pa.nulls(len(doc), pa.int64()), pa.array(doc), pa.array(sub), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["h", "c", "doc", "sub", "start", "n"])
+
+
+def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, combine: int = COMBINE) -> DataFrame:
+    """Rows of ``RUN`` from each shard: runs with windows that no earlier place of the shard has; with c null, stretches of windows that have.
+
+    Of equal runs of about ``combine`` rows of one task only the earliest goes on.
+    """
+
+    def earliest(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held, axis=1)
+        x = x[:, np.lexsort((x[4], x[3], x[2], x[1], x[0]))]
+        differs = np.ones(x.shape[1], bool)
+        differs[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+        lead = np.flatnonzero(differs)[np.cumsum(differs) - 1]
+        again = ~differs & (x[2:5] != x[2:5, lead]).any(axis=0)  # not the same document once more
+        yield _batch([*x[:4, differs], *x[4:, differs].astype(np.int32)], RUN)
+        yield _repeated(*x[2:, again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in small_batches(batches, "text", shard):
-            rows = sorted({*zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), utf8(batch.column("text")))})
-            ids, subs = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-            text, owner, ends, begin = joined([r[2] for r in rows])
-            if not len(text):
-                continue
-            again = repeats(text, ends, width)
-            at, count, h, c = runs(text, ends, width)
-            seen = np.concatenate([[0], np.cumsum(again)])
-            new = seen[at + count] - seen[at] < count
-            at, count, h, c = at[new], count[new], h[new], c[new]
-            yield _batch([h, c, ids[owner[at]], subs[owner[at]], at - begin[owner[at]], count], RUN)
-            low, high = spans(again)  # a window ends inside its document, so no stretch goes on in the next one
-            if len(low):
-                spread = _mixed(low.astype(np.uint64) + ids[owner[low]].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
-                rest = [pa.array(x, pa.int32()) for x in (low - begin[owner[low]], high - low)]
-                yield pa.record_batch([pa.array(spread), pa.nulls(len(low), pa.int64()), pa.array(ids[owner[low]]), pa.array(subs[owner[low]]), *rest], ["h", "c", "doc", "sub", "start", "n"])
+            for rows in _shards(batch, width, shard):
+                ids, subs, offsets = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
+                text, owner, ends, begin = joined([r[2] for r in rows])
+                if not len(text):
+                    continue
+                begin = begin - offsets
+                again = repeats(text, ends, width)
+                at, count, h, c = runs(text, ends, width)
+                seen = np.concatenate([[0], np.cumsum(again)])
+                new = seen[at + count] - seen[at] < count
+                at, count, h, c = at[new], count[new], h[new], c[new]
+                own = owner[at]
+                held.append(np.stack([h.view(np.int64), c.view(np.int64), ids[own], subs[own], at - begin[own], count]))
+                size += len(at)
+                low, high = spans(again)  # a window ends inside its document, so no stretch goes on in the next one
+                if len(low):
+                    yield _repeated(ids[owner[low]], subs[owner[low]], low - begin[owner[low]], high - low)
+                if size > combine:
+                    yield from earliest(held)
+                    held, size = [], 0
+        if held:
+            yield from earliest(held)
 
     return docs.mapInArrow(run, RUN)
 
@@ -367,12 +409,16 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, ma
     return sorted_out.filter("kind = 0").select("doc", "sub", "start", "n").unionByName(merged)
 
 
-def _gone(size: int, start: list[int], n: list[int], width: int) -> np.ndarray:
-    step = np.zeros(size + 1, np.int64)
-    low = np.minimum(np.array(start, np.int64), size)
-    np.add.at(step, low, 1)
-    np.add.at(step, np.minimum(low + np.array(n, np.int64) + width - 1, size), -1)
-    return np.cumsum(step)[:-1] > 0
+def covered(size: int, start: list[int], n: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that the stretches of windows cover."""
+    if not start:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = np.array(start, np.int64)
+    by = np.argsort(low, kind="stable")
+    low, high = low[by], np.minimum((low + np.array(n, np.int64) + width - 1)[by], size)
+    reach = np.maximum.accumulate(high)
+    head = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+    return low[head], reach[np.append(head[1:], len(low)) - 1]
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many: int = HOT, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -396,9 +442,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, many
         for batch in small_batches(batches, "text"):
             out: list[list] = []
             for raw, start, n in zip(utf8(batch.column("text")), batch.column("_start").to_pylist(), batch.column("_n").to_pylist()):
-                gone = _gone(len(raw), start or [], n or [], width)
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if start else raw
-                out.append([len(raw), len(raw) - len(kept), len(spans(gone)[0]), kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")])
+                low, high = covered(len(raw), start or [], n or [], width)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *high.tolist()], [*low.tolist(), len(raw)])) if len(low) else raw
+                out.append([len(raw), len(raw) - len(kept), len(low), kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")])
             yield pa.record_batch([*(batch.column(c) for c in shown), *(pa.array([r[i] for r in out], k) for i, k in enumerate(new.values()))], [*shown, *new])
 
     return both.mapInArrow(run, schema)

@@ -90,3 +90,23 @@ def test_repeated_and_shared_ids(spark, seed, shard, hot):
     want = sorted(((d, t, left(d, t)) for d, t in docs + docs[::2] + docs[::3]), key=repr)
     got = S.remove_repeats(rows, shard=shard, many=hot).select("doc_id", "n_bytes", "kept").collect()
     assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in got), key=repr) == sorted(((d, len(t.encode()), k) for d, t, k in want), key=repr)
+
+
+def test_long_documents(spark):
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=700))
+    docs = [(1, "".join(rng.choices("ab", k=9000)) + passage), (2, passage * 12 + "q" * 5000 + passage[100:600]), (3, "x" * 150), (4, "".join(rng.choices("abcdefgh ", k=20_000)) + passage[:99])]
+    want = brute([(d, t.encode()) for d, t in docs], 100)
+    for shard in (500, 1500):
+        got = {r.doc_id: (bytes(r.kept), r.n_spans) for r in S.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shard=shard).collect()}
+        assert got == {d: (bytes(np.frombuffer(t.encode(), np.uint8)[~want[d]]), len(S.spans(want[d])[0])) for d, t in docs}
+
+
+@pytest.mark.parametrize("combine", [1, 50])
+def test_runs_of_one_task(spark, combine):
+    docs = corpus(5, 40)
+    rows = spark.createDataFrame(docs + docs[::3], "doc long, text string").selectExpr("doc", "xxhash64(text) AS sub", "text").coalesce(1)
+    few = S.sort_out(S.shard_runs(rows, shard=800, combine=combine)).filter("kind = 0").select("doc", "start", "n").distinct().collect()
+    many = S.sort_out(S.shard_runs(rows, shard=800, combine=1 << 30)).filter("kind = 0").select("doc", "start", "n").distinct().collect()
+    places = lambda found: {(r.doc, r.start + k) for r in found for k in range(r.n)}
+    assert places(few) == places(many) != set()
