@@ -9,8 +9,8 @@ starts earlier: in a document of smaller doc_id, or earlier in the same one.
    prefixes; that gives all repeats inside a shard.
 2. Across shards, windows are gathered by content.  The least hash of the
    37-byte strings in a window is its anchor; equal windows have equal anchors.
-   Neighbouring windows with one anchor are a run, sent as two hashes: of the
-   anchor and of the run's whole bytes.  Of equal runs, all but the earliest
+   Neighbouring windows with one anchor are a run, sent as two hashes of different
+   kinds: of the anchor and of the run's whole bytes.  Of equal runs, all but the earliest
    are repeats, first among the runs of a task, so that a passage of every shard
    is few rows of its anchor; runs that share an anchor but differ are merged further.
 3. For these the bytes are fetched, and the runs of an anchor meet in one merge
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,11 +190,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def runs(text: np.ndarray, ends: np.ndarray, width: int = WIDTH, spread: int = 64) -> tuple[np.ndarray, ...]:
-    """Runs of neighbouring windows with one anchor: start, number of windows, hash of the anchor, hash of the run."""
+    """Runs of neighbouring windows with one anchor: start, number of windows, hash of the anchor."""
     gram, n = width - spread + 1, len(text)
     starts = n - width + 1
     if starts <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
     total, inverse = _prefix_hash(text)
     exact = _mixed((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
     place = max(INDEX_BITS, n.bit_length())
@@ -211,9 +212,13 @@ def runs(text: np.ndarray, ends: np.ndarray, width: int = WIDTH, spread: int = 6
     # windows over a document's end are no windows
     count = np.minimum(count, np.maximum(ends[at] - width + 1 - at, 0))
     at, count = at[count > 0], count[count > 0]
-    stop = at + count - 1 + width
-    whole = (total[stop] - total[at]) * inverse[at] + (anchor[at] - at).astype(np.uint64) * np.uint64(_BASE) + count.astype(np.uint64)
-    return at, count, exact[anchor[at]], _mixed(whole)
+    return at, count, exact[anchor[at]]
+
+
+def run_hashes(raw: bytes, at: np.ndarray, count: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """XXH3 of each run's bytes: of another kind than the hash of its anchor, so that bytes made to collide in one don't in the other."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(at.tolist(), (at + count - 1 + width).tolist())), np.uint64, len(at))
 
 
 def spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,10 +284,11 @@ def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, combine:
                     continue
                 begin = begin - offsets
                 again = repeats(text, ends, width)
-                at, count, h, c = runs(text, ends, width)
+                at, count, h = runs(text, ends, width)
                 seen = np.concatenate([[0], np.cumsum(again)])
                 new = seen[at + count] - seen[at] < count
-                at, count, h, c = at[new], count[new], h[new], c[new]
+                at, count, h = at[new], count[new], h[new]
+                c = run_hashes(text.tobytes(), at, count, width)
                 own = owner[at]
                 held.append(np.stack([h.view(np.int64), c.view(np.int64), ids[own], subs[own], at - begin[own], count]))
                 size += len(at)
