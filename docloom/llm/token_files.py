@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import encoded
-from docloom.llm.common import bounded, work_dir
+from docloom.llm.common import bounded, cut, work_dir
+from docloom.storage import remove
 
 #: Tokens of one block of the scan.
 BLOCK = 1 << 16
@@ -99,7 +100,7 @@ def names_of_token_files(spark: SparkSession, folder: str, separator: int, dtype
 def token_counts(docs: DataFrame, path: str, separator: int, dtype: str = "<u2") -> DataFrame:
     """Writes ``docs`` as token files into the shared folder, scans them: doc_id, n_tokens, file_no, ordinal, start.
 
-    One row for each row of ``docs``; an empty table gives none.
+    The files are removed once the result is kept by a checkpoint.  One row for each row of ``docs``; an empty table gives none.
     """
     spark = docs.sparkSession
     folder = work_dir(spark, "tokens")
@@ -109,4 +110,6 @@ def token_counts(docs: DataFrame, path: str, separator: int, dtype: str = "<u2")
     found = scan_token_files(spark, f"{folder}/kind=tokens", separator, dtype)
     names = names_of_token_files(spark, f"{folder}/kind=names", separator, dtype)
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no")
-    return found.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", number, "ordinal", "start")
+    out = cut(found.join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", number, "ordinal", "start"))
+    remove(spark, folder)
+    return out

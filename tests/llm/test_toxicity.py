@@ -26,6 +26,21 @@ def test_held_out(spark):
     assert severe > 3 * mild
 
 
+def test_held_out_recall_and_severity(spark):
+    """Fitted on three quarters of the labelled rows of sf0.1, judged on the last quarter."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = T.fit(docs, Q.severity_labels(labels.filter("doc_id % 4 <> 0")))
+    held = Q.severity_labels(labels.filter("doc_id % 4 = 0"))
+    rows = T.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), model).join(held, "doc_id").collect()
+    found = {g: [r.toxic for r in rows if r.grade == g] for g in (0, 1, 2)}
+    toxic = found[1] + found[2]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(found[0]) <= 0.01 * len(found[0])
+    mean = {g: np.mean([r.severity for r in rows if r.grade == g]) for g in (0, 1, 2)}
+    assert mean[0] < 0.1 and min(mean[1], mean[2]) > 0.7  # the grades' own means are 0, 1 and 2
+    assert abs(np.mean([r.p_toxic for r in rows]) - len(toxic) / len(rows)) < 0.02  # calibrated in the large
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, None if i == 3 else 1, int(i in (1, 2))) for i in range(20)] + [(None, 1, 1), (200, 0, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
     model = T.fit(odd_docs, Q.severity_labels(labels))
