@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.catalog import Collections
+
 #: Fixed value: share of changed chunks over which a document is processed anew.
 REPROCESS = 0.5
 
@@ -51,3 +53,22 @@ def added_lines(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFram
     count = lambda df, n: df.select(key, F.explode(F.split(text, "\n")).alias("line")).groupBy(key, "line").agg(F.count("*").alias(n))
     both = count(new, "n_new").join(count(old, "n_old"), [key, "line"], "left")
     return both.withColumn("n", F.col("n_new") - F.coalesce("n_old", F.lit(0))).filter("n > 0").select(key, "line", "n")
+
+
+class State:
+    """What is known of processed documents, kept between runs as the collection ``name`` (key and ``columns``)."""
+
+    def __init__(self, kept: Collections, name: str, key: str, *columns: str):
+        self.kept, self.name, self.key, self.columns = kept, name, key, columns
+
+    def due(self, docs: DataFrame) -> DataFrame:
+        """Rows of ``docs`` that are new, or differ from the last run."""
+        return changed(self.kept.read(self.name), docs, self.key, *self.columns) if self.kept.exists(self.name) else docs
+
+    def done(self, docs: DataFrame) -> None:
+        """Notes that ``docs`` have been processed as they are now."""
+        rows = docs.select(self.key, *self.columns)
+        if self.kept.exists(self.name):
+            self.kept.upsert(self.name, rows, self.key)
+        else:
+            self.kept.create(self.name, rows)

@@ -3,21 +3,37 @@
 A table of signs of ``bits`` projections gives each vector a bucket in each of
 ``tables`` tables; a query looks into its own buckets and those one bit away,
 and what it finds is ranked exactly.  All rows are indexed.
+
+Bits grow with the number of rows, so that an even bucket keeps ``PER_BUCKET``
+rows, and tables with the bits, so that a row at ``ANGLE`` degrees from the query
+is found with probability ``FOUND``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.bm25 import top
 from docloom.operators.vector import cosine_of
 
 
+PER_BUCKET, ANGLE, FOUND = 64, 60, 0.995
+
+
+def sizes(n_rows: int) -> tuple[int, int]:
+    """Bits and tables for so many rows."""
+    bits = max(8, math.ceil(math.log2(max(n_rows, 1) / PER_BUCKET)))
+    same = 1 - ANGLE / 180
+    hit = same**bits + bits * same ** (bits - 1) * (1 - same)  # own bucket, or one bit away
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - hit))
+
+
 def buckets(rows: DataFrame, key: str, vector: str, bits: int, tables: int, near: bool, seed: int = 7) -> DataFrame:
     """id, bucket (table and signs): one row a table, or with ``near`` also the buckets one bit away."""
 
@@ -36,10 +52,17 @@ def buckets(rows: DataFrame, key: str, vector: str, bits: int, tables: int, near
     return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id long, bucket long")
 
 
-def candidates(queries: DataFrame, rows: DataFrame, k: int, bits: int = 8, tables: int = 24) -> DataFrame:
-    """query_id, vec_id, score, rank: the best of what the buckets hold."""
+def pairs_of(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, vec_id: what the queries find in their buckets."""
+    bits, tables = sizes(rows.select("vec_id").count())
     q = buckets(queries, "query_id", "embedding", bits, tables, True).withColumnRenamed("id", "query_id")
     x = buckets(rows, "vec_id", "embedding", bits, tables, False).withColumnRenamed("id", "vec_id")
-    pairs = q.join(x, "bucket").select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(rows.select("vec_id", F.col("embedding").alias("b")), "vec_id")
-    return top(scored.select("query_id", "vec_id", F.round(cosine_of(F.col("a"), F.col("b")), 6).alias("score")), k, "query_id", F.desc("score"), "vec_id")
+    return q.join(x, "bucket").select("query_id", "vec_id").distinct()
+
+
+def candidates(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, n_found (rows the query met), rank: the best of what the buckets hold."""
+    vectors = rows.select("vec_id", F.col("embedding").alias("b"))
+    scored = pairs_of(queries, rows).join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(vectors, "vec_id")
+    scored = scored.select("query_id", "vec_id", F.round(cosine_of(F.col("a"), F.col("b")), 6).alias("score"))
+    return top(scored.withColumn("n_found", F.count("*").over(Window.partitionBy("query_id"))), k, "query_id", F.desc("score"), "vec_id")

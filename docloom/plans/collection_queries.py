@@ -171,13 +171,15 @@ def upsert_documents(t: Tables) -> DataFrame:
 
 @query()
 def ann_lsh_recall(t: Tables) -> DataFrame:
-    """Recall at 10 of an index by random hyperplanes, against exact search: one row for each query."""
+    """Recall at 10 of an index by random hyperplanes against exact search, and the share of all rows that a query met: one row for each query."""
     from docloom.operators.lsh import candidates
 
     queries = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = vector.top_k(queries, t.embeddings, 10, "cosine").select("query_id", "vec_id")
-    found = candidates(queries, t.embeddings, 10).select("query_id", "vec_id").withColumn("hit", F.lit(1))
-    return exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    found = candidates(queries, t.embeddings, 10).select("query_id", "vec_id", "n_found")
+    n = t.embeddings.agg(F.count("*").alias("n"))
+    each = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.col("n_found").isNotNull().cast("int")), 4).alias("recall"), F.max("n_found").alias("n_found"))
+    return each.crossJoin(F.broadcast(n)).select("query_id", "recall", F.round(F.col("n_found") / F.col("n"), 4).alias("scanned"))  # one row
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY event_type")

@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docloom.functions import dispatch as D
-from docloom.operators import bm25, boundaries as B, chunkers
+from docloom.functions import chunking as C, dispatch as D
+from docloom.operators import bm25, boundaries as B, chunkers, incremental as I, vector
 from docloom.operators.catalog import Collections
+from docloom.operators.incremental import State
 from docloom.operators.search import Request, search
-from docloom.plans import chunk_queries as Q, retrieval_queries as R
+from docloom.plans import chunk_queries as Q, collection_queries as K, retrieval_queries as R
 from docloom.plans.registry import query
 from docloom.plans.text_queries import SQL_HTML, TEXT_FEATURES
+from docloom.sources.files import converted
 from docloom.storage import fresh_folder, remove, settled
 from docloom.tables import Tables
 
@@ -136,6 +138,58 @@ def collection_catalog(t: Tables) -> DataFrame:
     return out
 
 
+@query(f"""WITH {K.V2} SELECT 1 AS run, count(*) AS n_due FROM documents UNION ALL
+    SELECT 2, count(*) FROM v2 v JOIN documents d ON d.doc_id = v.doc_id WHERE md5(v.text) <> md5(d.text) UNION ALL SELECT 3, 0""")
+def incremental_runs(t: Tables) -> DataFrame:
+    """Documents due in three runs that share a stored state: all, those edited, none."""
+    root = fresh_folder(t.spark, "state")
+    state = State(Collections(t.spark, root), "documents", "doc_id", "hash")
+    old, new = (df.select("doc_id", F.md5("text").alias("hash")) for df in (t.documents, K.edited(t)))
+    counts = []
+    for number, docs in enumerate((old, new, new), 1):
+        counts.append((number, state.due(docs).count()))
+        state.done(docs)
+    remove(t.spark, root)
+    return t.spark.createDataFrame(counts, "run int, n_due long")
+
+
+_SEGMENTS = "(SELECT doc_id, md5(x) AS hash FROM (SELECT doc_id, unnest(list_transform(range(0, length(text), 300), lambda i: substr(text, i + 1, 300))) AS x FROM {0}))"
+
+
+@query(f"""WITH {K.V2}, a AS {_SEGMENTS.format('documents')}, b AS {_SEGMENTS.format('v2')},
+    diff AS (SELECT doc_id, hash, CASE WHEN x.p IS NULL THEN 'added' WHEN y.q IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT *, 1 AS p FROM a) x FULL JOIN (SELECT DISTINCT *, 1 AS q FROM b) y USING (doc_id, hash)),
+    n AS (SELECT doc_id, count(*) FILTER (WHERE change = 'added') AS n_added, count(*) FILTER (WHERE change = 'unchanged') AS n_unchanged, count(*) AS n_new FROM b JOIN diff USING (doc_id, hash) GROUP BY doc_id),
+    o AS (SELECT doc_id, count(*) FILTER (WHERE change = 'removed') AS n_removed, count(*) AS n_old FROM a JOIN diff USING (doc_id, hash) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n_old IS NULL THEN 'new' WHEN coalesce(n_added, 0) + n_removed = 0 THEN 'unchanged' WHEN coalesce(n_added, 0) + n_removed > coalesce(n_new, 0) * 0.5 THEN 'reprocess' ELSE 'update' END AS status,
+        coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed FROM n FULL JOIN o USING (doc_id)""")
+def large_document_segments(t: Tables) -> DataFrame:
+    """Documents cut into segments, and what of them must be processed anew."""
+    cut = lambda df: I.hashed_chunks(df.filter("text <> ''"), "doc_id", C.windows(F.col("text"), 300))
+    return I.status(cut(t.documents), cut(K.edited(t)), "doc_id").select("doc_id", "status", "n_added", "n_removed")
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN file_type = 'html' THEN '# ' || text WHEN file_type = 'md' THEN text ELSE text END) AS hash, file_type NOT IN ('html', 'md') AS conversion_failed,
+    CASE WHEN file_type NOT IN ('html', 'md') THEN 'LookupError: ' || file_type END AS error FROM {_TYPED}""")
+def convert_documents(t: Tables) -> DataFrame:
+    """Conversion to markdown; types without a converter keep their raw text and are marked."""
+
+    def convert(text: str, file_type: str) -> str:
+        if file_type not in ("html", "md"):
+            raise LookupError(file_type)
+        return text if file_type == "md" else "# " + text
+
+    return converted(typed(t), convert).select("doc_id", F.md5("markdown").alias("hash"), "conversion_failed", "error")
+
+
+@query(f"""SELECT query_id, vec_id AS doc_id, vec_id || '_chunk_0' AS chunk_id, left(d.text, 80) AS text, d.lang, score AS distance FROM ({R._knn_sql("sqrt(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))", R._NEAR)}) h
+    JOIN documents d ON d.doc_id = h.vec_id""")
+def vector_search_rows(t: Tables) -> DataFrame:
+    """Hits with what is stored of them: text, metadata and distance."""
+    hits = vector.top_k(R.vector_queries(t), t.embeddings, 10, "l2").withColumnRenamed("vec_id", "doc_id").withColumnRenamed("score", "distance")
+    chunk = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_0")).alias("chunk_id")
+    return hits.join(t.documents, "doc_id").select("query_id", "doc_id", chunk, F.left("text", F.lit(80)).alias("text"), "lang", "distance")
+
+
 @query("SELECT 'segments' AS step, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_failed FROM documents WHERE text <> ''")
 def observed_run(t: Tables) -> DataFrame:
     """Figures of a run that Spark gathers while the rows go by."""

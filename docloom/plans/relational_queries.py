@@ -6,6 +6,7 @@ user_role is (c_custkey, c_nationkey).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,17 @@ def term_filter(spec: dict) -> Column:
     raise ValueError(f"unknown filter: {kind}")
 
 
+EXPRESSION = re.compile(r"""\s*(\w+)\s*==\s*(?:'([^']*)'|"([^"]*)")\s*""")
+
+
+def expression_filter(text: str) -> Column:
+    """The predicate of an expression such as ``lang == 'en'``; any other form is an error."""
+    m = EXPRESSION.fullmatch(text)
+    if not m:
+        raise ValueError(f"no filter expression of the form key == 'value': {text!r}")
+    return F.col(m[1]).cast("string") == (m[2] if m[2] is not None else m[3])
+
+
 def user_role(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("role_id"))
 
@@ -97,6 +109,11 @@ def filter_metadata(t: Tables) -> DataFrame:
     return t.events.join(F.broadcast(first), "event_type", "left_semi").withColumn("k", k).filter(F.col("k").isin(1, 2, 3)).select("event_id", "event_type", "k")  # one row
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de'")
+def filter_expression(t: Tables) -> DataFrame:
+    return t.documents.filter(expression_filter("lang == 'de'")).select("doc_id", "lang")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('fr', 'de') AND n_chars >= 500 AND n_chars < 5000 AND NOT source = 'src0' AND (source = 'src1' OR source = 'src2')")
 def filter_es_term(t: Tables) -> DataFrame:
     spec = {"bool": {"must": [{"terms": {"lang": ["fr", "de"]}}, {"range": {"n_chars": {"gte": 500, "lt": 5000}}}], "must_not": [{"term": {"source": "src0"}}], "should": [{"term": {"source": "src1"}}, {"term": {"source": "src2"}}]}}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.boundaries import apply_or
+
 Reader = Callable[..., DataFrame]
 _SOURCES: dict[str, Reader] = {}
 
@@ -26,6 +28,24 @@ def read(spark: SparkSession, name: str, **options: object) -> DataFrame:
     return _SOURCES[name](spark, **options)
 
 
+def remove_source(name: str) -> bool:
+    """False where there is no such source."""
+    return _SOURCES.pop(name, None) is not None
+
+
+def sources() -> list[str]:
+    return sorted(_SOURCES)
+
+
+def health(spark: SparkSession, name: str, **options: object) -> dict[str, object]:
+    """name, healthy, error: whether the source can be opened and gives a row or none."""
+    try:
+        read(spark, name, **options).limit(1).count()
+        return {"name": name, "healthy": True, "error": None}
+    except Exception as e:  # whatever keeps the source from being read is the answer
+        return {"name": name, "healthy": False, "error": f"{type(e).__name__}: {str(e)[:200]}"}
+
+
 @source("text")
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (MD5 of the path), file_path, file_type, text: one row a file (txt, md, html)."""
@@ -55,6 +75,12 @@ def jdbc(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 
 
+def converted(rows: DataFrame, convert: Callable[[str, str], str], key: str = "doc_id", text: str = "text", file_type: str = "file_type") -> DataFrame:
+    """key, markdown, conversion_failed, error: ``convert(text, file_type)`` of each row; one that fails keeps its raw text, and the job goes on."""
+    found = apply_or(rows, key, [text, file_type], convert, lambda x, _: x, "string")
+    return found.select(key, F.col("value").alias("markdown"), F.col("error").isNotNull().alias("conversion_failed"), "error")
+
+
 def write_text(rows: DataFrame, path: str, text: str = "text") -> None:
     rows.select(F.col(text).alias("value")).write.text(path)
 

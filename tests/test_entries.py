@@ -7,6 +7,8 @@ from docloom.functions import dispatch as D
 from docloom.operators import bm25, boundaries as B, chunkers, vector
 from docloom.operators.catalog import Collections
 from docloom.operators.search import Request
+from docloom.plans.relational_queries import expression_filter
+from docloom.sources import files
 from docloom.storage import remove, shared_folder
 from docloom.tables import spread
 
@@ -108,3 +110,22 @@ def test_spread(spark, tmp_path):
 def test_shared_folder(spark, tmp_path):
     assert shared_folder(spark)
     assert remove(spark, f"{tmp_path}/nothing") is False
+
+
+def test_expressions(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x int, y string")
+    assert [r.x for r in df.filter(expression_filter(" y == 'a' ")).collect()] == [1] and [r.x for r in df.filter(expression_filter('x == "2"')).collect()] == [2]
+    for bad in ("y > 1", "y == a", "y == 'a' or 1 == 1", ""):
+        with pytest.raises(ValueError):
+            expression_filter(bad)
+
+
+def test_sources(spark, tmp_path):
+    @files.source("mine")
+    def mine(session, n):
+        return session.range(n)
+
+    assert "mine" in files.sources() and files.health(spark, "mine", n=3)["healthy"] and not files.health(spark, "parquet", path=f"{tmp_path}/none")["healthy"]
+    assert files.remove_source("mine") and not files.remove_source("mine")
+    with pytest.raises(ValueError):
+        files.read(spark, "mine", n=1)
