@@ -17,7 +17,7 @@ KINDS = (
     ("heading", re.compile(r"^(#{1,6})\s+(.+)$", re.M), 1.0),
     ("heading", re.compile(r"<h([1-6])>(.*?)</h\1>", re.S), 1.0),
     ("code", re.compile(r"```.*?```", re.S), 0.9),
-    ("table", re.compile(r"(?:^\|[^\n]+\|$\n?){2,}", re.M), 0.9),
+    ("table", re.compile(r"\|[^\n]+\|\n(?:\|[-:]+)+\|\n(?:\|[^\n]+\|\n?)+"), 0.9),
     ("section", re.compile(r"\n{3,}"), 0.9),
     ("paragraph", re.compile(r"\n\n+"), 0.8),
     ("rule", re.compile(r"^(?:---|\*\*\*|___)\s*$", re.M), 0.8),

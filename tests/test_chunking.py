@@ -97,3 +97,8 @@ def test_code_and_sections():
     assert B.semantic_sections("# A\ntext\n```\n# no heading\n```\n# B\nmore", 20) == ["# A\ntext\n```\n# no heading\n```", "# B\nmore"]
     assert B.generic_sections("Intro:\nbody one\nbody two\nNEXT\nlast words here") == [{"heading": "Intro:", "text": "body one\n\nbody two"}, {"heading": "NEXT", "text": "last words here"}]
     assert B.diff_sections("a\nb\nc", "a\nx\nb\nc") == ["x\nb\nc"]
+
+
+def test_a_table_has_a_separator_row():
+    kinds = lambda text: [b["type"] for b in B.boundaries(text)]
+    assert "table" in kinds("x\n|a|b|\n|---|:-:|\n|1|2|\n|3|4|\n") and "table" not in kinds("|a|b|\n|1|2|\n")
