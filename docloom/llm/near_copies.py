@@ -222,12 +222,12 @@ def near_copies(docs: DataFrame, words: int = 5, seed: int = 42, radius: int = R
     sizes = groups.select("sid", F.col("size").alias("n"), "fp", "first")
     index = cut(rare_index(shared_shingles(docs, words, seed), sizes), free=True)
     # the whole sets of the texts that are compared, each from one of its rows
-    index = cut(index.join(index.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "h", "left_semi"))
+    index = cut(index.join(index.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "h", "left_semi"), free=True)
     pairs = cut(_pairs(index.withColumn("label", F.lit(0).cast("long")), False, radius))
     links = cut(_verified(pairs, _sets_of(pairs, docs, sizes, words, seed)), free=True)
     roots = connected(links)
     labelled = index.join(roots, index["sid"] == roots["node"], "left").select("h", "sid", "n", "rest", "fp", F.coalesce("root", "sid").alias("label"))
-    pairs = cut(_pairs(labelled, True, radius))
+    pairs = cut(_pairs(labelled, True, radius), free=True)
     more = cut(_verified(pairs, _sets_of(pairs, docs, sizes, words, seed)), free=True)
     return component_ids(ids, groups, links.unionByName(more), "sid").select("doc_id", "fp", "component_id")
 
