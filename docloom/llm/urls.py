@@ -101,13 +101,16 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """part, token: each ``hosts.part`` with the words of its labels."""
+    """part, token: each ``hosts.part`` with the words of its runs of a-z, and its runs of other letters and digits; numbers are one token."""
     labels = hosts.select("part", F.explode(F.filter(F.split("part", "[^a-z]+"), lambda x: x != "")).alias("label"))
     pieces = F.transform(F.sequence(F.lit(0), F.length("label") - 1, F.lit(NAME)), lambda i: F.substring(F.col("label"), i + 1, F.lit(NAME)))
     labels = labels.select("part", F.explode(pieces).alias("label"))
     words = segmented(labels.select("label").distinct(), counts)
     hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
-    return salted_join(labels, words, hot, ["label"], ["part"]).select("part", F.explode("words").alias("word")).select("part", F.concat(F.lit("h:"), "word").alias("token"))
+    named = salted_join(labels, words, hot, ["label"], ["part"]).select("part", F.explode("words").alias("word"))
+    others = hosts.select("part", F.explode(F.filter(F.split("part", r"[^\p{L}\p{N}&&[^a-z]]+"), lambda x: x != "")).alias("word"))
+    others = others.select("part", F.when(F.col("word").rlike("^[0-9]+$"), F.lit("#")).otherwise(F.col("word")).alias("word"))
+    return named.unionByName(others).select("part", F.concat(F.lit("h:"), "word").alias("token"))
 
 
 def path_tokens(paths: DataFrame) -> DataFrame:

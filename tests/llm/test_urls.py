@@ -30,6 +30,7 @@ URLS = [
     None, "", "no scheme", "http://a.org", "http://A.ORG/", "http://a.org?x=/", "https://example.org/es/1", "https://x.example.org/es/", "https://badexample.org/es/", "http://example.org/en/123", "http://example.org/en/21",
     "http://s.com/fr/", "http://s.com/fr", "http://com/de/x#y", "ftp://u@h.net:80/en/1?q=://z", "http://t.net/a://b", "x://y.com\n/fr/", "http://riverstone.net/cloud", "http://stoneriver.net/cloud", "http://spamfarm.net/buy/now/7",
     "http://example.org/es/buy", "http://spam.s.com/de/buy", "http://good.org/cloud/river", "http://ÉCOLE.net/é",
+    "http://" + "riverstone" * 600 + ".net/x", "http://river24stone.net/", "http://192.168.0.1/", "http://s7é漢字.org/", "http://mail2.s.com/de/1",
 ]
 
 
@@ -60,6 +61,7 @@ def test_judge(spark):
 
         labels = [x for x in regex.split("[^a-z]+", host) if x]
         words = [f"h:{w}" for x in labels for w in U.best_words(x, cost, math.log(n))]
+        words += ["h:#" if regex.fullmatch("[0-9]+", x) else f"h:{x}" for x in regex.findall(r"(?:(?![a-z])[\p{L}\p{N}])+", host)]
         return words + ["p:#" if regex.fullmatch("[0-9]+", x) else f"p:{x}" for x in regex.split(r"[^\p{L}\p{N}]+", path.lower()) if x]
 
     seen = {"block": {}, "allow": {}}
