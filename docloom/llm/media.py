@@ -1,9 +1,11 @@
 """Media columns: payloads as lossless WebP images, read back into pixels and features.
 
-A payload's bytes are the green channel of images 64 pixels wide and up to 256
-high, one file after the other, the other channels constant; so a very long
-text is many small images.  Images of up to 16 distinct bytes get a palette,
-rows that repeat an earlier row a back-reference.
+A payload's bytes are the samples of images, four to a pixel (blue, green, red,
+alpha), 16 pixels wide and up to 256 high, one file after the other; so a very
+long text is many small images.  What an image uses follows from its content, where
+it is estimated to save bits: a predictor (left or top), a cross-colour factor, a
+palette of up to 256 colours, a colour cache; rows that repeat an earlier row are
+back-references.
 
 Null and empty texts are 64 zero bytes.  Equal texts give equal files.  An
 empty table gives no rows; further columns are ignored.
@@ -23,7 +25,12 @@ from pyspark.sql import functions as F
 from docloom.llm import webp
 from docloom.llm.common import bounded, small_batches, utf8
 
-ROW, TILE = 64, 64 * 256
+#: Bytes of a row and of an image, pixels of a row.
+ROW, TILE, ACROSS = 64, 64 * 256, 16
+#: Bits of the colour cache, where there is one, and hits from which it pays.
+CACHE_BITS, HITS = 8, 100
+#: Share of the plain cost that a transform must save, and factors of the cross-colour transform that are tried.
+SAVING, FACTORS = 0.1, (16, 32)
 
 
 def padded(data: bytes) -> bytes:
@@ -49,7 +56,7 @@ def _copies(data: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(begins)
     count = np.diff(np.append(first, len(at)))
     # a copy has 4096 pixels at most
-    most = 4096 // ROW
+    most = 4096 // ACROSS
     pieces = -(-count // most)
     k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     return np.repeat(at[first], pieces) + k * most, np.minimum(np.repeat(count, pieces) - k * most, most), np.repeat(back[first], pieces)
@@ -80,99 +87,180 @@ def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(pixels[e - len(own) : e]) for e, own in zip(ends, parts)]
 
 
+def _cost(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Bits of each document's values (bytes) by their entropy."""
+    counts = np.bincount(doc * 256 + (values & 255), minlength=256 * n).reshape(n, 256)
+    total = counts.sum(1)
+    return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)
+
+
+def _transformed(tiles: list[bytes], writers: list[webp.Writer]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The images to code, one for each tile, after the transforms that pay; these are written.  And which are of one colour."""
+    n, sizes = len(tiles), np.array([len(t) // 4 for t in tiles])
+    pixels = np.frombuffer(b"".join(tiles), "<u4")
+    doc = np.repeat(np.arange(n), sizes)
+    c = webp._channels(pixels.reshape(-1, ACROSS))
+    rows = np.repeat(np.arange(n), sizes // ACROSS)
+    first = np.concatenate([[True], rows[1:] != rows[:-1]])
+    cost = lambda x: sum(_cost(x[..., k].ravel(), doc, n) for k in range(4))
+    plain = cost(c)
+    # what left and top leave, as the transform has it: the first column by the pixel above, the first row by the one before
+    above, before = np.roll(c, 1, axis=0), np.roll(c, 1, axis=1)
+    above[first] = 0
+    left, top = c - before, c - above
+    left[:, 0], top[first] = c[:, 0] - above[:, 0], left[first]
+    left[first, 0], top[first, 0] = c[first, 0], c[first, 0]
+    by_left, by_top = cost(left), cost(top)
+    mode = np.where((by_left <= by_top) & (by_left < (1 - SAVING) * plain), webp.LEFT, np.where(by_top < (1 - SAVING) * plain, webp.TOP, 0))
+    # red and blue less a multiple of green
+    green = c[..., 2]
+    best, factor = [None, None], np.zeros((2, n), np.int64)
+    for k, channel in enumerate((1, 3)):
+        best[k] = (1 - SAVING) * _cost(c[..., channel].ravel(), doc, n)
+        for f in FACTORS:
+            less = _cost((c[..., channel] - (f * ((green ^ 128) - 128) >> 5)).ravel(), doc, n)
+            factor[k], best[k] = np.where(less < best[k], f, factor[k]), np.minimum(less, best[k])
+    by = np.lexsort((pixels, doc))
+    new = np.concatenate([[True], (pixels[by[1:]] != pixels[by[:-1]]) | (doc[by[1:]] != doc[by[:-1]])])
+    colours = np.bincount(doc[by[new]], minlength=n)
+    # a palette's own colours cost about 32 bits each, an index as much as its entropy
+    runs = np.diff(np.append(np.flatnonzero(new), len(by)))
+    index_cost = sizes * np.log2(np.maximum(sizes, 1)) - np.bincount(doc[by[new]], runs * np.log2(runs), minlength=n)
+    palette = (colours <= 256) & (index_cost + 32 * colours < (1 - SAVING) * np.minimum(plain, np.minimum(by_left, by_top)))
+    out, ends = [], np.cumsum(sizes)
+    for i, (w, low, high) in enumerate(zip(writers, (ends - sizes).tolist(), ends.tolist())):
+        own = pixels[low:high].reshape(-1, ACROSS).astype(np.uint32)
+        if palette[i]:
+            values, index = np.unique(own, return_inverse=True)
+            webp.write_palette(w, values)
+            own = webp.packed_index(index.reshape(own.shape), webp.packing_bits(len(values))).astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+        elif mode[i]:
+            w.bits(1 | webp.PREDICTOR << 1 | 7 << 3, 6)  # one block
+            webp.write_image(w, np.full((1, 1), int(mode[i]) << 8, np.uint32), False)
+            own = webp._pixels(webp._predict_evenly(webp._channels(own), int(mode[i]), True))
+        elif factor[:, i].any():
+            w.bits(1 | webp.CROSS_COLOUR << 1 | 7 << 3, 6)
+            factors = np.full((1, 1), (int(factor[1, i]) & 255) << 8 | int(factor[0, i]) & 255, np.uint32)
+            webp.write_image(w, factors, False)
+            own = webp._cross(own, 9, factors, True)
+        w.bits(0, 1)
+        out.append(own)
+    return out, colours == 1
+
+
+def _cache_hits(pixels: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of each pixel in its image's colour cache, and whether the cache has it there when it comes."""
+    slot = ((pixels.astype(np.uint64) * np.uint64(webp.CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.int64)
+    key = doc << CACHE_BITS | slot
+    by = np.argsort(key, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[by[1:]] = (key[by[1:]] == key[by[:-1]]) & (pixels[by[1:]] == pixels[by[:-1]])
+    return slot, hit
+
+
 def encode_tiles(tiles: list[bytes]) -> list[bytes]:
-    writers, greens, scale = [], [], []
-    for data in tiles:
-        raw, w = np.frombuffer(data, np.uint8), webp.Writer()
-        webp.head(w, ROW, len(raw) // ROW)
-        values = np.flatnonzero(np.bincount(raw, minlength=256))
-        bits = webp.packing_bits(len(values))
-        if bits:
-            webp.write_palette(w, values.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000))
-            raw = webp.packed_index(np.searchsorted(values, raw).reshape(-1, ROW), bits).astype(np.uint8).ravel()
-        w.bits(0, 3)  # no further transform, no colour cache, one group of codes
-        writers.append(w)
-        greens.append(raw)
-        scale.append(bits)
-    # rows of packed images are shorter; they are coded without copies
-    sizes = np.array(list(map(len, greens)))
-    data, doc = np.concatenate(greens), np.repeat(np.arange(len(greens)), sizes)
+    writers = [webp.Writer() for _ in tiles]
+    for w, data in zip(writers, tiles):
+        webp.head(w, ACROSS, len(data) // ROW)
+    images, even = _transformed(tiles, writers)
+    n, sizes = len(images), np.array([x.size for x in images])
+    pixels, doc = np.concatenate([x.ravel() for x in images]), np.repeat(np.arange(n), sizes)
     begin = np.cumsum(sizes) - sizes
-    symbol, size = data.astype(np.int64), np.ones(len(data), np.int64)
-    extra, extra_bits = np.zeros(len(data), np.uint64), np.zeros(len(data), np.int64)
-    token = np.ones(len(data), bool)
-    whole = np.flatnonzero(np.array(scale) == 0)
+    token = np.ones(len(pixels), bool)
     far: dict[int, list[tuple[int, tuple, tuple]]] = {}
-    if len(whole):
-        plain = np.isin(doc, whole)
-        places = np.flatnonzero(plain)[::ROW]
-        for first, count, back in zip(*_copies(data[plain], doc[plain][::ROW])):
-            at, n = int(places[first]), int(count) * ROW
-            token[at + 1 : at + n] = False
-            length, distance = webp.prefix(n), webp.prefix(int(back) * ROW + 120)
-            symbol[at] = 256 + length[0]
-            far.setdefault(int(doc[at]), []).append((at, length, distance))
-    counts = np.bincount(doc[token] * 280 + symbol[token], minlength=280 * len(greens)).reshape(-1, 280)
-    code, width = np.zeros((len(greens), 280), np.uint64), np.zeros((len(greens), 280), np.int64)
+    # rows of packed images are shorter, and those of one colour take no bits; they are coded without copies
+    plain = np.repeat(np.array([x.shape[1] == ACROSS for x in images]) & ~even, sizes)
+    if plain.any():
+        places = np.flatnonzero(plain)[::ACROSS]
+        for first, count, back in zip(*_copies(pixels[plain].view(np.uint8), doc[plain][::ACROSS])):
+            at, length = int(places[first]), int(count) * ACROSS
+            token[at + 1 : at + length] = False
+            far.setdefault(int(doc[at]), []).append((at, webp.prefix(length), webp.prefix(int(back) * ACROSS + 120)))
+    copy = np.array([x[0] for own in far.values() for x in own], np.int64)
+    literal = token.copy()
+    literal[copy] = False
+    slot, hit = _cache_hits(pixels, doc)
+    hit &= literal
+    cached = (np.bincount(doc[hit], minlength=n) >= HITS) & ~even
+    hit &= cached[doc]
+    literal &= ~hit
+    for w, has in zip(writers, cached.tolist()):
+        w.bits(1 | CACHE_BITS << 1 if has else 0, 5 if has else 1)
+        w.bits(0, 1)  # one group of codes
+    extra, extra_bits = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.int64)
+    alphabet = webp.LITERALS + webp.LENGTHS
+    symbol = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    symbol[hit] = alphabet + slot[hit]
+    for own in far.values():
+        for at, length, _ in own:
+            symbol[at] = webp.LITERALS + length[0]
+    whole = alphabet + (1 << CACHE_BITS)
+    at = np.flatnonzero(token)
+    lit = np.flatnonzero(literal)
+    channels = [(symbol, at, whole), *(((pixels >> np.uint32(s) & np.uint32(255)).astype(np.int64), lit, 256) for s in (16, 0, 24))]
+    counts = [np.bincount(doc[where] * size + x[where], minlength=size * n).reshape(n, size) for x, where, size in channels]
+    codes, widths = ([np.zeros((n, size), kind) for _, _, size in channels] for kind in (np.uint64, np.int64))
     for d, w in enumerate(writers):
-        own = webp.code_lengths(counts[d].tolist())
+        for k in range(4):
+            own = webp.code_lengths((counts[k][d] if k or cached[d] else counts[k][d, :alphabet]).tolist())
+            webp.write_lengths(w, own)
+            if sum(map(bool, own)) > 1:
+                codes[k][d, : len(own)], widths[k][d, : len(own)] = webp.canonical(own), own
         distances = [0] * webp.DISTANCES
         for _, _, x in far.get(d, ()):
             distances[x[0]] += 1
         of_distance = webp.code_lengths(distances)
-        for lengths in (own, [1], [1], [0] * 255 + [1], of_distance):
-            webp.write_lengths(w, lengths)
-        if sum(map(bool, own)) > 1:
-            code[d], width[d] = webp.reversed_codes(own), own
-        alone, codes = sum(map(bool, of_distance)) < 2, webp.reversed_codes(of_distance)
-        for at, length, distance in far.get(d, ()):
+        webp.write_lengths(w, of_distance)
+        alone, code = sum(map(bool, of_distance)) < 2, webp.reversed_codes(of_distance)
+        for place, length, distance in far.get(d, ()):
             own_bits = 0 if alone else of_distance[distance[0]]
-            extra[at] = length[2] | (0 if alone else codes[distance[0]]) << length[1] | distance[2] << (length[1] + own_bits)
-            extra_bits[at] = length[1] + own_bits + distance[1]
-    at = np.flatnonzero(token)
-    owner = doc[at]
-    value, n = code[owner, symbol[at]], width[owner, symbol[at]]
-    total = n + extra_bits[at]
-    ends = np.cumsum(total)
+            extra[place] = length[2] | (0 if alone else code[distance[0]]) << length[1] | distance[2] << (length[1] + own_bits)
+            extra_bits[place] = length[1] + own_bits + distance[1]
+    # a token's bits: its first code, then three more codes or a copy's fields; all 64 at most
+    value, bits = codes[0][doc, symbol], widths[0][doc, symbol]
+    for (x, where, _), code, width in zip(channels[1:], codes[1:], widths[1:]):
+        value[where] |= code[doc[where], x[where]] << bits[where].astype(np.uint64)
+        bits[where] += width[doc[where], x[where]]
+    value[copy] |= extra[copy] << bits[copy].astype(np.uint64)
+    bits[copy] += extra_bits[copy]
+    value, bits, owner = value[at], bits[at], doc[at]
+    ends = np.cumsum(bits)
     before = np.concatenate([[0], ends])[np.searchsorted(at, begin)]  # bits of earlier documents
     heads = np.array([w.size for w in writers])
-    body = np.bincount(owner, total, minlength=len(greens)).astype(np.int64)
+    body = np.bincount(owner, bits, minlength=n).astype(np.int64)
     length = -(-(heads + body) // 8)
     room = -(-length // 4) * 4 + 8
     base = (np.cumsum(room) - room) * 8
-    place = ends - total + (base + heads - before)[owner]
+    place = ends - bits + (base + heads - before)[owner]
     # fields of up to 32 bits
-    fields = [(place, value, n)]
-    more = np.flatnonzero(extra_bits[at])
-    if len(more):
-        rest, start, bits = extra[at[more]], place[more] + n[more], extra_bits[at[more]]
-        fields += [(start, rest & np.uint64(0xFFFFFFFF), np.minimum(bits, 32)), (start + 32, rest >> np.uint64(32), bits)]
+    fields = [(place, value & np.uint64(0xFFFFFFFF)), (place + 32, value >> np.uint64(32))]
     top = [(int(b) + 32 * k, w.value >> (32 * k) & 0xFFFFFFFF) for b, w in zip(base, writers) for k in range(-(-w.size // 32))]
-    fields.append((np.array([t[0] for t in top]), np.array([t[1] for t in top], np.uint64), None))
-    words = np.zeros(int(room.sum()) // 4 + 1)
-    for where, what, _ in fields:
-        shifted = what << (where & 31).astype(np.uint64)
-        words += np.bincount(where >> 5, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=len(words))[: len(words)]
+    fields.append((np.array([t[0] for t in top]), np.array([t[1] for t in top], np.uint64)))
+    words = np.zeros(int(room.sum()) // 4 + 2)
+    for where, what in fields:
+        used = np.flatnonzero(what)
+        shifted = what[used] << (where[used] & 31).astype(np.uint64)
+        words += np.bincount(where[used] >> 5, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=len(words))[: len(words)]
         high = np.flatnonzero(shifted >> np.uint64(32))
-        words += np.bincount((where[high] >> 5) + 1, (shifted[high] >> np.uint64(32)).astype(np.float64), minlength=len(words))[: len(words)]
+        words += np.bincount((where[used[high]] >> 5) + 1, (shifted[high] >> np.uint64(32)).astype(np.float64), minlength=len(words))[: len(words)]
     stream = words.astype("<u4").tobytes()
     return [webp.container(stream[b // 8 : b // 8 + k]) for b, k in zip(base.tolist(), length.tolist())]
 
 
 def payload_of(pixels: np.ndarray, size: int) -> bytes:
-    return (pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8).tobytes()[:size]
+    return pixels.astype("<u4").tobytes()[:size]
 
 
 def feature(pixels: np.ndarray) -> str:
-    """Mean, distinct values and entropy of the green samples, and a hash of which eighths of the image are brighter than the mean."""
-    green = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8).ravel()
-    counts = np.bincount(green, minlength=256)
-    share = counts[counts > 0] / len(green)
+    """Mean, distinct values and entropy of the samples, and a hash of which eighths of the image are brighter than the mean."""
+    samples = np.frombuffer(pixels.astype("<u4").tobytes(), np.uint8)
+    counts = np.bincount(samples, minlength=256)
+    share = counts[counts > 0] / len(samples)
     total = int(np.dot(counts, np.arange(256)))
-    edges = np.arange(8) * len(green) // 8
-    sums, sizes = np.add.reduceat(green, edges, dtype=np.int64), np.diff(np.append(edges, len(green)))
-    bright = sum(1 << k for k in range(8) if sums[k] * len(green) > total * sizes[k])
-    return f"mean={total / len(green):.3f};distinct={len(share)};entropy={-(share * np.log2(share)).sum() + 0.0:.4f};bright={bright:02x}"
+    edges = np.arange(8) * len(samples) // 8
+    sums, sizes = np.add.reduceat(samples, edges, dtype=np.int64), np.diff(np.append(edges, len(samples)))
+    bright = sum(1 << k for k in range(8) if sums[k] * len(samples) > total * sizes[k])
+    return f"mean={total / len(samples):.3f};distinct={len(share)};entropy={-(share * np.log2(share)).sum() + 0.0:.4f};bright={bright:02x}"
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

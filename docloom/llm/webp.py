@@ -6,8 +6,8 @@ inverse predictor, cross-colour, subtract-green and palette transforms.  Pixels
 are uint32 ARGB arrays of shape (height, width).
 
 ``decode_many`` reads many images side by side: images with one group of codes
-in which only green varies are decoded in lockstep, a symbol of each at a time,
-with numpy; all others one by one.
+are decoded in lockstep, a pixel of each at a time, with numpy; all others one by
+one.
 """
 
 from __future__ import annotations
@@ -34,9 +34,6 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 MOST = 11  # bits of a code that the writer makes
 
 
-_REVERSED = [int(format(i, "08b")[::-1], 2) for i in range(256)]
-
-
 class Reader:
     def __init__(self, data: bytes):
         self.data, self.at = data + b"\0" * 8, 0
@@ -67,37 +64,55 @@ class Writer:
         self.size += n
 
 
-def reversed_codes(lengths: Sequence[int]) -> list[int]:
-    """The canonical code of each symbol, first bit lowest."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    out, code, before = [0] * len(lengths), 0, used[0][0] if used else 0
-    for n, s in used:
-        code <<= n - before
-        before = n
-        out[s] = (_REVERSED[code & 255] << 8 | _REVERSED[code >> 8]) >> (16 - n)
-        code += 1
+@lru_cache(maxsize=16)
+def _reversed(width: int) -> np.ndarray:
+    """The numbers of ``width`` bits with their bits turned round."""
+    out = np.zeros(1 << width, np.int64)
+    for i in range(width):
+        out |= (np.arange(1 << width) >> i & 1) << (width - 1 - i)
     return out
 
 
+def canonical(lengths: Sequence[int]) -> np.ndarray:
+    """The canonical code of each symbol, first bit lowest; 0 where there is none."""
+    n = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(n)
+    out = np.zeros(len(n), np.int64)
+    if len(used):
+        used = used[np.argsort(n[used], kind="stable")]
+        width = int(n[used[-1]])
+        room = 1 << (width - n[used])
+        out[used] = _reversed(width)[np.cumsum(room) - room]
+    return out
+
+
+def reversed_codes(lengths: Sequence[int]) -> list[int]:
+    return canonical(lengths).tolist()
+
+
 @lru_cache(maxsize=256)
 def lookup(lengths: tuple[int, ...]) -> tuple[np.ndarray, int]:
     """Table from the next bits to symbol << 4 | length, and its number of bits; one symbol alone takes no bits."""
-    used = [(s, n) for s, n in enumerate(lengths) if n]
+    n = np.array(lengths, np.int64)
+    used = np.flatnonzero(n)
     if len(used) < 2:
-        return np.full(1, (used[0][0] if used else 0) << 4, np.uint32), 0
-    width = max(n for _, n in used)
-    if sum(1 << (width - n) for _, n in used) != 1 << width:
+        return np.full(1, (int(used[0]) if len(used) else 0) << 4, np.uint32), 0
+    used = used[np.argsort(n[used], kind="stable")]
+    width = int(n[used[-1]])
+    room = 1 << (width - n[used])
+    if room.sum() != 1 << width:
         raise ValueError("the lengths are no prefix code")
-    table, codes = np.zeros(1 << width, np.uint32), reversed_codes(lengths)
-    for s, n in used:
-        table[codes[s] :: 1 << n] = s << 4 | n
-    return table, width
+    return np.repeat(used << 4 | n[used], room).astype(np.uint32)[_reversed(width)], width
 
 
 def _scalar(code: tuple[np.ndarray, int]) -> tuple[list[int], int]:
     return code[0].tolist(), (1 << code[1]) - 1
 
 
+#: Extra bits and least run of the symbols 16, 17 and 18 in a list of lengths.
+_RUNS = ((2, 3), (3, 3), (7, 11))
+
+
 def read_lengths(r: Reader, alphabet: int) -> list[int]:
     out = [0] * alphabet
     if r.bits(1):
@@ -109,23 +124,32 @@ def read_lengths(r: Reader, alphabet: int) -> list[int]:
     own = [0] * 19
     for place in LENGTH_ORDER[: 4 + r.bits(4)]:
         own[place] = r.bits(3)
-    code = _scalar(lookup(tuple(own)))
+    table, mask = _scalar(lookup(tuple(own)))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    at, before = 0, 8
+    data, bit, number, at, before = r.data, r.at, int.from_bytes, 0, 8
     while at < alphabet and left:
         left -= 1
-        s = r.symbol(code)
+        low = bit >> 3
+        ahead = number(data[low : low + 4], "little") >> (bit & 7)
+        entry = table[ahead & mask]
+        n, s = entry & 15, entry >> 4
         if s < 16:
-            out[at] = s
-            before = s or before
+            if s:
+                out[at] = before = s
+            bit += n
             at += 1
         else:
-            n = r.bits((2, 3, 7)[s - 16]) + (3, 3, 11)[s - 16]
-            if at + n > alphabet:
+            more, least = _RUNS[s - 16]
+            run = (ahead >> n & (1 << more) - 1) + least
+            if at + run > alphabet:
                 raise ValueError("too many lengths")
             if s == 16:
-                out[at : at + n] = [before] * n
-            at += n
+                out[at : at + run] = [before] * run
+            bit += n + more
+            at += run
+    r.at = bit
+    if bit > len(data) * 8:
+        raise ValueError("the image ends too early")
     return out
 
 
@@ -160,8 +184,8 @@ class Coded:
         sizes = (LITERALS + LENGTHS + cache, LITERALS, LITERALS, LITERALS, DISTANCES)
         self.codes = [[lookup(tuple(read_lengths(r, n))) for n in sizes] for _ in range(groups)]
 
-    def only_green(self) -> bool:
-        return self.meta is None and not self.cache_bits and all(width == 0 for _, width in self.codes[0][1:4])
+    def one_group(self) -> bool:
+        return self.meta is None
 
     def decode(self) -> np.ndarray:
         r, width, n, shift = self.reader, self.width, self.width * self.height, 32 - self.cache_bits
@@ -226,8 +250,30 @@ def predicted(mode: int, left: list[int], top: list[int], top_right: list[int],
     return [255, 0, 0, 0]
 
 
+LEFT, TOP = 1, 2
+
+
+def _predict_evenly(c: np.ndarray, mode: int, forward: bool) -> np.ndarray:
+    """The same for ``LEFT`` or ``TOP`` in all blocks, by whole rows and columns; channels in, channels out."""
+    out = c.copy()
+    out[0, 0, 0] += -255 if forward else 255
+    if forward:
+        out[0, 1:] -= c[0, :-1]
+        out[1:, 0] -= c[:-1, 0]
+        out[1:, 1:] -= c[1:, :-1] if mode == LEFT else c[:-1, 1:]
+    elif mode == LEFT:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        out = np.cumsum(out, axis=1)
+    else:
+        out[0] = np.cumsum(out[0], axis=0)
+        out = np.cumsum(out, axis=0)
+    return out
+
+
 def _predict(data: np.ndarray, bits: int, modes: np.ndarray, forward: bool) -> np.ndarray:
     c = _channels(data)
+    if modes.min() == modes.max() and modes[0, 0] in (LEFT, TOP):
+        return _pixels(_predict_evenly(c, int(modes[0, 0]), forward))
     height, width = data.shape
     known = c.tolist() if forward else [[None] * width for _ in range(height)]
     out = []
@@ -325,61 +371,87 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _lockstep(images: list[Coded]) -> list[np.ndarray]:
-    """Pixels of images in which only green varies: each step decodes one symbol of every image that isn't done."""
+    """Pixels of images with one group of codes: each step decodes one pixel, or copy, of every image that isn't done."""
     data = b"".join(c.reader.data for c in images)
-    raw = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.uint32)
-    window = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    raw = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64)
+    window = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
     sizes = np.array([c.width * c.height for c in images])
     stop = np.cumsum(sizes)
-    begin = stop - sizes
-    width = max(c.codes[0][0][1] for c in images)
-    table = np.concatenate([np.tile(t, 1 << (width - w)) for t, w in (c.codes[0][0] for c in images)])
-    offset = np.cumsum([0, *(len(c.reader.data) for c in images[:-1])])
-    bit = np.array([c.reader.at for c in images]) + offset * 8
-    lane, at, end, base, mask = np.arange(len(images)), begin.copy(), stop.copy(), np.arange(len(images)) << width, np.uint32((1 << width) - 1)
-    out = np.zeros(stop[-1], np.uint8)
+    begin, each = stop - sizes, np.arange(len(images))
+    widths = [max(c.codes[0][k][1] for c in images) for k in range(4)]
+    tables = [np.concatenate([np.tile(t, 1 << (width - w)) for t, w in (c.codes[0][k] for c in images)]).astype(np.int64) for k, width in enumerate(widths)]
+    cache_bits = np.array([c.cache_bits for c in images])
+    most = int(cache_bits.max())
+    cache, shift = np.zeros(len(images) << most, np.uint32), (32 - cache_bits).astype(np.uint64)
+    offset = np.cumsum([0, *(len(c.reader.data) for c in images[:-1])]) * 8
+    bit = np.array([c.reader.at for c in images]) + offset
+    lane, at, end, bases = each, begin.copy(), stop.copy(), [each << w for w in widths]
+    out = np.zeros(stop[-1], np.uint32)
+
+    def entries(k: int) -> np.ndarray:
+        return tables[k][bases[k] + (window[bit >> 3] >> (bit & 7) & ((1 << widths[k]) - 1))]
+
+    def remember(lanes: np.ndarray, pixels: np.ndarray) -> None:
+        cache[(lanes << most) + ((pixels * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> shift[lanes]).astype(np.int64)] = pixels
+
     while len(lane):
-        entry = table[base + (window[bit >> 3] >> (bit & 7).astype(np.uint32) & mask)]
+        entry = entries(0)
         bit += entry & 15
-        symbol = entry >> 4
-        if (symbol < LITERALS).all():
-            out[at] = symbol
-            at += 1
-        else:
-            literal = symbol < LITERALS
-            out[at[literal]] = symbol[literal]
-            at[literal] += 1
-            for i in np.flatnonzero(~literal):
+        green = entry >> 4
+        literal = green < LITERALS
+        all_literal = bool(literal.all())
+        pixel = green << 8
+        for k, place in ((1, 16), (2, 0), (3, 24)):
+            entry = entries(k)
+            bit += entry & 15 if all_literal else (entry & 15) * literal
+            pixel |= entry >> 4 << place
+        step = 1
+        if not all_literal:
+            step = np.ones(len(lane), np.int64)
+            known = np.flatnonzero(green >= LITERALS + LENGTHS)
+            pixel[known] = cache[(lane[known] << most) + green[known] - LITERALS - LENGTHS]
+            for i in np.flatnonzero(~literal & (green < LITERALS + LENGTHS)):
                 image, first = images[lane[i]], int(at[i])
                 r = image.reader
-                r.at = int(bit[i] - offset[lane[i]] * 8)
-                length = _value(r, int(symbol[i]) - LITERALS)
+                r.at = int(bit[i] - offset[lane[i]])
+                length = _value(r, int(green[i]) - LITERALS)
                 back = _distance(_value(r, r.symbol(_scalar(image.codes[0][4]))), image.width)
                 if back > first - begin[lane[i]] or first + length > end[i]:
                     raise ValueError("a back-reference leaves the image")
-                source = out[first - back : first - back + min(back, length)]
-                out[first : first + length] = np.resize(source, length)
-                at[i] += length
-                bit[i] = r.at + offset[lane[i]] * 8
+                copied = np.resize(out[first - back : first - back + min(back, length)], length)
+                out[first : first + length] = copied
+                if image.cache_bits:
+                    remember(np.full(length, lane[i]), copied.astype(np.uint64))
+                bit[i] = r.at + offset[lane[i]]
+                pixel[i], step[i] = copied[0], length
+            moved = step > 1
+            if moved.any():
+                pixel[moved] = out[at[moved] + step[moved] - 1]
+            out[at + step - 1] = pixel
+        else:
+            out[at] = pixel
+        if most:
+            remember(lane, pixel.astype(np.uint64))
+        at += step
         alive = at < end
         if not alive.all():
-            lane, at, end, base, bit = lane[alive], at[alive], end[alive], base[alive], bit[alive]
-    pixels = []
-    for c, low, high in zip(images, begin, stop):
-        red, blue, alpha = (int(code[0][0]) >> 4 for code in c.codes[0][1:4])
-        pixels.append((out[low:high].astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)).reshape(c.height, c.width))
-    return pixels
+            lane, at, end, bit, bases = lane[alive], at[alive], end[alive], bit[alive], [b[alive] for b in bases]
+    return [out[low:high].reshape(c.height, c.width) for c, low, high in zip(images, begin, stop)]
+
+
+#: Images that are decoded side by side.
+SIDE_BY_SIDE = 1024
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
     """Pixels of each file."""
     images = [Image(f) for f in files]
-    together = [i for i, x in enumerate(images) if x.coded.only_green()]
+    together = [i for i, x in enumerate(images) if x.coded.one_group()]
     pixels: list = [None] * len(images)
     # longest first, so that images of like size end together; a group has bounded tables
     together.sort(key=lambda i: -images[i].coded.width * images[i].coded.height)
-    for low in range(0, len(together), 4096):
-        part = together[low : low + 4096]
+    for low in range(0, len(together), SIDE_BY_SIDE):
+        part = together[low : low + SIDE_BY_SIDE]
         for i, p in zip(part, _lockstep([images[i].coded for i in part])):
             pixels[i] = p
     return [x.finish(x.coded.decode() if p is None else p) for x, p in zip(images, pixels)]
@@ -429,26 +501,33 @@ def write_lengths(w: Writer, lengths: Sequence[int]) -> None:
         for s in used:
             w.bits(s, 8)
         return
-    w.bits(0, 1)
-    w.bits(15, 4)
+    acc, size = 15 << 1, 5
     for place in LENGTH_ORDER:
-        w.bits(_OWN[place], 3)
-    w.bits(0, 1)
+        acc |= _OWN[place] << size
+        size += 3
+    size += 1
+
+    def zeros(n: int) -> None:
+        nonlocal acc, size
+        while n:
+            if n >= 11:
+                run, value, bits = min(n, 138), _OWN_CODES[18] | (min(n, 138) - 11) << 4, 11
+            elif n >= 3:
+                run, value, bits = n, _OWN_CODES[17] | (n - 3) << 4, 7
+            else:
+                run, value, bits = 1, _OWN_CODES[0], 4
+            acc |= value << size
+            size += bits
+            n -= run
+
     at = 0
-    while at < len(lengths):
-        run = at
-        while run < len(lengths) and not lengths[run]:
-            run += 1
-        if run - at >= 11:
-            n = min(run - at, 138)
-            w.bits(_OWN_CODES[18] | (n - 11) << 4, 11)
-        elif run - at >= 3:
-            n = run - at
-            w.bits(_OWN_CODES[17] | (n - 3) << 4, 7)
-        else:
-            n = 1
-            w.bits(_OWN_CODES[lengths[at]], 4)
-        at += n
+    for s in used:
+        zeros(s - at)
+        acc |= _OWN_CODES[lengths[s]] << size
+        size += 4
+        at = s + 1
+    zeros(len(lengths) - at)
+    w.bits(acc, size)
 
 
 def prefix(value: int) -> tuple[int, int, int]:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import zlib
 
@@ -56,6 +57,44 @@ def test_damaged_files():
             webp.decode(broken)
 
 
+def test_a_file_of_another_writer():
+    """A widely used test image for lossless WebP, one transparent pixel."""
+    file = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(file).tolist() == [[0]] and webp.decode_many([file])[0].tolist() == [[0]]
+
+
+def parts_of(file):
+    """Names of what the images of a file use."""
+    out = set()
+    for tile in media.tiles_of(file):
+        image = webp.Image(tile)
+        r = webp.Reader(tile[20:])
+        r.bits(40)
+        if r.bits(1):
+            out.add(("predictor", "cross", "subtract", "palette")[r.bits(2)])
+        out |= {"cache"} if image.coded.cache_bits else set()
+        out |= {"copies"} if any(np.any(image.coded.codes[0][0][0] >> 4 == s) for s in range(256, 280)) else set()
+    return out
+
+
+def test_what_pays_is_used():
+    """The stored files use every part of the format that their content suggests, and are read back."""
+    n = np.arange(64 * 256)
+    prose = " ".join(RNG.choice(["river", "stone", "cloud", "maple", "orbit", "of", "the"], 1200)).encode()
+    contents = {
+        "cache": media.padded(prose),
+        "copies": RNG.integers(0, 256, 64 * 20, dtype=np.uint8).tobytes() * 9,
+        "palette": RNG.choice(np.frombuffer(b"abcdefgh" * 4, "<u4") + np.arange(8, dtype="<u4") * 7919, 64 * 64).astype("<u4").tobytes(),
+        "predictor": ((n // 4 * 3 + n % 4 * 50 + RNG.integers(0, 2, len(n))) % 256).astype(np.uint8).tobytes(),
+        "cross": np.stack([RNG.integers(0, 256, 4096), (green := RNG.integers(0, 128, 4096)), green + RNG.integers(0, 3, 4096), np.full(4096, 255)], 1).astype(np.uint8).tobytes(),
+    }
+    for name, content in contents.items():
+        (file,) = media.encode_payloads([content])
+        assert name in parts_of(file), (name, parts_of(file))
+        assert media.payload_of(media.decode_payloads([file])[0], len(content)) == content
+        assert media.payload_of(np.concatenate([webp.decode(t) for t in media.tiles_of(file)]), len(content)) == content
+
+
 def test_code_lengths():
     for counts in ([1] * 256, [2**i for i in range(40)], [5], [0, 3, 4], [0] * 9):
         lengths = webp.code_lengths(counts)
