@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, cut, small_batches, utf8
 
-WIDTH, HOT, SHARD, INDEX_BITS = 100, 2000, 1 << 20, 21
+WIDTH, HOT, SHARD = 100, 2000, 1 << 20
 #: Runs of a task among which equal ones are looked for before they are dealt out.
 COMBINE = 1 << 19
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -48,11 +48,13 @@ RUN = "h long, c long, doc long, sub long, start int, n int"
 NONE = -(2**63)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def refined(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (uint8) sorted by their first ``depth`` bytes or more, by Larsson-Sadakane refinement.
 
     A suffix's rank is the first place of its group; a round sorts the members
     of unfinished groups by the rank of the suffix h further on, which doubles h.
+    Also returned: the places that were in one group with the place before them
+    when the last round began; all others differ from it within ``depth`` bytes.
     """
     n = len(text)
     used = np.zeros(256, bool)
@@ -61,37 +63,42 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     symbol = np.zeros(n + 64, np.uint64)
     symbol[:n] = code[text]
     bits = int(code[-1]).bit_length() if n else 1
-    place = max(INDEX_BITS, n.bit_length() + 1)
-    h = max(1, (63 - place) // bits)
+    h = max(1, 63 // bits)
     key = np.zeros(n, np.uint64)
     for i in range(h):
         key = key << np.uint64(bits) | symbol[i : i + n]
-    order = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+    sa = np.argsort(key).astype(np.int32)
+    group, slot = key[sa], np.arange(n, dtype=np.int32)
+    place = max(1, n.bit_length())
     mask = np.uint64((1 << place) - 1)
-    sa = (order & mask).astype(np.int64)
-    group = order >> np.uint64(place)
-    slot = np.arange(n)
-    rank = np.zeros(n + 2 * depth + 64, np.int64)
+    rank = np.zeros(n + 2 * depth + 64, np.int32)
+    close = slot[:0]
     while n:
-        new = np.concatenate([[True], group[1:] != group[:-1]])
-        head = np.maximum.accumulate(np.where(new, slot, 0))
-        rank[sa[slot]] = head + 1
+        new = np.ones(len(slot) + 1, bool)
+        np.not_equal(group[1:], group[:-1], out=new[1:-1])
+        starts = np.flatnonzero(new[:-1])
+        rank[sa[slot]] = np.repeat(slot[starts] + 1, np.diff(np.append(starts, len(slot))))
         if h >= depth:
             break
-        last = np.append(new[1:], True)
-        slot = slot[~(new & last)]  # a group of one is finished
+        close = slot[~new[:-1]]
+        slot = slot[~(new[:-1] & new[1:])]  # a group of one is finished
         if not len(slot):
             break
         at = sa[slot]
         if 3 * place <= 64:
             order = np.sort(rank[at].astype(np.uint64) << np.uint64(2 * place) | rank[at + h].astype(np.uint64) << np.uint64(place) | at.astype(np.uint64))
-            sa[slot], group = (order & mask).astype(np.int64), order >> np.uint64(place)
+            sa[slot], group = (order & mask).astype(np.int32), order >> np.uint64(place)
         else:
             by = np.lexsort((rank[at + h], rank[at]))
             sa[slot] = at[by]
-            group = rank[at][by] << 32 | rank[(at + h)][by]
+            group = rank[at][by].astype(np.int64) << 32 | rank[(at + h)][by]
         h *= 2
-    return sa
+    return sa, close
+
+
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes of ``text`` sorted by their first ``depth`` bytes or more."""
+    return refined(text, depth)[0]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -128,14 +135,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, candidates: np.ndarray) ->
 
 def groups_of_windows(text: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of windows with an equal one, and the number of their group; ``ends``: of each byte, the end of its document."""
-    sa = suffix_array(text, width)
-    # neighbours that differ at one of a few places need no prefix
-    close = np.flatnonzero(text[sa[1:]] == text[sa[:-1]]) + 1
-    for step in (width // 12, width // 4, width // 2, width - 1):
-        a, b = sa[close] + step, sa[close - 1] + step
-        inside = (a < len(text)) & (b < len(text))
-        close, a, b = close[inside], a[inside], b[inside]
-        close = close[text[a] == text[b]]
+    sa, close = refined(text, width)
     long = close[common_prefixes(text, sa, close) >= width]
     member = np.zeros(len(sa), bool)
     member[long] = member[long - 1] = True
@@ -197,7 +197,7 @@ def runs(text: np.ndarray, ends: np.ndarray, width: int = WIDTH, spread: int = 6
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
     total, inverse = _prefix_hash(text)
     exact = _mixed((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
-    place = max(INDEX_BITS, n.bit_length())
+    place = max(21, n.bit_length())
     least = exact >> np.uint64(place) << np.uint64(place) | np.arange(len(exact), dtype=np.uint64)
     step = 1
     while step < spread:
