@@ -28,7 +28,7 @@ from docloom.llm.common import bounded, small_batches, utf8
 #: Bytes of a row and of an image, pixels of a row.
 ROW, TILE, ACROSS = 64, 64 * 256, 16
 #: Bits of the colour cache, where there is one, and hits from which it pays.
-CACHE_BITS, HITS = 8, 100
+CACHE_BITS, HITS = 7, 100
 #: Share of the plain cost that a transform must save, and factors of the cross-colour transform that are tried.
 SAVING, FACTORS = 0.1, (16, 32)
 
@@ -87,46 +87,48 @@ def decode_payloads(media: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(pixels[e - len(own) : e]) for e, own in zip(ends, parts)]
 
 
-def _cost(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Bits of each document's values (bytes) by their entropy."""
-    counts = np.bincount(doc * 256 + (values & 255), minlength=256 * n).reshape(n, 256)
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of each row's symbols by their entropy."""
     total = counts.sum(1)
     return total * np.log2(np.maximum(total, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)
 
 
+def _cost(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Bits of each document's values (bytes)."""
+    return _bits(np.bincount(doc << 8 | values.ravel() & 255, minlength=256 * n).reshape(n, 256))
+
+
 def _transformed(tiles: list[bytes], writers: list[webp.Writer]) -> tuple[list[np.ndarray], np.ndarray]:
     """The images to code, one for each tile, after the transforms that pay; these are written.  And which are of one colour."""
     n, sizes = len(tiles), np.array([len(t) // 4 for t in tiles])
     pixels = np.frombuffer(b"".join(tiles), "<u4")
     doc = np.repeat(np.arange(n), sizes)
-    c = webp._channels(pixels.reshape(-1, ACROSS))
     rows = np.repeat(np.arange(n), sizes // ACROSS)
     first = np.concatenate([[True], rows[1:] != rows[:-1]])
-    cost = lambda x: sum(_cost(x[..., k].ravel(), doc, n) for k in range(4))
-    plain = cost(c)
-    # what left and top leave, as the transform has it: the first column by the pixel above, the first row by the one before
-    above, before = np.roll(c, 1, axis=0), np.roll(c, 1, axis=1)
+    alpha, red, green, blue = ((pixels >> np.uint32(s) & np.uint32(255)).astype(np.int64).reshape(-1, ACROSS) for s in (24, 16, 8, 0))
+    by_channel = [_cost(x, doc, n) for x in (alpha, red, green, blue)]
+    # what left and top leave of green, as the transform has it: the first column by the pixel above, the first row by the one before
+    above, before = np.roll(green, 1, axis=0), np.roll(green, 1, axis=1)
     above[first] = 0
-    left, top = c - before, c - above
-    left[:, 0], top[first] = c[:, 0] - above[:, 0], left[first]
-    left[first, 0], top[first, 0] = c[first, 0], c[first, 0]
-    by_left, by_top = cost(left), cost(top)
-    mode = np.where((by_left <= by_top) & (by_left < (1 - SAVING) * plain), webp.LEFT, np.where(by_top < (1 - SAVING) * plain, webp.TOP, 0))
+    left, top = green - before, green - above
+    left[:, 0], top[first] = green[:, 0] - above[:, 0], left[first]
+    left[first, 0], top[first, 0] = green[first, 0], green[first, 0]
+    by_left, by_top, enough = _cost(left, doc, n), _cost(top, doc, n), (1 - SAVING) * by_channel[2]
+    mode = np.where((by_left <= by_top) & (by_left < enough), webp.LEFT, np.where(by_top < enough, webp.TOP, 0))
     # red and blue less a multiple of green
-    green = c[..., 2]
-    best, factor = [None, None], np.zeros((2, n), np.int64)
-    for k, channel in enumerate((1, 3)):
-        best[k] = (1 - SAVING) * _cost(c[..., channel].ravel(), doc, n)
+    signed, factor = (green ^ 128) - 128, np.zeros((2, n), np.int64)
+    for k, (channel, own) in enumerate(((red, by_channel[1]), (blue, by_channel[3]))):
+        best = (1 - SAVING) * own
         for f in FACTORS:
-            less = _cost((c[..., channel] - (f * ((green ^ 128) - 128) >> 5)).ravel(), doc, n)
-            factor[k], best[k] = np.where(less < best[k], f, factor[k]), np.minimum(less, best[k])
-    by = np.lexsort((pixels, doc))
-    new = np.concatenate([[True], (pixels[by[1:]] != pixels[by[:-1]]) | (doc[by[1:]] != doc[by[:-1]])])
-    colours = np.bincount(doc[by[new]], minlength=n)
+            less = _cost(channel - (f * signed >> 5), doc, n)
+            factor[k], best = np.where(less < best, f, factor[k]), np.minimum(less, best)
+    key = np.sort(doc.astype(np.uint64) << np.uint64(32) | pixels)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    owner, runs = (key[new] >> np.uint64(32)).astype(np.int64), np.diff(np.append(new, len(key)))
+    colours = np.bincount(owner, minlength=n)
     # a palette's own colours cost about 32 bits each, an index as much as its entropy
-    runs = np.diff(np.append(np.flatnonzero(new), len(by)))
-    index_cost = sizes * np.log2(np.maximum(sizes, 1)) - np.bincount(doc[by[new]], runs * np.log2(runs), minlength=n)
-    palette = (colours <= 256) & (index_cost + 32 * colours < (1 - SAVING) * np.minimum(plain, np.minimum(by_left, by_top)))
+    index_cost = sizes * np.log2(np.maximum(sizes, 1)) - np.bincount(owner, runs * np.log2(runs), minlength=n)
+    palette = (colours <= 256) & (index_cost + 32 * colours < (1 - SAVING) * np.minimum(sum(by_channel), 4 * np.minimum(by_left, by_top)))
     out, ends = [], np.cumsum(sizes)
     for i, (w, low, high) in enumerate(zip(writers, (ends - sizes).tolist(), ends.tolist())):
         own = pixels[low:high].reshape(-1, ACROSS).astype(np.uint32)
@@ -200,12 +202,17 @@ def encode_tiles(tiles: list[bytes]) -> list[bytes]:
     channels = [(symbol, at, whole), *(((pixels >> np.uint32(s) & np.uint32(255)).astype(np.int64), lit, 256) for s in (16, 0, 24))]
     counts = [np.bincount(doc[where] * size + x[where], minlength=size * n).reshape(n, size) for x, where, size in channels]
     codes, widths = ([np.zeros((n, size), kind) for _, _, size in channels] for kind in (np.uint64, np.int64))
+    # red, blue and alpha share a code where that costs little, as in prose
+    together = counts[1] + counts[2] + counts[3]
+    alike = _bits(together) <= 1.05 * sum(map(_bits, counts[1:]))
     for d, w in enumerate(writers):
-        for k in range(4):
-            own = webp.code_lengths((counts[k][d] if k or cached[d] else counts[k][d, :alphabet]).tolist())
-            webp.write_lengths(w, own)
-            if sum(map(bool, own)) > 1:
-                codes[k][d, : len(own)], widths[k][d, : len(own)] = webp.canonical(own), own
+        for k, own_counts in enumerate((counts[0][d] if cached[d] else counts[0][d, :alphabet], *((together[d],) if alike[d] else (c[d] for c in counts[1:])))):
+            own = webp.code_lengths(own_counts.tolist())
+            coded = webp.bits_of_lengths(own)
+            for channel in (1, 2, 3) if k and alike[d] else (k,):
+                w.bits(*coded)
+                if sum(map(bool, own)) > 1:
+                    codes[channel][d, : len(own)], widths[channel][d, : len(own)] = webp.canonical(own), own
         distances = [0] * webp.DISTANCES
         for _, _, x in far.get(d, ()):
             distances[x[0]] += 1

@@ -122,8 +122,13 @@ def read_lengths(r: Reader, alphabet: int) -> list[int]:
             out[r.bits(8)] = 1
         return out
     own = [0] * 19
-    for place in LENGTH_ORDER[: 4 + r.bits(4)]:
-        own[place] = r.bits(3)
+    count = 4 + r.bits(4)
+    ahead = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 8], "little") >> (r.at & 7)
+    for place in LENGTH_ORDER[:count]:
+        own[place] = ahead & 7
+        ahead >>= 3
+    r.bits(3 * count % 32)
+    r.at += 3 * count - 3 * count % 32
     table, mask = _scalar(lookup(tuple(own)))
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
     data, bit, number, at, before = r.data, r.at, int.from_bytes, 0, 8
@@ -492,15 +497,19 @@ _OWN_CODES = reversed_codes(_OWN)
 
 
 def write_lengths(w: Writer, lengths: Sequence[int]) -> None:
+    w.bits(*bits_of_lengths(lengths))
+
+
+def bits_of_lengths(lengths: Sequence[int]) -> tuple[int, int]:
+    """The bits of a list of lengths, first bit lowest, and their number."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         used = used or [0]
-        w.bits(1, 1)
-        w.bits(len(used) - 1, 1)
-        w.bits(1, 1)
+        acc, size = 1 | (len(used) - 1) << 1 | 1 << 2, 3
         for s in used:
-            w.bits(s, 8)
-        return
+            acc |= s << size
+            size += 8
+        return acc, size
     acc, size = 15 << 1, 5
     for place in LENGTH_ORDER:
         acc |= _OWN[place] << size
@@ -527,7 +536,7 @@ def write_lengths(w: Writer, lengths: Sequence[int]) -> None:
         size += 4
         at = s + 1
     zeros(len(lengths) - at)
-    w.bits(acc, size)
+    return acc, size
 
 
 def prefix(value: int) -> tuple[int, int, int]:
