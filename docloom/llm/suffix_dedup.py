@@ -3,7 +3,7 @@
 A byte goes when it lies in a string of ``width`` bytes (a window) that also
 starts earlier: in a document of smaller doc_id, or earlier in the same one.
 
-1. Every task cuts its documents into shards of about 1 MB (documents over 2 MB in
+1. Every task cuts its documents into shards of about 256 KB (documents over twice that in
    parts that overlap by a window less a byte), builds the suffix
    array of each by Larsson-Sadakane refinement, and takes Kasai common
    prefixes; that gives all repeats inside a shard.
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded, cut, small_batches, utf8
 
-WIDTH, HOT, SHARD = 100, 2000, 1 << 20
+# a shard's arrays, some ten times its size, fit into a core's share of the cache
+WIDTH, HOT, SHARD = 100, 2000, 1 << 18
 #: Runs of a task among which equal ones are looked for before they are dealt out.
 COMBINE = 1 << 19
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
