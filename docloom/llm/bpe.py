@@ -223,10 +223,15 @@ class Codec:
         self._pieces, self._used, self._used_chars = self._pieces + len(new), self._used + len(ids), self._used_chars + len(flat)
         return new
 
-    def _differs(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    def _others(self, cp: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Which of the pieces, that lie side by side in ``cp``, are other characters than the known ``piece``."""
-        at = np.minimum(ragged(self._char_at[piece], length), len(self._chars) - 1)
-        return (np.add.reduceat(self._chars[at] != cp, start, dtype=np.int64) > 0) | (self._char_count[piece] != length)
+        other = self._char_count[piece] != length
+        at = np.repeat((self._char_at[piece] - start).astype(np.int32), length)
+        at += np.arange(len(cp), dtype=np.int32)
+        unequal = self._chars.take(at, mode="clip") != cp
+        if unequal.any():
+            other |= np.add.reduceat(unequal, start, dtype=np.int64) > 0
+        return np.flatnonzero(other)
 
     def encode_many(self, batch: list[str], specials: bool = True) -> list[np.ndarray]:
         """Ids (uint32) of each text; a special token's text is that token, or ordinary text without ``specials``."""
@@ -265,7 +270,9 @@ class Codec:
             where = (fresh & np.uint64(SLOTS - 1)).astype(np.int64)
             self._slot_hash[where], self._slot_piece[where] = fresh, index
             piece[miss] = index[which]
-        for i in np.flatnonzero(self._differs(cp, start, length, piece) & ~edge).tolist():
+        # an edge is no known piece
+        others = self._others(cp, start, length, piece)
+        for i in others[~edge[others]].tolist():
             key = cp[start[i] : start[i] + length[i]].tobytes()
             if key not in self._other:
                 self._other[key] = int(self._learn(cp, start[i : i + 1], length[i : i + 1])[0])
