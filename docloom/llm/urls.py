@@ -146,9 +146,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], texts: DataFrame,
     rows = rows.withColumns({"rule": rule, "decided": decided})
     # rows of equal host or path are one part, with the numbers of its decided rows
     named = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("part")) for c in ("host", "path")))).alias("p")
-    every = rows.select(named, "decided").groupBy("p.kind", "p.part").agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow"), F.count("*").alias("n"))
+    every = checkpointed(rows.select(named, "decided").groupBy("p.kind", "p.part").agg(F.count_if(F.col("decided") == "block").alias("block"), F.count_if(F.col("decided") == "allow").alias("allow"), F.count("*").alias("n")))
     hosts, paths = every.filter("kind = 'host'"), every.filter("kind = 'path'")
-    found = host_tokens(hosts, word_counts(texts, text)).withColumn("kind", F.lit("host")).unionByName(path_tokens(paths).withColumn("kind", F.lit("path")))
+    found = host_tokens(hosts, checkpointed(word_counts(texts, text))).withColumn("kind", F.lit("host")).unionByName(path_tokens(paths).withColumn("kind", F.lit("path")))
     scores = naive_bayes(checkpointed(found.join(every.drop("n"), ["kind", "part"])))
     prior = rows.agg(F.log((F.count_if(F.col("decided") == "block") + 1) / (F.count_if(F.col("decided") == "allow") + 1)).alias("prior"))
     scored = rows
