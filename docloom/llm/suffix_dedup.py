@@ -266,13 +266,14 @@ def shard_runs(docs: DataFrame, width: int = WIDTH, shard: int = SHARD, combine:
 
     def earliest(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate(held, axis=1)
-        x = x[:, np.lexsort((x[4], x[3], x[2], x[1], x[0]))]
-        differs = np.ones(x.shape[1], bool)
-        differs[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
-        lead = np.flatnonzero(differs)[np.cumsum(differs) - 1]
-        again = ~differs & (x[2:5] != x[2:5, lead]).any(axis=0)  # not the same document once more
-        yield _batch([*x[:4, differs], *x[4:, differs].astype(np.int32)], RUN)
-        yield _repeated(*x[2:, again])
+        by = np.lexsort((x[4], x[3], x[2], x[1], x[0]))
+        differs = np.ones(len(by), bool)
+        differs[1:] = (x[0, by[1:]] != x[0, by[:-1]]) | (x[1, by[1:]] != x[1, by[:-1]])
+        lead = by[np.flatnonzero(differs)[np.cumsum(differs) - 1]]
+        again = by[~differs & (x[2:5, by] != x[2:5, lead]).any(axis=0)]  # not the same document once more
+        first = x[:, np.sort(by[differs])]  # in the order of documents, which packs well
+        yield _batch([*first[:4], *first[4:].astype(np.int32)], RUN)
+        yield _repeated(*x[2:, np.sort(again)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
