@@ -17,7 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     the cores and stay as they are, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if 2 * len(df.inputFiles()) <= cores else df
+    files = len(df._jdf.inputFiles())  # their number only; the names stay in the JVM
+    return df.repartition(2 * cores) if 2 * files <= cores else df
 
 
 class Tables:
