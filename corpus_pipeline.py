@@ -76,4 +76,4 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(lambda docs, stage: stage[1](spark, cut(docs) if stage[0] != STAGES[0][0] else docs, sf_dir), STAGES, table(spark, sf_dir, "documents"))
+    return reduce(lambda docs, stage: stage[1](spark, cut(docs, free=True) if stage[0] != STAGES[0][0] else docs, sf_dir), STAGES, table(spark, sf_dir, "documents"))
