@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, simhash, suffix_dedup, token_files, toxicity, urls
+from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, rule_ledger, simhash, suffix_dedup, token_files, toxicity, urls
 from docloom.llm.common import table
 
 #: Ids of the end of a document, in flat token files and in packed sequences.
@@ -78,9 +78,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, words, "words").select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = rule_ledger.verdict(rule_ledger.ledger(table(spark, sf_dir, "documents")), rule_ledger.POLICIES[3])
+    base = F.col("failed").bitwiseAND(F.lit(rule_ledger.mask(rule_ledger.POLICIES[1].rules)).cast("long")) != 0
+    return held.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter)
+    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter, op13_rule_ledger)
 }
 
 ORACLE_SQL = {
@@ -106,4 +112,32 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.k) FILTER (WHERE NOT m.gone), '')) AS text_sha256
         FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
     """,
+    "op13_rule_ledger": r"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+        ), words AS (
+            SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts)
+        ), windows AS (
+            SELECT r, i, word, array_to_string(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), ' ') AS w,
+                   count(*) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) = 8 AS whole FROM words
+        ), found AS (
+            SELECT r, i, word, whole AND count(*) OVER (PARTITION BY r, w, whole) > 1 AS again FROM windows
+        ), inside AS (
+            SELECT r, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS repeated FROM found
+        ), by_word AS (
+            SELECT r, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (WHERE repeated) AS n_repeat_words FROM inside GROUP BY r
+        ), lines AS (
+            SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts
+        ), by_line AS (
+            SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+        ), measured AS (
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+                   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM texts LEFT JOIN by_word USING (r) LEFT JOIN by_line USING (r)
+        ), judged AS (
+            SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+                      + 8 * (10 * n_symbols > n_words)::INT + 16 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT AS BIGINT) AS failed FROM measured
+        )
+        SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM judged
+    """,
 }
