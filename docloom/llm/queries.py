@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, rule_ledger, simhash, suffix_dedup, token_files, toxicity, urls
+from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, rule_ledger, simhash, suffix_dedup, token_files, toxicity, urls, vector_codes
 from docloom.llm.common import table
+from docloom.tables import spread
 
 #: Ids of the end of a document, in flat token files and in packed sequences.
 END_OF_TEXT, END_OF_DOCUMENT = 50256, 1
@@ -78,6 +79,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, words, "words").select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trained = vector_codes.train(spread(table(spark, sf_dir, "embeddings")))
+    return vector_codes.with_group_error(trained.coded).select("vec_id", "code", "error", "label_error", F.lit(trained.digest()).alias("codebooks_sha256"))
+
+
 def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rule_ledger.verdict(rule_ledger.ledger(table(spark, sf_dir, "documents")), rule_ledger.POLICIES[3])
     base = F.col("failed").bitwiseAND(F.lit(rule_ledger.mask(rule_ledger.POLICIES[1].rules)).cast("long")) != 0
@@ -86,9 +92,38 @@ def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter, op13_rule_ledger)
+    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter, op12_yinyang_codes, op13_rule_ledger)
 }
 
+
+def _codes_sql(rounds: int) -> str:
+    """Exhaustive Lloyd rounds, one pair of tables for each."""
+    far = "list_sum(list_transform(list_zip(a.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"near{i} AS MATERIALIZED (SELECT a.r, a.p, min({far} * 256 + e) AS m FROM cells a JOIN book{i} b USING (p) GROUP BY a.r, a.p)")
+        if i < rounds:
+            steps.append(f"""sums{i} AS (SELECT p, e, j, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (
+                SELECT p, m % 256 AS e, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM near{i} JOIN cells USING (r, p)) GROUP BY p, e, j)""")
+            steps.append(f"""book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM book{i} b LEFT JOIN (
+                SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY j) AS x FROM sums{i} GROUP BY p, e) n USING (p, e))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, x -> CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), cells AS MATERIALIZED (
+            SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) parts(p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, x FROM cells JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept) USING (r) WHERE e < 16
+        ), {", ".join(steps)}, coded AS (
+            SELECT r, string_agg(lpad(lower(to_hex(m % 256)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM book{rounds})) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)
+    """
+
+
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
         WITH rows AS (
@@ -112,6 +147,7 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.k) FILTER (WHERE NOT m.gone), '')) AS text_sha256
         FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
     """,
+    "op12_yinyang_codes": _codes_sql(6),
     "op13_rule_ledger": r"""
         WITH texts AS (
             SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
