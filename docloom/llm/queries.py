@@ -98,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _codes_sql(rounds: int) -> str:
     """Exhaustive Lloyd rounds, one pair of tables for each."""
-    far = "list_sum(list_transform(list_zip(a.x, b.x), z -> (z[1] - z[2]) * (z[1] - z[2])))"
+    far = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
     steps = []
     for i in range(rounds + 1):
         steps.append(f"near{i} AS MATERIALIZED (SELECT a.r, a.p, min({far} * 256 + e) AS m FROM cells a JOIN book{i} b USING (p) GROUP BY a.r, a.p)")
@@ -109,8 +109,8 @@ def _codes_sql(rounds: int) -> str:
                 SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY j) AS x FROM sums{i} GROUP BY p, e) n USING (p, e))""")
     return f"""
         WITH kept AS MATERIALIZED (
-            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, x -> CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), cells AS MATERIALIZED (
             SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS x FROM kept, range(8) parts(p)
         ), book0 AS MATERIALIZED (
