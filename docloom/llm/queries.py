@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, rule_ledger, simhash, suffix_dedup, token_files, toxicity, urls, vector_codes
+from docloom.llm import bpe, exact_dedup, line_dedup, media, packing, phrases, rule_ledger, simhash, suffix_dedup, token_files, toxicity, urls, vector_codes
 from docloom.llm.common import table
 from docloom.tables import spread
 
@@ -79,6 +79,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, words, "words").select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=100, top=2000)
+
+
 def op12_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = vector_codes.train(spread(table(spark, sf_dir, "embeddings")))
     return vector_codes.with_group_error(trained.coded).select("vec_id", "code", "error", "label_error", F.lit(trained.digest()).alias("codebooks_sha256"))
@@ -92,7 +96,7 @@ def op13_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter, op12_yinyang_codes, op13_rule_ledger)
+    for f in (op1_token_counts, op2_bpe_round_trip, op3_exact_dedup, op4_toxicity, op5_media_webp, op6_packing, op7_suffix_dedup, op8_simhash, op9_line_dedup, op10_url_filter, op11_phrases, op12_yinyang_codes, op13_rule_ledger)
 }
 
 
@@ -147,6 +151,32 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.k) FILTER (WHERE NOT m.gone), '')) AS text_sha256
         FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
     """,
+    "op11_phrases": r"""
+        WITH pieces AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), grams AS (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) sizes(k))
+        ), f AS MATERIALIZED (
+            SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100
+        ), totals AS (
+            SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang
+        ), cuts AS (
+            SELECT lang, phrase, a, c, array_to_string(w[1 : c], ' ') AS head, array_to_string(w[c + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)
+        ), scores AS (
+            SELECT c.lang, c.phrase, c.a, c.c, x.a AS l, y.a AS r, n, CAST(CAST(c.a AS HUGEINT) * n * 1000 // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang
+        ), lowest AS (
+            SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+        ), held AS (
+            SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (
+                SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY 1, 2
+        ), ranked AS (
+            SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+            FROM lowest l LEFT JOIN held h ON h.lang = l.lang AND h.phrase = l.phrase WHERE longer IS NULL OR longer < a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
     "op12_yinyang_codes": _codes_sql(6),
     "op13_rule_ledger": r"""
         WITH texts AS (
