@@ -9,14 +9,18 @@ may end there; the popcount is its number of occurrences.  Inside a shard phrase
 are extended depth-first: a chunk of them is followed to the last word before the
 next chunk begins, which bounds memory.
 
-Counts of shards are summed by Spark in rounds.  ``DEPTHS`` says by how many words a
+Popcounts are summed over shards in rounds.  ``DEPTHS`` says by how many words a
 round extends; only phrases that are frequent over all shards are the base of the
 next round, and a longer phrase is made of overlapping phrases of that base, so each
 of its parts is frequent.  Which words can follow is read off the shard's list of
-positions.  Between rounds a shard is one row, its list of base phrases by position,
-which meets its frequent phrases in a shuffle by shard.  A phrase has one row in
-each shard, however often it occurs, so that no key is larger than the number of
-shards.  A phrase's global id is the least id that a shard has given it.
+positions.  Between rounds a shard is one row, its list of base phrases by position.
+
+Phrases are dealt to as many ranges as there are shuffle partitions, by a hash that
+only deals.  A shard sends each range one block: keys in order, as differences whose
+bytes are laid out by their place, and popcounts.  A task sums the blocks of a range,
+gives frequent phrases global ids and sends each shard the places of its own.  Keys
+are whole words, or the global ids of the base phrases, so counts are exact.  A phrase
+has one key in a shard however often it occurs: no range is hotter than others.
 
 Null text has no words; a null language is ``und``.  Rows that repeat count each.  A
 very long text is spread over shards, one without any piece's end fills one.  Ties in
@@ -26,6 +30,7 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from itertools import count
@@ -40,12 +45,12 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded, cut, utf8, work_dir
 from docloom.storage import remove
 
-#: Bytes of text in a shard and in a slice of a long text, entries of bitmaps in a chunk, rows that are sent on together.
+#: Bytes of text in a shard and in a slice of a long text, entries of bitmaps in a chunk, phrases that are sent on together.
 SHARD, SLICE, CHUNK, ROWS = 8 << 20, 1 << 20, 1 << 18, 1 << 16
 #: By how many words each round extends phrases.
 DEPTHS = (1, 1, 2)
-#: Bits of an id within a shard and of a shard's number within its task; the number of the task comes before them.
-ID_BITS, SHARD_BITS = 27, 14
+#: Bits of a shard's number within its task; the number of the task comes before them.
+SHARD_BITS = 20
 #: The ends of pieces.  In lower-cased bytes the letter A is free to stand for them.
 ENDS, MARK = b".,;:!?\n\v\f\r", b"A"
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + MARK * len(ENDS))
@@ -79,51 +84,64 @@ class Shard:
             self.parts.append(np.zeros(1, np.int32))
         self.size += sum(map(len, words)) + len(words)
 
-    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
-        """The words with their numbers of occurrences, then the shard itself."""
+    def rows(self, shard: int, ranges: int) -> Iterator[dict]:
+        """A block for each language and range, with words in order, then the shard itself, whose words are numbered in the order of the blocks."""
         at = np.concatenate(self.parts)
-        if len(at) >> ID_BITS:
-            raise ValueError(f"a piece of text with {len(at)} words is too long")
-        counts = np.bincount(at)
+        counts, number, first = np.bincount(at), np.zeros(int(at.max()) + 1, np.int32), 1
         for lang, own in self.words.items():
-            listed = [(w, i) for w, i in own.items() if i]
-            for k in range(0, len(listed), ROWS):
-                part = listed[k : k + ROWS]
-                ids = np.array([i for _, i in part], np.int32)
-                yield _batch(shard, ids=ids, counts=counts[ids], lang=pa.array([lang] * len(part), pa.string()), word=_strings([w for w, _ in part]))
-        yield _batch(shard, at=at)
+            listed = sorted((zlib.crc32(w) % ranges, w, i) for w, i in own.items() if i)
+            ids = np.array([i for _, _, i in listed], np.int32)
+            number[ids] = np.arange(first, first + len(ids))
+            for a, b in runs(np.array([r for r, _, _ in listed])):
+                yield dict(range=listed[a][0], shard=shard, first=first + a, n=b - a, lang=lang, words=b" ".join(w for _, w, _ in listed[a:b]), counts=planes(counts[ids[a:b]]))
+            first += len(ids)
+        yield dict(shard=shard, at=planes(number[at]))
 
 
-def _strings(words: list[bytes]) -> pa.Array:
-    try:
-        return pa.array(words, pa.binary()).cast(pa.string())
-    except pa.ArrowInvalid:
-        return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist()))
 
 
-def _batch(shard: int, at: np.ndarray | None = None, ids: np.ndarray | None = None, counts: np.ndarray | None = None, **more: pa.Array) -> pa.RecordBatch:
-    n = 1 if ids is None else len(ids)
-    own = [pa.array([shard] * n, pa.int64()), pa.nulls(n, pa.binary()) if at is None else pa.array([at.astype("<i4").tobytes()], pa.binary())]
-    own += [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((ids, pa.int32()), (counts, pa.int64()))]
-    if ids is None:
-        more = {}
-    return pa.RecordBatch.from_arrays([*own, *more.values()], names=["shard", "at", "id", "n", *more])
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as bytes by their place, the lowest first, as many as the largest needs: what is alike comes together."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
-def _filled(batch: pa.RecordBatch, schema: dict[str, pa.DataType]) -> pa.RecordBatch:
-    """``batch`` with nulls for the columns that it hasn't."""
-    have = dict(zip(batch.schema.names, batch.columns))
-    return pa.RecordBatch.from_arrays([have[c] if c in have else pa.nulls(batch.num_rows, t) for c, t in schema.items()], names=list(schema))
+def numbers(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.empty(0, np.int64)
+    rows = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.reshape(-1).view("<i8")
 
 
-_COMMON = {"shard": pa.int64(), "at": pa.binary(), "id": pa.int32(), "n": pa.int64()}
-_COMMON_DDL = "shard bigint, at binary, id int, n bigint"
+_FIELDS = {"range": pa.int32(), "shard": pa.int64(), "at": pa.binary(), "first": pa.int32(), "n": pa.int32(), "lang": pa.string(), "words": pa.binary(), "depth": pa.int32(), "keys": pa.list_(pa.binary()), "counts": pa.binary()}
+_DDL = "range int, shard bigint, at binary, first int, n int, lang string, words binary, depth int, keys array<binary>, counts binary"
 
 
-def _sharded(limit: int):
-    schema = _COMMON | {"lang": pa.string(), "word": pa.string()}
+def gathered(blocks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Blocks and shards as Arrow batches of some megabytes."""
+    own, size = [], 0
+    for x in blocks:
+        own.append(x)
+        size += 256 + sum(len(x.get(c) or b"") for c in ("at", "words", "counts")) + sum(map(len, x.get("keys") or ()))
+        if size >= 4 << 20:
+            yield pa.RecordBatch.from_pylist(own, pa.schema(_FIELDS))
+            own, size = [], 0
+    if own:
+        yield pa.RecordBatch.from_pylist(own, pa.schema(_FIELDS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "replace")
+
+
+def _sharded(limit: int, ranges: int):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         task = TaskContext.get().partitionId() << SHARD_BITS
         shard, made = Shard(), 0
         for batch in batches:
@@ -131,14 +149,14 @@ def _sharded(limit: int):
                 for words, end in slices(text):
                     shard.add(lang, words, end)
                     if end and shard.size >= limit:
-                        yield from (_filled(b, schema) for b in shard.rows(task + made))
+                        yield from shard.rows(task + made, ranges)
                         shard, made = Shard(), made + 1
                         if made >> SHARD_BITS:
                             raise ValueError("too many shards in one task")
         if shard.parts:
-            yield from (_filled(b, schema) for b in shard.rows(task + made))
+            yield from shard.rows(task + made, ranges)
 
-    return run
+    return lambda batches: gathered(blocks(batches))
 
 
 class Bitmaps(NamedTuple):
@@ -227,97 +245,182 @@ def descend(at: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray
             yield path, counts, nodes if step + 1 == depth else None
 
 
-def _rounds(depth: int, last: bool):
-    keys = [f"g{i + 1}" for i in range(depth + 1)]
-    schema = _COMMON | {"words": pa.int32()} | dict.fromkeys(keys, pa.int64())
+def grouped(columns: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For keys of several columns: the place of one row of each key, and each row's key."""
+    rank = columns[0]
+    for c in columns[1:]:
+        if (int(rank.max(initial=0)) + 1) * (int(c.max(initial=0)) + 1) >= 1 << 63:
+            rank, c = np.unique(rank, return_inverse=True)[1], np.unique(c, return_inverse=True)[1]
+        rank = rank * (int(c.max(initial=0)) + 1) + c
+    return np.unique(rank, return_index=True, return_inverse=True)[1:]
+
+
+def _dealt(keys: np.ndarray, ranges: int) -> np.ndarray:
+    mixed = np.zeros(len(keys), np.uint64)
+    for c in keys.T:
+        mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(ranges)).astype(np.int64)
+
+
+def _summed(min_count: int, ranges: int):
+    """Sums of the blocks of each range: rows of frequent phrases, and for each shard rows with its places of them."""
+    names = ["shard", "at", "first", "places", "gids", "gid", "depth", "lang", "word", "keys", "n"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+
+    def filled(size: int, /, **own: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(size, t) for c, t in zip(names, types)], names=names)
+
+    def one(own: list[dict], taken: int) -> Iterator[pa.RecordBatch | int]:
+        counts = np.concatenate([numbers(r["counts"]) for r in own])
+        words = columns = None
+        if own[0]["keys"] is None:
+            words = [w for r in own for w in r["words"].split(b" ")]
+            which = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy()
+            at = np.unique(which, return_index=True)[1]
+        else:
+            columns = [np.concatenate([np.cumsum(numbers(r["keys"][0])) if i == 0 else numbers(r["keys"][i]) for r in own]) for i in range(len(own[0]["keys"]))]
+            at, which = grouped(columns)
+        total = np.zeros(len(at), np.int64)
+        np.add.at(total, which, counts)
+        often = np.flatnonzero(total >= min_count)
+        gid = np.full(len(at), -1, np.int64)
+        gid[often] = (taken + np.arange(len(often))) * ranges + own[0]["range"]  # no other range has these
+        for k in range(0, len(often), ROWS):
+            some = often[k : k + ROWS]
+            n, more = len(some), {}
+            if words is not None:
+                more = {"lang": pa.array([own[0]["lang"]] * n, pa.string()), "word": pa.array([_text(words[i]) for i in at[some]], pa.string())}
+            else:
+                more = {"keys": pa.array(np.stack([c[at[some]] for c in columns], axis=1).tolist(), pa.list_(pa.int64())), "depth": pa.array([own[0]["depth"]] * n, pa.int32())}
+            yield filled(n, gid=pa.array(gid[some]), n=pa.array(total[some]), **more)
+        start = 0
+        for r in own:
+            mine = gid[which[start : start + r["n"]]]
+            start += r["n"]
+            if len(places := np.flatnonzero(mine >= 0)):
+                yield filled(1, shard=pa.array([r["shard"]], pa.int64()), first=pa.array([r["first"]], pa.int32()), depth=pa.array([r["depth"]], pa.int32()), places=pa.array([planes(np.diff(places, prepend=0))], pa.binary()), gids=pa.array([planes(mine[places])], pa.binary()))
+        yield len(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        taken, last = 0, None
+        same = lambda r: (r["range"], r["depth"], r["lang"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            nonlocal taken, last
+            if group:
+                taken, last = (taken if group[0]["range"] == last else 0), group[0]["range"]
+                for made in one(group, taken):
+                    if isinstance(made, int):
+                        taken += made
+                    else:
+                        yield made
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group and same(group[0]) != same(row):
+                    yield from done()
+                    group = []
+                group.append(row)
+        yield from done()
+
+    return run, "shard bigint, at binary, first int, places binary, gids binary, gid bigint, depth int, lang string, word string, keys array<bigint>, n bigint"
+
 
-    def extend(shard: int, before: np.ndarray, ids: np.ndarray, gids: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _extended(depth: int, last: bool, ranges: int):
+    def extend(shard: int, before: np.ndarray, ids: np.ndarray, gids: np.ndarray) -> Iterator[dict]:
         remap = np.zeros(max(int(before.max(initial=0)), int(ids.max(initial=0))) + 1, np.int32)
         remap[ids] = np.arange(1, len(ids) + 1)
         at, names = remap[before], np.concatenate([np.zeros(1, np.int64), gids])
+        paths: dict[int, list[np.ndarray]] = defaultdict(list)
+        counts: dict[int, list[np.ndarray]] = defaultdict(list)
         after, made = np.zeros(len(at), np.int32), 0
-        for path, counts, nodes in descend(at, depth):
-            own = np.arange(made + 1, made + 1 + len(counts), dtype=np.int32)
+        for path, n, nodes in descend(at, depth):
+            step = path.shape[1] - 1
+            paths[step].append(names[path])
+            counts[step].append(n)
             if nodes is not None and not last:
                 entry, pos = nodes.positions()
-                after[pos] = own[nodes.owner[entry]]
-            made += len(counts)
-            for k in range(0, len(counts), ROWS):
-                some = slice(k, k + ROWS)
-                more = {c: pa.array(names[path[some, i]]) for i, c in enumerate(keys[: path.shape[1]])}
-                yield _batch(shard, ids=own[some], counts=counts[some], words=pa.array(np.full(len(counts[some]), path.shape[1] - 1, np.int32)), **more)
+                after[pos] = made + 1 + nodes.owner[entry]
+                made += len(n)
+        for step in sorted(paths):
+            keys, n = np.concatenate(paths.pop(step)), np.concatenate(counts.pop(step))
+            to = _dealt(keys, ranges)
+            order = np.lexsort([*keys.T[::-1], to])
+            keys, n, to = keys[order], n[order], to[order]
+            if step == depth and not last:  # the base of the next round is numbered in the order of the blocks
+                number = np.zeros(len(order) + 1, np.int32)
+                number[order + 1] = np.arange(1, len(order) + 1)
+                after = number[after]
+            for a, b in runs(to):
+                own = [planes(np.diff(keys[a:b, 0], prepend=0)), *(planes(keys[a:b, i]) for i in range(1, keys.shape[1]))]
+                yield dict(range=int(to[a]), shard=shard, first=a + 1, n=b - a, depth=step, keys=own, counts=planes(n[a:b]))
         if not last:
-            yield _batch(shard, at=after)
+            yield dict(shard=shard, at=planes(after))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shard, at, ids, gids = None, None, [], []
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[dict]:
             if at is not None and ids:
-                yield from (_filled(b, schema) for b in extend(shard, at, np.concatenate(ids), np.concatenate(gids)))
+                yield from extend(shard, at, np.concatenate(ids), np.concatenate(gids))
 
         for batch in batches:
-            own = batch.column("shard").to_numpy()
-            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if own[a] != shard:
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
                     yield from done()
-                    shard, at, ids, gids = int(own[a]), None, [], []
-                if batch.column("at")[a].is_valid:  # the shard's own row comes first
-                    at = np.frombuffer(batch.column("at")[a].as_py(), "<i4")
-                    a += 1
-                if a < b:
-                    ids.append(batch.column("id").slice(a, b - a).to_numpy())
-                    gids.append(batch.column("gid").slice(a, b - a).to_numpy())
+                    shard, at, ids, gids = row["shard"], None, [], []
+                if row["at"] is not None:  # the shard's own row comes first
+                    at = numbers(row["at"])
+                else:
+                    ids.append(row["first"] + np.cumsum(numbers(row["places"])))
+                    gids.append(numbers(row["gids"]))
         yield from done()
 
-    return run, _COMMON_DDL + ", words int, " + ", ".join(f"{k} bigint" for k in keys), keys
+    return lambda batches: gathered(blocks(batches))
 
 
 def frequent_phrases(docs: DataFrame, folder: str, min_count: int, depths: Sequence[int] = DEPTHS, text: str = "text", lang: str = "lang", shard_bytes: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, words, n) of all phrases with ``min_count`` occurrences or more; (lang, total): occurrences of all words.  Both read tables in ``folder``."""
     spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = bounded(docs).select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].cast("string").alias("text"))
-    rows.mapInArrow(_sharded(shard_bytes), _COMMON_DDL + ", lang string, word string").write.parquet(path := f"{folder}/round-0")
-    table, keys = spark.read.parquet(path), ["lang", "word"]
-    totals = table.filter("id is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-    totals.write.parquet(f"{folder}/totals")
+    rows.mapInArrow(_sharded(shard_bytes, ranges), _DDL).write.parquet(path := f"{folder}/round-0")
+    table = spark.read.schema(_DDL).parquet(path)
     found: list[DataFrame] = []
     base = None
     for i in range(len(depths) + 1):
-        # all rows of a phrase, one a shard, meet: their sum, and the least of their ids
-        code = F.shiftleft("shard", ID_BITS).bitwiseOR(F.col("id").cast("long"))
-        same = Window.partitionBy(*keys)
-        summed = table.filter("id is not null").drop("at").withColumn("code", code).withColumns({"f": F.sum("n").over(same), "gid": F.min("code").over(same)})
-        summed.filter(F.col("f") >= min_count).write.parquet(kept_path := f"{folder}/kept-{i}")
-        kept = spark.read.parquet(kept_path)
-        phrases = kept.filter("code = gid")
+        blocks = table.filter("at is null").repartition("range").sortWithinPartitions("range", "depth", "lang", "shard")
+        run, ddl = _summed(min_count, ranges)
+        blocks.mapInArrow(run, ddl).write.parquet(kept_path := f"{folder}/kept-{i}")
+        kept = spark.read.schema(ddl).parquet(kept_path)
+        phrases = kept.filter("gid is not null")
         if base is None:
-            named = phrases.select("gid", "lang", F.array("word").alias("words"), F.col("f").alias("n"))
+            named = phrases.select("gid", "lang", F.array("word").alias("words"), "n", F.lit(0).alias("depth"))
         else:
-            named = phrases.join(base.select(F.col("gid").alias("g1"), "lang", F.col("words").alias("_words")), "g1")
-            for k in keys[1:]:  # each further base phrase adds its last word
-                tail = base.select(F.col("gid").alias(k), F.element_at("words", -1).alias("_last"))
-                named = named.join(tail, k, "left").withColumn("_words", F.when(F.col(k) != 0, F.concat("_words", F.array("_last"))).otherwise(F.col("_words"))).drop("_last")
-            named = named.select("gid", "lang", F.col("_words").alias("words"), F.col("f").alias("n"), F.col("words").alias("_depth"))
+            named = phrases.join(base.select(F.col("gid").alias("_g"), F.col("lang").alias("_lang"), "words"), F.get("keys", F.lit(0)) == F.col("_g"))
+            for k in range(1, depths[i - 1] + 1):  # each further base phrase adds its last word
+                tail = base.select(F.col("gid").alias("_t"), F.element_at("words", -1).alias("_last"))
+                named = named.join(tail, F.get("keys", F.lit(k)) == F.col("_t"), "left").withColumn("words", F.when(F.col("_last").isNotNull(), F.concat("words", F.array("_last"))).otherwise(F.col("words"))).drop("_t", "_last")
+            named = named.select("gid", F.col("_lang").alias("lang"), "words", "n", "depth")
         named.write.parquet(f"{folder}/phrases-{i}")
         named = spark.read.parquet(f"{folder}/phrases-{i}")
         found.append(named.select("lang", "words", "n"))
         if i == len(depths):
             break
+        mine = kept.filter("shard is not null")
         if base is not None:  # the longest phrases of the round are the base of the next one
-            kept, named = kept.filter(F.col("words") == depths[i - 1]), named.filter(F.col("_depth") == depths[i - 1])
+            mine, named = mine.filter(F.col("depth") == depths[i - 1]), named.filter(F.col("depth") == depths[i - 1])
+        else:
+            totals = table.filter("at is null").select("lang", "n", "counts").mapInArrow(_totals, "lang string, n bigint").groupBy("lang").agg(F.sum("n").alias("total"))
+            totals.write.parquet(f"{folder}/totals")
         base = named.select("gid", "lang", "words")
-        shards = table.filter("at is not null").select("shard", "at", F.lit(None).cast("int").alias("id"), F.lit(None).cast("long").alias("gid"))
-        own = kept.select("shard", F.lit(None).cast("binary").alias("at"), "id", "gid")
-        run, ddl, keys = _rounds(depths[i], i + 1 == len(depths))
-        dealt = shards.unionByName(own).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("id"))
-        made = dealt.mapInArrow(run, ddl).fillna(0, keys)
-        made.write.parquet(path := f"{folder}/round-{i + 1}")
+        shards = table.filter("at is not null").select("shard", "at", F.lit(None).cast("int").alias("first"), F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("gids"))
+        dealt = shards.unionByName(mine.select("shard", "at", "first", "places", "gids")).repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("first"))
+        dealt.mapInArrow(_extended(depths[i], i + 1 == len(depths), ranges), _DDL).write.parquet(path := f"{folder}/round-{i + 1}")
         remove(spark, f"{folder}/round-{i}")
-        table = spark.read.parquet(path)
+        table = spark.read.schema(_DDL).parquet(path)
     remove(spark, f"{folder}/round-{len(depths)}")
     out = found[0]
     for more in found[1:]:
@@ -325,6 +428,12 @@ def frequent_phrases(docs: DataFrame, folder: str, min_count: int, depths: Seque
     return out, spark.read.parquet(f"{folder}/totals")
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [int(numbers(x).sum()) for x in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(sums, pa.int64())], names=["lang", "n"])
+
+
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r, n, score of the phrases of two words or more that no longer one of as many occurrences holds."""
     named = phrases.select("lang", F.array_join("words", " ").alias("phrase"), "words", F.col("n").alias("a"))
