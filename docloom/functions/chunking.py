@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import sentences_keeping_ends, strip
+from docloom.functions import text as T
+from docloom.functions.text import let, sentences_keeping_ends, strip
 
 #: Fixed value: the largest chunk.
 MAX_CHUNK = 1000
@@ -96,7 +97,10 @@ def packed(pieces: Column, size: int, joiner: str, counted: int) -> Column:
 
 def overlapping_sentences(text: Column, size: int = MAX_CHUNK, back: int = 3) -> Column:
     """Sentences packed with spaces; a new chunk begins with up to ``back`` - 1 sentences of the one before."""
-    pieces = F.transform(sentences_keeping_ends(text), strip)
+    return let(F.transform(sentences_keeping_ends(text), strip), lambda pieces: _overlapping(pieces, size, back))
+
+
+def _overlapping(pieces: Column, size: int, back: int) -> Column:
     start = F.from_json(F.lit('{"done":[],"from":0,"to":0,"size":0}'), "struct<done:array<string>,from:int,to:int,size:int>")
     joined = lambda a, b: F.array_join(F.slice(pieces, a + 1, b - a), " ")
 
@@ -110,6 +114,63 @@ def overlapping_sentences(text: Column, size: int = MAX_CHUNK, back: int = 3) ->
     return F.aggregate(pieces, start, step, lambda s: F.when(s["to"] > s["from"], F.concat(s["done"], F.array(joined(s["from"], s["to"])))).otherwise(s["done"]))
 
 
+def _trailing(pieces: Column, joiner: str, room: Column) -> Column:
+    """How many of the last pieces fit into ``room`` when joined; one alone needs room for a joiner too."""
+    fits = lambda j: F.length(F.array_join(F.slice(pieces, -j, j), joiner)) + F.when(j == 1, len(joiner)).otherwise(0) <= room
+    return F.when(F.size(pieces) > 0, F.size(F.filter(F.sequence(F.lit(1), F.size(pieces)), fits))).otherwise(0)
+
+
+def _last(pieces: Column, n: Column, joiner: str) -> Column:
+    return F.when(n > 0, F.array_join(F.slice(pieces, -n, n), joiner)).otherwise(F.lit(""))
+
+
+def semantic_overlap(text: Column, size: int) -> Column:
+    """What the next chunk repeats of ``text``: its last whole paragraphs within ``size``, and of the paragraph before them its last whole sentences.
+
+    Where that is less than half of ``size``, the last ``size`` characters.
+    """
+
+    def of_paragraphs(parts: Column) -> Column:
+        return let(_trailing(parts, "\n\n", F.lit(size)), lambda n: let(F.struct(_last(parts, n, "\n\n").alias("tail"), T.sentences_keeping_ends(F.coalesce(F.get(parts, F.size(parts) - n - 1), F.lit(""))).alias("before")), with_sentences))
+
+    def with_sentences(x: Column) -> Column:
+        room = F.lit(size) - F.length(x["tail"])
+        lead = let(F.when(room > 0, _trailing(x["before"], " ", room)).otherwise(0), lambda n: _last(x["before"], n, " "))
+        return let(lead, lambda a: F.concat(a, F.when((a != "") & (x["tail"] != ""), F.lit("\n\n")).otherwise(F.lit("")), x["tail"]))
+
+    # empty paragraphs at the end don't count
+    to_last = lambda parts: F.slice(parts, F.lit(1), F.coalesce(F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1))), F.lit(0)))
+    whole = let(let(let(F.split(text, "\n\n"), to_last), of_paragraphs), lambda x: F.when(F.length(x) * 2 < size, F.right(text, F.lit(size))).otherwise(x))
+    return F.when(F.length(text) <= size, text).otherwise(whole)
+
+
+def recursive_chunks(text: Column, size: int = MAX_CHUNK, overlap: int = 100) -> Column:
+    """Paragraphs packed up to ``size``; a chunk that follows a full one begins with the overlap of that one.
+
+    A paragraph over ``size`` becomes sentence chunks, one over twice ``size`` overlapping sentences.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        n, now = F.length(x), s["now"]
+        again = F.when(F.length(now) > overlap, F.concat(semantic_overlap(now, overlap), F.lit("\n\n"), x)).otherwise(x)
+        return (
+            F.when(n > 2 * size, _state(F.concat(_flushed(s), overlapping_sentences(x, size)), F.lit(""), F.lit(0)))
+            .when(n > size, _state(F.concat(_flushed(s), sentence_chunks(x, size)), F.lit(""), F.lit(0)))
+            .when((now != "") & (F.length(now) + n + 2 > size), _state(_flushed(s), again, F.lit(0)))
+            .otherwise(_state(s["done"], F.when(now == "", x).otherwise(F.concat(now, F.lit("\n\n"), x)), F.lit(0)))
+        )
+
+    paragraphs = F.filter(F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n"), strip), lambda x: x != "")
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(_fold(paragraphs, step))
+
+
+def long_section(text: Column, size: int) -> Column:
+    """Sentences of a section packed with spaces up to ``size``, as structs of text and is_continuation; a section within ``size`` stays as it is."""
+    parts = packed(F.filter(F.transform(T.sentences(text), strip), lambda x: x != ""), size, " ", 1)
+    whole = F.when(F.length(text) > size, parts).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.transform(whole, lambda x, i: F.struct(x.alias("text"), (i > 0).alias("is_continuation")))
+
+
 def spans(text: Column, size: int) -> Column:
     """(start, end) of slices of ``size`` characters that tile the text."""
     starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(size))

@@ -59,6 +59,15 @@ def _packed_sql(name: str, pieces: str, keys: str, size: int, per_piece: int) ->
         {name} AS (SELECT {keys}, g, bool_or(big) AS big, min(i) AS first, list(x ORDER BY i) AS xs FROM {name}_k GROUP BY {keys}, g)"""
 
 
+def greedy_sql(name: str, pieces: str, keys: str, size: int, counted: int) -> str:
+    """CTE ``name``: keys, g, xs, the groups that packing of pieces (keys, i, x) makes while lengths, each plus ``counted``, stay within ``size``."""
+    same, own = " AND ".join(f"p.{k} = k.{k}" for k in keys.split(", ")), ", ".join(f"p.{k}" for k in keys.split(", "))
+    return f"""{name}_p AS MATERIALIZED ({pieces}), {name}_k AS (SELECT {keys}, i, x, CAST(length(x) + {counted} AS BIGINT) AS size, CAST(0 AS BIGINT) AS g FROM {name}_p WHERE i = 1
+        UNION ALL SELECT {own}, p.i, p.x, CASE WHEN k.size + length(p.x) > {size} THEN 0 ELSE k.size END + length(p.x) + {counted}, k.g + CASE WHEN k.size + length(p.x) > {size} THEN 1 ELSE 0 END
+        FROM {name}_k k JOIN {name}_p p ON {same} AND p.i = k.i + 1),
+        {name} AS (SELECT {keys}, g, list(x ORDER BY i) AS xs FROM {name}_k GROUP BY {keys}, g)"""
+
+
 def _text_sql(joiner: str) -> str:
     """A group's text: its pieces joined, without empty ones at the beginning; null where all are empty."""
     return f"array_to_string(list_slice(xs, list_position(list_transform(xs, lambda x: x <> ''), true), len(xs)), {joiner})"
@@ -110,14 +119,27 @@ def split_sentences(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.sentences_keeping_ends(F.col("text")).alias("sentences"))
 
 
-_OVERLAPPING = f"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(list_filter({_ENDS}, lambda x: {STRIP % 'x'} <> ''), lambda x: {STRIP % 'x'}) AS ls FROM documents),
-    p AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d), sums AS (SELECT doc_id, i, length(x) AS n, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM p),
-    ends AS (SELECT doc_id, list_prepend(0, list(upto ORDER BY i)) AS upto, max(i) AS total FROM sums GROUP BY doc_id),
-    k AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS before, false AS over FROM ends
-        UNION ALL SELECT s.doc_id, s.i, CASE WHEN e.upto[s.i] - e.upto[k.low + 1] + s.n > 1000 AND s.i - 1 > k.low THEN greatest(s.i - 3, k.low + 1) ELSE k.low END, k.low, e.upto[s.i] - e.upto[k.low + 1] + s.n > 1000 AND s.i - 1 > k.low
-        FROM k JOIN sums s ON s.doc_id = k.doc_id AND s.i = k.i + 1 JOIN ends e ON e.doc_id = k.doc_id),
-    made AS (SELECT doc_id, before AS low, i - 1 AS high FROM k WHERE over UNION ALL SELECT k.doc_id, low, total FROM k JOIN ends e ON e.doc_id = k.doc_id AND k.i = e.total)
-    SELECT m.doc_id, CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY m.low) - 1 AS BIGINT) AS chunk_index, array_to_string(list_slice(d.ls, m.low + 1, m.high), ' ') AS text FROM made m JOIN d ON d.doc_id = m.doc_id"""
+def _ends_of(text: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([.!?。！？；;][\x20\x09-\x0D]*)', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _overlapping_sql(name: str, source: str, keys: str) -> str:
+    """CTEs whose last, ``name``, has keys, low, text: overlapping sentence chunks of ``source`` (keys, x)."""
+    by = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    of = lambda a: ", ".join(f"{a}.{k}" for k in keys.split(", "))
+    over = "e.upto[s.i] - e.upto[k.low + 1] + s.n > 1000 AND s.i - 1 > k.low"
+    return f"""{name}_d AS (SELECT {keys}, list_transform(list_filter({_ends_of('x')}, lambda x: {STRIP % 'x'} <> ''), lambda x: {STRIP % 'x'}) AS ls FROM {source}),
+    {name}_p AS (SELECT {keys}, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM {name}_d), {name}_s AS (SELECT {keys}, i, length(x) AS n, CAST(sum(length(x) + 1) OVER (PARTITION BY {keys} ORDER BY i) AS BIGINT) AS upto FROM {name}_p),
+    {name}_e AS (SELECT {keys}, list_prepend(0, list(upto ORDER BY i)) AS upto, max(i) AS total FROM {name}_s GROUP BY {keys}),
+    {name}_k AS (SELECT {keys}, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS before, false AS over FROM {name}_e
+        UNION ALL SELECT {of('s')}, s.i, CASE WHEN {over} THEN greatest(s.i - 3, k.low + 1) ELSE k.low END, k.low, {over}
+        FROM {name}_k k JOIN {name}_s s ON {by('s', 'k')} AND s.i = k.i + 1 JOIN {name}_e e ON {by('e', 'k')}),
+    {name}_m AS (SELECT {keys}, before AS low, i - 1 AS high FROM {name}_k WHERE over UNION ALL SELECT {of('k')}, low, total FROM {name}_k k JOIN {name}_e e ON {by('e', 'k')} AND k.i = e.total),
+    {name} AS (SELECT {of('m')}, m.low, array_to_string(list_slice(d.ls, m.low + 1, m.high), ' ') AS text FROM {name}_m m JOIN {name}_d d ON {by('d', 'm')})"""
+
+
+_OVERLAPPING = f"""WITH RECURSIVE docs AS (SELECT doc_id, text AS x FROM documents), {_overlapping_sql('v', 'docs', 'doc_id')}
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY low) - 1 AS BIGINT) AS chunk_index, text FROM v"""
 
 
 @query(_OVERLAPPING)
@@ -125,12 +147,34 @@ def chunk_sentence_overlap(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.overlapping_sentences(F.col("text")))
 
 
-@query(f"SELECT doc_id, chunk_index, coalesce(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 100) || chr(10) || chr(10), '') || text AS text FROM ({_PARAGRAPHS})")
+def _last_sql(parts: str, room: str, joiner: str) -> str:
+    """The last of ``parts`` that fit into ``room`` when joined, as a struct of their number and text."""
+    joined = f"array_to_string(list_slice({parts}, len({parts}) - j + 1, len({parts})), {joiner})"
+    return f"""list_transform([len(list_filter(range(1, len({parts}) + 1), lambda j: length({joined}) + CASE WHEN j = 1 THEN length({joiner}) ELSE 0 END <= {room}))],
+        lambda j: {{'n': j, 'text': CASE WHEN j > 0 THEN {joined} ELSE '' END}})[1]"""
+
+
+_BREAK = "(chr(10) || chr(10))"
+_LEAD = f"list_filter({_ends_of('ps[len(ps) - tail.n]')}, lambda x: {STRIP % 'x'} <> '')"
+#: The overlap of a chunk ``now`` of over 100 characters, whose paragraphs aren't empty.
+_OVERLAP = f"""list_transform([string_split(now, {_BREAK})], lambda ps: list_transform([{_last_sql('ps', '100', _BREAK)}], lambda tail: list_transform([{_LEAD}], lambda ss:
+    list_transform([{_last_sql('ss', '(100 - length(tail.text))', "' '")}], lambda lead: list_transform([lead.text || CASE WHEN lead.text <> '' AND tail.text <> '' THEN {_BREAK} ELSE '' END || tail.text],
+    lambda o: CASE WHEN length(o) * 2 < 100 THEN right(now, 100) ELSE o END)[1])[1])[1])[1])[1]"""
+_RECURSIVE = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, {STRIP % 'x'} AS x, i FROM ({_pieces('string_split(text, chr(10))', table="(SELECT * FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) > 1000)")})) WHERE x <> ''),
+    k AS (SELECT doc_id, i, CASE WHEN length(x) > 1000 THEN '' ELSE x END AS now, '' AS out FROM p WHERE i = 1
+        UNION ALL SELECT p.doc_id, p.i, CASE WHEN length(x) > 1000 THEN '' WHEN now <> '' AND length(now) + length(x) + 2 > 1000 THEN CASE WHEN length(now) > 100 THEN {_OVERLAP} || {_BREAK} || x ELSE x END WHEN now = '' THEN x ELSE now || {_BREAK} || x END,
+            CASE WHEN length(x) > 1000 OR length(now) + length(x) + 2 > 1000 THEN now ELSE '' END FROM k JOIN p ON p.doc_id = k.doc_id AND p.i = k.i + 1),
+    huge AS (SELECT doc_id, i AS para, x FROM p WHERE length(x) > 2000), {_overlapping_sql('v', 'huge', 'doc_id, para')}, long AS (SELECT doc_id, i AS para, x FROM p WHERE length(x) > 1000 AND length(x) <= 2000), {_sentences_sql('s', 'long', 'doc_id, para')},
+    every AS (SELECT doc_id, i, 0 AS a, 0 AS b, 0 AS c, out AS text FROM k UNION ALL SELECT doc_id, para, 1, low, 0, text FROM v UNION ALL SELECT doc_id, para, 1, g, j, text FROM s_all
+        UNION ALL SELECT doc_id, i, 2, 0, 0, now FROM k QUALIFY i = max(i) OVER (PARTITION BY doc_id)
+        UNION ALL SELECT doc_id, 0, 0, 0, 0, replace(text, chr(10), {_BREAK}) FROM documents WHERE length(replace(text, chr(10), {_BREAK})) <= 1000)
+    {_numbered('SELECT * FROM every', 'doc_id', 'i, a, b, c')}"""
+
+
+@query(_RECURSIVE)
 def chunk_recursive_overlap(t: Tables) -> DataFrame:
-    # paragraphs packed as the first kind of chunker does, each chunk with the end of the one before it
-    chunks = C.exploded(t.documents, "doc_id", C.paragraph_chunks(F.col("text"), separator="\n"))
-    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
-    return chunks.select("doc_id", "chunk_index", F.concat(F.coalesce(F.concat(F.right(before, F.lit(100)), F.lit("\n\n")), F.lit("")), "text").alias("text"))
+    # lines count as paragraphs
+    return C.exploded(t.documents, "doc_id", C.recursive_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
 
 @query(_fold_sql(_pieces("string_split(text, chr(10))"), 1024, "' || chr(10) || '", 0, 0))
@@ -174,19 +218,36 @@ def chunk_semantic_text(t: Tables) -> DataFrame:
     return C.exploded(t.documents, "doc_id", C.packed(paragraphs, 1024, "\n\n", 2))
 
 
-@query(f"""WITH {LINES} SELECT page_id, heading_no, title, level, {STRIP % "line_text"} AS text FROM (SELECT h.page_id, h.heading_no, h.title, h.level, (SELECT string_agg(l.line, chr(10) ORDER BY l.line_no) FROM lines l WHERE l.page_id = h.page_id AND l.heading_no = h.heading_no) AS line_text FROM headings h)""")
+def _continued_sql(source: str, keys: str, columns: str, size: int) -> str:
+    """Query: ``columns``, part, text, is_continuation of the sections ``source`` (keys, columns, x); long ones are packed sentences."""
+    sentences = rf"list_filter(list_transform(string_split(regexp_replace(x, '([.!?。！？])[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), chr(1)), lambda y: {STRIP % 'y'}), lambda y: y <> '')"
+    pieces = f"SELECT {keys}, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT {keys}, {sentences} AS ls FROM {source} WHERE length(x) > {size})"
+    return f"""{greedy_sql('cont', pieces, keys, size, 1)} SELECT {columns}, part, text, part > 0 AS is_continuation FROM {source} JOIN (
+        SELECT {keys}, g AS part, array_to_string(xs, ' ') AS text FROM cont UNION ALL SELECT {keys}, 0, x FROM {source} WHERE length(x) <= {size} AND x <> '') USING ({keys})"""
+
+
+#: The size of a section in the two queries; sections of the pages are short.
+SECTION = 200
+
+
+@query(f"""WITH RECURSIVE {LINES}, own AS (SELECT page_id, heading_no, title, level, {STRIP % "line_text"} AS x FROM (SELECT h.page_id, h.heading_no, h.title, h.level, (SELECT string_agg(l.line, chr(10) ORDER BY l.line_no) FROM lines l WHERE l.page_id = h.page_id AND l.heading_no = h.heading_no) AS line_text FROM headings h)),
+    {_continued_sql('own', 'page_id, heading_no', 'page_id, heading_no, title, level', SECTION)}""")
 def chunk_hier_md(t: Tables) -> DataFrame:
     rows = M.lines(pages_md(t), "page_id", "md").filter("heading_no > 0")
     own = rows.groupBy("page_id", "heading_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("own"), F.max("title").alias("title"), F.max("level").alias("level"))
-    return own.select("page_id", "heading_no", "title", "level", T.strip(F.array_join(F.transform("own", lambda x: x["line"]), "\n")).alias("text"))
+    parts = C.long_section(T.strip(F.array_join(F.transform("own", lambda x: x["line"]), "\n")), SECTION)
+    return own.select("page_id", "heading_no", "title", "level", F.posexplode(parts).alias("part", "x")).select("page_id", "heading_no", "title", "level", F.col("part").cast("long").alias("part"), "x.*")
 
 
-@query("""WITH marked AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<h[1-6][^>]*>)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM pages), each AS (SELECT page_id, unnest(list_slice(parts, 2, len(parts))) AS part, generate_subscripts(list_slice(parts, 2, len(parts)), 1) - 1 AS i FROM marked)
-    SELECT page_id, CAST(i AS BIGINT) AS chunk_index, trim(regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text FROM each""")
+@query(f"""WITH RECURSIVE marked AS (SELECT page_id, string_split(regexp_replace(html, '(?i)(<h[1-6][^>]*>)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM pages), each AS (SELECT page_id, unnest(list_slice(parts, 2, len(parts))) AS part, generate_subscripts(list_slice(parts, 2, len(parts)), 1) - 1 AS i FROM marked),
+    own AS (SELECT page_id, CAST(i AS BIGINT) AS chunk_index, trim(regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS x FROM each),
+    {_continued_sql('own', 'page_id, chunk_index', 'page_id, chunk_index', SECTION)}""")
 def chunk_hier_html(t: Tables) -> DataFrame:
     parts = F.split(F.regexp_replace("html", r"(?i)(<h[1-6][^>]*>)", "\x01$1"), "\x01")
     sections = F.slice(parts, F.lit(2), F.size(parts))
-    return C.exploded(t.pages.withColumn("s", sections), "page_id", F.transform(F.col("s"), T.html_to_text))
+    own = C.exploded(t.pages.withColumn("s", sections), "page_id", F.transform(F.col("s"), T.html_to_text))
+    made = own.select("page_id", "chunk_index", F.posexplode(C.long_section(F.col("text"), SECTION)).alias("part", "x"))
+    return made.select("page_id", "chunk_index", F.col("part").cast("long").alias("part"), "x.*")
 
 
 @query()
