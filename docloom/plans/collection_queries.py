@@ -182,6 +182,28 @@ def ann_lsh_recall(t: Tables) -> DataFrame:
     return each.crossJoin(F.broadcast(n)).select("query_id", "recall", F.round(F.col("n_found") / F.col("n"), 4).alias("scanned"))  # one row
 
 
+@query()
+def ann_ivf_search(t: Tables) -> DataFrame:
+    """Recall at 10 of a stored index that was built with two thirds of the rows, closed, opened and given the rest; the shares of codes and vectors that a query met."""
+    from docloom.operators import ivf
+
+    queries = t.embeddings.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    folder = fresh_folder(t.spark, "ivf")
+    later = F.pmod(F.xxhash64("vec_id"), F.lit(3)) == 0
+    built = ivf.build(t.embeddings.filter(~later), folder)
+    index = ivf.Index(t.spark, folder)
+    index.add(t.embeddings.filter(later))
+    # these vectors lie nearly as far from each other as random ones: three quarters of the lists
+    found = index.search(queries, 10, n_probe=max(1, len(built.centroids) * 3 // 4), refine=4)
+    exact = vector.top_k(queries, t.embeddings, 10, "cosine").select("query_id", "vec_id")
+    n = t.embeddings.agg(F.count("*").alias("n"))
+    each = exact.join(found, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.col("n_read").isNotNull().cast("int")), 4).alias("recall"), F.max("n_read").alias("n_read"), F.max("n_compared").alias("n_compared"))
+    share = lambda c: F.round(F.col(c) / F.col("n"), 4)
+    out = settled(each.crossJoin(F.broadcast(n)).select("query_id", "recall", share("n_read").alias("codes_read"), share("n_compared").alias("vectors_compared")))  # one row
+    remove(t.spark, folder)
+    return out
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY event_type")
 def stream_ingest(t: Tables) -> DataFrame:
     from docloom.streaming.ingest import ingest
