@@ -215,6 +215,56 @@ def stream_ingest(t: Tables) -> DataFrame:
     return found
 
 
+_OP = "CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'insert' ELSE 'update' END"
+
+
+@query(f"""SELECT user_id, event_id, ts, op, value FROM (SELECT *, {_OP} AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND op <> 'delete'""")
+def stream_changes(t: Tables) -> DataFrame:
+    """Events as inserts, updates and deletes of users, in files without order, some of them twice; the stream is stopped in the middle and goes on."""
+    from docloom.streaming.changes import ChangedTable
+
+    changes = t.events.select("user_id", "event_id", "ts", F.expr(_OP).alias("op"), "value")
+    folder = fresh_folder(t.spark, "changes")
+    part = lambda n: changes.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == n)
+    table = ChangedTable(t.spark, folder, changes.schema, "user_id", ["ts", "event_id"])
+    for n in (2, 0):
+        part(n).write.mode("append").parquet(f"{folder}/in")
+    table.follow(f"{folder}/in", files_per_batch=1)
+    table.compact()
+    part(1).unionByName(part(2)).write.mode("append").parquet(f"{folder}/in")
+    again = ChangedTable(t.spark, folder, changes.schema, "user_id", ["ts", "event_id"])
+    again.follow(f"{folder}/in", files_per_batch=1)
+    found = settled(again.current())
+    remove(t.spark, folder)
+    return found
+
+
+_KEPT = "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+
+
+@query(f"SELECT * FROM ({_KEPT}) WHERE k IS NULL OR k <> 7")
+def delete_by_metadata(t: Tables) -> DataFrame:
+    """A collection whose metadata have no schema loses the rows with one value of a field."""
+    from docloom.operators import metadata
+
+    kept, root = metadata.collection(t.spark, "meta"), "events"
+    kept.create(root, metadata.with_metadata(t.events, "props").select("event_id", "event_type", "props"))
+    kept.delete_where(root, metadata.field("props", "k", "long") == 7)
+    found = settled(kept.read(root).select("event_id", "event_type", metadata.field("props", "k", "long").alias("k")))
+    remove(t.spark, kept.root)
+    return found
+
+
+@query(f"SELECT * FROM ({_KEPT}) WHERE k >= 20 AND k < 40 AND event_type IN ('view', 'click')")
+def search_by_metadata(t: Tables) -> DataFrame:
+    from docloom.operators import metadata
+    from docloom.operators.filters import boolean_filter
+
+    rows = metadata.with_metadata(t.events, "props")
+    asked = boolean_filter("props['k'] >= 20 and props['k'] < 40 && event_type in [\"view\", 'click']", rows.columns, "props", "variant")
+    return rows.filter(asked).select("event_id", "event_type", metadata.field("props", "k", "long").alias("k"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(t: Tables) -> DataFrame:
     """Event-time windows of an hour, with rows up to ten minutes late, by the same code for batches and streams."""

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.filters import boolean_filter
 from docloom.plans.registry import query
 from docloom.tables import Tables
 
@@ -114,6 +115,12 @@ def filter_expression(t: Tables) -> DataFrame:
     return t.documents.filter(expression_filter("lang == 'de'")).select("doc_id", "lang")
 
 
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (3, 5, 7, 11) OR (lang = 'de' OR lang = 'fr') AND n_chars BETWEEN 200 AND 900 AND NOT (source = 'src0' OR source = 'it''s')")
+def filter_boolean(t: Tables) -> DataFrame:
+    asked = "doc_id in [3, 5, 7, 11] || (lang == \"de\" or lang == 'fr') and n_chars >= 200 and n_chars <= 900 and not (source == 'src0' or source == \"it's\")"
+    return t.documents.filter(boolean_filter(asked, t.documents.columns)).select("doc_id", "lang", "source", "n_chars")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang IN ('fr', 'de') AND n_chars >= 500 AND n_chars < 5000 AND NOT source = 'src0' AND (source = 'src1' OR source = 'src2')")
 def filter_es_term(t: Tables) -> DataFrame:
     spec = {"bool": {"must": [{"terms": {"lang": ["fr", "de"]}}, {"range": {"n_chars": {"gte": 500, "lt": 5000}}}], "must_not": [{"term": {"source": "src0"}}], "should": [{"term": {"source": "src1"}}, {"term": {"source": "src2"}}]}}

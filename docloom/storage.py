@@ -36,6 +36,27 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.exists(where) and fs.delete(where, True)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all; ``FileExistsError`` where there is one already."""
+    fs, where = file_system(spark, path)
+    fs.mkdirs(where.getParent())
+    early = where.getParent().suffix(f"/.{uuid.uuid4().hex}")
+    out = fs.create(early, False)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    none = gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:  # unlike the file system's own, this rename never replaces a file
+        hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(early), fs.makeQualified(where), none)
+    except Exception as e:
+        fs.delete(early, False)
+        if "FileAlreadyExistsException" in str(e):
+            raise FileExistsError(path) from e
+        raise
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed and kept by a reliable checkpoint, so that its sources may go."""
     context = df.sparkSession.sparkContext
