@@ -103,6 +103,36 @@ def packed_lines(pieces: list[str], size: int) -> list[str]:
     return out + [now] * bool(now)
 
 
+def sentence_pieces(paragraph: str, size: int) -> list[str]:
+    """Sentences packed with spaces, as ``chunking.sentence_chunks`` does."""
+    out, now, n = [], "", 0
+    for x in paragraph.replace(". ", ".\n").split("\n"):
+        if len(x) > size:
+            out += [now] * bool(now) + [x[i : i + size] for i in range(0, len(x), size)]
+            now, n = "", 0
+        elif n + len(x) > size:
+            out += [now] * bool(now)
+            now, n = x, len(x)
+        else:
+            now, n = f"{now} {x}" if now else x, n + len(x) + 1
+    return out + [now] * bool(now)
+
+
+def paragraph_pieces(text: str, separator: str = "\n\n", size: int = 1000) -> list[str]:
+    """Paragraphs packed up to ``size``, as ``chunking.paragraph_chunks`` does."""
+    out, now, n = [], "", 0
+    for x in text.split(separator):
+        if len(x) > size:
+            out += [now] * bool(now) + sentence_pieces(x, size)
+            now, n = "", 0
+        elif n + len(x) > size:
+            out += [now] * bool(now)
+            now, n = x, len(x)
+        else:
+            now, n = f"{now}{separator}{x}" if now else x, n + len(x)
+    return out + [now] * bool(now)
+
+
 def code_pieces(block: str, size: int = 1000) -> list[str]:
     """A fenced block in pieces that are fenced again: whole definitions where they fit, else lines."""
     m = re.fullmatch(r"```(\w*)\n(.*?)\n?```", block.strip(), re.S)

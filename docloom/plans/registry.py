@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports every module of queries."""
-    from docloom.plans import chunk_queries, collection_queries, dispatch_queries, relational_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401
+    from docloom.plans import chunk_queries, collection_queries, dispatch_queries, relational_queries, retrieval_queries, source_queries, structure_queries, text_queries  # noqa: F401
 
 
 load()
