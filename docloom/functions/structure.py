@@ -1,79 +1,125 @@
 """Splits that keep structure: a text is tiled by code, list, table and text blocks, and each kind is split its own way.
 
-Blocks are runs of lines, found by windows over the lines of a text.  A fenced block
-comes before all else, then list items with their indented lines, then rows of a
-table; blank lines belong to the block before them.  A block within the size is one
-piece.  A longer one is split between definitions (then lines), items (then lines),
-rows, or paragraphs (then sentences, then characters), and the parts are packed up
-to the size, so that the pieces of a text join to it.
+Blocks are runs of lines.  A fenced block comes before all else, then list items with
+their indented lines, then rows of a table; blank lines belong to the block before
+them.  A block within the size is one piece.  A longer one is split between
+definitions (then lines), items (then lines), rows, or paragraphs (then sentences, then
+characters), and the parts are packed up to the size, so that the pieces of a text
+join to it.  Spark has no find-all with positions, so the spans of a text come from a
+small function of it, in Arrow batches; no row of a text leaves its partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M
-from docloom.functions.chunking import MAX_CHUNK, packed, semantic_overlap, windows
-from docloom.functions.text import WS
+from docloom.functions.chunking import MAX_CHUNK, semantic_overlap
+from docloom.operators.boundaries import apply
 
 #: How lines of lists and tables, and definitions in code, begin.
-ITEM = r"^[\x20\x09]*(?:[*+-]|[0-9]+\.)[\x20\x09]+"
-ROW = r"^[\x20\x09]*\|.*\|[\x20\x09]*$"
-DEFINITION = r"(?m)^([\x20\x09]*(?:def|function|func|fn|public|private|protected|class|module|interface)[\x20\x09]+)"
-_MARK = "\x01"
-
-
-def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, block (from 0), kind (code, list, table, text), text: runs of lines that tile ``text``.
-
-    The last fence of an odd number of them opens no block.
-    """
-    lines = docs.filter(F.length(text) > 0).select(key, F.size(F.split(text, "\n")).alias("n"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.when(F.col("line_no") + 1 < F.col("n"), F.concat("line", F.lit("\n"))).otherwise(F.col("line"))).filter("line <> ''")
-    bare = F.regexp_replace("line", r"\n$", "")
-    order = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.startswith(F.trim(bare), F.lit("```")).cast("int")
-    lines = lines.withColumns({"fence": fence, "opened": F.sum(fence).over(order), "fences": F.sum(fence).over(Window.partitionBy(key))})
-    # a fenced block is known by the number of its opening fence
-    code = F.when((F.col("opened") % 2 == 1) & (F.col("opened") < F.col("fences")), F.col("opened")).when((F.col("fence") == 1) & (F.col("opened") % 2 == 0), F.col("opened") - 1)
-    item, row, indented = bare.rlike(ITEM), bare.rlike(ROW), bare.rlike(r"^[\x20\x09]+[^\x20\x09]")
-    lines = lines.withColumn("code", code)
-    plain = F.when(F.col("code").isNotNull(), F.lit("code")).when(item, F.lit("list")).when(row, F.lit("table")).when(bare.rlike(rf"^{WS}*$"), F.lit(None)).when(indented, F.lit("in")).otherwise(F.lit("text"))
-    lines = lines.withColumn("own", plain)
-    # blank and indented lines go with the last line of another kind: indented ones with a list only
-    solid = F.last(F.when(F.col("own") != "in", F.col("own")), ignorenulls=True).over(order)
-    kind = F.when(F.col("own") == "in", F.when(solid == "list", F.lit("list")).otherwise(F.lit("text")))
-    lines = lines.withColumn("kind", F.coalesce(kind, F.when(F.col("own").isNotNull(), F.col("own"))))
-    lines = lines.withColumn("kind", F.coalesce(F.last("kind", ignorenulls=True).over(order), F.lit("text")))
-    # a blank line after a block of code is part of that block
-    lines = lines.withColumn("code", F.when(F.col("kind") == "code", F.last("code", ignorenulls=True).over(order)))
-    before = Window.partitionBy(key).orderBy("line_no")
-    new = ~(F.col("kind").eqNullSafe(F.lag("kind").over(before)) & F.col("code").eqNullSafe(F.lag("code").over(before)))
-    lines = lines.withColumn("block", F.sum(new.cast("int")).over(order) - 1)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "")
-    return lines.groupBy(key, F.col("block").cast("long").alias("block"), "kind").agg(joined.alias("text"))
-
-
-def _cut(text: Column, pattern: str, new: str) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, pattern, new), _MARK), lambda x: x != "")
-
-
-def _finer(parts: Column, size: int, f) -> Column:
-    return F.flatten(F.transform(parts, lambda x: F.when(F.length(x) > size, f(x)).otherwise(F.array(x))))
-
-
-def _lines(text: Column) -> Column:
-    return _cut(text, r"(\n)", "$1" + _MARK)
-
-
-def pieces(text: Column, kind: Column, size: int = MAX_CHUNK) -> Column:
-    """A block's pieces, which join to it; only a line of code or a row over ``size`` stays longer than that."""
-    code = _finer(_cut(text, DEFINITION, _MARK + "$1"), size, _lines)
-    items = _finer(_finer(_cut(text, "(?m)(" + ITEM + ")", _MARK + "$1"), size, _lines), size, lambda x: windows(x, size))
-    paragraphs = _finer(_cut(text, r"(\n[\x20\x09-\x0D]*\n)", "$1" + _MARK), size, lambda x: _cut(x, rf"([.!?。！？；;]{WS}*|\n)", "$1" + _MARK))
-    finest = F.when(kind == "code", code).when(kind == "list", items).when(kind == "table", _lines(text)).otherwise(_finer(paragraphs, size, lambda x: windows(x, size)))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(packed(finest, size, "", 0))
+ITEM = re.compile(r"^[\x20\x09]*(?:[*+-]|[0-9]+\.)[\x20\x09]+", re.M)
+ROW = re.compile(r"[\x20\x09]*\|[^\n]*\|[\x20\x09]*\n?$")
+DEFINITION = re.compile(r"^[\x20\x09]*(?:def|function|func|fn|public|private|protected|class|module|interface)[\x20\x09]+", re.M)
+HEADING = re.compile(r"(#{1,6})[\x20\x09]+(.+)$")
+TARGETS = (re.compile(r"\[[^\]\n]+\]\(#([^)\n]+)\)"), re.compile(r"\[ref:([^\]\n]+)\]"), re.compile(r"\[\[([^\]\n]+)\]\]"), re.compile(r"「参见：([^」\n]+)」"))
+BLANKS = " \t\n\v\f\r"
+LINE, PARAGRAPH, ENDING = re.compile(r"\n"), re.compile(r"\n[\x20\x09-\x0D]*\n"), re.compile(r"[.!?。！？；;][\x20\x09-\x0D]*|\n")
+
+
+def block_spans(text: str) -> list[tuple[str, int, int]]:
+    """Kind (code, list, table, text), start and end of the blocks that tile ``text``; the last fence of an odd number of them opens no block."""
+    lines, start = [], 0
+    while start < len(text):
+        end = text.find("\n", start) + 1 or len(text)
+        lines.append((start, end))
+        start = end
+    left = sum(text.startswith("```", a + _indent(text, a, b, " ")) for a, b in lines)
+    out: list[list] = []
+    kind, solid, is_open = "text", None, False
+    for a, b in lines:
+        new = False
+        if text.startswith("```", a + _indent(text, a, b, " ")):
+            left -= 1
+            new = not is_open and left > 0
+            is_open = is_open or new
+            if new or is_open:
+                kind = solid = "code"
+            if is_open and not new:
+                is_open = False
+            elif not is_open:
+                kind = solid = "text"
+        elif not is_open:
+            own = _kind(text, a, b)
+            if own == "in":  # an indented line goes on with a list only
+                kind = "list" if solid == "list" else "text"
+            elif own:
+                kind = solid = own
+        if out and out[-1][0] == kind and not new:
+            out[-1][2] = b
+        else:
+            out.append([kind, a, b])
+    return [tuple(x) for x in out]
+
+
+def _indent(text: str, a: int, b: int, blanks: str = " \t") -> int:
+    n = a
+    while n < b and text[n] in blanks:
+        n += 1
+    return n - a
+
+
+def _kind(text: str, a: int, b: int) -> str | None:
+    """The kind of a line outside fences by itself; ``in`` of other indented lines, None of blank ones."""
+    if ITEM.match(text, a, b):
+        return "list"
+    if ROW.match(text, a, b):
+        return "table"
+    if not text[a:b].strip(" \t\n\v\f\r"):
+        return None
+    return "in" if text[a] in " \t" else "text"
+
+
+def _at(pattern: re.Pattern, text: str, a: int, b: int, before: bool) -> list[tuple[int, int]]:
+    """The span cut at the beginnings of matches, or at their ends."""
+    own = text[a:b]
+    edges = [a, *(a + (m.start() if before else m.end()) for m in pattern.finditer(own)), b]
+    return [(x, y) for x, y in zip(edges, edges[1:]) if x < y]
+
+
+def _finer(parts: list[tuple[int, int]], size: int, cut: Callable[[int, int], list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    return [y for a, b in parts for y in (cut(a, b) if b - a > size else [(a, b)])]
+
+
+def piece_spans(text: str, size: int = MAX_CHUNK) -> list[dict]:
+    """kind, block, part, start, end of the pieces that tile ``text``; only a line of code or a row over ``size`` stays longer than that."""
+    out = []
+    lines = lambda a, b: _at(LINE, text, a, b, False)
+    slices = lambda a, b: [(i, min(i + size, b)) for i in range(a, b, size)]
+    for block, (kind, start, end) in enumerate(block_spans(text)):
+        if end - start <= size:
+            parts = [(start, end)]
+        elif kind == "code":
+            parts = _finer(_at(DEFINITION, text, start, end, True), size, lines)
+        elif kind == "list":
+            parts = _finer(_finer(_at(ITEM, text, start, end, True), size, lines), size, slices)
+        elif kind == "table":
+            parts = lines(start, end)
+        else:
+            parts = _finer(_finer(_at(PARAGRAPH, text, start, end, False), size, lambda a, b: _at(ENDING, text, a, b, False)), size, slices)
+        at, now = start, start
+        part = 0
+        for a, b in [*parts, (end, end + size + 1)]:
+            if b - at > size and now > at:
+                out.append({"kind": kind, "block": block, "part": part, "start": at, "end": now})
+                part, at = part + 1, now
+            now = b
+    return out
 
 
 def structure_split(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK, overlap: int = 0) -> DataFrame:
@@ -82,13 +128,24 @@ def structure_split(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK,
     ``lead`` is what a reader needs before a piece that continues a block: the fence line of
     split code, and the semantic overlap of plain text, where ``overlap`` asks for one.
     """
-    found = blocks(docs, key, text)
-    made = found.select(key, "block", "kind", F.regexp_extract("text", r"^([^\n]*\n)", 1).alias("head"), F.posexplode(pieces(F.col("text"), F.col("kind"), size)).alias("part", "text"))
-    order = Window.partitionBy(key).orderBy("block", "part")
-    end = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    again = F.when(F.lit(overlap > 0) & (F.col("kind") == "text"), semantic_overlap(F.lag("text").over(order), overlap or 1))
-    lead = F.when(F.col("part") > 0, F.when(F.col("kind") == "code", F.col("head")).otherwise(F.coalesce(again, F.lit("")))).otherwise(F.lit(""))
-    return made.select(key, (F.row_number().over(order) - 1).cast("long").alias("piece"), "kind", "block", (end - F.length("text")).alias("start"), end.alias("end"), "text", lead.alias("lead"))
+
+    def run(own: str) -> list[dict]:
+        head, made = "", []
+        for p in piece_spans(own, size):
+            piece = own[p["start"] : p["end"]]
+            if p["part"] == 0:
+                head = piece[: piece.find("\n") + 1]
+            made.append({**p, "text": piece, "head": head if p["part"] and p["kind"] == "code" else ""})
+        return made
+
+    found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<kind:string,block:bigint,part:int,start:bigint,end:bigint,text:string,head:string>>")
+    pieces = F.col("value")
+    if overlap:
+        before = lambda i: F.get(pieces, i - 1)["text"]
+        lead = lambda p, i: F.when((p["kind"] == "text") & (p["part"] > 0), semantic_overlap(before(i), overlap)).otherwise(p["head"])
+        found = found.withColumn("value", F.transform(pieces, lambda p, i: p.withField("head", lead(p, i))))
+    each = found.select(key, F.posexplode("value").alias("piece", "p"))
+    return each.select(key, F.col("piece").cast("long").alias("piece"), "p.kind", "p.block", "p.start", "p.end", "p.text", F.col("p.head").alias("lead"))
 
 
 def reference_edges(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -115,6 +172,48 @@ def reference_contexts(edges: DataFrame, key: str, least: int = 2) -> DataFrame:
     return named.groupBy(key, "heading_no").agg(F.array_join(F.transform(listed, line), "").alias("context"))
 
 
+def sections_of(text: str) -> list[dict]:
+    """The sections of a markdown text, as ``markdown.sections`` and ``reference_edges`` tell them, with what a chunk says of its references.
+
+    ``under``: the section or one that encloses it is named somewhere; ``context``: a line for each heading that it names and that is named twice or more.
+    """
+    found: list[dict] = []
+    stack: list[dict] = []
+    refs: list[tuple[int, str]] = []
+    is_open = False
+    for line in text.split("\n"):
+        fence = line.strip(" ").startswith("```")
+        in_code, is_open = fence or is_open, is_open != fence
+        if in_code:
+            continue
+        if m := HEADING.match(line):
+            title = m[2].strip(BLANKS)
+            while stack and stack[-1]["level"] >= len(m[1]):
+                stack.pop()
+            stack.append({"no": len(found) + 1, "level": len(m[1]), "title": title, "id": slug(title), "lines": [], "above": [x["no"] for x in stack] + [len(found) + 1]})
+            stack[-1]["crumb"] = " > ".join(x["title"] for x in stack)
+            found.append(stack[-1])
+        elif found:
+            found[-1]["lines"].append(line)
+        refs += [(len(found), t) for p in TARGETS for t in p.findall(line)]
+    names = {name: h["no"] for h in found for name in (h["id"], h["title"], h["title"].lower())}  # of headings with one name the last
+    edges = [(a, b) for a, t in refs if (b := names.get(t) or names.get(t.lower()))]
+    n_in, n_out = Counter(b for _, b in edges), Counter(a for a, _ in edges)
+    named: dict[int, set[int]] = {}
+    for a, b in edges:
+        named.setdefault(a, set()).add(b)
+    out = []
+    for h in found:
+        lines = [f"\n\n引用上下文: {found[b - 1]['title']} (级别: {found[b - 1]['level']})" for b in sorted(named.get(h["no"], ())) if n_in[b] > 1]
+        under = any(n_in[x] for x in h["above"])
+        out.append({"heading_no": h["no"], "crumb": h["crumb"], "content": "\n".join(h["lines"]).strip(BLANKS), "under": under, "n_in": n_in[h["no"]], "n_out": n_out[h["no"]], "context": "".join(lines)})
+    return out
+
+
+def slug(title: str) -> str:
+    return re.sub("[^a-z0-9一-龥]+", "-", re.sub("<[^>]*>", "", title).lower()).strip("-")
+
+
 def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK, overlap: int = 100) -> DataFrame:
     """key, chunk_index, heading_no, kind, text: the sections of a markdown text as chunks that can be read by themselves.
 
@@ -122,37 +221,29 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK,
     the section or one above it is named or it names others itself, then its content, and lines
     on the headings it names that others name too.  Content over ``size`` is split by structure.
     """
-    kept = M.sections(docs, key, text).filter("content <> ''")
-    edges = reference_edges(docs, key, text)
-    n_in = edges.groupBy(key, F.col("cited").alias("heading_no")).agg(F.count("*").alias("n_in"))
-    n_out = edges.groupBy(key, F.col("citing").alias("heading_no")).agg(F.count("*").alias("n_out"))
-    above = enclosing(M.headings(docs, key, text), key).join(n_in.withColumnRenamed("heading_no", "outer"), [key, "outer"]).select(key, "heading_no").distinct().withColumn("under", F.lit(True))
-    rows = kept.join(n_in, [key, "heading_no"], "left").join(n_out, [key, "heading_no"], "left").join(above, [key, "heading_no"], "left").join(reference_contexts(edges, key), [key, "heading_no"], "left")
-    marks = F.array(
-        F.when(F.col("under"), F.concat(F.lit("[被引用次数: "), F.coalesce("n_in", F.lit(0)).cast("string"), F.lit("]"))),
-        F.when(F.col("n_out") > 0, F.concat(F.lit("[外部引用数: "), F.col("n_out").cast("string"), F.lit("]"))),
-    )
-    marks = F.filter(marks, lambda x: x.isNotNull())
-    head = F.concat("breadcrumb", F.lit("\n\n"))
-    meta = F.when(F.size(marks) > 0, F.concat(F.array_join(marks, " "), F.lit("\n"))).otherwise(F.lit(""))
-    context = F.coalesce("context", F.lit(""))
-    rows = rows.select(F.struct(key, "heading_no").alias("_section"), "content", head.alias("head"), meta.alias("meta"), context.alias("context"))
-    long = F.length("head") + F.length("meta") + F.length("content") > size
-    whole = rows.filter(~long).select("_section", F.lit(0).cast("long").alias("piece"), F.lit("section").alias("kind"), F.concat("head", "meta", "content", "context").alias("text"))
-    split = structure_split(rows.filter(long), "_section", "content", size, overlap).join(rows.drop("content"), "_section")
-    fence = F.when((F.col("kind") == "code") & (F.col("lead") != ""), F.lit("")).otherwise(F.when(F.col("lead") != "", F.lit("\n\n")).otherwise(F.lit("")))
-    cut = split.select("_section", "piece", "kind", F.concat("head", F.when(F.col("piece") == 0, F.col("meta")).otherwise(F.lit("")), "lead", fence, "text", "context").alias("text"))
-    every = whole.unionByName(cut).select(F.col(f"_section.{key}").alias(key), F.col("_section.heading_no").alias("heading_no"), "piece", "kind", "text")
-    order = Window.partitionBy(key).orderBy("heading_no", "piece")
-    return every.select(key, (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "heading_no", "kind", "text")
-
-
-def enclosing(found: DataFrame, key: str) -> DataFrame:
-    """key, heading_no, outer: each heading with itself and the headings that enclose it."""
-    before = Window.partitionBy(key).orderBy("heading_no").rowsBetween(Window.unboundedPreceding, -1)
-    outers = []
-    for level in range(1, 6):
-        last, lower = F.max(F.when(F.col("level") == level, F.col("heading_no"))).over(before), F.max(F.when(F.col("level") < level, F.col("heading_no"))).over(before)
-        outers.append(F.when((F.col("level") > level) & (last > F.coalesce(lower, F.lit(-1))), last))
-    listed = found.select(key, "heading_no", F.array("heading_no", *outers).alias("outers"))
-    return listed.select(key, "heading_no", F.explode(F.filter("outers", lambda x: x.isNotNull())).alias("outer"))
+
+    def run(own: str) -> list[dict]:
+        made = []
+        for s in sections_of(own):
+            if not s["content"]:
+                continue
+            marks = [f"[被引用次数: {s['n_in']}]"] * s["under"] + [f"[外部引用数: {s['n_out']}]"] * (s["n_out"] > 0)
+            head, meta = f"{s['crumb']}\n\n", " ".join(marks) + "\n" if marks else ""
+            if len(head) + len(meta) + len(s["content"]) <= size:
+                made.append({"heading_no": s["heading_no"], "kind": "section", "head": head + meta, "before": "", "text": s["content"] + s["context"]})
+                continue
+            before = fence = ""
+            for p in piece_spans(s["content"], size):
+                piece = s["content"][p["start"] : p["end"]]
+                if p["part"] == 0:
+                    fence = piece[: piece.find("\n") + 1]
+                again = p["part"] > 0
+                lead = head + (meta if p["start"] == 0 else "") + (fence if again and p["kind"] == "code" else "")
+                made.append({"heading_no": s["heading_no"], "kind": p["kind"], "head": lead, "before": before if again and p["kind"] == "text" else "", "text": piece + s["context"]})
+                before = piece
+        return made
+
+    found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<heading_no:bigint,kind:string,head:string,before:string,text:string>>")
+    each = found.select(key, F.posexplode("value").alias("i", "p"))
+    again = F.when((F.col("p.before") != "") & F.lit(overlap > 0), F.concat(semantic_overlap(F.col("p.before"), overlap or 1), F.lit("\n\n"))).otherwise(F.lit(""))
+    return each.select(key, F.col("i").cast("long").alias("chunk_index"), "p.heading_no", "p.kind", F.concat("p.head", again, "p.text").alias("text"))

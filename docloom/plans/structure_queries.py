@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M, structure as S
@@ -15,15 +15,21 @@ SIZE = 300
 
 
 def _mixed(t: Tables) -> DataFrame:
-    """Each page's markdown, then the same lines as code, as a list and as a table."""
-    md = F.col("md")
-    lines = lambda a: F.replace(md, F.lit("\n"), F.lit(a))
-    code = F.concat(F.lit("\n```python\ndef a(x):\n"), lines("\n    "), F.lit("\nclass B:\n"), md, F.lit("\n```\n"))
-    return pages_md(t).select("page_id", F.concat(md, code, F.lit("- "), lines("\n  more\n- "), F.lit("\n\n| "), F.regexp_replace(md, r"[|\n]+", " |\n| "), F.lit(" |\nThe end. Of the page")).alias("md"))
+    """Each page's markdown, of whose lines six in turn stay, are code, items of a list, and rows of a table."""
 
+    def line(x: Column, i: Column) -> Column:
+        k = i % 24
+        code = F.concat(F.when(k == 6, F.lit("```python\ndef a(x):\n    ")).when(k == 9, F.lit("class B:\n    ")).otherwise(F.lit("    ")), x, F.when(k == 11, F.lit("\n```")).otherwise(F.lit("")))
+        item, row = F.concat(F.lit("- "), x, F.when(k == 14, F.lit("\n  and more\n")).otherwise(F.lit(""))), F.concat(F.lit("| "), F.replace(x, F.lit(". "), F.lit(" | ")), F.lit(" |"))
+        return F.when(k < 6, x).when(k < 12, code).when(k < 18, item).otherwise(row)
 
-_MIXED = f"""{PAGES_MD}, mixed AS (SELECT page_id, md || chr(10) || '```python' || chr(10) || 'def a(x):' || chr(10) || replace(md, chr(10), chr(10) || '    ') || chr(10) || 'class B:' || chr(10) || md || chr(10) || '```' || chr(10)
-    || '- ' || replace(md, chr(10), chr(10) || '  more' || chr(10) || '- ') || chr(10) || chr(10) || '| ' || regexp_replace(md, '[|\\n]+', ' |' || chr(10) || '| ', 'g') || ' |' || chr(10) || 'The end. Of the page' AS md FROM pages_md)"""
+    return pages_md(t).select("page_id", F.array_join(F.transform(F.split("md", "\n"), line), "\n").alias("md"))
+
+
+_LINE = """CASE WHEN k < 6 THEN x WHEN k < 12 THEN CASE k WHEN 6 THEN '```python' || chr(10) || 'def a(x):' || chr(10) WHEN 9 THEN 'class B:' || chr(10) ELSE '' END || '    ' || x || CASE WHEN k = 11 THEN chr(10) || '```' ELSE '' END
+    WHEN k < 18 THEN '- ' || x || CASE WHEN k = 14 THEN chr(10) || '  and more' || chr(10) ELSE '' END ELSE '| ' || replace(x, '. ', ' | ') || ' |' END"""
+_MIXED = f"""{PAGES_MD}, mixed AS (SELECT page_id, string_agg({_LINE}, chr(10) ORDER BY i) AS md FROM (
+    SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i, (generate_subscripts(ls, 1) - 1) % 24 AS k FROM (SELECT page_id, string_split(md, chr(10)) AS ls FROM pages_md)) GROUP BY page_id)"""
 
 
 def blocks_sql(source: str, key: str, text: str) -> str:

@@ -201,3 +201,26 @@ def test_markdown_chunks(spark):
     assert len(own) == 3 and own[0].text.startswith("A > B > C\n\n[被引用次数: 3]\nSentence number 0") and own[2].kind == "list"
     assert own[1].text.startswith("A > B > C\n\n") and "[被" not in own[1].text
     assert rows[-1].text == f"E\n\n[外部引用数: 1]\n[ref:nowhere] 「参见：C」{context}"
+
+
+def test_sections_and_references_agree(spark):
+    """The function of one text against the DataFrame operators."""
+    from docloom.functions import markdown as M
+
+    rng = random.Random(12)
+    titles = ["Intro", "Über <b>x</b>", "A-b c", "章节 二", "intro", "  Q "]
+    line = lambda: rng.choice(["", "text", "```", "[[Intro]] [ref:a-b-c]", "see [x](#intro)", "「参见：章节 二」", "[[INTRO]]", f"{'#' * rng.randint(1, 4)} {rng.choice(titles)}", "  ", "[[none]]"])
+    texts = ["\n".join(line() for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, md string")
+    sections = {(r.id, r.heading_no): (r.breadcrumb, r.content) for r in M.sections(df, "id", "md").collect()}
+    edges = S.reference_edges(df, "id", "md")
+    contexts = {(r.id, r.heading_no): r.context for r in S.reference_contexts(edges, "id").collect()}
+    counts, cites = {}, {}
+    for r in edges.collect():
+        counts[r.id, r.cited] = r.n_in
+        cites[r.id, r.citing] = cites.get((r.id, r.citing), 0) + 1
+    made = {(i, s["heading_no"]): s for i, t in enumerate(texts) for s in S.sections_of(t)}
+    assert {k: (s["crumb"], s["content"]) for k, s in made.items()} == sections
+    for k, s in made.items():
+        assert (s["n_in"], s["n_out"], s["context"]) == (counts.get(k, 0), cites.get(k, 0), contexts.get(k, ""))
+    assert len(contexts) > 20
