@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators.bm25 import top
+from docloom.operators.vector import cosine_of
 
 
 def scaled(hits: DataFrame) -> DataFrame:
@@ -38,13 +41,43 @@ def first_seen(hits: DataFrame, order: str = "variant_no") -> DataFrame:
     return top(hits, 1, ["query_id", "doc_id"], F.asc(order)).drop("rank")
 
 
-def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The hits scored anew by the share of query terms that the text holds (``queries``: query_id, text)."""
-    both = hits.select("query_id", "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    scored = both.select("query_id", "doc_id", F.round(T.keyword_relevance(F.col("text"), F.col("query")), 6).alias("score"))
+def _texts(hits: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    return hits.select("query_id", "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(docs.select("doc_id", "text"), "doc_id")
+
+
+def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = T.keyword_relevance) -> DataFrame:
+    """The hits scored anew by ``scorer`` of text and query (``queries``: query_id, text), such as a pandas UDF around a model; else the share of query terms that the text holds."""
+    scored = _texts(hits, queries, docs).select("query_id", "doc_id", F.round(scorer(F.col("text"), F.col("query")), 6).alias("score"))
+    return top(scored, k, "query_id", F.desc("score"), "doc_id")
+
+
+def reranked_by_embedding(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, embed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The hits scored anew by the cosine of the embeddings of text and query; hits without one count 0.
+
+    ``embed(rows, key)`` gives key, embedding; it gets the documents that were hit only.
+    """
+    met = docs.select("doc_id", "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    a, b = embed(queries.select("query_id", "text"), "query_id"), embed(met, "doc_id")
+    both = hits.select("query_id", "doc_id").join(a.select("query_id", F.col("embedding").alias("a")), "query_id", "left").join(b.select("doc_id", F.col("embedding").alias("b")), "doc_id", "left")
+    scored = both.select("query_id", "doc_id", F.coalesce(F.round(cosine_of(F.col("a"), F.col("b")), 6), F.lit(0.0)).alias("score"))
     return top(scored, k, "query_id", F.desc("score"), "doc_id")
 
 
+def page_of(hits: DataFrame, page: int, size: int, *columns: str) -> DataFrame:
+    """The ``page``-th page (from 1) of each query's hits, with rank and total: how many hits the query has.  A query's hits are few enough for a sort."""
+    own = Window.partitionBy("query_id")
+    counted = hits.withColumns({"total": F.count("*").over(own), "rank": F.row_number().over(own.orderBy(F.desc("score"), F.asc("doc_id"))).cast("long")})
+    kept = counted.filter((F.col("rank") > (page - 1) * size) & (F.col("rank") <= page * size))
+    return kept.select("query_id", "doc_id", "score", *columns, "rank", "total")
+
+
+def highlighted(text: Column, terms: Column, before: str = "<em>", after: str = "</em>") -> Column:
+    """The text with every term marked where it occurs, the longest first; terms are words without signs."""
+    order = F.array_sort(F.transform(F.array_distinct(terms), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    pattern = F.concat(F.lit("("), F.array_join(F.transform(order, lambda x: x["t"]), "|"), F.lit(")"))
+    return F.when(F.size(terms) > 0, F.regexp_replace(text, pattern, F.lit(f"{before}$1{after}"))).otherwise(text)
+
+
 def variants(queries: DataFrame, most: int = 3) -> DataFrame:
     """query_id, variant_no, text: the query, its first and its last half; equal ones once, the query first, at most ``most`` more."""
     half = F.floor(F.length("text") / 2).cast("int")

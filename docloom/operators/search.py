@@ -50,13 +50,22 @@ def _lists(docs: DataFrame, allowed: DataFrame, queries: DataFrame, embed: Calla
     return R.weighted(near(), keyword(), request.vector_weight).select("query_id", "doc_id", "score")
 
 
-def search(docs: DataFrame, queries: DataFrame, embed: Callable[[DataFrame, str], DataFrame], request: Request) -> DataFrame:
+def search(
+    docs: DataFrame,
+    queries: DataFrame,
+    embed: Callable[[DataFrame, str], DataFrame],
+    request: Request,
+    rewriter: Callable[[DataFrame], DataFrame] = R.variants,
+    reranker: Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame] = R.reranked,
+) -> DataFrame:
     """query_id, doc_id, score, rank of the hits of every query (query_id, text) among ``docs`` (doc_id, text and the filters' columns).
 
     ``embed(rows, key)`` gives key, embedding.  A filter on a column that ``docs``
     lacks is ignored.  With ``rewrite``, hits of a query's variants count too, the
-    first variant's score of a document; keyword mode doesn't rewrite.  With
-    ``rerank``, scores are those of term overlap.  Hits under ``min_score`` go.
+    first variant's score of a document; keyword mode doesn't rewrite.  The variants
+    come from ``rewriter(queries)`` (query_id, variant_no, text), by default halves of
+    the query.  With ``rerank``, scores are those of ``reranker(hits, queries, docs, k)``,
+    by default term overlap.  Hits under ``min_score`` go.
     """
     allowed = docs
     for column, value in request.filters.items():
@@ -65,7 +74,7 @@ def search(docs: DataFrame, queries: DataFrame, embed: Callable[[DataFrame, str]
     allowed = allowed.select("doc_id")
     k = request.top_k * MORE
     if request.rewrite and request.mode != "keyword":
-        made = R.variants(queries)
+        made = rewriter(queries).withColumn("variant_no", F.col("variant_no").cast("int"))
         key = F.struct("query_id", "variant_no")
         each = _lists(docs, allowed, made.select(F.to_json(key).alias("query_id"), "text"), embed, request, k)
         parts = each.select(F.from_json("query_id", f"query_id {queries.schema['query_id'].dataType.simpleString()}, variant_no int").alias("v"), "doc_id", "score")
@@ -73,5 +82,5 @@ def search(docs: DataFrame, queries: DataFrame, embed: Callable[[DataFrame, str]
     else:
         hits = _lists(docs, allowed, queries, embed, request, k)
     if request.rerank:
-        hits = R.reranked(hits, queries, docs, k).drop("rank")
+        hits = reranker(hits, queries, docs, k).drop("rank")
     return bm25.top(hits.filter(F.col("score") >= request.min_score), request.top_k, "query_id", F.desc("score"), "doc_id").select("query_id", "doc_id", "score", "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docloom.functions import chunking as C, dispatch as D
@@ -106,6 +106,28 @@ def search_keyword_reranked(t: Tables) -> DataFrame:
     return search(t.documents, R.text_queries(t), _embed, Request("keyword", rerank=True, rewrite=True, filters={"lang": "en"}))
 
 
+_ENDS = "(SELECT * FROM (SELECT item_id * 4 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 4 + 1, trim(right(text, length(text) // 3)) FROM benchmark) WHERE text <> '')"
+
+
+@query(f"""WITH queries AS {_ENDS}, {R.HASHED}, hits AS (SELECT query_id // 4 AS query_id, query_id % 4 AS variant_no, doc_id, score FROM {R.ranked('SELECT * FROM near', 25)}),
+    first AS (SELECT query_id, doc_id FROM {R.ranked('SELECT * FROM hits', 1, 'variant_no', 'query_id, doc_id')}),
+    again AS (SELECT f.query_id, f.doc_id, round(1 / (1 + abs(length(d.text) - length(b.text)) / 1000), 6) AS score FROM first f JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = f.query_id)
+    SELECT query_id, doc_id, score, rank FROM {R.ranked('SELECT * FROM again WHERE score >= 0.4', 5)}""")
+def search_own_models(t: Tables) -> DataFrame:
+    """A search with a rewriter and a reranker of the caller's own: the query's last third as a second variant, and nearness of lengths as the score."""
+    from docloom.operators.retrieve import reranked
+
+    def rewriter(queries: DataFrame) -> DataFrame:
+        last = F.trim(F.right("text", F.floor(F.length("text") / 3).cast("int")))
+        return queries.select("query_id", F.posexplode(F.array("text", last)).alias("variant_no", "text")).filter("text <> ''")
+
+    def lengths(text: Column, query: Column) -> Column:
+        return 1 / (1 + F.abs(F.length(text) - F.length(query)) / 1000)
+
+    again = lambda hits, queries, docs, k: reranked(hits, queries, docs, k, lengths)
+    return search(t.documents, R.text_queries(t), R.embed, Request("vector", min_score=0.4, rewrite=True, rerank=True), rewriter, again)
+
+
 @query(f"WITH {R.BM25}, {R.QUERIES_SQL} SELECT query_id, doc_id, score, rank FROM {R.keyword_sql(R.TOP_K)}")
 def bm25_saved_index(t: Tables) -> DataFrame:
     """Search in an index that was written and read again."""

@@ -45,6 +45,12 @@ def embedded_documents(t: Tables) -> DataFrame:
     return hashed(bm25.build(t.documents).postings, "doc_id")
 
 
+def embed(rows: DataFrame, key: str) -> DataFrame:
+    """key, embedding of any rows (key, text)."""
+    terms = rows.select(key, F.explode(T.tokens(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("tf"))
+    return hashed(terms, key)
+
+
 def keyword_hits(t: Tables, k: int) -> DataFrame:
     return bm25.search(bm25.build(t.documents), text_queries(t), k)
 
@@ -258,9 +264,7 @@ _RICH = f"SELECT * FROM ({weighted_sql(vector_sql(1024), keyword_sql(1024), 0.3)
         md5(replace(d.text, f.term, '<em>' || f.term || '</em>')) AS highlight_md5
     FROM {ranked('SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM rich', 30)} r JOIN documents d USING (doc_id) JOIN firsts f USING (query_id)""")
 def retrieve_chunks(t: Tables) -> DataFrame:
-    rich = _rich(t)
-    total = rich.groupBy("query_id").agg(F.count("*").alias("total"))
-    page = bm25.top(rich, RICH["page_size"], "query_id", F.desc("score"), "doc_id").join(total, "query_id")
+    page = R.page_of(_rich(t), 1, RICH["page_size"], "term_similarity", "vector_similarity")
     firsts = text_queries(t).select("query_id", T.tokens(F.col("text"))[0].alias("term"))
     marked = F.md5(F.replace("text", F.col("term"), F.concat(F.lit("<em>"), F.col("term"), F.lit("</em>"))))
     return page.join(t.documents.select("doc_id", "text"), "doc_id").join(firsts, "query_id").select(
@@ -268,6 +272,28 @@ def retrieve_chunks(t: Tables) -> DataFrame:
     )
 
 
+_OF_DATASETS = "SELECT r.* FROM rich r JOIN documents d USING (doc_id) WHERE d.source IN ('src0', 'src1', 'src2') AND d.doc_id <> 1"
+
+
+@query(f"""{WITH}, rich AS ({_RICH}), own AS ({_OF_DATASETS}), marks AS (SELECT query_id, '(' || array_to_string(list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda x: {{'n': -length(x), 't': x}})), lambda x: x.t), '|') || ')' AS pattern FROM queries)
+    SELECT r.query_id, r.doc_id, r.score AS similarity, rank, total, md5(regexp_replace(d.text, m.pattern, '<em>\\1</em>', 'g')) AS highlight_md5
+    FROM {ranked('SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM own', 20)} r JOIN documents d USING (doc_id) JOIN marks m USING (query_id) WHERE rank > 10""")
+def retrieve_chunks_page(t: Tables) -> DataFrame:
+    """The second page of ten, of three datasets and not of one document, with all terms marked."""
+    allowed = t.documents.filter(F.col("source").isin("src0", "src1", "src2") & (F.col("doc_id") != 1)).select("doc_id")
+    page = R.page_of(_rich(t).join(allowed, "doc_id", "left_semi"), 2, 10)
+    terms = text_queries(t).select("query_id", T.tokens(F.col("text")).alias("terms"))
+    return page.join(t.documents.select("doc_id", "text"), "doc_id").join(terms, "query_id").select(
+        "query_id", "doc_id", F.col("score").alias("similarity"), "rank", "total", F.md5(R.highlighted(F.col("text"), F.col("terms"))).alias("highlight_md5")
+    )
+
+
+@query(f"{WITH} SELECT query_id, doc_id, score, rank FROM {ranked(f'SELECT h.query_id, h.doc_id, coalesce(n.score, 0) AS score FROM {keyword_sql(FETCH)} h LEFT JOIN near n USING (query_id, doc_id)', TOP_K)}")
+def rerank_embedding(t: Tables) -> DataFrame:
+    """Keyword hits scored anew by the cosine of embeddings of query and document."""
+    return R.reranked_by_embedding(keyword_hits(t, FETCH), text_queries(t), t.documents, TOP_K, embed)
+
+
 @query(f"{WITH}, rich AS ({_RICH}) SELECT query_id, doc_id, score, rank FROM {ranked('SELECT query_id, doc_id, score FROM rich', CHAT_TOP)}")
 def chat_context(t: Tables) -> DataFrame:
     return bm25.top(_rich(t).select("query_id", "doc_id", "score"), CHAT_TOP, "query_id", F.desc("score"), "doc_id")
