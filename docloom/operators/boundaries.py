@@ -11,59 +11,118 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What marks a boundary, and its importance; a heading loses a tenth with each level.
 KINDS = (
     ("heading", re.compile(r"^(#{1,6})\s+(.+)$", re.M), 1.0),
     ("heading", re.compile(r"<h([1-6])>(.*?)</h\1>", re.S), 1.0),
-    ("code", re.compile(r"```.*?```", re.S), 0.9),
-    ("table", re.compile(r"\|[^\n]+\|\n(?:\|[-:]+)+\|\n(?:\|[^\n]+\|\n?)+"), 0.9),
+    ("list", re.compile(r"^(\s*[-*+]|\s*\d+\.)\s+(.+)$", re.M), 0.6),
+    ("code", re.compile(r"```[\s\S]*?```"), 0.9),
+    ("table", re.compile(r"(\|[^\n]+\|\n)((?:\|[-:]+)+\|)(\n(?:\|[^\n]+\|\n?)+)"), 0.9),
+    ("quote", re.compile(r"^>\s+(.+)$", re.M), 0.7),
+    ("rule", re.compile(r"^(---|\*\*\*|___)\s*$", re.M), 0.8),
     ("section", re.compile(r"\n{3,}"), 0.9),
     ("paragraph", re.compile(r"\n\n+"), 0.8),
-    ("rule", re.compile(r"^(?:---|\*\*\*|___)\s*$", re.M), 0.8),
-    ("quote", re.compile(r"^>\s+(.+)$", re.M), 0.7),
-    ("list", re.compile(r"^(?:\s*[-*+]|\s*\d+\.)\s+(.+)$", re.M), 0.6),
     ("sentence", re.compile(r"[。！？；.!?;]\s*"), 0.5),
 )
+HTML_PARAGRAPH = ("paragraph", re.compile(r"<p>(.*?)</p>", re.S), 0.8)
+#: What ends a part of the semantic split.
+SPLITS = (
+    r"(?m)^#{1,6}[\x20\x09-\x0D]+.+$",
+    r"(?m)^.+\n[=\-]{2,}$",
+    r"(?s)<h[1-6]>.*?</h[1-6]>",
+    r"(?m)^[\x20\x09-\x0D]*[-*+][\x20\x09-\x0D]+",
+    r"(?m)^[\x20\x09-\x0D]*[0-9]+\.[\x20\x09-\x0D]+",
+    r"(?s)```.*?```",
+    r"\|.+\|.+\|",
+)
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 #: Separators of the recursive splitter, the coarsest first.
-SEPARATORS = ("\n---\n", "\n***\n", "\n___\n", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ", "")
-DEFINITION = re.compile(r"^(?=\s*(?:def|function|func|fn|public|private|protected|class|module|interface)\s+\w)", re.M)
-
-
-def boundaries(text: str) -> list[dict]:
+SEPARATORS = ("\n\n---\n\n", "\n\n***\n\n", "\n\n___\n\n", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ", "")
+DEFINITION = re.compile(r"^(?=[\x20\x09]*(?:def|function|func|fn|public|private|protected|class|module|interface)[\x20\x09]+)", re.M)
+
+
+def _spans(kind: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where the boundaries of a match lie: what opens and closes fences, tables and HTML paragraphs, the marks of items and quotes, else the match."""
+    start, end, lines = m.start(), m.end(), m[0].split("\n")
+    if kind == "list":
+        return [(start, start + len(m[1]))]
+    if kind == "quote":
+        return [(start, start + 2)]
+    if kind == "code":
+        return [(start, min(end, start + len(lines[0]) + 1))] + [(end - len(lines[-1]), end)] * (len(lines) > 1)
+    if kind == "table":
+        return [(start, start + len(lines[0]) + len(lines[1]) + 2), (end - len(lines[-1]), end)]
+    if kind == "paragraph" and m[0].startswith("<p>"):
+        return [(start, start + 3), (end - 4, end)]
+    return [(start, end)]
+
+
+def boundaries(text: str, html: bool = False) -> list[dict]:
+    """type, start, end, level, title, importance of the boundaries by their start; with ``html``, paragraphs in tags too."""
     out = []
-    for kind, pattern, weight in KINDS:
+    for kind, pattern, weight in [*KINDS[:7], *[HTML_PARAGRAPH] * html, *KINDS[7:]]:
         for m in pattern.finditer(text):
             level = (len(m[1]) if m[1][0] == "#" else int(m[1])) if kind == "heading" else None
-            out.append({"type": kind, "start": m.start(), "end": m.end(), "level": level, "importance": round(weight * (1 - 0.1 * ((level or 1) - 1)), 2)})
-    return sorted(out, key=lambda b: (b["start"], -b["importance"], b["end"]))
+            for start, end in _spans(kind, m):
+                out.append({"type": kind, "start": start, "end": end, "level": level, "title": m[2].strip() if level else None, "importance": round(weight * (1 - 0.1 * ((level or 1) - 1)), 2)})
+    return sorted(out, key=lambda b: b["start"])
 
 
-def enhanced_spans(text: str, size: int = 1024, least: int = 100, most: int = 2048) -> list[tuple[int, int]]:
-    """Spans that end at boundaries and tile the text.
+def enhanced_chunks(text: str, size: int = 1024, least: int = 100, most: int = 2048, html: bool = False) -> list[dict]:
+    """start, end, heading, level, types of spans that end at boundaries and tile the text.
 
     A chunk ends before a boundary that would take it over ``most``; after an
-    important one (0.8) once it has ``least`` characters; and else at ``size``,
-    unless one of the next nine boundaries within ``most`` is better (0.7).
+    important one (0.8) that comes ``least`` characters or more after its start; and
+    else at ``size``, unless the first better boundary (0.7) of the next nine comes
+    within ``most``.  ``heading`` is the last one up to the chunk's end, ``types`` are
+    those of the boundaries that the chunk has passed.
     """
-    found, start, out = boundaries(text), 0, []
+    found, start, out = boundaries(text, html), 0, []
+    heading, level, types = None, None, []
+
+    def close(end: int) -> None:
+        nonlocal start, types
+        if end > start:
+            out.append({"start": start, "end": end, "heading": heading, "level": level, "types": types})
+            start, types = end, []
+
     for i, b in enumerate(found):
-        if b["start"] - start > most and b["start"] - start > least:
-            out.append((start, b["start"]))
-            start = b["start"]
-        n = b["end"] - start
-        better = any(x["importance"] >= 0.7 and x["end"] - start <= most for x in found[i + 1 : i + 10])
-        if n > 0 and (b["importance"] >= 0.8 and n >= least or n >= size and not better):
-            out.append((start, b["end"]))
-            start = b["end"]
-    return out + [(start, len(text))] if start < len(text) else out
+        n = b["start"] - start
+        if n > most and n > least:
+            close(b["start"])
+            n = 0
+        if b["level"]:
+            heading, level = b["title"], b["level"]
+        types.append(b["type"])
+        if b["importance"] >= 0.8 and n >= least:
+            close(b["end"])
+        elif n >= size:
+            better = next((x for x in found[i + 1 : i + 10] if x["importance"] >= 0.7), None)
+            if not (better and better["start"] - start <= most):
+                close(b["end"])
+    close(len(text))
+    return out
+
+
+def enhanced_spans(text: str, size: int = 1024, least: int = 100, most: int = 2048) -> list[tuple[int, int]]:
+    return [(c["start"], c["end"]) for c in enhanced_chunks(text, size, least, most)]
+
+
+def semantic_spans(text: str, size: int = 1000) -> list[tuple[int, int]]:
+    """Spans that tile the text and end after headings, marks of items, fences and rows of tables where that keeps them within ``size``."""
+    return spans_at(sorted({m.end() for p in SPLITS for m in re.finditer(p, text)}), text, size)
 
 
 def spans_by(pattern: re.Pattern, text: str, size: int) -> list[tuple[int, int]]:
     """Spans that tile the text and end at matches where that keeps them within ``size``; a longer stretch without a match stays whole."""
-    ends, start, last, out = [m.end() for m in pattern.finditer(text)] + [len(text)], 0, 0, []
-    for end in ends:
+    return spans_at([m.end() for m in pattern.finditer(text)], text, size)
+
+
+def spans_at(ends: list[int], text: str, size: int) -> list[tuple[int, int]]:
+    start, last, out = 0, 0, []
+    for end in [*ends, len(text)]:
         if end - start > size and last > start:
             out.append((start, last))
             start = last
@@ -71,26 +130,31 @@ def spans_by(pattern: re.Pattern, text: str, size: int) -> list[tuple[int, int]]
     return out + [(start, len(text))] if start < len(text) else out
 
 
-def recursive_pieces(text: str, size: int = 1024, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of up to ``size``, cut at the coarsest separator that does; they join to the text."""
+def recursive_pieces(text: str, size: int = 1024, separators: tuple[str, ...] = SEPARATORS, overlap: int = 0) -> list[str]:
+    """Pieces of up to ``size``, cut at the coarsest separator that does; a piece begins with up to ``overlap`` characters of whole parts of the one before.
+
+    Without an overlap they join to the text.
+    """
     if len(text) <= size:
         return [text] if text else []
     head, *rest = separators
-    if not head:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    parts = text.split(head)
+    parts = text.split(head) if head else [text[i : i + max(1, overlap // 4 or size)] for i in range(0, len(text), max(1, overlap // 4 or size))]
     parts = [p if i == 0 else head + p for i, p in enumerate(parts)]
-    out, now = [], ""
+    out: list[str] = []
+    now: list[str] = []
+    total = 0
     for p in parts:
         if len(p) > size:
-            out += [now] * bool(now) + recursive_pieces(p, size, tuple(rest))
-            now = ""
-        elif len(now) + len(p) > size:
-            out.append(now)
-            now = p
-        else:
-            now += p
-    return out + [now] * bool(now)
+            out += ["".join(now)] * bool(now) + recursive_pieces(p, size, tuple(rest), overlap)
+            now, total = [], 0
+            continue
+        if total + len(p) > size:
+            out.append("".join(now))
+            while now and (total > overlap or total + len(p) > size):
+                total -= len(now.pop(0))
+        now.append(p)
+        total += len(p)
+    return [x for x in [*out, "".join(now)] if x]
 
 
 def packed_lines(pieces: list[str], size: int) -> list[str]:
@@ -141,7 +205,7 @@ def code_pieces(block: str, size: int = 1000) -> list[str]:
     room = size - 8 - len(m[1])
     parts: list[str] = []
     for part in re.split(DEFINITION, m[2]):
-        parts += [part] if len(part) <= room else packed_lines(part.splitlines(keepends=True), room)
+        parts += [part] if len(part) <= room else packed_lines(re.findall(r"[^\n]*\n|[^\n]+", part), room)
     return [f"```{m[1]}\n{p.rstrip(chr(10))}\n```" for p in packed_lines(parts, room) if p.strip()]
 
 
@@ -246,3 +310,15 @@ def _applied(rows: DataFrame, key: str, columns: list[str], f: Callable, instead
             yield pa.record_batch([batch.column(key), pa.array([m[0] for m in made], value), pa.array([m[1] for m in made], pa.string())], [key, "value", "error"])
 
     return rows.select(key, *columns).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, value {kind}, error string")
+
+
+def enhanced(docs: DataFrame, key: str, text: str, overlap: int = 0, **sizes: int) -> DataFrame:
+    """key, chunk_index, start, end, heading, level, types, text: ``enhanced_chunks`` of each text, a chunk with the first ``overlap`` characters of the next one."""
+
+    def run(own: str) -> list[dict]:
+        return [{**c, "text": own[c["start"] : c["end"]]} for c in enhanced_chunks(own, **sizes)]
+
+    found = apply(docs, key, [text], run, "array<struct<start:bigint,end:bigint,heading:string,level:int,types:array<string>,text:string>>")
+    following = F.coalesce(F.left(F.get("value", F.col("i") + 1)["text"], F.lit(overlap)), F.lit(""))
+    each = found.select(key, "value", F.posexplode("value").alias("i", "c"))
+    return each.select(key, F.col("i").cast("long").alias("chunk_index"), "c.start", "c.end", "c.heading", "c.level", "c.types", F.concat("c.text", following).alias("text"))

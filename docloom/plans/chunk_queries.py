@@ -195,7 +195,14 @@ def chunk_markdown_sections(t: Tables) -> DataFrame:
     return M.section_chunks(pages_md(t), "page_id", "md")
 
 
-@query()
+_DEFINITION = r"(?m)^([\x20\x09]*(?:def|function|func|fn|public|private|protected|class|module|interface)[\x20\x09]+)"
+_CODE_LINES = f"""SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS i FROM (SELECT doc_id, a, unnest(ls) AS x, generate_subscripts(ls, 1) AS b FROM (
+    SELECT doc_id, a, CASE WHEN length(x) > 986 THEN string_split(regexp_replace(x, '(\n)', '\\1' || chr(1), 'g'), chr(1)) ELSE [x] END AS ls FROM (
+        SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS a FROM (SELECT doc_id, string_split(regexp_replace(text, '{_DEFINITION}', chr(1) || '\\1', 'g'), chr(1)) AS ls FROM documents WHERE length(text) > 986)))) WHERE x <> ''"""
+
+
+@query(f"""WITH RECURSIVE {greedy_sql('c', _CODE_LINES, 'doc_id', 986, 0)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS BIGINT) AS chunk_index, '```python' || chr(10) || text || chr(10) || '```' AS text FROM (
+    SELECT doc_id, g, regexp_replace(array_to_string(xs, ''), '\n+$', '') AS text FROM c WHERE {STRIP % "array_to_string(xs, '')"} <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 986)""")
 def chunk_code(t: Tables) -> DataFrame:
     fenced = t.documents.select("doc_id", F.concat(F.lit("```python\n"), "text", F.lit("\n```")).alias("block"))
     return B.apply(fenced, "doc_id", ["block"], B.code_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
@@ -207,7 +214,14 @@ def chunk_list(t: Tables) -> DataFrame:
     return B.apply(items, "doc_id", ["items"], B.list_pieces, CHUNKS).select("doc_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query()
+_MARKED = r"regexp_matches(p.x, '^(#{1,6}|\*\*|__|[0-9]+\.)[\x20\x09-\x0D]+.+$')"
+_MD_PARTS = f"""md_p AS MATERIALIZED ({_pieces('string_split(md, chr(10))', 'page_id', 'pages_md')}), md_k AS (SELECT page_id, i, x, CAST(length(x) + 1 AS BIGINT) AS size, CAST(0 AS BIGINT) AS g FROM md_p WHERE i = 1
+    UNION ALL SELECT p.page_id, p.i, p.x, CASE WHEN {_MARKED} OR k.size >= 1024 THEN 0 ELSE k.size END + length(p.x) + 1, k.g + CASE WHEN {_MARKED} OR k.size >= 1024 THEN 1 ELSE 0 END FROM md_k k JOIN md_p p ON p.page_id = k.page_id AND p.i = k.i + 1),
+    md_s AS (SELECT page_id, g, regexp_replace(regexp_replace(array_to_string(list(x ORDER BY i), chr(10)), '^\n+', ''), '\n+$', '') AS x FROM md_k GROUP BY page_id, g)"""
+
+
+@query(f"""WITH RECURSIVE {PAGES_MD}, {_MD_PARTS}, {greedy_sql('m', "SELECT page_id, x, row_number() OVER (PARTITION BY page_id ORDER BY g) AS i FROM md_s WHERE x <> ''", 'page_id', 1024, 2)}
+    SELECT page_id, CAST(g AS BIGINT) AS chunk_index, array_to_string(xs, chr(10) || chr(10)) AS text FROM m""")
 def chunk_semantic_md(t: Tables) -> DataFrame:
     return B.apply(pages_md(t), "page_id", ["md"], B.semantic_sections, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
@@ -250,7 +264,19 @@ def chunk_hier_html(t: Tables) -> DataFrame:
     return made.select("page_id", "chunk_index", F.col("part").cast("long").alias("part"), "x.*")
 
 
-@query()
+_CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+#: A short line that ends with a colon, or is in upper or in title case.
+_HEADS = rf"""length(x) < 100 AND (ends_with(x, ':') OR regexp_matches(x, '[\p{{Lu}}\p{{Lt}}]') AND (NOT regexp_matches(x, '[\p{{Ll}}\p{{Lt}}]')
+    OR NOT regexp_matches(x, '{_CASED}[\p{{Lu}}\p{{Lt}}]') AND NOT regexp_matches(x, '(^|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}])\p{{Ll}}')))"""
+_GENERIC = rf"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, x, {_HEADS} AS head, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (
+        SELECT doc_id, {STRIP % 'x'} AS x, i FROM ({_pieces('string_split(text, chr(10))')})) WHERE x <> ''),
+    k AS (SELECT doc_id, i, x, head, CASE WHEN head THEN x END AS heading, CAST(CASE WHEN head THEN 0 ELSE length(x) + 2 END AS BIGINT) AS n, CAST(0 AS BIGINT) AS g FROM p WHERE i = 1
+        UNION ALL SELECT p.doc_id, p.i, p.x, p.head, CASE WHEN p.head THEN p.x ELSE k.heading END, CASE WHEN p.head THEN 0 WHEN k.n > 0 AND k.n + length(p.x) > 1024 THEN length(p.x) + 2 ELSE k.n + length(p.x) + 2 END,
+            k.g + CASE WHEN p.head OR k.n > 0 AND k.n + length(p.x) > 1024 THEN 1 ELSE 0 END FROM k JOIN p ON p.doc_id = k.doc_id AND p.i = k.i + 1)"""
+
+
+@query(f"""{_GENERIC} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INTEGER) AS chunk_index, heading, text FROM (
+    SELECT doc_id, g, max(heading) AS heading, array_to_string(list(x ORDER BY i), chr(10) || chr(10)) AS text FROM k WHERE NOT head GROUP BY doc_id, g)""")
 def chunk_hier_generic(t: Tables) -> DataFrame:
     found = B.apply(t.documents, "doc_id", ["text"], B.generic_sections, "array<struct<heading:string,text:string>>")
     return found.select("doc_id", F.posexplode("value").alias("chunk_index", "v")).select("doc_id", "chunk_index", "v.heading", "v.text")
@@ -263,7 +289,7 @@ def heading_breadcrumbs(t: Tables) -> DataFrame:
 
 @query()
 def semantic_boundaries(t: Tables) -> DataFrame:
-    found = B.apply(pages_md(t), "page_id", ["md"], B.boundaries, "array<struct<type:string,start:int,end:int,level:int,importance:double>>")
+    found = B.apply(t.pages, "page_id", ["html"], lambda x: B.boundaries(x, html=True), "array<struct<type:string,start:int,end:int,level:int,title:string,importance:double>>")
     return found.select("page_id", F.inline("value"))
 
 
@@ -309,14 +335,9 @@ def split_paragraph_spans(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(C.spans_at(F.col("text"), r"\n[\x20\x09-\x0D]*\n|\n", 1000)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
-@query()
-def split_semantic_spans(t: Tables) -> DataFrame:
-    return _of_spans(pages_md(t), "page_id", lambda x: [(a, b) for a, b in B.enhanced_spans(x, 1000, 1, 1000)])
-
-
 @query()
 def chunk_recursive_md(t: Tables) -> DataFrame:
-    return B.apply(pages_md(t), "page_id", ["md"], B.recursive_pieces, CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return B.apply(pages_md(t), "page_id", ["md"], lambda x: B.recursive_pieces(x, overlap=200), CHUNKS).select("page_id", F.posexplode("value").alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @query("""SELECT doc_id, doc_id || '_segment_' || (i // 300) AS segment_id, CAST(i // 300 AS BIGINT) AS segment_index, CAST(ceil(length(text) / 300) AS BIGINT) AS total_segments, substr(text, i + 1, 300) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 300)) AS i FROM documents)""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M, structure as S
+from docloom.operators import boundaries as B
 from docloom.plans.chunk_queries import CRUMBS, LINES, PAGES_MD, STRIP, greedy_sql, pages_md
 from docloom.plans.registry import query
 from docloom.tables import Tables
@@ -97,3 +98,26 @@ def reference_context(t: Tables) -> DataFrame:
 @query()
 def chunk_markdown_full(t: Tables) -> DataFrame:
     return S.markdown_chunks(_citing(t), "page_id", "md", SIZE, 50)
+
+
+def _ends_sql() -> str:
+    """CTEs whose last, ``ends``, has page_id, e: where matches of the patterns end, and the text does."""
+    parts = []
+    for n, pattern in enumerate(B.SPLITS):
+        cut = f"string_split(regexp_replace(md, '({pattern})', '\\1' || chr(1), 'g'), chr(1))"
+        parts.append(f"SELECT page_id, CAST(sum(length(x)) OVER (PARTITION BY page_id ORDER BY i) AS BIGINT) AS e, i < n AS inner_end FROM (SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM (SELECT page_id, {cut} AS ls FROM mixed))")
+    return f"ends AS (SELECT DISTINCT page_id, e FROM ({' UNION ALL '.join(parts)}) WHERE inner_end AND e > 0 UNION SELECT page_id, length(md) FROM mixed WHERE md <> '')"
+
+
+@query(f"""WITH RECURSIVE {_MIXED}, {_ends_sql()}, cuts AS (SELECT page_id, e, coalesce(lag(e) OVER (PARTITION BY page_id ORDER BY e), 0) AS s, row_number() OVER (PARTITION BY page_id ORDER BY e) AS i FROM ends),
+    {greedy_sql('g', 'SELECT c.page_id, substr(md, s + 1, e - s) AS x, i FROM cuts c JOIN mixed USING (page_id)', 'page_id', 1000, 0)}
+    SELECT page_id, CAST(g AS BIGINT) AS chunk_index, CAST(sum(n) OVER own - n AS BIGINT) AS start, CAST(sum(n) OVER own AS BIGINT) AS end FROM (SELECT page_id, g, length(array_to_string(xs, '')) AS n FROM g) WINDOW own AS (PARTITION BY page_id ORDER BY g)""")
+def split_semantic_spans(t: Tables) -> DataFrame:
+    made = B.apply(_mixed(t), "page_id", ["md"], lambda x: [{"start": a, "end": b} for a, b in B.semantic_spans(x)], "array<struct<start:long,end:long>>")
+    return made.select("page_id", F.posexplode("value").alias("chunk_index", "s")).select("page_id", F.col("chunk_index").cast("long").alias("chunk_index"), "s.start", "s.end")
+
+
+@query()
+def chunk_enhanced_context(t: Tables) -> DataFrame:
+    """Enhanced chunks with the heading that they stand under, the boundaries that they have passed, and the first characters of the next chunk."""
+    return B.enhanced(_mixed(t), "page_id", "md", 50, size=400, least=100, most=800)
