@@ -97,3 +97,9 @@ def resolved_references(docs: DataFrame, found: DataFrame, key: str, text: str)
     exact = refs.join(last.withColumnRenamed("name", "target"), [key, "target"], "left").withColumnRenamed("named", "by_name")
     lowered = exact.withColumn("low", F.lower("target")).join(last.select(key, F.col("name").alias("low"), F.col("named").alias("by_low")), [key, "low"], "left")
     return lowered.select(key, "target", F.coalesce("by_name", "by_low").alias("heading_id"))
+
+
+def images(text: Column) -> Column:
+    """Images as structs of alt and path, in their order."""
+    pattern = F.lit(r"!\[([^\]\n]*)\]\(([^)\n]*)\)")
+    return F.zip_with(F.regexp_extract_all(text, pattern, 1), F.regexp_extract_all(text, pattern, 2), lambda a, b: F.struct(a.alias("alt"), b.alias("path")))

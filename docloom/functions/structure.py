@@ -27,6 +27,7 @@ ITEM = re.compile(r"^[\x20\x09]*(?:[*+-]|[0-9]+\.)[\x20\x09]+", re.M)
 ROW = re.compile(r"[\x20\x09]*\|[^\n]*\|[\x20\x09]*\n?$")
 DEFINITION = re.compile(r"^[\x20\x09]*(?:def|function|func|fn|public|private|protected|class|module|interface)[\x20\x09]+", re.M)
 HEADING = re.compile(r"(#{1,6})[\x20\x09]+(.+)$")
+FENCE = re.compile(r" *```([0-9A-Za-z_]*)")
 TARGETS = (re.compile(r"\[[^\]\n]+\]\(#([^)\n]+)\)"), re.compile(r"\[ref:([^\]\n]+)\]"), re.compile(r"\[\[([^\]\n]+)\]\]"), re.compile(r"「参见：([^」\n]+)」"))
 BLANKS = " \t\n\v\f\r"
 LINE, PARAGRAPH, ENDING = re.compile(r"\n"), re.compile(r"\n[\x20\x09-\x0D]*\n"), re.compile(r"[.!?。！？；;][\x20\x09-\x0D]*|\n")
@@ -122,6 +123,22 @@ def piece_spans(text: str, size: int = MAX_CHUNK) -> list[dict]:
     return out
 
 
+def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, block, kind, language (of code), start, end, start_line, n_lines of the blocks that tile ``text``."""
+
+    def run(own: str) -> list[dict]:
+        out, line = [], 0
+        for kind, start, end in block_spans(own):
+            n = own.count("\n", start, end) + (own[end - 1] != "\n")
+            language = FENCE.match(own, start)[1] if kind == "code" else None
+            out.append({"kind": kind, "language": language, "start": start, "end": end, "start_line": line, "n_lines": n})
+            line += n
+        return out
+
+    found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<kind:string,language:string,start:bigint,end:bigint,start_line:bigint,n_lines:bigint>>")
+    return found.select(key, F.posexplode("value").alias("block", "b")).select(key, F.col("block").cast("long").alias("block"), "b.*")
+
+
 def structure_split(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK, overlap: int = 0) -> DataFrame:
     """key, piece (from 0), kind, block, start, end, text, lead: pieces that tile ``text``.
 

@@ -345,6 +345,13 @@ def segment_documents(t: Tables) -> DataFrame:
     return C.segments(t.documents.filter("text <> ''"), "doc_id", C.windows(F.col("text"), 300))
 
 
+@query("""SELECT doc_id, doc_id || '_segment_' || k AS segment_id, CAST(k AS BIGINT) AS segment_index, CAST(least(4, ceil(length(text) / 300)) AS BIGINT) AS total_segments, substr(text, k * 300 + 1, 300) AS text
+    FROM (SELECT doc_id, text, unnest(range(0, CAST(least(4, ceil(length(text) / 300)) AS BIGINT))) AS k FROM documents)""")
+def segment_documents_capped(t: Tables) -> DataFrame:
+    """At most four segments a document: the cap is the caller's."""
+    return C.segments(t.documents.filter("text <> ''"), "doc_id", C.windows(F.col("text"), 300), 4)
+
+
 @query(f"WITH {LINES} SELECT page_id, heading_no, line_no, level, title, heading_id FROM headings")
 def md_structure(t: Tables) -> DataFrame:
     return M.headings(pages_md(t), "page_id", "md")

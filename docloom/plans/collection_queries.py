@@ -71,6 +71,32 @@ def incremental_chunks(t: Tables) -> DataFrame:
 
 
 
+_REQUESTS = """requests AS (SELECT label AS request, list(embedding ORDER BY vec_id) AS vectors, list(vec_id ORDER BY vec_id) AS ids, list('{"text": "t' || vec_id || '", "n": 1}' ORDER BY vec_id) AS metadata FROM embeddings WHERE vec_id < 10 OR label > 1 GROUP BY label),
+    given AS (SELECT request, vectors, CASE WHEN request = 3 THEN ids[2:] ELSE ids END AS ids, CASE WHEN request = 4 THEN list_append(metadata, '{}') ELSE metadata END AS metadata FROM requests)"""
+
+
+def _requests(t: Tables) -> DataFrame:
+    """One request of a batch insert for each label; one has an id too few, one has metadata too many."""
+    rows = t.embeddings.filter("vec_id < 10 or label > 1").select("label", F.struct("vec_id", "embedding", F.concat(F.lit('{"text": "t'), F.col("vec_id").cast("string"), F.lit('", "n": 1}')).alias("meta")).alias("r"))
+    each = rows.groupBy(F.col("label").alias("request")).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    part = lambda name: F.transform("rs", lambda r: r[name])
+    ids = F.when(F.col("request") == 3, F.slice(part("vec_id"), F.lit(2), F.size("rs"))).otherwise(part("vec_id"))
+    meta = F.when(F.col("request") == 4, F.array_append(part("meta"), F.lit("{}"))).otherwise(part("meta"))
+    return each.select("request", part("embedding").alias("vectors"), ids.alias("ids"), meta.alias("metadata"))
+
+
+@query(f"""WITH {_REQUESTS} SELECT request, CAST(unnest(ids) AS VARCHAR) AS id, CAST(generate_subscripts(ids, 1) - 1 AS BIGINT) AS pos, json_extract_string(unnest(metadata), '$.text') AS text, CAST(len(unnest(vectors)) AS INTEGER) AS dim
+    FROM given WHERE len(ids) = len(vectors) AND len(metadata) = len(vectors)""")
+def insert_requests(t: Tables) -> DataFrame:
+    return K.request_rows(_requests(t), "request").select("request", "id", "pos", "text", F.size("vector").alias("dim"))
+
+
+@query(f"""WITH {_REQUESTS} SELECT request, CASE WHEN len(ids) <> len(vectors) THEN len(ids) || ' ids for ' || len(vectors) || ' vectors' WHEN len(metadata) <> len(vectors) THEN len(metadata) || ' metadata for ' || len(vectors) || ' vectors' END AS error FROM given""")
+def insert_request_errors(t: Tables) -> DataFrame:
+    rows = _requests(t)
+    return rows.select("request", K.request_errors(rows, dim=64).alias("error"))
+
+
 def _negated(t: Tables) -> DataFrame:
     return t.embeddings.filter("label = 1").withColumn("embedding", F.transform("embedding", lambda x: -x))
 
@@ -209,7 +235,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     from docloom.streaming.ingest import ingest
 
     target = fresh_folder(t.spark, "events")
-    rows = ingest(t.spark, f"{t.folder}/events.parquet", target, "event_id")
+    rows = ingest(t.spark, f"{t.folder}/events.parquet", target, "event_id", order="ts")
     found = settled(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
     remove(t.spark, target)
     return found

@@ -121,3 +121,22 @@ def split_semantic_spans(t: Tables) -> DataFrame:
 def chunk_enhanced_context(t: Tables) -> DataFrame:
     """Enhanced chunks with the heading that they stand under, the boundaries that they have passed, and the first characters of the next chunk."""
     return B.enhanced(_mixed(t), "page_id", "md", 50, size=400, least=100, most=800)
+
+
+@query(f"""WITH {_MIXED}, {blocks_sql('mixed', 'page_id', 'md')} SELECT page_id, block, kind, CASE WHEN kind = 'code' THEN regexp_extract(text, '^ *```([0-9A-Za-z_]*)', 1) END AS language,
+    CAST(sum(length(text)) OVER own - length(text) AS BIGINT) AS start, CAST(sum(length(text)) OVER own AS BIGINT) AS end, CAST(sum(n) OVER own - n AS BIGINT) AS start_line, CAST(n AS BIGINT) AS n_lines
+    FROM (SELECT *, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS n FROM blk) WINDOW own AS (PARTITION BY page_id ORDER BY block)""")
+def md_blocks(t: Tables) -> DataFrame:
+    """Code (with its language), lists and tables of a text, and what lies between, by their places and lines."""
+    return S.blocks(_mixed(t), "page_id", "md")
+
+
+_IMAGES = "regexp_replace(html, '(?is)<img[^>]*>|<h1[^>]*>(.*?)</h1>', '![\\1](/' || page_id || '.png) ', 'g')"
+
+
+@query(f"""SELECT page_id, CAST(unnest(range(len(alts))) AS BIGINT) AS image_no, unnest(alts) AS alt, unnest(paths) AS path FROM (
+    SELECT page_id, regexp_extract_all(md, '!\\[([^\\]\\n]*)\\]\\(([^)\\n]*)\\)', 1) AS alts, regexp_extract_all(md, '!\\[([^\\]\\n]*)\\]\\(([^)\\n]*)\\)', 2) AS paths FROM (SELECT page_id, {_IMAGES} AS md FROM pages))""")
+def md_images(t: Tables) -> DataFrame:
+    """Images of a markdown text, here put in for the pages' first headings."""
+    md = F.regexp_replace("html", F.lit("(?is)<img[^>]*>|<h1[^>]*>(.*?)</h1>"), F.concat(F.lit("![$1](/"), F.col("page_id").cast("string"), F.lit(".png) ")))
+    return t.pages.select("page_id", F.posexplode(M.images(md)).alias("image_no", "x")).select("page_id", F.col("image_no").cast("long").alias("image_no"), "x.*")

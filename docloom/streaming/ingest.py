@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.streaming.changes import last_changes
 
-def ingest(spark: SparkSession, source: str, target: str, key: str, files_per_batch: int = 100) -> DataFrame:
+
+def ingest(spark: SparkSession, source: str, target: str, key: str, files_per_batch: int = 100, order: str | None = None) -> DataFrame:
     """Everything in ``source`` (Parquet) appended to ``target`` in micro-batches, each batch once; returns the rows of ``target``, one for each key.
 
+    Of rows of one key the last by ``order`` stays, and without one, or of equal ones, that whose columns are larger.
+
     A batch goes to a folder of its own number, so one that is run again after a
     failure replaces what it had written.
     """
@@ -20,11 +24,11 @@ def ingest(spark: SparkSession, source: str, target: str, key: str, files_per_ba
     stream = stream.schema(schema).parquet(source)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        last_changes(batch, key, [order] if order else []).write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
 
     job = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{target}/rows").dropDuplicates([key])
+    return spark.read.schema(schema).parquet(f"{target}/rows").transform(lambda rows: last_changes(rows, key, [order] if order else []))
 
 
 def windowed(events: DataFrame, ts: str, size: str, late: str, *keys: str) -> DataFrame:
