@@ -12,7 +12,7 @@ from docloom.operators import bm25, boundaries as B, chunkers, incremental as I,
 from docloom.operators.catalog import Collections
 from docloom.operators.incremental import State
 from docloom.operators.search import Request, search
-from docloom.plans import chunk_queries as Q, collection_queries as K, retrieval_queries as R
+from docloom.plans import chunk_queries as Q, collection_queries as K, pipelines, retrieval_queries as R, text_queries as TX
 from docloom.plans.registry import query
 from docloom.plans.text_queries import SQL_HTML, TEXT_FEATURES
 from docloom.sources.files import converted
@@ -160,6 +160,45 @@ def collection_catalog(t: Tables) -> DataFrame:
     return out
 
 
+def _vectors(chunks: str, key: str = "doc_id || '_' || chunk_index") -> str:
+    """Per document of the chunks (doc_id, chunk_index, text): their number, those with a vector, and the sum of all vectors' components."""
+    return f"""SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE n > 0) AS n_embedded, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+        SELECT doc_id, chunk_index, len({R.toks('text')}) AS n FROM ({chunks})) GROUP BY doc_id"""
+
+
+def _counted(nodes: DataFrame) -> DataFrame:
+    total = F.coalesce(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("embedding").alias("n_embedded"), F.sum(total).cast("long").alias("n_tokens"))
+
+
+@query(_vectors(Q._PARAGRAPHS))
+def pipeline_standard(t: Tables) -> DataFrame:
+    """Validated documents to chunks to vectors; here the vectors' components add up to the tokens."""
+    return _counted(pipelines.standard("doc_id", R.embed, "line")(t.documents))
+
+
+_CHANGED = f"WITH {K.V2} SELECT v.doc_id, v.text FROM v2 v JOIN documents d ON d.doc_id = v.doc_id WHERE md5(v.text) <> md5(d.text) AND v.text <> ''"
+
+
+@query(_vectors(f"SELECT * FROM ({Q._PARAGRAPHS.replace('FROM documents', f'FROM ({_CHANGED})')})"))
+def pipeline_incremental(t: Tables) -> DataFrame:
+    """The second run of a pipeline takes changed documents only."""
+    root = fresh_folder(t.spark, "state")
+    state = State(Collections(t.spark, root), "documents", "doc_id", "hash")
+    hashed = {"hash": F.md5("text")}
+    state.done(t.documents.withColumns(hashed))
+    found = settled(_counted(pipelines.incremental("doc_id", state, hashed, R.embed, "line")(K.edited(t))))
+    remove(t.spark, root)
+    return found
+
+
+@query(f"""SELECT doc_id, chunk_index, n_keywords, topics FROM (SELECT doc_id, chunk_index, CAST(len(w) AS BIGINT) AS n_keywords FROM (SELECT doc_id, chunk_index, {TX.SQL_WORDS.format('text')} AS w FROM ({Q._PARAGRAPHS}))) LEFT JOIN (
+    SELECT doc_id, list_sort(list_distinct(flatten(list(topics)))) AS topics FROM (SELECT doc_id, {TX._TOPIC_SQL} AS topics FROM (SELECT doc_id, {TX.SQL_WORDS.format('text')} AS w FROM ({Q._PARAGRAPHS}))) GROUP BY doc_id HAVING len(flatten(list(topics))) > 0) USING (doc_id)""")
+def pipeline_described(t: Tables) -> DataFrame:
+    """Chunks with the number of their keywords and the topics of their document."""
+    return pipelines.metadata_aware("doc_id", "line")(t.documents).select("doc_id", "chunk_index", "n_keywords", "topics")
+
+
 @query(f"""WITH {K.V2} SELECT 1 AS run, count(*) AS n_due FROM documents UNION ALL
     SELECT 2, count(*) FROM v2 v JOIN documents d ON d.doc_id = v.doc_id WHERE md5(v.text) <> md5(d.text) UNION ALL SELECT 3, 0""")
 def incremental_runs(t: Tables) -> DataFrame:
