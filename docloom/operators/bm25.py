@@ -4,7 +4,9 @@ An index has postings (doc_id, term, tf, dl), where dl is the document's length,
 and terms (term, df, cf, idf).  Texts are tokenised once, when the index is built;
 postings stay dealt out by document, so scores are summed where the postings are.
 A query is joined with the postings of its own terms only, so the work follows
-the matching postings.  ``Index.save`` and ``load`` keep an index between runs.
+the matching postings.  ``Index.save`` and ``load`` keep an index between runs: its
+postings lie in folders by a hash of the term, in order of terms, and a search reads
+the folders of its queries' terms and no others.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from docloom.functions import text as T
 
 #: The parameters of BM25, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Folders of a saved index at most, and postings that one should hold.
+MAX_BUCKETS, PER_BUCKET = 1024, 2_000_000
 
 
 @dataclass
@@ -25,15 +29,30 @@ class Index:
     postings: DataFrame  # doc_id, term, tf, dl
     terms: DataFrame  # term, df, cf, idf
     sizes: DataFrame  # one row: n_docs, avg_dl
+    buckets: int = 1  # folders of saved postings, which then have the column bucket
 
-    def save(self, path: str) -> None:
-        """Writes the index to the folder ``path``, in place of an earlier one."""
-        for name in ("postings", "terms", "sizes"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    def save(self, path: str, per_bucket: int = PER_BUCKET) -> None:
+        """Writes the index to the folder ``path``, in place of an earlier one, with about ``per_bucket`` postings in a bucket, ``MAX_BUCKETS`` at most.
+
+        A bucket is written by several tasks, each with the terms in order, where buckets are larger than that.
+        """
+        n = self.postings.count()
+        buckets = max(1, min(MAX_BUCKETS, n // per_bucket))
+        parts = max(1, -(-n // (buckets * per_bucket)))  # common terms are split by document
+        placed = self.postings.select("doc_id", "term", "tf", "dl", _bucket(F.col("term"), buckets).alias("bucket"))
+        placed = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("bucket", "term", "doc_id")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.sizes.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes")))
+    postings, terms, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "sizes"))
+    return Index(postings, terms, sizes.drop("buckets"), sizes.first().buckets)
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -59,7 +78,11 @@ def scores(index: Index, queries: DataFrame, key: str = "query_id", text: str =
     """query_id, doc_id, score (positive ones) for all documents that share a term with a query; terms that repeat in a query count again."""
     wanted = queries.select(F.col(key).alias("query_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighted = wanted.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.sizes)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_dl")  # one row
-    hits = index.postings.join(weighted, "term")
+    postings = index.postings
+    if index.buckets > 1:
+        own = [r.bucket for r in wanted.select(_bucket(F.col("term"), index.buckets).alias("bucket")).distinct().collect()]  # MAX_BUCKETS numbers at most
+        postings = postings.filter(F.col("bucket").isin(own)).drop("bucket")
+    hits = postings.join(weighted, "term")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 

@@ -37,6 +37,8 @@ SPLITS = (
     r"(?s)```.*?```",
     r"\|.+\|.+\|",
 )
+#: Rows whose texts are taken apart together.
+AT_ONCE = 64
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 #: Separators of the recursive splitter, the coarsest first.
 SEPARATORS = ("\n\n---\n\n", "\n\n***\n\n", "\n\n___\n\n", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ", "")
@@ -305,9 +307,11 @@ def _applied(rows: DataFrame, key: str, columns: list[str], f: Callable, instead
             return instead(*own), f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [one([x or "" for x in own]) for own in zip(*(batch.column(c).to_pylist() for c in columns))]
-            yield pa.record_batch([batch.column(key), pa.array([m[0] for m in made], value), pa.array([m[1] for m in made], pa.string())], [key, "value", "error"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(start, AT_ONCE)
+                made = [one([x or "" for x in own]) for own in zip(*(batch.column(c).to_pylist() for c in columns))]
+                yield pa.record_batch([batch.column(key), pa.array([m[0] for m in made], value), pa.array([m[1] for m in made], pa.string())], [key, "value", "error"])
 
     return rows.select(key, *columns).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, value {kind}, error string")
 

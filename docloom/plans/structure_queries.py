@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import markdown as M, structure as S
+from docloom.functions import markdown as M, structure as S, text as T
 from docloom.operators import boundaries as B
 from docloom.plans.chunk_queries import CRUMBS, LINES, PAGES_MD, STRIP, greedy_sql, pages_md
 from docloom.plans.registry import query
@@ -75,10 +75,10 @@ def chunk_structure_split(t: Tables) -> DataFrame:
 
 def _citing(t: Tables) -> DataFrame:
     """Pages' markdown with a reference to the first heading's id and the last heading's title in every section."""
-    md = pages_md(t)
-    ends = M.headings(md, "page_id", "md").groupBy("page_id").agg(F.min_by("heading_id", "heading_no").alias("a"), F.max_by("title", "heading_no").alias("b"))
-    named = F.concat(F.lit("see [this](#"), "a", F.lit(") and [["), "b", F.lit("]]."))
-    return md.join(ends, "page_id").select("page_id", F.replace(F.regexp_replace("md", r"(?m)^(#{1,6}[\x20\x09]+[^\n]+)$", "$1\n\x02"), F.lit("\x02"), named).alias("md"))
+    titles = F.transform(F.regexp_extract_all("md", F.lit(r"(?m)^#{1,6}[\x20\x09]+([^\n]+)$"), 1), T.strip)  # pages have no fences
+    md = pages_md(t).withColumn("titles", titles).filter(F.size("titles") > 0)
+    named = F.concat(F.lit("see [this](#"), M.slug(F.get("titles", F.lit(0))), F.lit(") and [["), F.element_at("titles", -1), F.lit("]]."))
+    return md.select("page_id", F.replace(F.regexp_replace("md", r"(?m)^(#{1,6}[\x20\x09]+[^\n]+)$", "$1\n\x02"), F.lit("\x02"), named).alias("md"))
 
 
 _EDGES = rf"""WITH {LINES}, ends AS (SELECT page_id, arg_min(heading_id, heading_no) AS a, arg_max(title, heading_no) AS b FROM headings GROUP BY page_id),

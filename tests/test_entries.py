@@ -86,6 +86,20 @@ def test_saved_index(spark, tmp_path):
     assert again.sizes.first().asDict() == {"n_docs": 4, "avg_dl": 4 / 3}
 
 
+def test_saved_index_reads_the_folders_of_its_terms(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * k) % 60] for k in range(1, 12))) for i in range(200)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w3 w7"), (2, "w7 w50 w7"), (3, "none")], "query_id long, text string")
+    index = bm25.build(docs)
+    index.save(f"{tmp_path}/i", per_bucket=50)
+    again = bm25.load(spark, f"{tmp_path}/i")
+    assert again.buckets > 20 and again.postings.count() == index.postings.count()
+    found = bm25.search(again, queries, 9)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bm25.search(index, queries, 9).collect()))
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and " IN (" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
 def test_failures_stay_with_their_rows(spark):
     rows = spark.createDataFrame([(1, "4"), (2, "x"), (3, None)], "id int, t string")
     got = {r.id: (r.value, r.error) for r in B.apply_or(rows, "id", ["t"], lambda x: [int(x)], lambda x: [], "array<int>").collect()}
