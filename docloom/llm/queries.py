@@ -143,7 +143,7 @@ ORACLE_SQL = {
         ), trimmed AS (
             SELECT *, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS own FROM lines
         ), spread AS (
-            SELECT own FROM trimmed WHERE length(own) >= 20 GROUP BY own HAVING count(DISTINCT coalesce(source, chr(1))) >= {MIN_SITES}
+            SELECT own FROM trimmed WHERE own <> '' GROUP BY own HAVING count(DISTINCT coalesce(source, chr(1))) >= CASE WHEN length(own) < 20 THEN {2 * MIN_SITES} ELSE {MIN_SITES} END
         ), marked AS (
             SELECT t.doc_id, t.line, t.k, s.own IS NOT NULL AS gone FROM trimmed t LEFT JOIN spread s ON t.own = s.own
         )

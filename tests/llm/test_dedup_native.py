@@ -34,13 +34,13 @@ def test_exact_with_a_very_large_group(spark):
     assert got_exact(df) == brute_exact(df.collect())
 
 
-def brute_lines(rows, sites, least=20):
+def brute_lines(rows, sites):
     spread = {}
     strip = lambda x: x.strip(" \t\n\v\f\r")
     for r in rows:
         for line in (r.text or "").split("\n") if r.text is not None else []:
             spread.setdefault(strip(line), set()).add(r.source)
-    gone = {line for line, own in spread.items() if len(own) >= sites and len(line) >= least}
+    gone = {line for line, own in spread.items() if line and len(own) >= (sites if len(line) >= 20 else 2 * sites)}
     out = []
     for r in rows:
         lines = [] if r.text is None else r.text.split("\n")
@@ -61,3 +61,18 @@ def test_lines(spark, odd_docs, no_docs):
     assert got.columns == [*odd_docs.columns, "n_lines", "n_removed"]
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=repr) == brute_lines(odd_docs.collect(), 2)
     assert L.remove_spread_lines(no_docs, 2).count() == 0
+
+
+def test_short_lines(spark):
+    rows = [(i, "\n".join(["ten chars!", " ten chars!\t", f"own {i}", "", "on few"] if i < 9 else ["ten chars!", f"a line of its own, number {i}"]), f"site{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in L.remove_spread_lines(df, 5).collect()}
+    assert got[3] == ("own 3\n\non few", 2) and got[20] == ("a line of its own, number 20", 1)
+
+
+def test_columns_with_the_same_names(spark):
+    line = "a line that every site has, of course"
+    rows = [(i, f"{line}\nown {i}", f"s{i}", 7, "x", [1], i, 5, 6) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row1 int, _gone string, _row2 array<int>, n_lines long, line_no int, h1 int")
+    got = L.remove_spread_lines(df, 5).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text, r._row1, r._gone, r._row2, r.n_lines, r.n_removed, r.line_no, r.h1) for r in got] == [(i, f"own {i}", 7, "x", [1], 2, 1, 5, 6) for i in range(6)]
