@@ -8,8 +8,9 @@ Weights are not negative: no word makes a text less severe.  The output is the
 expected grade, the sum of P(grade >= k).
 
 Fitting uses at most ``rows`` labelled rows, a bounded sample chosen by a hash
-of doc_id; the vocabulary is the ``n_features`` features that set toxic rows
-apart most clearly.  Scoring covers every row and whole texts, without a shuffle.
+of doc_id and text; rows that repeat a doc_id and its text count once.  The
+vocabulary is every feature that sets toxic rows apart clearly.  Scoring covers every
+row and whole texts, without a shuffle.
 
 Null and empty texts have no words, so the model's base rate; null labels are
 left out of fitting; with no labelled toxic row, or no other, all grades are 0.
@@ -111,12 +112,13 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return params[:width], params[width] + np.concatenate([[0], np.cumsum(np.exp(params[width + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", rows: int = 10_000, n_features: int = 150, min_rows: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", rows: int = 10_000, min_rows: int = 5) -> Model:
     """Model from ``labels`` (doc_id, ``grade``), of which ``rows`` at most are used, and the texts of ``docs``."""
     never = Model({}, [30.0])
-    sample = labels.filter(F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
-    # at most ``rows`` rows, and the texts of these
-    known = bounded(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").persist()
+    sample = labels.filter(F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("grade")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
+    # at most ``rows`` rows; an id may have many texts, so the bound holds again after the join
+    met = bounded(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").distinct()
+    known = met.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "grade").limit(rows).repartition(8).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "grade", rows: int = 10
         each = known.select("text", "grade").mapInArrow(count, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         share = (F.col("bad") + F.col("good")) / (totals.bad + totals.good)
         apart = (F.col("bad") / totals.bad - F.col("good") / totals.good) / F.sqrt(share * (1 - share) + 1e-12)
-        # of a word's beginnings that occur in the same rows, the shortest is enough: several times as many candidates are fetched
+        # of a word's beginnings that occur in the same rows, the shortest is enough
         rows_of_both = (totals.bad * totals.good / (totals.bad + totals.good)) ** 0.5
-        ranked = each.filter(F.col("bad") + F.col("good") >= min_rows).filter(apart * rows_of_both > SIGMAS).orderBy(F.desc(apart), "feature").limit(8 * n_features).collect()
+        ranked = each.filter(F.col("bad") + F.col("good") >= min_rows).filter(apart * rows_of_both > SIGMAS).orderBy(F.desc(apart), "feature").collect()  # words of ``rows`` texts at most
         counts = {r.feature: (r.bad, r.good) for r in ranked}
         shorter = lambda f: (f[:n] for n in BEGINNINGS if n < len(f))
-        vocabulary = [f for f in counts if not any(counts.get(g) == counts[f] for g in shorter(f))][:n_features]
+        vocabulary = [f for f in counts if not any(counts.get(g) == counts[f] for g in shorter(f))]
         if not vocabulary:
             return never
         known_words, place = Known(vocabulary), {f: i for i, f in enumerate(vocabulary)}
