@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import cut as checkpointed
 from docloom.llm.common import hot_keys, salted_join
 
-#: Letters of a label, and of a whole name, under the rules for host names.  No word is longer than a label;
-#: labels longer than a name are no names, and are segmented in pieces of that length.
-LONGEST, NAME = 63, 255
+#: Letters of a label up to which its substrings are made at once: no name is longer, under the rules for host names; longer labels go place by place.
+NAME = 255
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,19 +56,25 @@ def visible(html: str) -> Column:
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
     """word, n over all rows: runs of a-z in the lower-cased text."""
-    words = texts.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("word")).filter(F.length("word").between(1, LONGEST))
+    words = texts.select(F.explode(F.split(F.lower(column), "[^a-z]+")).alias("word")).filter("word <> ''")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_words(label: str, cost: dict[str, float], unknown: float) -> list[str]:
     """The segmentation of least cost; a piece of k letters that isn't known costs ``unknown`` and ln 10 for each letter. Ties: the longest last word."""
+    per, sizes = math.log(10), sorted({len(w) for w in cost}, reverse=True)
     best = [(0.0, 0)]
+    low, low_at = 0.0, 0  # of the places so far: the least cost without what its letters would cost, and where
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST), end):
-            piece = label[start:end]
-            options.append((best[start][0] + cost.get(piece, unknown + math.log(10) * len(piece)), start))
-        best.append(min(options))
+        found, at = low + unknown + per * end, low_at
+        for size in sizes:
+            if size <= end and (own := cost.get(label[end - size : end])) is not None:
+                known = best[end - size][0] + own
+                if known < found - 1e-9 or known < found + 1e-9 and end - size < at:
+                    found, at = known, end - size
+        best.append((found, at))
+        if found - per * end < low - 1e-9:
+            low, low_at = found - per * end, end
     words, end = [], len(label)
     while end:
         start = best[end][1]
@@ -81,9 +86,19 @@ def best_words(label: str, cost: dict[str, float], unknown: float) -> list[str]:
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """label, words: the distinct ``labels.label`` (a-z) segmented under ``counts`` (word, n)."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    ends = F.sequence(F.lit(1), F.length("label"))
-    pieces = F.flatten(F.transform(ends, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - i + 1)), lambda k: F.substring(F.col("label"), i, k))))
-    cut = labels.filter("label <> ''").select("label", F.explode(F.array_distinct(pieces)).alias("word"))
+    labels = labels.filter("label <> ''").withColumn("size", F.length("label"))
+    longest = labels.agg(F.max("size").alias("size")).first().size or 0
+    # as many numbers as the longest label has letters, at most
+    lengths = sorted(r.k for r in counts.select(F.length("word").alias("k")).filter(F.col("k") <= longest).distinct().collect())
+    some = F.array(*map(F.lit, lengths)).cast("array<int>")
+    fitting = lambda start: F.filter(some, lambda k: k <= F.col("size") - start + 1)
+    at = lambda start: F.transform(fitting(start), lambda k: F.substring(F.col("label"), start, k))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.col("size")), at)))
+    whole = labels.filter(F.col("size") <= NAME).select("label", F.explode(pieces).alias("word"))
+    places = labels.filter(F.col("size") > NAME).select("label", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("start"))
+    placed = places.select("label", F.explode(at(F.col("start"))).alias("word")).distinct()
+    # a label without any piece of a word's length still has a row
+    cut = whole.unionByName(placed).unionByName(labels.select("label", F.lit("").alias("word")))
     # some words are in very many labels
     hot = hot_keys(cut.groupBy("word").agg(F.count("*").alias("n")), "word")
     known = salted_join(cut, counts, hot, ["word"], ["label"], "left").groupBy("label").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
@@ -103,8 +118,6 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """part, token: each ``hosts.part`` with the words of its runs of a-z, and its runs of other letters and digits; numbers are one token."""
     labels = hosts.select("part", F.explode(F.filter(F.split("part", "[^a-z]+"), lambda x: x != "")).alias("label"))
-    pieces = F.transform(F.sequence(F.lit(0), F.length("label") - 1, F.lit(NAME)), lambda i: F.substring(F.col("label"), i + 1, F.lit(NAME)))
-    labels = labels.select("part", F.explode(pieces).alias("label"))
     words = segmented(labels.select("label").distinct(), counts)
     hot = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), "label")
     named = salted_join(labels, words, hot, ["label"], ["part"]).select("part", F.explode("words").alias("word"))

@@ -98,3 +98,24 @@ def test_words_of_whole_pages(spark, tmp_path):
     assert {r.word: r.n for r in U.word_counts(pages.select(U.visible("html").alias("t")), "t").collect()} == {"home": 6, "win": 6, "at": 6, "the": 6, "casino": 12}
     verdicts = {r.page_id: r.verdict for r in Q.op10_url_filter(spark, str(tmp_path)).collect()}
     assert verdicts == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 9: "allow"}
+
+
+def test_long_words_and_labels(spark):
+    long = "pneumono" * 9  # 72 letters
+    counts = spark.createDataFrame([("river", 5), ("stone", 4), (long, 3), ("q" * 900, 1)], "word string, n long")
+    labels = ["river" + long + "stone", "x" * 253 + "river" + "y" * 300, "stone" * 60, "zz", "a" * 700, long]
+    got = {r.label: r.words for r in U.segmented(spark.createDataFrame([(x,) for x in [*labels, "", "zz"]], "label string").distinct(), counts).collect()}
+    assert got == {
+        labels[0]: ["river", long, "stone"],
+        labels[1]: ["x" * 253, "river", "y" * 300],
+        labels[2]: ["stone"] * 60,
+        "zz": ["zz"],
+        labels[4]: ["a" * 700],
+        long: [long],
+    }
+    assert {r.word: r.n for r in U.word_counts(spark.createDataFrame([(f"{long} {'Q' * 900} x",)], "t string"), "t").collect()} == {long: 1, "q" * 900: 1, "x": 1}
+
+
+def test_ties_go_to_the_longest_last_word():
+    assert U.best_words("abc", {}, 0.0) == ["abc"] and U.best_words("", {}, 1.0) == []
+    assert U.best_words("abab", {"ab": 1.0, "abab": 2.0}, 9.0) == ["abab"]
