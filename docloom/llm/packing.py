@@ -3,10 +3,11 @@
 Each task packs the documents of its partition as they come: whole windows are
 cut from the front of a long document, and the rest goes to the fill level that
 makes the sum of the squared counts of partially filled windows least; the
-counts are kept in a level array.  What is still open at the end of a task is
-cut freely into full windows, and the last remainder into windows whose sizes
-are powers of two, which need no padding.  Nothing is shuffled, and a task
-holds its open windows only.
+counts are kept in a level array.  At the end of a task the windows that are still
+open stay as the rule has left them, the fullest first, and are filled up with
+pieces of the emptiest ones, which are cut freely for that; the last remainder goes
+into windows whose sizes are powers of two, which need no padding.  Nothing is
+shuffled, and a task holds its open windows only.
 
 Null texts are empty; a document always has its end id, so every row has at
 least one piece.  Repeated rows are packed each; an empty table gives no rows.
@@ -68,26 +69,43 @@ class SumOfSquares:
         return []
 
     def finish(self) -> list[list[Piece]]:
-        """Cuts the open windows, the fullest first, into full ones and a remainder of powers of two."""
-        rest = [p for at in sorted(self.open, reverse=True) for window in self.open[at] for p in window]
-        left, out = sum(len(p[2]) for p in rest), []
-        rest.reverse()
+        """Closes the open windows: the fullest are filled up with pieces of the emptiest, what is left is cut into powers of two."""
+        windows = [(at, window) for at in sorted(self.open, reverse=True) for window in self.open[at]]
+        out, spare, first, last = [], [], 0, len(windows)
+        while first < last:
+            at, window = windows[first]
+            first, room = first + 1, self.size - at
+            while room and (spare or first < last):
+                if not spare:
+                    last -= 1
+                    spare = windows[last][1][::-1]
+                room -= self._take(window, spare, room)
+            if room:  # nothing is left to fill it up with
+                spare = window[::-1]
+                break
+            out.append(window)
+        left = sum(len(p[2]) for p in spare)  # less than a window
         while left:
-            room = min(self.size, 1 << (left.bit_length() - 1)) if left < self.size else self.size
+            room = 1 << (left.bit_length() - 1)
             left -= room
-            window: list[Piece] = []
+            window = []
             while room:
-                doc, start, ids, total = rest.pop()
-                if len(ids) > room:
-                    rest.append((doc, start + room, ids[room:], total))
-                    ids = ids[:room]
-                window.append((doc, start, ids, total))
-                room -= len(ids)
+                room -= self._take(window, spare, room)
             out.append(window)
         self.open.clear()
         self.level[:] = 0
         return out
 
+    @staticmethod
+    def _take(window: list[Piece], pieces: list[Piece], room: int) -> int:
+        """Moves the last of ``pieces``, or its beginning, into the window; how many tokens that were."""
+        doc, start, ids, total = pieces.pop()
+        if len(ids) > room:
+            pieces.append((doc, start + room, ids[room:], total))
+            ids = ids[:room]
+        window.append((doc, start, ids, total))
+        return len(ids)
+
 
 def pack(docs: DataFrame, path: str, end: int, size: int = 2048) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text), packed into sequences of at most ``size`` tokens.

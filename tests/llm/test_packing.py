@@ -60,3 +60,43 @@ def test_whole_tables(spark, odd_docs, no_docs, vocabulary):
         check(P.pack(df, vocabulary, 1, size).collect(), docs, size, 1, vocabulary)
     assert P.pack(odd_docs, vocabulary, 1).filter("doc_id is null").count() >= 2
     assert P.pack(no_docs, vocabulary, 1).count() == 0
+
+
+def test_most_tokens_stay_where_the_rule_put_them():
+    """Documents of real lengths over 16 tasks: what lies in a window as the rule left it, against what was moved to fill one up."""
+    import duckdb
+
+    lengths = [n for (n,) in duckdb.connect().execute("SELECT length(text) // 4 + 1 FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id").fetchall()]
+    placed = total = 0
+    for task in range(16):
+        packer, closed = P.SumOfSquares(2048), []
+        for doc, n in enumerate(lengths[task::16]):
+            for start in range(0, n, 2048):
+                closed += packer.place((doc, start, np.zeros(min(2048, n - start), "<u4"), n))
+        kept = [{(p[0], p[1], len(p[2])) for p in window} for windows in packer.open.values() for window in windows]
+        done = packer.finish()
+        for window in closed:
+            placed += sum(len(p[2]) for p in window)
+        for window in done:
+            own = {(p[0], p[1], len(p[2])) for p in window}
+            placed += max((sum(n for _, _, n in k) for k in kept if k <= own), default=0)
+        fills = [sum(len(p[2]) for p in w) for w in closed + done]
+        assert all(f == 2048 or f & (f - 1) == 0 for f in fills) and sum(f < 2048 for f in fills) <= 11
+        total += sum(fills)
+    assert total == sum(lengths) and placed > 0.95 * total
+
+
+def test_finish():
+    for seed in range(200):
+        rng = random.Random(seed)
+        packer, out = P.SumOfSquares(16), []
+        given = [rng.randint(1, 16) for _ in range(rng.randint(0, 25))]
+        for doc, n in enumerate(given):
+            out += packer.place((doc, 0, np.arange(n, dtype="<u4"), n))
+        out += packer.finish()
+        fills = [sum(len(p[2]) for p in w) for w in out]
+        assert sum(fills) == sum(given) and all(f == 16 or f & (f - 1) == 0 and f < 16 for f in fills) and sum(f < 16 for f in fills) <= 4
+        for doc, n in enumerate(given):
+            own = sorted((p for w in out for p in w if p[0] == doc), key=lambda p: p[1])
+            assert np.concatenate([p[2] for p in own]).tolist() == list(range(n))
+        assert not packer.open and not packer.level.any() and packer.finish() == []
