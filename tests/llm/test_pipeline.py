@@ -46,12 +46,12 @@ def without_repeats(rows, width=100):
     return out
 
 
-def without_boilerplate(rows, sites=5, least=20):
+def without_boilerplate(rows, sites=5):
     blank, where = " \t\n\v\f\r", {}
     for r in rows:
         for line in r.text.split("\n"):
             where.setdefault(line.strip(blank), set()).add(r.source)
-    gone = {x for x, own in where.items() if len(own) >= sites and len(x) >= least}
+    gone = {x for x, own in where.items() if x and len(own) >= (sites if len(x) >= 20 else 2 * sites)}
     return {r.doc_id: "\n".join(x for x in r.text.split("\n") if x.strip(blank) not in gone) for r in rows}
 
 
