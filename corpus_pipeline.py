@@ -5,7 +5,8 @@ columns of documents, except the last, which returns packed pieces:
 
 1. toxicity: rows whose predicted P(grade >= 1) is 0.5 or more go; the model is
    fitted on the labelled rows among the stage's input.
-2. line dedup: lines spread over ``MIN_SITES`` sources or more go from the texts.
+2. line dedup: lines spread over ``MIN_SITES`` sources or more, short ones over twice
+   as many, go from the texts.
 3. SimHash near-dedup: texts link whose 5-word shingles have a Jaccard similarity
    of 0.8 or more; of each component one row stays, that with the smallest doc_id,
    and among rows of one doc_id that of the smallest hash.
