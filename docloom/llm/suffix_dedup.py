@@ -14,10 +14,10 @@ starts earlier: in a document of smaller doc_id, or earlier in the same one.
    are repeats, first among the runs of a task, so that a passage of every shard
    is few rows of its anchor; runs that share an anchor but differ are merged further.
 3. For these the bytes are fetched, and the runs of an anchor meet in one merge
-   shard.  Its sorted suffixes are looked up by binary search for the first
-   place at which each window occurs.  Anchors with more than ``many`` different
-   runs don't meet in one shard: their windows are dealt out one by one, by
-   128-bit hashes, and counted with partial aggregation.
+   shard, whose own suffix array puts equal windows side by side; a window's group is
+   looked up among the sorted groups for its first place.  Anchors with more than
+   ``many`` different runs don't meet in one shard: their windows are dealt out one by
+   one, by 128-bit hashes, and counted with partial aggregation.
 
 Matches never cross documents.  Null text is empty; texts shorter than a window
 stay whole.  doc_id and text identify a document, inside as ``doc`` and ``sub``, a
@@ -161,7 +161,7 @@ def repeats(text: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> np.ndarra
 
 
 def first_places(text: np.ndarray, ends: np.ndarray, order: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Like ``repeats``, with places ordered by ``order``: each window is looked up by binary search among the sorted first ones."""
+    """Like ``repeats``, with places ordered by ``order``: each window's group is looked up among the sorted groups for its first place."""
     out = np.zeros(len(text), bool)
     if len(text):
         place, group = groups_of_windows(text, ends, width)
