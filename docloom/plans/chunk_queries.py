@@ -155,11 +155,18 @@ def _last_sql(parts: str, room: str, joiner: str) -> str:
 
 
 _BREAK = "(chr(10) || chr(10))"
-_LEAD = f"list_filter({_ends_of('ps[len(ps) - tail.n]')}, lambda x: {STRIP % 'x'} <> '')"
-#: The overlap of a chunk ``now`` of over 100 characters, whose paragraphs aren't empty.
-_OVERLAP = f"""list_transform([string_split(now, {_BREAK})], lambda ps: list_transform([{_last_sql('ps', '100', _BREAK)}], lambda tail: list_transform([{_LEAD}], lambda ss:
-    list_transform([{_last_sql('ss', '(100 - length(tail.text))', "' '")}], lambda lead: list_transform([lead.text || CASE WHEN lead.text <> '' AND tail.text <> '' THEN {_BREAK} ELSE '' END || tail.text],
-    lambda o: CASE WHEN length(o) * 2 < 100 THEN right(now, 100) ELSE o END)[1])[1])[1])[1])[1]"""
+
+
+def overlap_sql(x: str, size: int) -> str:
+    """What the next chunk repeats of the text ``x``."""
+    lead = f"list_filter({_ends_of('coalesce(ps[len(ps) - tail.n], ' + repr('') + ')')}, lambda x: {STRIP % 'x'} <> '')"
+    to_last = "list_slice(all_ps, 1, coalesce(list_max(list_transform(all_ps, lambda y, i: CASE WHEN y <> '' THEN i END)), 0))"
+    return f"""CASE WHEN length({x}) <= {size} THEN {x} ELSE list_transform([string_split({x}, {_BREAK})], lambda all_ps: list_transform([{to_last}], lambda ps: list_transform([{_last_sql('ps', str(size), _BREAK)}], lambda tail: list_transform([{lead}], lambda ss:
+    list_transform([{_last_sql('ss', f'({size} - length(tail.text))', "' '")}], lambda lead: list_transform([lead.text || CASE WHEN lead.text <> '' AND tail.text <> '' THEN {_BREAK} ELSE '' END || tail.text],
+    lambda o: CASE WHEN length(o) * 2 < {size} THEN right({x}, {size}) ELSE o END)[1])[1])[1])[1])[1])[1] END"""
+
+
+_OVERLAP = overlap_sql("now", 100)
 _RECURSIVE = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, {STRIP % 'x'} AS x, i FROM ({_pieces('string_split(text, chr(10))', table="(SELECT * FROM documents WHERE length(replace(text, chr(10), chr(10) || chr(10))) > 1000)")})) WHERE x <> ''),
     k AS (SELECT doc_id, i, CASE WHEN length(x) > 1000 THEN '' ELSE x END AS now, '' AS out FROM p WHERE i = 1
         UNION ALL SELECT p.doc_id, p.i, CASE WHEN length(x) > 1000 THEN '' WHEN now <> '' AND length(now) + length(x) + 2 > 1000 THEN CASE WHEN length(now) > 100 THEN {_OVERLAP} || {_BREAK} || x ELSE x END WHEN now = '' THEN x ELSE now || {_BREAK} || x END,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M, structure as S, text as T
 from docloom.operators import boundaries as B
-from docloom.plans.chunk_queries import CRUMBS, LINES, PAGES_MD, STRIP, greedy_sql, pages_md
+from docloom.plans.chunk_queries import LINES, PAGES_MD, SECTIONS, STRIP, greedy_sql, overlap_sql, pages_md
 from docloom.plans.registry import query
 from docloom.tables import Tables
 
@@ -81,21 +81,45 @@ def _citing(t: Tables) -> DataFrame:
     return md.select("page_id", F.replace(F.regexp_replace("md", r"(?m)^(#{1,6}[\x20\x09]+[^\n]+)$", "$1\n\x02"), F.lit("\x02"), named).alias("md"))
 
 
-_EDGES = rf"""WITH {LINES}, ends AS (SELECT page_id, arg_min(heading_id, heading_no) AS a, arg_max(title, heading_no) AS b FROM headings GROUP BY page_id),
+_REFS = r"""ends AS (SELECT page_id, arg_min(heading_id, heading_no) AS a, arg_max(title, heading_no) AS b FROM headings GROUP BY page_id),
     refs AS (SELECT page_id, unnest([CASE WHEN regexp_matches(a, '^[^)\n]+$') THEN a END, CASE WHEN regexp_matches(b, '^[^\]\n]+$') THEN b END]) AS target FROM ends),
     names AS (SELECT page_id, heading_no, unnest(list_distinct([heading_id, title, lower(title)])) AS name FROM headings), last AS (SELECT page_id, name, max(heading_no) AS named FROM names GROUP BY ALL),
     cites AS (SELECT h.page_id, h.heading_no AS citing, coalesce(x.named, y.named) AS cited FROM headings h JOIN refs r ON r.page_id = h.page_id
         LEFT JOIN last x ON x.page_id = r.page_id AND x.name = r.target LEFT JOIN last y ON y.page_id = r.page_id AND y.name = lower(r.target) WHERE r.target IS NOT NULL),
-    edges AS (SELECT * FROM cites WHERE cited IS NOT NULL), important AS (SELECT page_id, cited FROM edges GROUP BY ALL HAVING count(*) >= 2)"""
+    edges AS (SELECT * FROM cites WHERE cited IS NOT NULL), important AS (SELECT page_id, cited FROM edges GROUP BY ALL HAVING count(*) >= 2),
+    contexts AS (SELECT e.page_id, citing AS heading_no, string_agg(chr(10) || chr(10) || '引用上下文: ' || h.title || ' (级别: ' || h.level || ')', '' ORDER BY cited) AS context
+        FROM (SELECT DISTINCT page_id, citing, cited FROM edges JOIN important USING (page_id, cited)) e JOIN headings h ON h.page_id = e.page_id AND h.heading_no = e.cited GROUP BY ALL)"""
 
 
-@query(f"""{_EDGES} SELECT page_id, citing AS heading_no, string_agg(chr(10) || chr(10) || '引用上下文: ' || h.title || ' (级别: ' || h.level || ')', '' ORDER BY cited) AS context
-    FROM (SELECT DISTINCT page_id, citing, cited FROM edges JOIN important USING (page_id, cited)) e JOIN headings h ON h.page_id = e.page_id AND h.heading_no = e.cited GROUP BY ALL""".replace("SELECT page_id, citing", "SELECT e.page_id, citing"))
+@query(f"WITH {LINES}, {_REFS} SELECT * FROM contexts")
 def reference_context(t: Tables) -> DataFrame:
     return S.reference_contexts(S.reference_edges(_citing(t), "page_id", "md"), "page_id")
 
 
-@query()
+_TITLES = r"list_transform(regexp_extract_all(md, '(?m)^#{1,6}[\x20\x09]+([^\n]+)$', 1), lambda x: " + STRIP % "x" + ")"
+_SLUG_OF = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(titles[1], '<[^>]*>', '', 'g')), '[^a-z0-9一-龥]+', '-', 'g'), '^-+', ''), '-+$', '')"
+_CITING = rf"""pages_md AS (SELECT page_id, replace(regexp_replace(md, '(?m)^(#{{1,6}}[\x20\x09]+[^\n]+)$', '\1' || chr(10) || chr(2), 'g'), chr(2), 'see [this](#' || {_SLUG_OF} || ') and [[' || titles[-1] || ']].') AS md
+    FROM (SELECT page_id, md, {_TITLES} AS titles FROM plain_md) WHERE len(titles) > 0)"""
+_SECTION_ROWS = f"""sums AS (SELECT s.page_id, s.heading_no, s.page_id * 100000 + s.heading_no AS sec, breadcrumb || chr(10) || chr(10) AS head, content, coalesce(context, '') AS context,
+        coalesce((SELECT count(*) FROM edges e WHERE e.page_id = s.page_id AND e.cited = s.heading_no), 0) AS n_in, coalesce((SELECT count(*) FROM edges e WHERE e.page_id = s.page_id AND e.citing = s.heading_no), 0) AS n_out,
+        EXISTS (SELECT 1 FROM headings a JOIN edges e ON e.page_id = a.page_id AND e.cited = a.heading_no WHERE a.page_id = s.page_id AND (a.heading_no = s.heading_no OR a.heading_no < s.heading_no AND a.level < s.level
+            AND NOT EXISTS (SELECT 1 FROM headings b WHERE b.page_id = a.page_id AND b.heading_no > a.heading_no AND b.heading_no < s.heading_no AND b.level <= a.level))) AS under
+        FROM sections s LEFT JOIN contexts c ON c.page_id = s.page_id AND c.heading_no = s.heading_no WHERE content <> ''),
+    marked AS MATERIALIZED (SELECT *, CASE WHEN under OR n_out > 0 THEN array_to_string(list_filter([CASE WHEN under THEN '[被引用次数: ' || n_in || ']' END, CASE WHEN n_out > 0 THEN '[外部引用数: ' || n_out || ']' END], lambda x: x IS NOT NULL), ' ') || chr(10) ELSE '' END AS meta FROM sums),
+    long AS (SELECT * FROM marked WHERE length(head) + length(meta) + length(content) > {SIZE})"""
+
+
+def _full_sql() -> str:
+    lines = LINES.replace("pages_md AS (", "plain_md AS (", 1).replace("FROM pages), raw AS", f"FROM pages), {_CITING}, raw AS", 1)
+    return f"""WITH RECURSIVE {lines}, {SECTIONS}, {_REFS}, {_SECTION_ROWS}, {blocks_sql('long', 'sec', 'content')}, {pieces_sql('sec', SIZE)},
+        befores AS (SELECT *, CASE WHEN part > 0 AND kind = 'text' THEN lag(text) OVER (PARTITION BY sec ORDER BY block, part) ELSE '' END AS before FROM pie),
+        every AS (SELECT page_id, heading_no, 0 AS block, 0 AS part, 'section' AS kind, head || meta || content || context AS text FROM marked WHERE sec NOT IN (SELECT sec FROM long)
+            UNION ALL SELECT l.page_id, l.heading_no, p.block, p.part, p.kind, l.head || CASE WHEN p.block = 0 AND p.part = 0 THEN l.meta ELSE '' END
+                || CASE WHEN p.before <> '' THEN {overlap_sql('p.before', 50)} || chr(10) || chr(10) ELSE '' END || p.text || l.context FROM befores p JOIN long l USING (sec))
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY heading_no, block, part) - 1 AS chunk_index, heading_no, kind, text FROM every"""
+
+
+@query(_full_sql())
 def chunk_markdown_full(t: Tables) -> DataFrame:
     return S.markdown_chunks(_citing(t), "page_id", "md", SIZE, 50)
 
