@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M
-from docloom.functions.chunking import MAX_CHUNK, semantic_overlap
+from docloom.functions.chunking import MAX_CHUNK
 from docloom.operators.boundaries import apply
 
 #: How lines of lists and tables, and definitions in code, begin.
@@ -30,6 +30,7 @@ HEADING = re.compile(r"(#{1,6})[\x20\x09]+(.+)$")
 FENCE = re.compile(r" *```([0-9A-Za-z_]*)")
 TARGETS = (re.compile(r"\[[^\]\n]+\]\(#([^)\n]+)\)"), re.compile(r"\[ref:([^\]\n]+)\]"), re.compile(r"\[\[([^\]\n]+)\]\]"), re.compile(r"「参见：([^」\n]+)」"))
 BLANKS = " \t\n\v\f\r"
+SENTENCE = re.compile(r".*?[.!?。！？；;][\x20\x09-\x0D]*|.+", re.S)
 LINE, PARAGRAPH, ENDING = re.compile(r"\n"), re.compile(r"\n[\x20\x09-\x0D]*\n"), re.compile(r"[.!?。！？；;][\x20\x09-\x0D]*|\n")
 
 
@@ -97,6 +98,30 @@ def _finer(parts: list[tuple[int, int]], size: int, cut: Callable[[int, int], li
     return [y for a, b in parts for y in (cut(a, b) if b - a > size else [(a, b)])]
 
 
+def _fitting(pieces: list[str], joiner: str, room: int) -> tuple[int, str]:
+    """How many of the last pieces fit into ``room`` when joined, and these; one alone needs room for a joiner too."""
+    total = 0
+    for n, piece in enumerate(reversed(pieces)):
+        total += len(piece) + (len(joiner) if n else 0)
+        if total + (0 if n else len(joiner)) > room:
+            return n, joiner.join(pieces[len(pieces) - n :])
+    return len(pieces), joiner.join(pieces)
+
+
+def overlap_of(text: str, size: int) -> str:
+    """``chunking.semantic_overlap`` of one text."""
+    if len(text) <= size:
+        return text
+    paragraphs = text.split("\n\n")
+    while paragraphs and not paragraphs[-1]:
+        paragraphs.pop()
+    n, tail = _fitting(paragraphs, "\n\n", size)
+    before = paragraphs[-n - 1] if n < len(paragraphs) else ""
+    _, lead = _fitting([x for x in SENTENCE.findall(before) if x.strip(BLANKS)], " ", size - len(tail))
+    out = "\n\n".join(x for x in (lead, tail) if x)
+    return out if 2 * len(out) >= size else text[-size:]
+
+
 def piece_spans(text: str, size: int = MAX_CHUNK) -> list[dict]:
     """kind, block, part, start, end of the pieces that tile ``text``; only a line of code or a row over ``size`` stays longer than that."""
     out = []
@@ -123,6 +148,21 @@ def piece_spans(text: str, size: int = MAX_CHUNK) -> list[dict]:
     return out
 
 
+def led(text: str, pieces: list[dict], overlap: int) -> Iterator[tuple[dict, str]]:
+    """Each piece, and what a reader needs before it where it continues a block."""
+    head = before = ""
+    for p in pieces:
+        lead = ""
+        if p["part"] == 0:
+            head = text[p["start"] : text.find("\n", p["start"]) + 1]
+        elif p["kind"] == "code":
+            lead = head
+        elif p["kind"] == "text" and overlap:
+            lead = overlap_of(before, overlap)
+        yield p, lead
+        before = text[p["start"] : p["end"]]
+
+
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, block, kind, language (of code), start, end, start_line, n_lines of the blocks that tile ``text``."""
 
@@ -147,20 +187,9 @@ def structure_split(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK,
     """
 
     def run(own: str) -> list[dict]:
-        head, made = "", []
-        for p in piece_spans(own, size):
-            piece = own[p["start"] : p["end"]]
-            if p["part"] == 0:
-                head = piece[: piece.find("\n") + 1]
-            made.append({**p, "text": piece, "head": head if p["part"] and p["kind"] == "code" else ""})
-        return made
+        return [{**p, "text": own[p["start"] : p["end"]], "head": lead} for p, lead in led(own, piece_spans(own, size), overlap)]
 
     found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<kind:string,block:bigint,part:int,start:bigint,end:bigint,text:string,head:string>>")
-    pieces = F.col("value")
-    if overlap:
-        before = lambda i: F.get(pieces, i - 1)["text"]
-        lead = lambda p, i: F.when((p["kind"] == "text") & (p["part"] > 0), semantic_overlap(before(i), overlap)).otherwise(p["head"])
-        found = found.withColumn("value", F.transform(pieces, lambda p, i: p.withField("head", lead(p, i))))
     each = found.select(key, F.posexplode("value").alias("piece", "p"))
     return each.select(key, F.col("piece").cast("long").alias("piece"), "p.kind", "p.block", "p.start", "p.end", "p.text", F.col("p.head").alias("lead"))
 
@@ -247,20 +276,12 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, size: int = MAX_CHUNK,
             marks = [f"[被引用次数: {s['n_in']}]"] * s["under"] + [f"[外部引用数: {s['n_out']}]"] * (s["n_out"] > 0)
             head, meta = f"{s['crumb']}\n\n", " ".join(marks) + "\n" if marks else ""
             if len(head) + len(meta) + len(s["content"]) <= size:
-                made.append({"heading_no": s["heading_no"], "kind": "section", "head": head + meta, "before": "", "text": s["content"] + s["context"]})
+                made.append({"heading_no": s["heading_no"], "kind": "section", "text": head + meta + s["content"] + s["context"]})
                 continue
-            before = fence = ""
-            for p in piece_spans(s["content"], size):
-                piece = s["content"][p["start"] : p["end"]]
-                if p["part"] == 0:
-                    fence = piece[: piece.find("\n") + 1]
-                again = p["part"] > 0
-                lead = head + (meta if p["start"] == 0 else "") + (fence if again and p["kind"] == "code" else "")
-                made.append({"heading_no": s["heading_no"], "kind": p["kind"], "head": lead, "before": before if again and p["kind"] == "text" else "", "text": piece + s["context"]})
-                before = piece
+            for p, lead in led(s["content"], piece_spans(s["content"], size), overlap):
+                first, gap = meta if p["start"] == 0 else "", "\n\n" if lead and p["kind"] == "text" else ""
+                made.append({"heading_no": s["heading_no"], "kind": p["kind"], "text": head + first + lead + gap + s["content"][p["start"] : p["end"]] + s["context"]})
         return made
 
-    found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<heading_no:bigint,kind:string,head:string,before:string,text:string>>")
-    each = found.select(key, F.posexplode("value").alias("i", "p"))
-    again = F.when((F.col("p.before") != "") & F.lit(overlap > 0), F.concat(semantic_overlap(F.col("p.before"), overlap or 1), F.lit("\n\n"))).otherwise(F.lit(""))
-    return each.select(key, F.col("i").cast("long").alias("chunk_index"), "p.heading_no", "p.kind", F.concat("p.head", again, "p.text").alias("text"))
+    found = apply(docs.filter(F.length(text) > 0), key, [text], run, "array<struct<heading_no:bigint,kind:string,text:string>>")
+    return found.select(key, F.posexplode("value").alias("i", "p")).select(key, F.col("i").cast("long").alias("chunk_index"), "p.heading_no", "p.kind", "p.text")

@@ -78,7 +78,7 @@ def test_recursive_chunks_and_overlap(spark):
     got = df.select("i", C.recursive_chunks(F.col("text"), 120, 40).alias("c"), C.semantic_overlap(F.col("text"), 50).alias("o")).collect()
     for r in got:
         assert r.c == recursive(texts[r.i], 120, 40), texts[r.i]
-        assert r.o == semantic_overlap(texts[r.i], 50), texts[r.i]
+        assert r.o == semantic_overlap(texts[r.i], 50) == S.overlap_of(texts[r.i], 50), texts[r.i]
 
 
 def test_long_sections(spark):
