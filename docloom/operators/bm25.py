@@ -20,6 +20,8 @@ from docloom.functions import text as T
 
 #: The parameters of BM25, and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of all queries together up to which they are sent to every task: some megabytes.
+FEW_TERMS = 100_000
 #: Folders of a saved index at most, and postings that one should hold.
 MAX_BUCKETS, PER_BUCKET = 1024, 2_000_000
 
@@ -77,12 +79,15 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
 def scores(index: Index, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score (positive ones) for all documents that share a term with a query; terms that repeat in a query count again."""
     wanted = queries.select(F.col(key).alias("query_id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    # a table of few queries goes to the postings; postings stay where they are, so scores need no shuffle either
+    few = wanted.count() <= FEW_TERMS
+    wanted = F.broadcast(wanted) if few else wanted
     weighted = wanted.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.sizes)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_dl")  # one row
     postings = index.postings
     if index.buckets > 1:
         own = [r.bucket for r in wanted.select(_bucket(F.col("term"), index.buckets).alias("bucket")).distinct().collect()]  # MAX_BUCKETS numbers at most
         postings = postings.filter(F.col("bucket").isin(own)).drop("bucket")
-    hits = postings.join(weighted, "term")
+    hits = postings.join(F.broadcast(weighted) if few else weighted, "term")
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
 
