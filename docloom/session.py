@@ -14,6 +14,7 @@ def session(name: str = "docloom", cores: int | str = "*", warehouse: str | None
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", conf.pop("driver_memory", "6g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the DataFrames that need them
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
