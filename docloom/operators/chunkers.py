@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import chunking as C, markdown as M, text as T
+from docloom.functions import chunking as C, markdown as M, structure as S, text as T
 from docloom.operators import boundaries as B
 
 Chunker = Callable[[DataFrame, str, str], DataFrame]
@@ -37,6 +37,9 @@ CHUNKERS: dict[str, Chunker] = {
     "heading": _column(lambda c: C.heading_chunks(c, "#")),
     "html": _column(lambda c: F.transform(F.split(F.regexp_replace(c, r"(?i)(<h[1-6][^>]*>)", "\x01$1"), "\x01"), T.html_to_text)),
     "markdown": M.section_chunks,
+    "markdown_full": lambda docs, key, text: S.markdown_chunks(docs, key, text).select(key, "chunk_index", "text"),
+    "structure": lambda docs, key, text: S.structure_split(docs, key, text).select(key, F.col("piece").alias("chunk_index"), "text"),
+    "recursive": _column(C.recursive_chunks),
     "code": _pieces(B.code_pieces),
     "list": _pieces(B.list_pieces),
     "semantic": _pieces(B.semantic_sections),
