@@ -12,16 +12,14 @@ is found with probability ``FOUND``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import vector as V
 from docloom.operators.bm25 import top
-from docloom.operators.vector import cosine_of
-
 
 PER_BUCKET, ANGLE, FOUND = 64, 60, 0.995
 
@@ -34,35 +32,62 @@ def sizes(n_rows: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - hit))
 
 
-def buckets(rows: DataFrame, key: str, vector: str, bits: int, tables: int, near: bool, seed: int = 7) -> DataFrame:
-    """id, bucket (table and signs): one row a table, or with ``near`` also the buckets one bit away."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column("v").to_pylist(), float)
-            planes = np.random.default_rng(seed).standard_normal((tables, bits, x.shape[1]))
-            signs = (np.einsum("tbd,nd->ntb", planes, x) > 0).astype(np.int64)
-            own = (signs << np.arange(bits)).sum(-1) | np.arange(tables) << bits
-            flips = np.array([0, *(1 << i for i in range(bits))]) if near else np.array([0])
-            all_ = own[:, :, None] ^ flips
-            yield pa.record_batch([pa.array(np.repeat(batch.column("id").to_numpy(), tables * len(flips))), pa.array(all_.ravel())], ["id", "bucket"])
-
-    return rows.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id long, bucket long")
-
-
-def pairs_of(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """query_id, vec_id: what the queries find in their buckets."""
+def signs(x: np.ndarray, bits: int, tables: int, seed: int = 7) -> np.ndarray:
+    """The bucket of each vector in each table: a row of ``tables`` numbers."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, x.shape[1]))
+    out = np.empty((len(x), tables), np.int64)
+    for t in range(tables):
+        out[:, t] = (x @ planes[t].T > 0) @ (1 << np.arange(bits))
+    return out
+
+
+def meet(own: np.ndarray, others: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``others`` lie in a bucket of a row of ``own`` (both by ``signs``) or one bit away, as a boolean matrix."""
+    met = np.zeros((len(own), len(others)), bool)
+    flips = np.array([0, *(1 << i for i in range(bits))])
+    for t in range(own.shape[1]):
+        order = np.argsort(others[:, t], kind="stable")
+        held = others[order, t]
+        probes = (own[:, t, None] ^ flips).ravel()
+        low, high = np.searchsorted(held, probes), np.searchsorted(held, probes, "right")
+        n = high - low
+        places = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+        met[np.repeat(np.arange(len(probes)) // len(flips), n), order[places]] = True
+    return met
+
+
+def candidates(queries: DataFrame, rows: DataFrame, k: int, block: int = V.BLOCK) -> DataFrame:
+    """query_id, vec_id, score, n_found (rows the query met), rank: the best of what the buckets hold.
+
+    Blocks of queries and rows meet in the cells of ``vector.grid``; a cell keeps its own
+    buckets in memory and sends on ``k`` hits of a query and the number of rows that it
+    met, so no pair of a query and a row is shuffled.
+    """
     bits, tables = sizes(rows.select("vec_id").count())
-    q = buckets(queries, "query_id", "embedding", bits, tables, True).withColumnRenamed("id", "query_id")
-    x = buckets(rows, "vec_id", "embedding", bits, tables, False).withColumnRenamed("id", "vec_id")
-    return q.join(x, "bucket").select("query_id", "vec_id").distinct()
-
-
-def candidates(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, n_found (rows the query met), rank: the best of what the buckets hold."""
-    vectors = rows.select("vec_id", F.col("embedding").alias("b"))
-    scored = pairs_of(queries, rows).join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").join(vectors, "vec_id")
-    scored = scored.select("query_id", "vec_id", F.round(cosine_of(F.col("a"), F.col("b")), 6).alias("score"))
-    return top(scored.withColumn("n_found", F.count("*").over(Window.partitionBy("query_id"))), k, "query_id", F.desc("score"), "vec_id")
+    q, x = V.grid(queries, rows, block=block)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        if a.num_rows and b.num_rows:
+            left, own, right, ids = V.matrix(a["v"]), a["id"].to_numpy(), V.matrix(b["v"]), b["id"].to_numpy()
+            there = signs(right, bits, tables)
+            for low in range(0, len(own), V.AT_ONCE):
+                part = left[low : low + V.AT_ONCE]
+                met = meet(signs(part, bits, tables), there, bits)
+                s = np.round(V.cosine(part, right), 6) + 0.0
+                s[~met] = -np.inf
+                i, j = V.best(s, ids, k)
+                for into, values in zip(found, (own[low + i], ids[j], s[i, j], np.zeros(len(i), np.int64))):
+                    into.append(values)
+                # and how many were met, once a query
+                mine = own[low : low + V.AT_ONCE]
+                for into, values in zip(found, (mine, np.full(len(mine), -1), np.full(len(mine), np.nan), met.sum(1))):
+                    into.append(values)
+        each = [np.concatenate(c) if c else np.array([]) for c in found]
+        of = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(each, of)], ["query_id", "vec_id", "score", "n_found"])
+
+    to_long = lambda df: df.withColumn("id", F.col("id").cast("long"))
+    found = to_long(q).groupBy("qb", "xb").cogroup(to_long(x).groupBy("qb", "xb")).applyInArrow(cell, "query_id long, vec_id long, score double, n_found long")
+    found = found.withColumn("n_found", F.sum("n_found").over(Window.partitionBy("query_id")))
+    return top(found.filter(~F.isnan("score")), k, "query_id", F.desc("score"), "vec_id")

@@ -1,10 +1,11 @@
 """Markdown, text functions, collections, sources and streams on literals."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import markdown as M, text as T
-from docloom.operators import collection as K, incremental as I, vector
+from docloom.operators import collection as K, incremental as I, lsh, vector
 from docloom.operators.lsh import candidates
 from docloom.plans.pipelines import Pipeline, register
 from docloom.plans.relational_queries import term_filter, where
@@ -127,6 +128,24 @@ def test_streams(spark, sf, tmp_path):
     assert {tuple(r) for r in spark.sql("select window.start, event_type, n from counts").collect()} == want
 
 
+def test_hyperplanes_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    bits, tables = lsh.sizes(600)
+    codes = lsh.signs(x, bits, tables)
+    for block in (100, 1000):  # several cells, or one
+        found = lsh.candidates(queries, rows, 5, block)
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.n_found) for r in found.collect()}
+        for q in range(0, 600, 20):
+            met = [i for i in range(600) if any(bin(a ^ b).count("1") <= 1 for a, b in zip(codes[q], codes[i]))]
+            s = {i: round(float(x[q] @ x[i] / np.linalg.norm(x[q]) / np.linalg.norm(x[i])), 6) for i in met}
+            best = sorted(met, key=lambda i: (-s[i], i))[:5]
+            assert [got[q, n + 1] for n in range(len(best))] == [(i, len(met)) for i in best]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vector_cells_are_bounded(spark):
     rows = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
     queries = rows.filter("vec_id < 70").withColumnRenamed("vec_id", "query_id")
