@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import bm25, retrieve as R, vector
@@ -32,16 +32,15 @@ class Request:
             raise ValueError("top_k goes from 1 to 20, min_score from 0 to 1")
 
 
-def _lists(docs: DataFrame, allowed: DataFrame, queries: DataFrame, embed: Callable[[DataFrame, str], DataFrame], request: Request, k: int) -> DataFrame:
+def _lists(docs: DataFrame, where: Column, queries: DataFrame, embed: Callable[[DataFrame, str], DataFrame], request: Request, k: int) -> DataFrame:
     """query_id, doc_id, score (0 to 1 but for keyword mode's, which are scaled too) of the best ``k``."""
 
     def keyword() -> DataFrame:
-        found = bm25.scores(bm25.build(docs), queries).join(allowed, "doc_id", "left_semi")
-        return bm25.top(found, k, "query_id", F.desc("score"), "doc_id")
+        return bm25.search(bm25.build(docs, where=where), queries, k)
 
     def near() -> DataFrame:
-        rows = embed(docs, "doc_id").join(allowed, "doc_id", "left_semi")
-        return vector.top_k(embed(queries, "query_id"), rows, k, "cosine", "query_id", "doc_id").withColumnRenamed("vec_id", "doc_id")
+        rows = embed(docs.filter(where), "doc_id")
+        return vector.top_k(embed(queries, "query_id"), rows, k, "cosine", "query_id", "doc_id", n_rows=docs.count()).withColumnRenamed("vec_id", "doc_id")
 
     if request.mode == "vector":
         return near().drop("rank")
@@ -67,20 +66,19 @@ def search(
     the query.  With ``rerank``, scores are those of ``reranker(hits, queries, docs, k)``,
     by default term overlap.  Hits under ``min_score`` go.
     """
-    allowed = docs
+    where = F.lit(True)
     for column, value in request.filters.items():
         if column in docs.columns:
-            allowed = allowed.filter(F.col(column) == value)
-    allowed = allowed.select("doc_id")
+            where &= F.col(column) == value
     k = request.top_k * MORE
     if request.rewrite and request.mode != "keyword":
         made = rewriter(queries).withColumn("variant_no", F.col("variant_no").cast("int"))
         key = F.struct("query_id", "variant_no")
-        each = _lists(docs, allowed, made.select(F.to_json(key).alias("query_id"), "text"), embed, request, k)
+        each = _lists(docs, where, made.select(F.to_json(key).alias("query_id"), "text"), embed, request, k)
         parts = each.select(F.from_json("query_id", f"query_id {queries.schema['query_id'].dataType.simpleString()}, variant_no int").alias("v"), "doc_id", "score")
         hits = R.first_seen(parts.select("v.query_id", "v.variant_no", "doc_id", "score")).drop("variant_no")
     else:
-        hits = _lists(docs, allowed, queries, embed, request, k)
+        hits = _lists(docs, where, queries, embed, request, k)
     if request.rerank:
         hits = reranker(hits, queries, docs, k).drop("rank")
     return bm25.top(hits.filter(F.col("score") >= request.min_score), request.top_k, "query_id", F.desc("score"), "doc_id").select("query_id", "doc_id", "score", "rank")
