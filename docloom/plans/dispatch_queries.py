@@ -92,18 +92,14 @@ _KEYWORD = R.ranked(_ALLOWED.format(R._SCORE), 25)
 _VECTOR = R.ranked(_ALLOWED.format("SELECT * FROM near"), 25)
 
 
-def _embed(rows: DataFrame, key: str) -> DataFrame:
-    return R.hashed(bm25.build(rows, key).postings.withColumnRenamed("doc_id", key), key)
-
-
 @query(f"WITH {R.BM25}, {R.QUERIES_SQL}, {R.HASHED} SELECT query_id, doc_id, score, rank FROM {R.ranked('SELECT * FROM (' + R.weighted_sql(_VECTOR, _KEYWORD, 0.7) + ') WHERE score >= 0.3', 5)}")
 def search_hybrid(t: Tables) -> DataFrame:
-    return search(t.documents, R.text_queries(t), _embed, Request(min_score=0.3, filters={"lang": "en", "no_such_field": 1}))
+    return search(t.documents, R.text_queries(t), R.embed, Request(min_score=0.3, filters={"lang": "en", "no_such_field": 1}))
 
 
 @query(f"WITH {R.BM25}, {R.QUERIES_SQL} SELECT query_id, doc_id, score, rank FROM {R.ranked('SELECT * FROM (' + R.rerank_sql(_KEYWORD) + ') WHERE score >= 0.7', 5)}")
 def search_keyword_reranked(t: Tables) -> DataFrame:
-    return search(t.documents, R.text_queries(t), _embed, Request("keyword", rerank=True, rewrite=True, filters={"lang": "en"}))
+    return search(t.documents, R.text_queries(t), R.embed, Request("keyword", rerank=True, rewrite=True, filters={"lang": "en"}))
 
 
 _ENDS = "(SELECT * FROM (SELECT item_id * 4 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 4 + 1, trim(right(text, length(text) // 3)) FROM benchmark) WHERE text <> '')"
