@@ -10,7 +10,7 @@ from docloom.operators import table_functions
 from docloom.plans.chunk_queries import _PARAGRAPHS
 from docloom.plans.registry import query
 from docloom.sources import office
-from docloom.tables import Tables
+from docloom.tables import Tables, dealt
 
 _CLEAN = r"regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
 
@@ -20,7 +20,8 @@ _CLEAN = r"regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
 def scan_docx(t: Tables) -> DataFrame:
     """Documents as docx files, the first line as a heading, read again: counts, features and markdown."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.when(i == 0, 1).alias("level"), x.alias("text")))
-    files = office.docx_files(t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), lines.alias("blocks")), "path", "blocks")
+    texts = dealt(t.documents.select("doc_id", "text"), "doc_id")
+    files = office.docx_files(texts.select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), lines.alias("blocks")), "path", "blocks")
     found, blocks = office.blocks_of(files), F.col("blocks")
     headings = F.size(office.of_kind(blocks, "heading")).cast("long")
     features = D.word_features(office.paragraphs(blocks), F.size(office.of_kind(blocks, "table")), F.col("n_images"), headings)

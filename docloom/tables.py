@@ -21,6 +21,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if 2 * files <= cores else df
 
 
+#: Rows of a task where each row takes long.
+FEW_ROWS = 2000
+
+
+def dealt(df: DataFrame, key: str, rows: int = FEW_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``rows`` rows, two a core at least, so that no task grows with the table; for work that costs far more than this shuffle."""
+    n = df.count()
+    return df.repartition(max(-(-n // rows), min(2 * df.sparkSession.sparkContext.defaultParallelism, n), 1), key)
+
+
 class Tables:
     """``tables.documents`` reads documents.parquet, and so on."""
 
